@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from neurospan.llm import exact_dedup, mixing
+from neurospan.llm import exact_dedup, mixing, packing, pii, quality_rules, secrets, url_rules
 
 
 def queries():
     return {
+        "op1_weak_supervision": pii.op1_weak_supervision,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op5_pareto_mix": mixing.op5_pareto_mix,
+        "op6_best_fit": packing.op6_best_fit,
+        "op8_url_rules": url_rules.op8_url_rules,
+        "op9_secret_ownership": secrets.op9_secret_ownership,
+        "op10_host_rules": quality_rules.op10_host_rules,
     }
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": exact_dedup.SQL, "op5_pareto_mix": mixing.SQL}
+    return {
+        "op3_exact_dedup": exact_dedup.SQL,
+        "op5_pareto_mix": mixing.SQL,
+        "op9_secret_ownership": secrets.SQL,
+        "op10_host_rules": quality_rules.SQL,
+    }
