@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from neurospan.llm import exact_dedup, mixing, packing, pii, quality_rules, secrets, url_rules
+from neurospan.llm import exact_dedup, kneser_ney, mixing, packing, pii, quality_rules, repeats, secrets, url_rules
 
 
 def queries():
     return {
         "op1_weak_supervision": pii.op1_weak_supervision,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_kneser_ney": kneser_ney.op4_kneser_ney,
         "op5_pareto_mix": mixing.op5_pareto_mix,
         "op6_best_fit": packing.op6_best_fit,
+        "op7_deep_shallow": repeats.op7_deep_shallow,
         "op8_url_rules": url_rules.op8_url_rules,
         "op9_secret_ownership": secrets.op9_secret_ownership,
         "op10_host_rules": quality_rules.op10_host_rules,
