@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from neurospan.llm import exact_dedup, kneser_ney, mixing, packing, pii, quality_rules, repeats, secrets, url_rules
+from neurospan.llm import exact_dedup, jaccard_join, kneser_ney, mixing, packing, pii, quality_rules, repeats, secrets, url_rules
 
 
 def queries():
     return {
         "op1_weak_supervision": pii.op1_weak_supervision,
+        "op2_jaccard_join": jaccard_join.op2_jaccard_join,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_kneser_ney": kneser_ney.op4_kneser_ney,
         "op5_pareto_mix": mixing.op5_pareto_mix,

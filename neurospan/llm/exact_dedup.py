@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurospan.llm.common import table, text_or_empty
+from neurospan.llm.common import stored, table, text_or_empty
 
 PREFIX_CHARS = 256
 
@@ -61,6 +61,33 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+#: Verdicts that are sent to every task; more are joined by shuffle.
+MAX_SENT_ROWS = 2_000_000
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """docs without exact copies: of equal texts the row with the largest doc_id stays.
+
+    Rows that repeat a doc_id with its text are copies too, and one of them stays. Rows with a null
+    doc_id can't be told apart by a verdict and stay unless a row with an id has their text.
+    """
+    judged = stored(exact_dedup(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "copies-verdicts")
+    # what is dropped or repeated is judged by id and text, so a repeated id doesn't drop other texts
+    twice = judged.filter("kept and _id is not null").groupBy("_id", "_sha").count().filter("count > 1").select("_id", "_sha")
+    gone = stored(judged.filter("not kept").select("_id", "_sha").distinct(), "copies-gone")
+    twice = stored(twice, "copies-twice")
+    sha = F.sha2(text_or_empty(), 256)
+
+    def meets(rows: DataFrame, how: str, left: DataFrame) -> DataFrame:
+        side = F.broadcast(rows) if rows.count() <= MAX_SENT_ROWS else rows
+        return left.join(side, left["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), how)
+
+    rest = meets(gone, "left_anti", docs)
+    if twice.limit(1).count() == 0:
+        return rest
+    return meets(twice, "left_anti", rest).unionByName(meets(twice, "left_semi", rest).dropDuplicates(["doc_id", "text"]))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -317,6 +317,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     return scored.withColumn("threshold", threshold).withColumn("kept", kept).select(*docs.columns, "perplexity", "threshold", "kept")
 
 
+def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs that the classifier keeps, with their own columns, whatever their names."""
+    others = [c for c in docs.columns if c not in ("doc_id", "lang", "text")]
+    rows = docs.select("doc_id", "lang", "text", F.struct(*others).alias("_rest")) if others else docs
+    kept = classify(rows, labels).filter("kept")
+    return kept.select(*[F.col(f"_rest.`{c}`").alias(c) if c in others else F.col(c) for c in docs.columns])
+
+
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "lang", "perplexity", "threshold", "kept")

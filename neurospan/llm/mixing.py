@@ -24,7 +24,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_c
 
     The whole size is shared by weight (sources by code point, null last, the weights repeating); a
     target stops at max_copies times its source's size and the excess goes to the others by weight.
-    Sorted by size over weight the capped sources come first, so one running sum finds the level.
+    Sorted by size over weight the capped sources come first; the level that each source would set
+    with all before it at their caps falls from the first that stays below its own cap on, so the
+    greatest such level is the right one.
     The windows without keys see one row per source, never documents.
     """
     per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
@@ -36,20 +38,28 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_c
     left = F.sum("source_size").over(every) - F.coalesce(F.sum(cap).over(before), F.lit(0.0))
     weight = F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
     per = per.withColumn("_level", left / weight)
-    per = per.withColumn("_level", F.min(F.when(F.col("_level") * F.col("_w") <= cap, F.col("_level"))).over(every))
+    per = per.withColumn("_level", F.max(F.when(F.col("_level") * F.col("_w") <= cap, F.col("_level"))).over(every))
     return per.select("source", "source_size", F.least(cap, F.col("_level") * F.col("_w")).alias("target"))
 
 
-def pareto_mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, buckets: int = BUCKETS) -> DataFrame:
-    """rows (doc_id, source, size, ...) with source_size, target, copies and taken added.
+#: Sources whose plan is sent to every task; more are joined by shuffle.
+MAX_SENT_SOURCES = 50_000
 
-    A source's ratio of target to size gives every document its whole copies; the fraction f left
-    over is each document's inclusion probability, so it differs from source to source. Documents
-    are ranked by u/(1-u) over f/(1-f) and the first ones are taken until their words come nearest
-    to what the target still lacks: a sample of fixed size. The cut is found on sums by bucket of
-    the rank, and only the bucket that holds it is ordered row by row, so no task sees a source.
 
-    Null sizes count as 0; a source without words gets target 0; a null source is one source.
+def _rank(plan_f: Column) -> Column:
+    u = uniform(F.col("doc_id"))
+    return F.when(plan_f > 0, (u / (1 - u)) / (F.nullif(plan_f, F.lit(0.0)) / (1 - plan_f)))
+
+
+def _bucket(q: Column, buckets: int) -> Column:
+    return F.floor(q / (1 + q) * buckets).cast("int")
+
+
+def mix_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, buckets: int = BUCKETS) -> DataFrame:
+    """One row per source: source_size, target, whole copies, fraction, what is lacking, and the cut.
+
+    rows has doc_id, source, size. The cut is the bucket of the rank where the words drawn reach
+    what is lacking, found on sums by source and bucket.
     """
     plan = source_targets(rows, weights, max_copies)
     ratio = F.col("target") / F.nullif(F.col("source_size"), F.lit(0))
@@ -58,21 +68,35 @@ def pareto_mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies
         F.floor(F.coalesce(ratio, F.lit(0.0))).cast("long").alias("_whole"),
         F.coalesce(ratio - F.floor(ratio), F.lit(0.0)).alias("_f"),
     ).withColumn("_lack", F.col("target") - F.col("_whole") * F.col("source_size"))
-    u = uniform(F.col("doc_id"))
-    odds = (u / (1 - u)) / (F.nullif(F.col("_f"), F.lit(0.0)) / (1 - F.col("_f")))
-    ranked = (
-        rows.join(plan, rows["source"].eqNullSafe(plan["_source"])).drop("_source")
-        .withColumn("_q", F.when(F.col("_f") > 0, odds))
-        .withColumn("_bucket", F.floor(F.col("_q") / (1 + F.col("_q")) * buckets).cast("int"))
-    )
-    sums = ranked.filter("_q is not null").groupBy("source", "_lack", "_bucket").agg(F.sum("size").alias("_sum"))
-    run = W.partitionBy("source").orderBy("_bucket")
+    plan = stored(plan, "mix-plan")
+    drawn = rows.join(sent(plan), rows["source"].eqNullSafe(plan["_source"])).withColumn("_bucket", _bucket(_rank(F.col("_f")), buckets))
+    sums = drawn.filter("_bucket is not null").groupBy("_source", "_lack", "_bucket").agg(F.sum("size").alias("_sum"))
+    run = W.partitionBy("_source").orderBy("_bucket")
     cut = (
         sums.withColumn("_before", F.sum("_sum").over(run) - F.col("_sum"))
         .filter((F.col("_before") < F.col("_lack")) & (F.col("_lack") <= F.col("_before") + F.col("_sum")))
-        .select(F.col("source").alias("_source"), F.col("_bucket").alias("_cut"), "_before")
+        .select(F.col("_source").alias("_s"), F.col("_bucket").alias("_cut"), "_before")
     )
-    joined = ranked.join(cut, ranked["source"].eqNullSafe(cut["_source"]), "left").drop("_source")
+    return stored(plan.join(cut, plan["_source"].eqNullSafe(cut["_s"]), "left").drop("_s"), "mix-cut")
+
+
+def sent(plan: DataFrame) -> DataFrame:
+    return F.broadcast(plan) if plan.count() <= MAX_SENT_SOURCES else plan
+
+
+def pareto_mix(rows: DataFrame, plan: DataFrame, max_copies: int = MAX_COPIES, buckets: int = BUCKETS) -> DataFrame:
+    """rows (doc_id, source, size, ...) with source_size, target, copies and taken added.
+
+    A source's ratio of target to size gives every document its whole copies; the fraction f left
+    over is each document's inclusion probability, so it differs from source to source. Documents
+    are ranked by u/(1-u) over f/(1-f) and the first ones are taken until their words come nearest
+    to what the target still lacks: a sample of fixed size. Only the bucket that holds the cut is
+    ordered row by row, so no task sees a source.
+
+    Null sizes count as 0; a source without words gets target 0; a null source is one source.
+    Copies of a row and rows that repeat a doc_id have the same rank and follow each other.
+    """
+    joined = rows.join(sent(plan), rows["source"].eqNullSafe(plan["_source"])).drop("_source").withColumn("_q", _rank(F.col("_f"))).withColumn("_bucket", _bucket(F.col("_q"), buckets))
     at_cut = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
     inside = W.partitionBy("source", "_bucket").orderBy("_q", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
@@ -80,19 +104,27 @@ def pareto_mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies
     # a source without a cut lacks nothing (f = 0) or, by rounding, all that it has
     rest = joined.filter(~at_cut).withColumn("_take", F.when(F.col("_cut").isNotNull(), F.col("_bucket") < F.col("_cut")).otherwise(F.col("_lack") > 0))
     both = edge.unionByName(rest)
-    copies = F.col("_whole") + F.coalesce(F.col("_take") & F.col("_q").isNotNull(), F.lit(False)).cast("long")
-    kept = [c for c in both.columns if not c.startswith("_")]
-    return both.withColumn("copies", F.least(copies, F.lit(max_copies))).withColumn("taken", F.col("copies") * F.col("size")).select(*kept, "copies", "taken")
+    copies = F.least(F.col("_whole") + F.coalesce(F.col("_take") & F.col("_q").isNotNull(), F.lit(False)).cast("long"), F.lit(max_copies))
+    kept = [F.col(c) for c in both.columns if not c.startswith("_")]
+    return both.select(*kept, copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", n_words(text_or_empty()).alias("size"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("size"))
+
+
+def mixed_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """The documents that the mix takes, each as often as it does; no text is shuffled."""
+    plan = mix_plan(stored(sized(docs), "mix-sizes"), weights)
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("size"), F.struct("*").alias("row"))
+    taken = pareto_mix(rows, plan).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select("row.*")
 
 
 def op5_pareto_mix(spark, sf_dir):
     """doc_id, size, source_size, target, taken for every document; the size is its words."""
     rows = stored(sized(table(spark, sf_dir, "documents")), "mix-sizes")
-    return pareto_mix(rows).select("doc_id", "size", "source_size", "target", "taken")
+    return pareto_mix(rows, mix_plan(rows)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""
@@ -106,7 +138,7 @@ WITH d AS (
   SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(source_size * 3.0::DOUBLE) OVER f, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS v
   FROM w WINDOW f AS (ORDER BY source_size * 3.0::DOUBLE / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, least(source_size * 3.0::DOUBLE, w * (SELECT min(v) FROM v WHERE v * w <= source_size * 3.0::DOUBLE)) AS target FROM v
+  SELECT source, source_size, least(source_size * 3.0::DOUBLE, w * (SELECT max(v) FROM v WHERE v * w <= source_size * 3.0::DOUBLE)) AS target FROM v
 ), r AS (
   SELECT *, CAST(floor(coalesce(target / nullif(source_size, 0), 0)) AS BIGINT) AS whole,
          coalesce(target / nullif(source_size, 0) - floor(target / nullif(source_size, 0)), 0) AS f FROM t
