@@ -4,7 +4,7 @@ The Jaccard distance is a metric. Pivot documents create Voronoi cells; what is
 far region, which has no centre. A document belongs to the region of its nearest pivot and is
 replicated to those regions whose members it could still reach by the triangle inequality. Every
 region is then joined exactly: sets that link share a token among their first ones in any order
-common to all sets, and the order puts tokens of many pivots last.
+common to all sets, and the order puts tokens that the corpus holds often last.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ CELL = 0.5  # radius of a cell
 N_PIVOTS = 64
 MAX_PIVOT_SIZE = 20_000
 FILTER_BITS = 25
+SLOTS = 1 << 22
+PARTS = 64
 
 
 def prefix_size(n: np.ndarray | int):
@@ -43,26 +46,87 @@ def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document, and a task's token counts in SLOTS slots (up to 255) as rows of their own."""
+    counts, held, n_held = np.zeros(SLOTS, np.uint8), [], 0
+
+    def fold() -> None:
+        more = np.bincount(np.concatenate(held), minlength=SLOTS)
+        np.copyto(counts, np.minimum(counts + np.minimum(more, 255), 255).astype(np.uint8))
+        held.clear()
+
+    names = ["doc_id", "n", "c", "part", "counts"]
     for batch in batches:
         n, c = [], []
         for _, sets in _sets_of(batch):
             n += [len(s) for s in sets]
             c += [set_hash(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "n", "c"])
+            for s in sets:
+                held.append((s & np.uint64(SLOTS - 1)).astype(np.int64))
+                n_held += len(s)
+            if n_held > SLOTS:
+                fold()
+                n_held = 0
+        rows = len(n)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+    if held:
+        fold()
+    if counts.any():
+        parts = counts.reshape(PARTS, -1)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, pa.int64())] * 3, pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=names)
+
+
+def _add_counts(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    total = sum((np.frombuffer(x, np.uint8).astype(np.uint32) for x in frame["counts"]), np.zeros(SLOTS // PARTS, np.uint32))
+    return pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
+
+
+def token_levels(rows: DataFrame) -> np.ndarray:
+    """How far above the usual each slot's tokens are, in powers of two; 0 for all up to twice the mean.
+
+    The table has SLOTS bytes whatever the corpus. It only orders tokens, so that frequent ones come
+    last: any order gives the same links.
+    """
+    parts = rows.filter("part is not null").select("part", "counts").repartition(PARTS // 4, "part")
+    levels = np.zeros(SLOTS, np.uint8)
+    total = np.zeros(SLOTS, np.uint32)
+    for r in parts.groupBy("part").applyInPandas(_add_counts, "part int, counts binary").collect():
+        total[r["part"] * (SLOTS // PARTS) : (r["part"] + 1) * (SLOTS // PARTS)] = np.frombuffer(r["counts"], np.uint32)
+    mean = max(total.mean(), 0.5)
+    often = total > 2 * mean + 2
+    levels[often] = np.ceil(np.log2(total[often] / mean)).astype(np.uint8)
+    return levels
+
+
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """One bit for each slot of a hash: whether an odd number of tokens fell there.
+
+    Two sketches of one size differ in at most as many bits as their sets differ in tokens, so the
+    bits bound the size of the symmetric difference from below. There are two slots a token or more.
+    """
+    bits = 256
+    while bits < 2 * len(tokens):
+        bits *= 2
+    slots = ((tokens >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        c, tokens = [], []
+        c, tokens, sketch = [], [], []
         for _, sets in _sets_of(batch):
             c += [set_hash(s) for s in sets]
             tokens += [s.view(np.int64) for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["c", "tokens"])
+            sketch += [parity_sketch(s) for s in sets]
+        long = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(tokens, long), pa.array(sketch, long)], names=["c", "tokens", "sketch"])
+
+
+TOKENS = "c long, tokens array<long>, sketch array<long>"
 
 
 @dataclass
 class Pivots:
-    """Sets of the pivots, which of them have cells, and for each token the pivots that hold it."""
+    """Sets of the pivots, which have cells, for each token the pivots that hold it; and the tokens' levels."""
 
     ids: list[int]
     sizes: np.ndarray
@@ -70,9 +134,10 @@ class Pivots:
     tokens: np.ndarray
     starts: np.ndarray
     owners: np.ndarray
+    levels: np.ndarray
 
     @classmethod
-    def of(cls, sets: dict[int, np.ndarray]) -> Pivots:
+    def of(cls, sets: dict[int, np.ndarray], levels: np.ndarray) -> Pivots:
         ids = sorted(sets)
         cells: list[int] = []
         for i, c in enumerate(ids):  # cells whose centres lie apart
@@ -80,7 +145,7 @@ class Pivots:
                 cells.append(i)
         pairs = sorted((int(t), i) for i, c in enumerate(ids) for t in sets[c])
         tokens, starts = np.unique(np.array([t for t, _ in pairs], np.uint64), return_index=True)
-        return cls(ids, np.array([len(sets[c]) for c in ids], np.int64), np.array(cells, np.int64), tokens, np.append(starts, len(pairs)).astype(np.int64), np.array([i for _, i in pairs], np.int64))
+        return cls(ids, np.array([len(sets[c]) for c in ids], np.int64), np.array(cells, np.int64), tokens, np.append(starts, len(pairs)).astype(np.int64), np.array([i for _, i in pairs], np.int64), levels)
 
 
 def distance(shared, a, b):
@@ -91,7 +156,7 @@ _INDEX: dict[int, Hashed] = {}
 
 
 def _near(sets: list[np.ndarray], pivots: Pivots, key: int) -> tuple[np.ndarray, ...]:
-    """How many pivots hold each token of the sets in turn; and (set, pivot, distance, link) where below 1."""
+    """(set, pivot, distance, link) for every set and pivot that share a token."""
     if key not in _INDEX:
         _INDEX.clear()
         _INDEX[key] = Hashed(pivots.tokens.view(np.int64), np.arange(len(pivots.tokens)).astype(np.float32))
@@ -99,16 +164,14 @@ def _near(sets: list[np.ndarray], pivots: Pivots, key: int) -> tuple[np.ndarray,
     flat = np.concatenate(sets).view(np.int64) if len(sets) else np.empty(0, np.int64)
     at, found = _INDEX[key].find(flat)
     hits, at = np.flatnonzero(found), at[found].astype(np.int64)
-    often = np.zeros(len(flat), np.int16)
-    often[hits] = pivots.starts[at + 1] - pivots.starts[at]
     of = np.repeat(np.arange(len(sets)), sizes)[hits]
-    count = often[hits].astype(np.int64)
+    count = pivots.starts[at + 1] - pivots.starts[at]
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     owner = pivots.owners[np.repeat(pivots.starts[at], count) + step]
     pair, shared = np.unique(np.repeat(of, count) * len(pivots.ids) + owner, return_counts=True)
     i, p = np.divmod(pair, max(len(pivots.ids), 1))
     union = sizes[i] + pivots.sizes[p] - shared
-    return often, i, p, 1 - shared / union, 100 * shared >= PERCENT * union
+    return i, p, 1 - shared / union, 100 * shared >= PERCENT * union
 
 
 def regions(cells: np.ndarray, away: np.ndarray) -> tuple[int, list[int]]:
@@ -143,19 +206,18 @@ def _postings(shared, seen):
         for batch in batches:
             for _, sets in _sets_of(batch):
                 out: list[list] = [[], [], [], [], [], []]
-                often, who, which, away, linked = _near(sets, pivots, id(shared))
+                who, which, away, linked = _near(sets, pivots, id(shared))
                 bounds = np.searchsorted(who, np.arange(len(sets) + 1))
-                begin = 0
                 for i, s in enumerate(sets):
                     n = len(s)
-                    f, begin = often[begin : begin + n], begin + n
                     if not n:
                         continue
                     m = prefix_size(n)
-                    free = s[f == 0][:m]
+                    level = pivots.levels[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
+                    free = s[level == 0][:m]
                     if len(free) < m:
-                        rest = np.flatnonzero(f)
-                        rest = rest[np.argsort(f[rest], kind="stable")]
+                        rest = np.flatnonzero(level)
+                        rest = rest[np.argsort(level[rest], kind="stable")]
                         free = np.concatenate([free, s[rest[: m - len(free)]]])
                     a, z = bounds[i], bounds[i + 1]
                     home, others, links = 0, [], 0
@@ -195,12 +257,12 @@ def _bits(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
 
-def choose_pivots(docs: DataFrame, named: DataFrame, n_pivots: int) -> Pivots:
+def choose_pivots(docs: DataFrame, named: DataFrame, n_pivots: int, levels: np.ndarray) -> Pivots:
     """The sets with the least hashes: a fixed number, drawn evenly from all different sets."""
     chosen = [r["v"] for r in named.filter(f"n between 1 and {MAX_PIVOT_SIZE}").orderBy("c").limit(n_pivots).collect()]
-    found = docs.filter(F.col("doc_id").isin(chosen)).mapInArrow(_tokens, "c long, tokens array<long>").limit(4 * n_pivots).collect() if chosen else []
+    found = docs.filter(F.col("doc_id").isin(chosen)).mapInArrow(_tokens, TOKENS).limit(4 * n_pivots).collect() if chosen else []
     sets = {r["c"]: np.array(r["tokens"], np.int64).view(np.uint64) for r in found if 0 < len(r["tokens"]) <= MAX_PIVOT_SIZE}
-    return Pivots.of(dict(sorted(sets.items())[:64]))
+    return Pivots.of(dict(sorted(sets.items())[:64]), levels)
 
 
 def candidate_pairs(rows: DataFrame) -> DataFrame:
@@ -227,15 +289,23 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, named: DataFrame) -> DataFrame:
-    """The pairs whose sets link; only sets of candidates are read again."""
+    """The pairs whose sets link; only sets of candidates are read again.
+
+    Parity sketches, a few words a set, rule out nearly all pairs that don't link; the sets of the
+    others are intersected.
+    """
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
     ids = stored(named.join(wanted, "c").select(F.col("v").alias("doc_id")).distinct(), "join-wanted")
-    sets = stored(with_ids(docs, ids, ids.count()).mapInArrow(_tokens, "c long, tokens array<long>"), "join-sets")
-    left = sets.select(F.col("c").alias("a"), F.col("tokens").alias("s"))
-    right = sets.select(F.col("c").alias("b"), F.col("tokens").alias("t"))
-    both = F.size(F.array_intersect("s", "t"))
-    link = 100 * both >= PERCENT * (F.size("s") + F.size("t") - both)
-    return pairs.join(left, "a").join(right, "b").filter(link).select("a", "b").distinct()
+    sets = stored(with_ids(docs, ids, ids.count()).mapInArrow(_tokens, TOKENS), "join-sets")
+    side = lambda c, *extra: sets.select(F.col("c").alias(c), F.size("tokens").alias(f"n{c}"), *[F.col(x).alias(f"{x}_{c}") for x in extra])
+    sketched = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
+    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    most = (100 - PERCENT) * (F.col("na") + F.col("nb"))  # (100 + PERCENT) times the greatest difference of linked sets
+    near = (F.size("sketch_a") != F.size("sketch_b")) | ((100 + PERCENT) * differ <= most)
+    close = stored(sketched.filter(near).select("a", "b"), "join-close")
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    link = 100 * both >= PERCENT * (F.col("na") + F.col("nb") - both)
+    return close.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").filter(link).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, n_pivots: int = N_PIVOTS) -> DataFrame:
@@ -250,9 +320,10 @@ def jaccard_components(docs: DataFrame, n_pivots: int = N_PIVOTS) -> DataFrame:
     """
     text = text_or_empty()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"))
-    sets = stored(docs.mapInArrow(_classes, "doc_id long, n long, c long"), "join-classes")
+    rows = stored(docs.mapInArrow(_classes, "doc_id long, n long, c long, part int, counts binary"), "join-classes")
+    sets = rows.filter("part is null").select("doc_id", "n", "c")
     named = stored(sets.filter("n > 0").groupBy("c").agg(F.max("n").alias("n"), F.min("doc_id").alias("v")).filter("v is not null"), "join-named")
-    shared = docs.sparkSession.sparkContext.broadcast(choose_pivots(docs, named, min(n_pivots, 64)))
+    shared = docs.sparkSession.sparkContext.broadcast(choose_pivots(docs, named, min(n_pivots, 64), token_levels(rows)))
     text = docs.select("text")
     counted = text.mapInArrow(_postings(shared, None), "key long, c long").groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"))
     met = stored(counted.filter("a < b").select("key"), "join-keys")
