@@ -32,10 +32,21 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def signal_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as a recording: a sample for each vector, a channel for each position."""
+SAMPLES = 250
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as recordings of 250 samples, one row for a sample: rec_id, sample_idx, condition, values."""
     return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("sample_idx"),
+        F.floor(F.col("vec_id") / SAMPLES).alias("rec_id"),
+        F.pmod(F.col("vec_id"), F.lit(SAMPLES)).alias("sample_idx"),
         F.col("label").alias("condition"),
-        F.posexplode("embedding").alias("channel", "value"),
-    ).withColumn("value", F.nullif(F.col("value").cast("double"), F.lit(float("nan"))))
+        F.col("embedding").cast("array<double>").alias("values"),
+    )
+
+
+def signal_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with one row for a sample and channel; NaN becomes NULL."""
+    return recordings(spark, sf_dir).select(
+        "rec_id", "sample_idx", "condition", F.posexplode("values").alias("channel", "value")
+    ).withColumn("value", F.nullif("value", F.lit(float("nan"))))
