@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch while a table is written: texts are long, so fewer than Spark's 10,000.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+
 _FOLDERS: dict[str, str] = {}
 
 
@@ -56,6 +59,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Lineage ends there: a lost executor costs the tasks of the stage that reads the table, not the
     work that made it.
     """
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(int(before), BATCH_ROWS)))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)

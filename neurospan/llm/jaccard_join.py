@@ -30,6 +30,8 @@ CELL = 0.5  # radius of a cell
 N_PIVOTS = 64
 MAX_PIVOT_SIZE = 20_000
 FILTER_BITS = 25
+DENSE = 10_000
+ROUNDS = 6
 SLOTS = 1 << 22
 PARTS = 64
 
@@ -63,7 +65,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in sets:
                 held.append((s & np.uint64(SLOTS - 1)).astype(np.int64))
                 n_held += len(s)
-            if n_held > SLOTS:
+            if n_held > SLOTS // 4:
                 fold()
                 n_held = 0
         rows = len(n)
@@ -81,20 +83,17 @@ def _add_counts(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def token_levels(rows: DataFrame) -> np.ndarray:
-    """How far above the usual each slot's tokens are, in powers of two; 0 for all up to twice the mean.
+    """How often each slot's tokens are met, scaled to a mean of 1,000.
 
-    The table has SLOTS bytes whatever the corpus. It only orders tokens, so that frequent ones come
-    last: any order gives the same links.
+    The table has SLOTS numbers whatever the corpus. It only orders tokens, rare ones first: any
+    order gives the same links. A token stands out where its count passes the spread of a slot's
+    load, so the share of the corpus from which tokens stand out falls as the corpus grows.
     """
     parts = rows.filter("part is not null").select("part", "counts").repartition(PARTS // 4, "part")
-    levels = np.zeros(SLOTS, np.uint8)
-    total = np.zeros(SLOTS, np.uint32)
+    total = np.zeros(SLOTS, np.float32)
     for r in parts.groupBy("part").applyInPandas(_add_counts, "part int, counts binary").collect():
         total[r["part"] * (SLOTS // PARTS) : (r["part"] + 1) * (SLOTS // PARTS)] = np.frombuffer(r["counts"], np.uint32)
-    mean = max(total.mean(), 0.5)
-    often = total > 2 * mean + 2
-    levels[often] = np.ceil(np.log2(total[often] / mean)).astype(np.uint8)
-    return levels
+    return np.minimum(total * (1000 / max(total.mean(), 1e-6)), 65_535).astype(np.uint16)
 
 
 def parity_sketch(tokens: np.ndarray) -> np.ndarray:
@@ -214,11 +213,7 @@ def _postings(shared, seen):
                         continue
                     m = prefix_size(n)
                     level = pivots.levels[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
-                    free = s[level == 0][:m]
-                    if len(free) < m:
-                        rest = np.flatnonzero(level)
-                        rest = rest[np.argsort(level[rest], kind="stable")]
-                        free = np.concatenate([free, s[rest[: m - len(free)]]])
+                    free = s[np.argsort(level, kind="stable")[:m]]
                     a, z = bounds[i], bounds[i + 1]
                     home, others, links = 0, [], 0
                     if z > a:
@@ -265,27 +260,95 @@ def choose_pivots(docs: DataFrame, named: DataFrame, n_pivots: int, levels: np.n
     return Pivots.of(dict(sorted(sets.items())[:64]), levels)
 
 
+def _links(shared):
+    """(a, b) for every set and pivot within reach."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = shared.value
+        for batch in batches:
+            for _, sets in _sets_of(batch):
+                who, which, _, linked = _near(sets, pivots, id(shared))
+                a = [set_hash(sets[i]) for i in who[linked].tolist()]
+                b = [pivots.ids[p] for p in which[linked].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return run
+
+
+def pivot_links(rows: DataFrame, pivots: Pivots) -> DataFrame:
+    """a, b: sets and the pivots within their reach, from the bits that the postings carry."""
+    if not pivots.ids:
+        return rows.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0)
+    some = rows.filter("links <> 0").select("c", "links").distinct().withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(len(pivots.ids) - 1))))
+    bits = some.filter(F.expr("shiftright(links, p) & 1 = 1"))
+    return bits.select(F.col("c").alias("a"), F.element_at(F.array(*map(F.lit, pivots.ids)), F.col("p") + 1).alias("b"))
+
+
+def labelled(rows: DataFrame, star: DataFrame) -> DataFrame:
+    """rows with the component of what is linked so far, null for sets without links."""
+    return rows.join(components(star).withColumnRenamed("v", "c"), "c", "left")
+
+
+def split_dense(docs: DataFrame, rows: DataFrame, named: DataFrame, star: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """rows labelled by component, and the links to pivots, after the dense parts of regions were given pivots of their own.
+
+    A token's list costs its length times the members outside its largest component. While lists
+    cost more than DENSE, the members nearest to the centre of such lists (the token stands first in
+    them, so they have few tokens of their own) become pivots, and all members of these lists are
+    compared with them: a block of queries against the rows they can link with. Each round links
+    what lies within reach of its pivots; what is left after the rounds is compared pair by pair.
+    """
+    used: list[int] = []
+    for _ in range(rounds):
+        tagged = stored(labelled(rows, star), "join-tagged")
+        blocks = tagged.groupBy("key", "label").agg(F.count("*").alias("k"))
+        known = F.when(F.col("label").isNotNull(), F.col("k"))
+        lists = blocks.groupBy("key").agg(F.sum("k").alias("n"), F.max(known).alias("most"), F.max_by("label", known).alias("top"))
+        cost = F.col("n") * (F.col("n") - F.coalesce("most", F.lit(1)))
+        dense = stored(lists.select("key", "top", cost.alias("cost")).filter(F.col("cost") > DENSE), "join-dense")
+        inside = tagged.join(dense, "key")
+        free = inside.filter(~F.col("label").eqNullSafe(F.col("top")) | F.col("label").isNull()).filter(~F.col("c").isin(used or [0]))
+        nearest = free.groupBy("key").agg(F.min_by("c", F.struct("at", "c")).alias("c"), F.first("cost").alias("cost"))
+        chosen = [r["c"] for r in nearest.groupBy("c").agg(F.sum("cost").alias("cost")).orderBy(F.desc("cost"), "c").limit(64).collect()]
+        if not chosen:
+            return tagged, star
+        used += chosen
+        ids = [r["v"] for r in named.filter(F.col("c").isin(chosen)).select("v").collect()]
+        found = docs.filter(F.col("doc_id").isin(ids)).mapInArrow(_tokens, TOKENS).filter(F.col("c").isin(chosen)).limit(4 * len(ids)).collect()
+        pivots = Pivots.of({r["c"]: np.array(r["tokens"], np.int64).view(np.uint64) for r in found}, np.zeros(1, np.uint16))
+        members = stored(named.join(inside.select("c").distinct(), "c").select(F.col("v").alias("doc_id")), "join-members")
+        more = with_ids(docs, members, members.count()).mapInArrow(_links(docs.sparkSession.sparkContext.broadcast(pivots)), "a long, b long")
+        grown = stored(star.unionByName(more.filter("a <> b")).distinct(), "join-star")
+        idle, star = grown.count() == star.distinct().count(), grown
+        if idle:  # what these lists still hold is far from their centres
+            return tagged, star
+    return stored(labelled(rows, star), "join-tagged"), star
+
+
 def candidate_pairs(rows: DataFrame) -> DataFrame:
     """a, b (a < b): pairs of sets that share a first token in a region and could link.
 
-    A token's sets are blocks by their pivots, and two blocks meet only if they have no pivot in
-    common, so the members of a dense group, linked through its pivots, never meet each other. The
-    bounds: sizes at least PERCENT apart, and the tokens left before and after the shared one.
+    A token's sets are blocks by their component so far, and only different blocks meet, so the
+    members of a dense group, linked through its pivots, never meet each other. The bounds: sizes
+    within PERCENT of each other, and enough tokens left before and after the shared one. The first
+    shared token of a pair has none before it, so it passes the tighter ones.
     """
-    blocks = rows.select("key", "links").distinct()
-    l, r = blocks.withColumnRenamed("links", "m"), blocks.withColumnRenamed("links", "w")
-    meet = l.join(r, "key").filter((F.col("m") <= F.col("w")) & (F.col("m").bitwiseAND(F.col("w")) == 0))
-    x = rows.select("key", F.col("links").alias("m"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ix"), F.col("home").alias("hx"))
-    y = rows.select("key", F.col("links").alias("w"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("iy"), F.col("home").alias("hy"))
+    blocks = rows.select("key", "label").distinct()
+    l, r = blocks.withColumnRenamed("label", "m"), blocks.withColumnRenamed("label", "w")
+    meet = l.join(r, "key").filter((F.col("m") < F.col("w")) | F.col("m").isNull())
+    x = rows.select("key", F.col("label").alias("m"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ix"), F.col("home").alias("hx"))
+    y = rows.select("key", F.col("label").alias("w"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("iy"), F.col("home").alias("hy"))
     most = F.least("ix", "iy") + 1 + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) - 1
+    whole, need = F.lit(100 + PERCENT), PERCENT * (F.col("nx") + F.col("ny"))
     bound = (
         (F.col("hx") | F.col("hy"))
-        & ((F.col("x.m") != F.col("x.w")) & (F.col("cx") != F.col("cy")) | (F.col("cx") < F.col("cy")))
+        & ((F.col("cx") < F.col("cy")) | F.col("x.w").isNotNull())
         & (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny"))
-        & ((100 + PERCENT) * most >= PERCENT * (F.col("nx") + F.col("ny")))
+        & (whole * most >= need)
+        & (whole * (F.col("nx") - F.col("ix")) >= need)  # all tokens before the first shared one are unshared
+        & (whole * (F.col("ny") - F.col("iy")) >= need)
     )
-    met = x.join(meet, ["key", "m"]).alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.w") == F.col("y.w")) & bound)
-    return met.select(F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b")).distinct()
+    left = x.join(meet.withColumnRenamed("key", "_k"), (x["key"] == F.col("_k")) & x["m"].eqNullSafe(meet["m"])).select("key", "cx", "nx", "ix", "hx", "w").alias("x")
+    met = left.join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & F.col("x.w").eqNullSafe(F.col("y.w")) & bound)
+    return met.select(F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b")).filter("a <> b").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, named: DataFrame) -> DataFrame:
@@ -329,11 +392,8 @@ def jaccard_components(docs: DataFrame, n_pivots: int = N_PIVOTS) -> DataFrame:
     met = stored(counted.filter("a < b").select("key"), "join-keys")
     rows = text.mapInArrow(_postings(shared, _bits(met)), "key long, c long, n int, at int, home boolean, links long")
     rows = stored(rows.distinct().join(met, "key"), "join-postings")
-    bit = F.explode(F.sequence(F.lit(0), F.lit(63)))
-    star = rows.filter("links <> 0").select("c", "links").distinct().select("c", "links", bit.alias("p"))
-    star = star.filter(F.expr("shiftright(links, p) & 1 = 1"))
-    ids = shared.value.ids
-    star = star.select(F.col("c").alias("a"), F.element_at(F.array(*[F.lit(c) for c in ids]) if ids else F.array(F.lit(0)), F.col("p") + 1).alias("b")) if ids else star.select(F.col("c").alias("a"), F.col("c").alias("b"))
+    star = stored(pivot_links(rows, shared.value).filter("a <> b"), "join-star")
+    rows, star = split_dense(docs, rows.drop("links"), named, star)
     pairs = stored(candidate_pairs(rows), "join-pairs")
     links = verified(docs, pairs, named).unionByName(star).filter("a <> b")
     name = lambda c: named.select(F.col("c").alias(c), F.col("v").alias(f"v{c}"))

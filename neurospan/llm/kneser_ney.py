@@ -22,7 +22,7 @@ from neurospan.llm.common import stored, table, text_or_empty
 ORDER = 5
 BITS = 12  # per symbol: code points from 4095 on share one symbol, 0 pads the start of a text
 OTHER = (1 << BITS) - 1
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: n-grams and contexts of a model that is sent to every task; a larger one is joined by shuffle.
 MAX_SENT_ROWS = 4_000_000
 #: Trusted ids that are sent to every task; more are joined by shuffle.
@@ -215,23 +215,16 @@ def log_probs(keys: np.ndarray, probs: Hashed, gammas: Hashed, unseen: float) ->
     return out
 
 
-_TABLES: dict[int, tuple[Hashed, Hashed, float]] = {}
-
-
 def _score_sent(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     read = lambda df: df.select("key", F.col("value").cast("float").alias("value")).toArrow()
     sent = [(t["key"].to_numpy(), t["value"].to_numpy()) for t in (read(model.probs), read(model.gammas))]
     shared = spark.sparkContext.broadcast((*sent, model.unseen))
-    token = id(shared)
     names = docs.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _TABLES:
-            p, g, unseen = shared.value
-            _TABLES.clear()
-            _TABLES[token] = Hashed(*p), Hashed(*g), unseen
-        tables = _TABLES[token]
+        p, g, unseen = shared.value
+        tables = Hashed(*p), Hashed(*g), unseen  # built by each task, so idle workers don't hold them
         for batch in batches:
             texts = batch.column("text").to_pylist()
             result = np.full(len(texts), np.nan)
