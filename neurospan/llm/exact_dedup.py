@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from neurospan.llm.common import stored, table, text_or_empty
 
 PREFIX_CHARS = 256
+#: Verdicts and surviving prefixes that are sent to every task; more are joined by shuffle.
+MAX_SENT_ROWS = 2_000_000
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
@@ -25,9 +27,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("n_bytes", "prefix_hash").count().filter("count > 1")
         .join(lengths, "n_bytes", "left_semi").select("n_bytes", "prefix_hash")
     )
+    prefixes = stored(prefixes, "copies-prefixes")
+    wanted = F.broadcast(prefixes) if prefixes.count() <= MAX_SENT_ROWS else prefixes
     survivors = docs.select(F.octet_length(text).alias("n_bytes"), prefix, F.col(id_col).alias("_id"), F.sha2(text, 256).alias("full_hash"))
     return (
-        survivors.join(prefixes, ["n_bytes", "prefix_hash"], "left_semi")
+        survivors.join(wanted, ["n_bytes", "prefix_hash"], "left_semi")
         .groupBy("n_bytes", "prefix_hash", "full_hash")
         .agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
         .filter("group_size > 1")
@@ -61,10 +65,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-#: Verdicts that are sent to every task; more are joined by shuffle.
-MAX_SENT_ROWS = 2_000_000
-
-
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without exact copies: of equal texts the row with the largest doc_id stays.
 
