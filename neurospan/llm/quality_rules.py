@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neurospan.llm.common import SPACE, WORD, stored, table, text_or_empty
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]+"
+A_WORD = r"[^\x20\x09-\x0D]"
 #: Soft rules: (name, SQL over the measures). A document that fails one is suspect, not yet rejected.
 SOFT = (
     ("symbols", "10 * n_symbols > n_words"),
@@ -20,35 +21,42 @@ SOFT = (
 MAX_RATE = 0.5
 
 
-def repeated_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more in the array, first one included.
+def with_repeats(df: DataFrame) -> DataFrame:
+    """Adds n_repeat_words: words (column _words) inside 3-word windows that occur twice or more.
 
     Window hashes are sorted with their positions, equal neighbours give the windows that repeat,
-    and each marks three words. Texts without an equal pair skip the sort.
+    and each marks three words. Only texts with an equal pair are sorted. Each array is a column of
+    its own, so it is made once.
     """
-    n = F.size(words)
-    at = F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))
-    hashes = F.transform(at, lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)))
-    pairs = F.array_sort(F.zip_with(hashes, at, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    size = F.size(pairs)
-    ahead = F.zip_with(F.slice(pairs, F.lit(1), size - 1), F.slice(pairs, F.lit(2), size - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-    marked = F.array_distinct(F.flatten(F.transform(F.flatten(ahead), lambda i: F.array(i, i + 1, i + 2))))
-    return F.when(n < 4, F.lit(0)).when(F.size(F.array_distinct(hashes)) == n - 2, F.lit(0)).otherwise(F.size(marked)).cast("long")
+    n = F.size("_words")
+    hashes = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get("_words", i - 1), F.get("_words", i), F.get("_words", i + 1)))
+    df = df.withColumn("_hashes", F.when(n > 3, hashes))
+    repeats = F.size("_hashes") > F.size(F.array_distinct("_hashes"))
+    pairs = F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i"))))
+    df = df.withColumn("_pairs", F.when(repeats, pairs))
+    size = F.size("_pairs")
+    none = F.array().cast("array<int>")
+    both = F.zip_with(F.slice("_pairs", F.lit(1), size - 1), F.slice("_pairs", F.lit(2), size - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(none))
+    df = df.withColumn("_again", F.when(F.col("_pairs").isNotNull(), F.flatten(both)))
+    marked = F.array_distinct(F.flatten(F.transform("_again", lambda i: F.array(i, i + 1, i + 2))))
+    return df.withColumn("n_repeat_words", F.when(F.col("_again").isNotNull(), F.size(marked)).otherwise(0).cast("long"))
 
 
 def measures(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host and what the rules look at. Null texts have no words and no lines."""
     text = text_or_empty()
-    base = docs.select("doc_id", F.col(host).cast("string").alias("host"), text.alias("_t"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_words"), F.split(text, "\n", -1).alias("_lines"))
-    lines = F.filter("_lines", lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
+    base = docs.select("doc_id", F.col(host).cast("string").alias("host"), text.alias("_t"))
+    base = base.withColumn("_words", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
+    base = base.withColumn("_lines", F.filter(F.split("_t", "\n", -1), lambda x: F.rlike(x, F.lit(A_WORD))))
+    base = with_repeats(base)
     return base.select(
         "doc_id", "host",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_t", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"),
+        (F.length("_t") - F.length(F.regexp_replace("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size("_lines").cast("long").alias("n_lines"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        "n_repeat_words",
     )
 
 
