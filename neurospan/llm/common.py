@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: Rows of an Arrow batch while a table is written: texts are long, so fewer than Spark's 10,000.
-BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
 _FOLDERS: dict[str, str] = {}
 
@@ -53,6 +54,17 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS, for results that are computed when the caller reads them."""
+    if int(spark.conf.get(BATCH)) > BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
+def lean() -> None:
+    """In a Python worker: Arrow buffers go back to the system when they are freed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurospan.llm.common import stored, table, text_or_empty
+from neurospan.llm.common import lean, stored, table, text_or_empty
 from neurospan.llm.components import components
 from neurospan.llm.kneser_ney import Hashed, with_ids
 from neurospan.llm.shingles import mixed, runs, set_hash, shingle_sets
@@ -42,6 +42,7 @@ def prefix_size(n: np.ndarray | int):
 
 
 def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
+    lean()
     texts = [x.as_py() or b"" for x in batch.column("text")]
     for start, run in runs(texts):
         yield start, shingle_sets(run)
@@ -53,7 +54,9 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def fold() -> None:
         more = np.bincount(np.concatenate(held), minlength=SLOTS)
-        np.copyto(counts, np.minimum(counts + np.minimum(more, 255), 255).astype(np.uint8))
+        more += counts
+        np.minimum(more, 255, out=more)
+        counts[:] = more
         held.clear()
 
     names = ["doc_id", "n", "c", "part", "counts"]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from neurospan.llm.common import stored, table, text_or_empty
+from neurospan.llm.common import lean, small_batches, stored, table, text_or_empty
 
 ORDER = 5
 BITS = 12  # per symbol: code points from 4095 on share one symbol, 0 pads the start of a text
@@ -77,6 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(part: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1])], names=["key", "n"])
 
+    lean()
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -165,7 +166,7 @@ class Hashed:
     """An open-addressing table from int64 keys to float32 values, built and probed by numpy."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(len(keys) * 2.5).bit_length())
+        self.bits = max(4, int(len(keys) * 1.5).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.zeros(1 << self.bits, np.float32)
         left, at = np.arange(len(keys)), self._slot(keys)
@@ -217,12 +218,14 @@ def log_probs(keys: np.ndarray, probs: Hashed, gammas: Hashed, unseen: float) ->
 
 def _score_sent(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
+    small_batches(spark)
     read = lambda df: df.select("key", F.col("value").cast("float").alias("value")).toArrow()
     sent = [(t["key"].to_numpy(), t["value"].to_numpy()) for t in (read(model.probs), read(model.gammas))]
     shared = spark.sparkContext.broadcast((*sent, model.unseen))
     names = docs.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         p, g, unseen = shared.value
         tables = Hashed(*p), Hashed(*g), unseen  # built by each task, so idle workers don't hold them
         for batch in batches:

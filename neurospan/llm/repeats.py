@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurospan.llm.common import stored, table, text_or_empty
+from neurospan.llm.common import lean, small_batches, stored, table, text_or_empty
 from neurospan.llm.suffix_sort import neighbour_prefixes
 
 LENGTH = 200
@@ -128,6 +128,7 @@ def _anchors(run: list[tuple[int, int, int, int, bytes]]) -> tuple[np.ndarray, .
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
     """The batch's texts in runs of bounded size, with the index of the first."""
+    lean()
     column, start, run, size = batch.column("text"), 0, [], 0
     for i, x in enumerate(column):
         b = x.as_py() or b""
@@ -299,6 +300,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     is known by its id and text, so repeated rows are separate places of the same text and both lose
     what they share; null ids are allowed. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     text = text_or_empty()
     keyed = docs.select("doc_id", F.xxhash64(text, F.col("doc_id")).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), text.cast("binary").alias("text"))
     spans = repeated_spans(keyed.filter(F.octet_length("text") >= LENGTH)).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
