@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from neurospan.llm.common import stored, table, text_or_empty
 
 PREFIX_CHARS = 256
-#: Verdicts and surviving prefixes that are sent to every task; more are joined by shuffle.
+#: Verdicts, groups and surviving prefixes that are sent to every task; more are joined by shuffle.
 MAX_SENT_ROWS = 2_000_000
 
 
@@ -53,8 +53,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix_hash"),
         F.sha2(text, 256).alias("full_hash"),
     )
-    groups = exact_groups(docs, id_col, text_col, prefix_chars)
-    joined = rows.join(groups, ["n_bytes", "prefix_hash", "full_hash"], "left")
+    groups = stored(exact_groups(docs, id_col, text_col, prefix_chars), "copies-groups")
+    side = F.broadcast(groups) if groups.count() <= MAX_SENT_ROWS else groups
+    joined = rows.join(side, ["n_bytes", "prefix_hash", "full_hash"], "left")
     keep = F.coalesce(F.col("keep_id"), F.col("doc_id"))
     return joined.select(
         "doc_id",
