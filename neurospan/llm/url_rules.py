@@ -20,6 +20,8 @@ RULES = (
 BAD = "label:bad"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
+#: Labelled urls that a token combination needs, however few there are.
+MIN_ROWS = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -53,8 +55,9 @@ def mine_rules(baskets: DataFrame, min_support: float = MIN_SUPPORT, min_confide
     Of two rules with the same confidence where one's tokens hold the other's, both stay.
     """
     items = F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens"))
-    rows = baskets.select(items.alias("items")).filter(F.size("items") > 0)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
+    rows = stored(baskets.select(items.alias("items")).filter(F.size("items") > 0), "url-baskets")
+    support = min(1.0, max(min_support, MIN_ROWS / max(rows.count(), 1)))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(rows)
     rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
     return rules.select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support", F.xxhash64(F.sort_array("antecedent")).alias("rule_id"))
 
@@ -82,9 +85,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUP
     """One row per page: page_id, host, path, rule, verdict, confidence.
 
     The longest fixed rule decides; else a page is blocked where a mined rule fits and allowed where
-    none does. Labels join pages by id (bad: low quality or toxic); a page that a fixed rule blocks
-    or allows is a label too. A page id with several labels is bad if one is. Without labels or
-    with one class only there are no mined rules. Null urls have empty host and path and no tokens.
+    none does. Labels join pages by id (bad: low quality or toxic). A page id with several labels is
+    bad if one is. Without labels, or with good ones only, there are no mined rules. Null urls have empty host and path and no tokens.
     Verdicts are made per distinct url, so repeated rows cost one; extra columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
@@ -92,8 +94,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUP
     rows = rows.withColumn("_fixed", fixed_rule(F.col("host"), F.col("path"))).withColumn("tokens", tokens(F.col("host"), F.col("path")))
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     labelled = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.coalesce(bad, F.lit(False))).alias("_bad"))
-    basket = rows.join(labelled, "page_id", "left").select("tokens", F.coalesce(F.col("_bad"), F.when(F.col("_fixed").isNotNull(), F.col("_fixed.verdict") == "block")).alias("bad"))
-    rules = stored(mine_rules(basket.filter("bad is not null"), min_support, min_confidence), "url-rules")
+    basket = rows.join(labelled, "page_id").select("tokens", F.col("_bad").alias("bad"))
+    rules = stored(mine_rules(basket, min_support, min_confidence), "url-rules")
     free = rows.filter(F.col("_fixed").isNull() & (F.size("tokens") > 0)).groupBy("url").agg(F.first("tokens").alias("tokens"))
     hit = match_rules(free, rules)
     out = rows.join(hit, "url", "left")
