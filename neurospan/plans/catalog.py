@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("trial_queries", "behaviour_queries", "signal_queries", "model_queries", "spectral_queries", "more_queries")
+MODULES = ("trial_queries", "behaviour_queries", "signal_queries", "model_queries", "spectral_queries", "more_queries", "record_queries")
 
 
 def queries() -> dict[str, Query]:
