@@ -145,9 +145,12 @@ class Pivots:
         for i, c in enumerate(ids):  # cells whose centres lie apart
             if all(distance(len(np.intersect1d(sets[c], sets[ids[j]])), len(sets[c]), len(sets[ids[j]])) >= CELL for j in cells):
                 cells.append(i)
-        pairs = sorted((int(t), i) for i, c in enumerate(ids) for t in sets[c])
-        tokens, starts = np.unique(np.array([t for t, _ in pairs], np.uint64), return_index=True)
-        return cls(ids, np.array([len(sets[c]) for c in ids], np.int64), np.array(cells, np.int64), tokens, np.append(starts, len(pairs)).astype(np.int64), np.array([i for _, i in pairs], np.int64), levels)
+        held = [sets[c] for c in ids]
+        flat = np.concatenate([*held, np.empty(0, np.uint64)])
+        owners = np.repeat(np.arange(len(ids)), [len(s) for s in held])
+        order = np.lexsort((owners, flat))
+        tokens, starts = np.unique(flat[order], return_index=True)
+        return cls(ids, np.array([len(s) for s in held], np.int64), np.array(cells, np.int64), tokens, np.append(starts, len(flat)).astype(np.int64), owners[order], levels)
 
 
 def distance(shared, a, b):
