@@ -31,6 +31,14 @@ def runs(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield start, run
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values of an array that isn't empty; faster on short arrays than np.unique."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles of WORDS words, A-Z lower-cased.
 
@@ -55,7 +63,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     out, a = [], 0
     for z in stops.tolist():
         if z - a >= WORDS:
-            out.append(np.unique(whole[a : z - WORDS + 1]))
+            out.append(distinct(whole[a : z - WORDS + 1]))
         elif z > a:
             out.append(mixed((words[a:z] * PLACE[: z - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(z - a)))
         else:
