@@ -72,16 +72,16 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id with its text are copies too, and one of them stays. Rows with a null
     doc_id can't be told apart by a verdict and stay unless a row with an id has their text.
     """
-    judged = stored(exact_dedup(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "copies-verdicts")
+    judged = stored(exact_dedup(docs).select(F.col("doc_id").alias("_verdict_id"), F.col("text_sha256").alias("_verdict_sha"), "kept"), "copies-verdicts")
     # what is dropped or repeated is judged by id and text, so a repeated id doesn't drop other texts
-    twice = judged.filter("kept and _id is not null").groupBy("_id", "_sha").count().filter("count > 1").select("_id", "_sha")
-    gone = stored(judged.filter("not kept").select("_id", "_sha").distinct(), "copies-gone")
+    twice = judged.filter("kept and _verdict_id is not null").groupBy("_verdict_id", "_verdict_sha").count().filter("count > 1").select("_verdict_id", "_verdict_sha")
+    gone = stored(judged.filter("not kept").select("_verdict_id", "_verdict_sha").distinct(), "copies-gone")
     twice = stored(twice, "copies-twice")
     sha = F.sha2(text_or_empty(), 256)
 
     def meets(rows: DataFrame, how: str, left: DataFrame) -> DataFrame:
         side = F.broadcast(rows) if rows.count() <= MAX_SENT_ROWS else rows
-        return left.join(side, left["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), how)
+        return left.join(side, left["doc_id"].eqNullSafe(F.col("_verdict_id")) & (sha == F.col("_verdict_sha")), how)
 
     rest = meets(gone, "left_anti", docs)
     if twice.limit(1).count() == 0:

@@ -292,8 +292,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     than LEAST_CALIBRATION such documents, or none (null), takes the quantile over all languages.
     A document is kept up to its threshold, ties included. A text without characters (null, empty)
     has no perplexity and isn't kept. Without trusted documents, or none to calibrate on, all other
-    documents stay. Labels that repeat or contradict: one label of quality 1 is enough.
+    documents stay. Labels that repeat or contradict: one label of quality 1 is enough. Columns of
+    docs with the names that are added are replaced.
     """
+    docs = docs.drop("perplexity", "threshold", "kept", "cut")
     good = stored(labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct(), "kn-trusted")
     n = good.count()
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0

@@ -94,8 +94,10 @@ def pareto_mix(rows: DataFrame, plan: DataFrame, max_copies: int = MAX_COPIES, b
     ordered row by row, so no task sees a source.
 
     Null sizes count as 0; a source without words gets target 0; a null source is one source.
-    Copies of a row and rows that repeat a doc_id have the same rank and follow each other.
+    Copies of a row and rows that repeat a doc_id have the same rank and follow each other. Columns
+    of rows with the names that are added are replaced.
     """
+    rows = rows.drop("source_size", "target", "copies", "taken")
     joined = rows.join(sent(plan), rows["source"].eqNullSafe(plan["_source"])).drop("_source").withColumn("_q", _rank(F.col("_f"))).withColumn("_bucket", _bucket(F.col("_q"), buckets))
     at_cut = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
     inside = W.partitionBy("source", "_bucket").orderBy("_q", "doc_id").rowsBetween(W.unboundedPreceding, -1)
