@@ -105,12 +105,26 @@ def classification_metrics(df: DataFrame, truth: str, prediction: str, score: st
     out = out.withColumn("f1", ratio(2 * tp, 2 * tp + fp + fn))
     if score is None:
         return out
-    by = df.groupBy(score).agg(F.count_if(t).alias("_p"), F.count_if(~t).alias("_n"))
-    below = F.sum("_n").over(W.orderBy(score)) - F.col("_n") / 2  # one row a distinct score
-    auc = by.select((F.col("_p") * below).alias("_u"), "_p", "_n").agg(F.try_divide(F.sum("_u"), F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0))).alias("auc"))
+    auc = _area(df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(t).alias("p"), F.count_if(~t).alias("n")))
     return out.join(F.broadcast(auc))  # one row
 
 
+def _area(by: DataFrame, buckets: int = 256) -> DataFrame:
+    """auc from (s, p, n), one row a distinct score: positives times the negatives below, ties half.
+
+    Scores are cut into buckets at approximate quantiles; negatives are summed inside each bucket in
+    order, and over whole buckets before, so no task orders all scores.
+    """
+    cuts = sorted(set(by.approxQuantile("s", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
+    edges = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    rows = by.withColumn("b", F.size(F.filter(edges, lambda e: e < F.col("s"))))
+    whole = rows.groupBy("b").agg(F.sum("n").alias("k"))
+    before = whole.select("b", F.coalesce(F.sum("k").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.sum("n").over(W.partitionBy("b").orderBy("s")) - F.col("n") / 2
+    placed = rows.withColumn("inside", inside).join(F.broadcast(before), "b")  # one row a bucket
+    return placed.agg(F.try_divide(F.sum(F.col("p") * (F.col("before") + F.col("inside"))), F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"))
+
+
 def summarise_folds(folds: DataFrame, metrics: list[str]) -> DataFrame:
     long = folds.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])).alias("_m")).select("_m.*")
     return long.groupBy("metric").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
