@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,6 +137,18 @@ def unpack(code: int) -> tuple[int, list[int], int, int]:
     return code, votes[::-1], length, first
 
 
+def apart(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of the spans, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s), ends.append(e)
+    return starts, ends
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, kind's index, end, code) of base spans and of candidates that touch none of them."""
     def one(start: int, k: int, end: int) -> tuple[int, int, int, int]:
@@ -143,17 +156,19 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         votes = (_regex_vote(KINDS[k], value), _gazetteer_vote(KINDS[k], value), _context_vote(text, start))
         return start, k, end, code_of(k, votes, end - start, start == 0 or text[start - 1] == "\n")
 
-    out, taken = [one(s, k, e) for s, k, e in base], sorted((s, e) for s, _, e in base)
+    out = [one(s, k, e) for s, k, e in base]
+    starts, ends = apart([(s, e) for s, _, e in base])
     has_digit, has_at = DIGIT.search(text), "@" in text
     for kind, pattern in CANDIDATES:
         if kind == "handle" and not has_at or kind in ("local_phone", "ssn", "iban") and not has_digit:
             continue
         for m in pattern.finditer(text):
             s, e = m.span()
-            if s and text[s - 1].isalnum() or any(a < e and s < b for a, b in taken):
+            i = bisect_left(starts, e)
+            if s and text[s - 1].isalnum() or i and ends[i - 1] > s:
                 continue
             out.append(one(s, KINDS.index(kind), e))
-            taken.append((s, e))
+            starts.insert(i, s), ends.insert(i, e)
     return sorted(out)
 
 

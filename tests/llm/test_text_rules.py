@@ -54,6 +54,30 @@ def test_pii_query_adds_spans_and_keeps_base(documents, awkward, empty):
     assert pii.find_pii(awkward).count() == 10 and pii.find_pii(empty).count() == 0
 
 
+def plain_candidates(text, base):
+    """The kept spans, each candidate compared with all that were taken before it."""
+    out, taken = [(s, k, e) for s, k, e in base], [(s, e) for s, _, e in base]
+    for kind, pattern in pii.CANDIDATES:
+        for m in pattern.finditer(text):
+            s, e = m.span()
+            if not (s and text[s - 1].isalnum()) and not any(a < e and s < b for a, b in taken):
+                out.append((s, pii.KINDS.index(kind), e))
+                taken.append((s, e))
+    return sorted(out)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["415-555-1234 ", "(415) 555-1234", " 123-45-6789", "a@bcd.org", " @bcd ", "Dr. Anna Smith ", "10.0.0.1", "+1 415 555 1234", "DE89 3704 0044 0532 0130 00", "4539 1488 0343 6467", "x", "\n"]), max_size=14).map("".join))
+def test_candidates_touch_no_span_taken_before(text):
+    base = pii.base_spans(text)
+    assert [(s, k, e) for s, k, e, _ in pii.candidates(text, base)] == plain_candidates(text, base)
+
+
+def test_candidates_of_a_text_with_very_many_spans():
+    text = "call 415-555-1234 or mail ann@b.org, " * 40_000
+    assert len(pii.candidates(text, pii.base_spans(text))) == 80_000
+
+
 def test_em_tells_reliable_labelers_from_noise():
     good, bad = pii.code_of(4, (1, 1, 1), 12, False), pii.code_of(4, (-1, 0, -1), 12, False)
     odd = pii.code_of(4, (1, 0, 1), 12, False)
