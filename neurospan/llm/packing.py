@@ -14,6 +14,8 @@ from neurospan.llm.common import n_words, stored, table, text_or_empty
 CAPACITY = 4096
 PER_SOURCE = 6
 SHARD_WORDS = 1_000_000
+#: What a short document counts for when shards are sized, so a shard holds no more than about 20,000 pieces.
+LEAST_LOAD = 50
 
 
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> list[int]:
@@ -71,8 +73,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     """One row per piece: doc_id, copy, piece, first_word, n_words, bin_id, slot.
 
     A document longer than the capacity is cut into full pieces and a rest. Pieces are dealt by a
-    hash of document and piece to shards of about shard_words words, so the number of shards, not
-    their size, grows with the corpus and no source or cluster decides where a piece goes; each
+    hash of document and piece to shards of about shard_words words (a short document counts for
+    LEAST_LOAD), so the number of shards, not their size, grows with the corpus and no source or cluster decides where a piece goes; each
     shard is packed best-fit in decreasing size. No bin holds two pieces of one duplicate cluster
     (equal texts, or cluster_col) or more than per_source pieces of one source.
 
@@ -83,7 +85,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     cluster = F.col(cluster_col).cast("string") if cluster_col else text
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(cluster).alias("cluster"))
     rows = stored(rows, "pack-sizes")
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total = rows.agg(F.sum(F.greatest("size", F.lit(LEAST_LOAD)))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_words))
     last = F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)).cast("int")
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).select(
@@ -91,7 +93,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
         (F.col("piece") * F.lit(capacity)).cast("long").alias("first_word"),
         F.least(F.lit(capacity), F.col("size") - F.col("piece") * F.lit(capacity)).cast("long").alias("n_words"),
     )
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(7)), F.lit(shards)).cast("int"))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", "cluster"), "piece", F.lit(7)), F.lit(shards)).cast("int"))
 
     def shard(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n_words", "doc_id", "piece", "cluster"], ascending=[False, True, True, True], kind="stable")

@@ -125,6 +125,12 @@ def test_packing_keeps_every_word_and_every_rule(documents):
     assert out[out.n_words == 0].bin_id.isna().all()
 
 
+def test_shards_of_very_short_documents_stay_small(documents):
+    docs = documents([(i if i % 5 else None, "one word"[: 3 + i % 6]) for i in range(2000)])
+    out = packing.pack(docs, shard_words=5_000).toPandas()
+    assert (out.bin_id.dropna().astype("int64") // (1 << 40)).value_counts().max() <= 1000 and len(out) == 2000
+
+
 def test_packing_on_awkward_and_empty_tables(awkward, empty):
     out = packing.pack(awkward).toPandas()
     assert out[out.doc_id == 5].n_words.sum() == 120_000 and sorted(out[out.doc_id == 5]["copy"].unique()) == [0, 1]
