@@ -68,14 +68,15 @@ def host_rates(judged: DataFrame) -> DataFrame:
     a and b fit a beta distribution to the hosts' raw rates by their mean and variance, weighted by
     documents; without spread between hosts the prior has the weight of the mean host.
     """
-    per = judged.groupBy("host").agg(F.count("*").alias("n"), F.count_if("failed").alias("k"))
-    total = per.agg(F.sum("n").cast("double").alias("total"), (F.sum("k") / F.sum("n")).alias("m"), F.avg("n").alias("mean_n"))
-    p = F.col("k") / F.col("n")
-    spread = per.crossJoin(F.broadcast(total)).groupBy("total", "m", "mean_n").agg((F.sum(F.col("n") * (p - F.col("m")) * (p - F.col("m"))) / F.first("total")).alias("v"))
-    between = F.col("v") - F.col("m") * (1 - F.col("m")) / F.col("mean_n")
-    strength = F.when(between > 1e-12, F.greatest(F.col("m") * (1 - F.col("m")) / between - 1, F.lit(1.0))).otherwise(F.col("mean_n"))
-    prior = spread.select("m", strength.alias("w"))
-    return per.crossJoin(F.broadcast(prior)).select("host", ((F.col("k") + F.col("m") * F.col("w")) / (F.col("n") + F.col("w"))).alias("rate"))
+    per = stored(judged.groupBy("host").agg(F.count("*").alias("n"), F.count_if("failed").alias("k")), "quality-hosts")
+    total = per.agg(F.sum("n").cast("double").alias("n"), (F.sum("k") / F.sum("n")).alias("m"), F.avg("n").alias("mean_n")).first()
+    if not total["n"]:
+        return per.select("host", F.lit(None).cast("double").alias("rate"))
+    p, m = F.col("k") / F.col("n"), total["m"]
+    spread = per.agg(F.sum(F.col("n") * (p - m) * (p - m))).first()[0] / total["n"]
+    between = spread - m * (1 - m) / total["mean_n"]
+    strength = max(m * (1 - m) / between - 1, 1.0) if between > 1e-12 else total["mean_n"]
+    return per.select("host", ((F.col("k") + m * strength) / (F.col("n") + strength)).alias("rate"))
 
 
 def host_rules(docs: DataFrame, host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
