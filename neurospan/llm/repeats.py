@@ -25,6 +25,8 @@ SIDE = LENGTH - GRAM  # bytes that a string can have on either side of an anchor
 PIECE = 1 << 20
 HALO = 2 * LENGTH
 FILTER_BITS = 25
+#: Distinct surroundings of one anchor that are ordered in one task; strings of larger groups are counted across tasks.
+MAX_GROUP = 20_000
 
 _RANDOM = np.random.default_rng(20240229)
 BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -263,13 +265,29 @@ def _bits(grams: DataFrame):
     return grams.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def spread_extent(rows: DataFrame) -> DataFrame:
+    """k1, k2, lo, hi of what shared_extent finds, for groups too large for one task.
+
+    Each string around an anchor is a row, known by a hash of gram, offset and bytes, and strings met
+    twice are found by partial counts; no task sees a group.
+    """
+    right = F.length("context") - F.col("l")
+    first, last = F.greatest(F.lit(0), F.lit(SIDE) - right), F.least(F.lit(SIDE), F.col("l").cast("int"))
+    offset = rows.filter(first <= last).withColumn("o", F.explode(F.sequence(first, last)))
+    strings = offset.select("k1", "k2", "at", "n", "o", F.xxhash64("gram", "o", F.substring("context", F.col("l") - F.col("o") + 1, F.lit(SIDE))).alias("string"))
+    met = strings.groupBy("string").count().filter("count > 1").select("string")
+    found = strings.filter("n = 1").join(met, "string", "left_semi").groupBy("k1", "k2", "at").agg(F.min("o").alias("least"), F.max("o").alias("most"))
+    return found.select("k1", "k2", (F.col("at") - F.col("most")).cast("int").alias("lo"), (F.col("at") + LENGTH - F.col("least")).cast("int").alias("hi"))
+
+
+def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """k1, k2, lo, hi: byte spans, by the key of their text, covered by strings that start elsewhere too.
 
     First all grams at anchors are counted with the least and greatest hash of their surroundings.
     A gram met twice with equal surroundings throughout is settled: all strings around it repeat.
     The other grams' distinct surroundings, a row each however often they occur, are ordered by
-    deep-shallow sorting. A filter of fixed size keeps most other anchors out of the second pass;
+    deep-shallow sorting, a gram to a task, or counted string by string where a gram has more than
+    max_group of them; both give the same spans. A filter of fixed size keeps most other anchors out of the second pass;
     the join with the repeated grams is what decides, whatever it lets through.
     """
     rows = docs.select("text")
@@ -288,12 +306,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     groups = stored(groups, "repeat-groups")
     again = groups.filter("n > 1").select("gram", "around")
     copies = differ.filter(whole).join(again, ["gram", "around"], "left_semi").select(*full)
-    sorted_ = groups.repartition("gram").sortWithinPartitions("gram", "around").select("gram", "n", "k1", "k2", "at", "l", "context")
+    large = stored(groups.groupBy("gram").count().filter(F.col("count") > max_group).select("gram"), "repeat-large")
+    sorted_ = groups.join(large, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "around").select("gram", "n", "k1", "k2", "at", "l", "context")
     deep = sorted_.mapInArrow(_deep, "k1 long, k2 long, lo int, hi int")
-    return same.unionByName(copies).unionByName(deep)
+    found = same.unionByName(copies).unionByName(deep)
+    if large.limit(1).count() == 0:
+        return found
+    return found.unionByName(spread_extent(groups.join(large, "gram", "left_semi")))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are UTF-8 bytes, null counts as empty. Texts shorter than LENGTH lose nothing. A document
@@ -303,7 +325,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     text = text_or_empty()
     keyed = docs.select("doc_id", F.xxhash64(text, F.col("doc_id")).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), text.cast("binary").alias("text"))
-    spans = repeated_spans(keyed.filter(F.octet_length("text") >= LENGTH)).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(keyed.filter(F.octet_length("text") >= LENGTH), max_group).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     return keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -129,8 +129,8 @@ def plain_cut(rows, length=200):
     return out
 
 
-def cut(docs):
-    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(docs).collect()}
+def cut(docs, **options):
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(docs, **options).collect()}
 
 
 def test_repeats_equal_brute_force(documents):
@@ -146,6 +146,7 @@ def test_repeats_equal_brute_force(documents):
         rows.append((i, "".join(copy)))
     rows += [(60, noise(400)), (61, rows[-1][1])]
     assert cut(documents(rows)) == plain_cut(rows)
+    assert cut(documents(rows), max_group=2) == plain_cut(rows)  # the way of large groups
 
 
 def test_repeats_in_pieces_equal_whole_texts(documents, monkeypatch):
