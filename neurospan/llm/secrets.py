@@ -13,14 +13,17 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 20, 0),
     ("hex", r"(?<![0-9a-f])[0-9a-f]{24,}", 24, 0),
 )
+#: A private key up to its END line; where that is missing, its header and what follows in long base64 pieces.
+KEY_HEAD, KEY_END = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----END [A-Z ]*PRIVATE KEY-----"
+KEY = rf"{KEY_HEAD}((?:[^-]|-(?!----))*+(?={KEY_END})|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{{16,}}+)*+)(?:{KEY_END})?"
 #: Further shapes; a span of these counts only where its value looks live.
 MORE = (
-    ("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("key", KEY, 0, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
     ("prefixed", r"(?<![A-Za-z0-9])(?:gh[pousr]_|xox[abpr]-|sk_live_|glpat-)[A-Za-z0-9-]{16,}", 0, 0),
 )
 KINDS = tuple(k for k, *_ in BASE + MORE)
-#: A value that this many owners, or this many repositories of them, share is an example.
+#: A value that more owners than this, or more repositories of several owners, share is an example.
 MAX_OWNERS = 2
 MAX_REPOSITORIES = 8
 
@@ -57,8 +60,10 @@ def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     """One row per document: doc_id, base (spans), live, examples (spans by ownership), spans.
 
     Every candidate value's hash is counted over the corpus by distinct owner and distinct
-    repository. A value that more owners or repositories hold than the limits is an example that
-    was copied around; the rest looks live. Base spans are always reported, the further shapes only
+    repository. A value that more owners hold than the limit, or several owners in more repositories
+    than the limit, is an example that was copied around; the rest looks live, also where one owner
+    alone holds many copies. A private key's value is its body without white space, so neither the
+    header nor the wrapping of lines tells keys apart. Base spans are always reported, the further shapes only
     where they look live. A null or empty text has no spans; a null owner is one owner; rows that
     repeat a document count once as repository. Hot values meet partial aggregates by (value,
     owner) and (value, repository) first, so no task collects a value's holders.
@@ -69,11 +74,11 @@ def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     # the row's number ties a document's candidates together again even where doc_id repeats
     rows = stored(rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "_repo", "_owner", found.alias("found")), "secret-spans")
     hits = rows.filter(F.size("found") > 0).select("_row", "_repo", "_owner", F.explode("found").alias("x"))
-    hits = hits.select("_row", "_repo", "_owner", "x", F.sha2(F.col("x.value"), 256).alias("_hash"))
+    hits = hits.select("_row", "_repo", "_owner", "x", F.sha2(F.regexp_replace("x.value", r"\s|\\[nr]", ""), 256).alias("_hash"))
     owners = hits.groupBy("_hash", "_owner").agg(F.lit(1)).groupBy("_hash").agg(F.count("*").alias("n_owners"))
     repos = hits.groupBy("_hash", "_repo").agg(F.lit(1)).groupBy("_hash").agg(F.count("*").alias("n_repos"))
     held = owners.join(repos, "_hash")
-    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repositories)
+    live = (F.col("n_owners") <= max_owners) & ((F.col("n_owners") == 1) | (F.col("n_repos") <= max_repositories))
     judged = hits.join(held.select("_hash", live.alias("live")), "_hash").groupBy("_row").agg(
         F.collect_list(F.struct("x.kind", "x.start", "x.end", "live")).alias("judged")
     )
@@ -111,9 +116,11 @@ def _pieces(kind: str, pattern: str, least: int, group: int) -> str:
   WHERE length(v) >= {least}"""
 
 
+#: The SQL's own shapes: its regular expressions have no lookahead, so of a key it sees the header only.
+SQL_SHAPES = tuple((k, KEY_HEAD, 0, 0) if k == "key" else (k, *x) for k, *x in BASE + MORE)
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
-x AS ({' UNION ALL '.join(_pieces(*p) for p in BASE + MORE)}),
+x AS ({' UNION ALL '.join(_pieces(*p) for p in SQL_SHAPES)}),
 h AS (SELECT v, count(DISTINCT source) <= {MAX_OWNERS} AND count(DISTINCT doc_id) <= {MAX_REPOSITORIES} AS live FROM x GROUP BY v),
 y AS (SELECT x.*, live FROM x JOIN h USING (v)),
 g AS (

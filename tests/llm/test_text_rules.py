@@ -120,6 +120,33 @@ def test_secrets_shared_by_owners_are_examples(documents):
     assert [x["kind"] for x in out[10]["spans"]] == ["prefixed"]
 
 
+def test_private_keys_are_told_apart_by_their_bodies(documents):
+    body = lambda i: "\n".join(hashlib.sha512(f"{i}:{j}".encode()).hexdigest() for j in range(3))
+    pem = lambda b: f"-----BEGIN RSA PRIVATE KEY-----\n{b}\n-----END RSA PRIVATE KEY-----"
+    rows = [(i, f"é my {pem(body(i))} end", "en", f"s{i % 5}") for i in range(12)]
+    rows += [(100 + i, pem(body("shared").replace("\n", ("\n", "\r\n", "\\n")[i % 3])), "en", f"s{i % 5}") for i in range(12)]
+    rows += [(200 + i, f"-----BEGIN PRIVATE KEY-----\n{body(200 + i)} cut off", "en", f"s{i % 5}") for i in range(12)]
+    locked = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    rows += [(300, pem(locked + body(300)) + "\n" + pem(body(301)), "en", "s0"), (400, pem(("QUJD" * 16 + "\n") * 20_000), "en", "s0"), (500, "-----BEGIN PRIVATE KEY-----" * 3 + "- " * 50_000, "en", "s0")]
+    out = {r["doc_id"]: r for r in secrets.scan_secrets(documents(rows)).collect()}
+    keys = lambda r, part: [(x["start"], x["end"]) for x in r[part] if x["kind"] == "key"]
+    for i, text, *_ in rows[:12]:
+        assert keys(out[i], "spans") == [(5, len(text) - 4)]
+    for i in range(100, 112):
+        assert keys(out[i], "spans") == [] and len(keys(out[i], "examples")) == 1
+    for i, text, *_ in rows[24:36]:
+        assert keys(out[i], "spans") == [(0, len(text) - 8)]
+    assert len(keys(out[300], "spans")) == 2 and keys(out[400], "spans") == [(0, len(rows[-2][1]))] and len(keys(out[500], "spans")) == 3
+
+
+def test_many_copies_of_one_owner_stay_live(documents):
+    one, two = "ghp_" + "a1B2" * 6, "ghp_" + "Zz99" * 6
+    rows = [(i, one, "en", "s0") for i in range(20)] + [(100 + i, two, "en", f"s{i % 2}") for i in range(20)]
+    out = {r["doc_id"]: r for r in secrets.scan_secrets(documents(rows)).collect()}
+    assert all(len(out[i]["spans"]) == 1 and out[i]["examples"] == [] for i in range(20))
+    assert all(out[100 + i]["spans"] == [] for i in range(20))
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
