@@ -1,7 +1,7 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney model of trusted text.
 
 Symbols are characters, so the n-gram tables are bounded by the writing systems, not by the
-vocabulary, and all trusted text can be counted. Tables are DataFrames keyed by packed n-grams; the
+vocabulary, and whole texts can be counted. Tables are DataFrames keyed by packed n-grams; the
 probabilities come from joins of counts, spread over the shuffle partitions by n-gram.
 """
 
@@ -20,8 +20,12 @@ from pyspark.sql import types as T
 from neurospan.llm.common import lean, small_batches, stored, table, text_or_empty
 
 ORDER = 5
-BITS = 12  # per symbol: code points from 4095 on share one symbol, 0 pads the start of a text
-OTHER = (1 << BITS) - 1
+BITS = 21  # per symbol: every code point is its own, 0 pads the start of a text
+NUL = 0x110000  # stands for the character 0
+#: An n-gram is two longs: lo packs its last LOW symbols, hi those before them.
+LOW = 3
+KEY = ["hi", "lo"]
+Pairs = tuple[np.ndarray, np.ndarray]
 CHUNK = 1 << 19
 #: n-grams and contexts of a model that is sent to every task; a larger one is joined by shuffle.
 MAX_SENT_ROWS = 4_000_000
@@ -35,10 +39,10 @@ LEAST_CALIBRATION = 20
 
 def symbols(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    return np.where((codes == 0) | (codes > OTHER), OTHER, codes)
+    return np.where(codes == 0, NUL, codes)
 
 
-def pack(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def pack(texts: list[str]) -> tuple[Pairs, np.ndarray]:
     """The packed n-gram that ends at each character of the texts in turn, and the texts' lengths."""
     pad = np.zeros(ORDER - 1, np.int64)
     parts, lengths = [], np.empty(len(texts), np.int64)
@@ -48,12 +52,27 @@ def pack(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts += [pad, codes]
     c = np.concatenate([*parts, pad[:0]]) if parts else pad
     if len(c) < ORDER:
-        return np.empty(0, np.int64), lengths
-    keys = c[: len(c) - ORDER + 1].copy()
-    for k in range(1, ORDER):
-        keys <<= BITS
-        keys |= c[k : len(c) - ORDER + 1 + k]
-    return keys[c[ORDER - 1 :] != 0], lengths
+        return (np.empty(0, np.int64), np.empty(0, np.int64)), lengths
+    at = np.flatnonzero(c[ORDER - 1 :])
+
+    def packed(first: int, last: int) -> np.ndarray:
+        keys = c[at + first]
+        for k in range(first + 1, last):
+            keys <<= BITS
+            keys |= c[at + k]
+        return keys
+
+    return (packed(0, ORDER - LOW), packed(ORDER - LOW, ORDER)), lengths
+
+
+def distinct(hi: np.ndarray, lo: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs and how often each occurs, or the sum of its n."""
+    order = np.lexsort((lo, hi))
+    hi, lo = hi[order], lo[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(hi)), bool), (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]))
+    if n is None:
+        return hi[first], lo[first], np.diff(np.append(first, len(hi)))
+    return hi[first], lo[first], np.add.reduceat(n[order], first) if len(first) else n[order]
 
 
 def chunks(texts: list[str]) -> Iterator[list[int]]:
@@ -70,20 +89,21 @@ def chunks(texts: list[str]) -> Iterator[list[int]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return keys, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+    Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    def merged(parts: list[Counts]) -> Counts:
+        return distinct(*map(np.concatenate, zip(*parts, strict=True)))
 
-    def out(part: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1])], names=["key", "n"])
+    def out(part: Counts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in part], names=[*KEY, "n"])
 
     lean()
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    parts: list[Counts] = []
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for run in chunks(texts):
-            parts.append(np.unique(pack([texts[i] for i in run])[0], return_counts=True))
-            if sum(len(k) for k, _ in parts) > 4 * CHUNK:
+            parts.append(distinct(*pack([texts[i] for i in run])[0]))
+            if sum(len(x[0]) for x in parts) > 4 * CHUNK:
                 parts = [merged(parts)]
                 if len(parts[0][0]) > 2 * CHUNK:
                     yield out(parts.pop())
@@ -93,7 +113,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """probs (key, value) and gammas (key, value): natural logarithms, keys tagged by order."""
+    """probs and gammas (hi, lo, value): natural logarithms, hi tagged by order."""
 
     probs: DataFrame
     gammas: DataFrame
@@ -101,12 +121,31 @@ class Model:
     n_rows: int
 
 
-def tagged(key: Column, order: int) -> Column:
-    return F.lit(order << (BITS * ORDER)).cast("long").bitwiseOR(key)
+def _bits(n: int) -> int:
+    return (1 << BITS * max(n, 0)) - 1
+
+
+def tag(order: int) -> int:
+    return order << BITS * (ORDER - LOW)
+
+
+def tagged(hi: Column, order: int) -> Column:
+    return F.lit(tag(order)).cast("long").bitwiseOR(hi)
 
 
-def _suffix(key: Column, order: int) -> Column:
-    return key.bitwiseAND(F.lit((1 << (BITS * order)) - 1).cast("long"))
+def _suffix(order: int) -> tuple[Column, Column]:
+    """hi and lo of an n-gram's last symbols, order of them."""
+    return F.col("hi").bitwiseAND(F.lit(_bits(order - LOW)).cast("long")), F.col("lo").bitwiseAND(F.lit(_bits(min(order, LOW))).cast("long"))
+
+
+def _context(hi: Column, lo: Column) -> tuple[Column, Column]:
+    """hi and lo of an n-gram without its last symbol."""
+    moved = F.shiftleft(hi.bitwiseAND(F.lit(_bits(1)).cast("long")), BITS * (LOW - 1))
+    return F.shiftright(hi, BITS), F.shiftright(lo, BITS).bitwiseOR(moved)
+
+
+def _named(pair: tuple[Column, Column], hi: str = "hi", lo: str = "lo") -> list[Column]:
+    return [pair[0].alias(hi), pair[1].alias(lo)]
 
 
 def train(docs: DataFrame) -> Model | None:
@@ -116,10 +155,10 @@ def train(docs: DataFrame) -> Model | None:
     an order come from its counts of counts (four numbers for each order go to the driver). A lost
     executor costs the current stage, for each order's table is written.
     """
-    counted = docs.select(text_or_empty().alias("text")).mapInArrow(_count, "key long, n long")
-    tables = {ORDER: stored(counted.groupBy("key").agg(F.sum("n").alias("n")), "kn-counts")}
+    counted = docs.select(text_or_empty().alias("text")).mapInArrow(_count, "hi long, lo long, n long")
+    tables = {ORDER: stored(counted.groupBy(KEY).agg(F.sum("n").alias("n")), "kn-counts")}
     for k in range(ORDER - 1, 0, -1):
-        tables[k] = stored(tables[k + 1].groupBy(_suffix(F.col("key"), k).alias("key")).agg(F.count("*").alias("n")), f"kn-counts-{k}")
+        tables[k] = stored(tables[k + 1].groupBy(*_named(_suffix(k))).agg(F.count("*").alias("n")), f"kn-counts-{k}")
     n_symbols = tables[1].count()
     if not n_symbols:
         return None
@@ -129,17 +168,18 @@ def train(docs: DataFrame) -> Model | None:
         d = discounts(*of)
         n = F.col("n")
         cut = F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-        context = F.shiftright("key", BITS)
-        sums = tables[k].groupBy(context.alias("context")).agg(F.sum("n").alias("total"), (F.sum(cut) / F.sum("n")).alias("gamma"))
-        rows = tables[k].withColumn("context", context).join(sums, "context")
+        context = _named(_context(F.col("hi"), F.col("lo")), "_chi", "_clo")
+        sums = tables[k].groupBy(*context).agg(F.sum("n").alias("total"), (F.sum(cut) / F.sum("n")).alias("gamma"))
+        rows = tables[k].select("*", *context).join(sums, ["_chi", "_clo"])
         if lower is None:
             below = F.lit(1.0 / (n_symbols + 1))
         else:
-            rows = rows.withColumn("_low", _suffix(F.col("key"), k - 1)).join(lower.select(F.col("key").alias("_low"), F.col("p").alias("_p")), "_low")
+            rows = rows.select("*", *_named(_suffix(k - 1), "_lhi", "_llo"))
+            rows = rows.join(lower.select(*_named((F.col("hi"), F.col("lo")), "_lhi", "_llo"), F.col("p").alias("_p")), ["_lhi", "_llo"])
             below = F.col("_p")
-        lower = stored(rows.select("key", (F.greatest(n - cut, F.lit(0.0)) / F.col("total") + F.col("gamma") * below).alias("p")), f"kn-probs-{k}")
-        probs.append(lower.select(tagged(F.col("key"), k).alias("key"), F.log("p").alias("value")))
-        gammas.append(sums.select(tagged(F.col("context"), k).alias("key"), F.log(F.greatest("gamma", F.lit(1e-12))).alias("value")))
+        lower = stored(rows.select(*KEY, (F.greatest(n - cut, F.lit(0.0)) / F.col("total") + F.col("gamma") * below).alias("p")), f"kn-probs-{k}")
+        probs.append(lower.select(tagged(F.col("hi"), k).alias("hi"), "lo", F.log("p").alias("value")))
+        gammas.append(sums.select(tagged(F.col("_chi"), k).alias("hi"), F.col("_clo").alias("lo"), F.log(F.greatest("gamma", F.lit(1e-12))).alias("value")))
 
     def union(parts: list[DataFrame]) -> DataFrame:
         whole = parts[0]
@@ -199,19 +239,30 @@ class Hashed:
         return values, found
 
 
-def log_probs(keys: np.ndarray, probs: Hashed, gammas: Hashed, unseen: float) -> np.ndarray:
+def hashed(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """63-bit hashes of pairs; those of pairs with one hi are distinct up to the last bit dropped."""
+    x = hi.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(32)
+    x ^= lo.view(np.uint64)
+    x *= np.uint64(0x9FB21C651E98DF25)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(1)).view(np.int64)
+
+
+def log_probs(hi: np.ndarray, lo: np.ndarray, probs: Hashed, gammas: Hashed, unseen: float) -> np.ndarray:
     """Of each n-gram's last symbol: its own order's value, else the context's weight and one order less."""
-    out = np.zeros(len(keys), np.float64)
-    left = np.arange(len(keys))
+    out = np.zeros(len(hi), np.float64)
+    left = np.arange(len(hi))
     for k in range(ORDER, 0, -1):
-        tag = np.int64(k << (BITS * ORDER))
-        own = keys[left] & np.int64((1 << (BITS * k)) - 1)
-        value, found = probs.find(own | tag)
+        hi, lo = hi & np.int64(_bits(k - LOW)), lo & np.int64(_bits(min(k, LOW)))
+        value, found = probs.find(hashed(hi | np.int64(tag(k)), lo))
         out[left[found]] += value[found]
-        left, own = left[~found], own[~found]
+        left, hi, lo = left[~found], hi[~found], lo[~found]
         if not len(left):
             break
-        out[left] += gammas.find((own >> BITS) | tag)[0]
+        above = (hi & np.int64(_bits(1))) << np.int64(BITS * (LOW - 1))
+        out[left] += gammas.find(hashed((hi >> BITS) | np.int64(tag(k)), (lo >> BITS) | above))[0]
     out[left] += unseen
     return out
 
@@ -219,9 +270,12 @@ def log_probs(keys: np.ndarray, probs: Hashed, gammas: Hashed, unseen: float) ->
 def _score_sent(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
-    read = lambda df: df.select("key", F.col("value").cast("float").alias("value")).toArrow()
-    sent = [(t["key"].to_numpy(), t["value"].to_numpy()) for t in (read(model.probs), read(model.gammas))]
-    shared = spark.sparkContext.broadcast((*sent, model.unseen))
+
+    def read(df: DataFrame) -> Pairs:
+        t = df.select(*KEY, F.col("value").cast("float").alias("value")).toArrow()
+        return hashed(t["hi"].to_numpy(), t["lo"].to_numpy()), t["value"].to_numpy()
+
+    shared = spark.sparkContext.broadcast((read(model.probs), read(model.gammas), model.unseen))
     names = docs.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +288,7 @@ def _score_sent(docs: DataFrame, model: Model) -> DataFrame:
             for run in chunks([t or "" for t in texts]):
                 keys, lengths = pack([texts[i] or "" for i in run])
                 ends = np.cumsum(lengths)
-                total = np.concatenate([[0.0], np.cumsum(log_probs(keys, *tables))])
+                total = np.concatenate([[0.0], np.cumsum(log_probs(*keys, *tables))])
                 sums = total[ends] - total[ends - lengths]
                 result[run] = np.exp(-sums / np.where(lengths > 0, lengths, np.nan))
             value = pa.array(result, pa.float64(), mask=np.isnan(result))
@@ -247,22 +301,24 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, texts = batch.column("_row").to_numpy(), batch.column("text").to_pylist()
         for row, text in zip(rows, texts, strict=True):
-            keys, n = np.unique(pack([text or ""])[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row)), pa.array(keys), pa.array(n)], names=["_row", "key", "n"])
+            hi, lo, n = distinct(*pack([text or ""])[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), row)), *map(pa.array, (hi, lo, n))], names=["_row", *KEY, "n"])
 
 
 def _score_sharded(docs: DataFrame, model: Model) -> DataFrame:
     """The same perplexities by joining every document's n-gram counts with the model, order by order."""
     numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "kn-rows")
-    left = numbered.select("_row", "text").mapInArrow(_distinct, "_row long, key long, n long").withColumn("sum", F.lit(0.0))
-    parts = []
+    left = numbered.select("_row", "text").mapInArrow(_distinct, "_row long, hi long, lo long, n long").withColumn("sum", F.lit(0.0))
+    parts, at = [], ["_hi", "_lo"]
     for k in range(ORDER, 0, -1):
-        own = _suffix(F.col("key"), k)
-        met = left.withColumn("_k", tagged(own, k)).join(model.probs.select(F.col("key").alias("_k"), F.col("value").alias("_p")), "_k", "left").drop("_k")
+        hi, lo = _suffix(k)
+        met = left.select("*", *_named((tagged(hi, k), lo), *at))
+        met = met.join(model.probs.select(*_named((F.col("hi"), F.col("lo")), *at), F.col("value").alias("_p")), at, "left").drop(*at)
         parts.append(met.filter("_p is not null").select("_row", "n", (F.col("sum") + F.col("_p")).alias("sum")))
-        left = met.filter("_p is null").drop("_p").withColumn("_k", tagged(F.shiftright(own, BITS), k))
-        left = left.join(model.gammas.select(F.col("key").alias("_k"), F.col("value").alias("_g")), "_k", "left")
-        left = left.select("_row", "key", "n", (F.col("sum") + F.coalesce("_g", F.lit(0.0))).alias("sum"))
+        above, rest = _context(hi, lo)
+        left = met.filter("_p is null").drop("_p").select("*", *_named((tagged(above, k), rest), *at))
+        left = left.join(model.gammas.select(*_named((F.col("hi"), F.col("lo")), *at), F.col("value").alias("_g")), at, "left")
+        left = left.select("_row", *KEY, "n", (F.col("sum") + F.coalesce("_g", F.lit(0.0))).alias("sum"))
     parts.append(left.select("_row", "n", (F.col("sum") + model.unseen).alias("sum")))
     whole = parts[0]
     for part in parts[1:]:

@@ -246,6 +246,28 @@ def test_classifier_keeps_clean_text_and_rejects_junk(spark, documents):
     assert sum(out[i] for i in range(400) if i % 4) >= 290 and not any(out[i] for i in range(0, 400, 4))
 
 
+def test_every_code_point_is_a_symbol_of_its_own(spark, documents):
+    texts = ["東京は日本の首都です。", "日本の首都は東京です\U0001f600\U0001f601", "საქართველო", "a\0b 漢字と仮名", "한국어 문장입니다"] * 2
+    model = kneser_ney.train(documents(list(enumerate(texts))))
+    want = plain_kneser_ney([t.replace("\0", "\U0010ffff") for t in texts])
+    probe = ["日本の東京", "京東の本日", "\U0001f601\U0001f600", "a\0b", "ველო", "엄복동"]
+    docs = documents(list(enumerate(probe)))
+    for limit, error in ((kneser_ney.MAX_SENT_ROWS, 1e-4), (0, 1e-6)):
+        got = {r["doc_id"]: r["perplexity"] for r in kneser_ney.score(docs, model, limit).collect()}
+        assert all(abs(got[i] / want(t.replace("\0", "\U0010ffff")) - 1) < error for i, t in enumerate(probe))
+
+
+def test_classifier_rejects_shuffled_text_of_wide_scripts(spark, documents):
+    rng = random.Random(5)
+    words = "東京は 日本の 首都で 大阪は 西の 都市で 人々が 毎日 電車に 乗って 仕事へ 行きます 天気が 良い 公園を 歩く".split()
+    clean = lambda: "".join(rng.choice(words) for _ in range(60))
+    shuffled = lambda: (lambda x: rng.shuffle(x) or "".join(x))(list(clean()))
+    rows = [(i, clean() if i % 4 else shuffled(), "ja") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1 if i % 4 else 0, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r["kept"] for r in kneser_ney.classify(documents(rows), labels).collect()}
+    assert sum(out[i] for i in range(400) if i % 4) >= 290 and not any(out[i] for i in range(0, 400, 4))
+
+
 def test_classifier_on_awkward_and_empty_tables(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     for some in (labels, labels.limit(0)):
