@@ -107,7 +107,7 @@ def recent_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey <= 3000")
+    o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     pick = lambda m, *names: F.element_at(F.array(*map(F.lit, names)), (k % m + 1).cast("int"))
     name = F.concat(
