@@ -33,7 +33,7 @@ def state_age(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def escaped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", rc.escape_html(F.substring("html", 1, 200)).alias("html"))
+    return table(spark, sf_dir, "pages").select("page_id", rc.escape_html(F.col("html")).alias("html"))
 
 
 def import_tally(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Registered queries read whole tables: no subset of ids, no prefix of texts or channels."""
 
+import html
+
 import pytest
 
-from neurospan.plans import model_queries
+from neurospan.plans import model_queries, record_queries
 
 
 @pytest.mark.parametrize("name", ["bids_parse", "legacy_task_parse", "format_priority", "runs_by_task", "subject_task_matrix", "distinct_levels"])
@@ -20,3 +22,10 @@ def test_listings_parse_every_order(spark, tmp_path, name):
         assert {r["subject"] for r in out} == {str(c) for _, c in rows}
     else:
         assert out[0]["n_files"] == len(rows)
+
+
+def test_whole_pages_are_escaped(spark, tmp_path):
+    pages = [(1, "<b class='x'>&\"</b>" * 50), (2, None), (3, "")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    out = {r["page_id"]: r["html"] for r in record_queries.escaped_names(spark, str(tmp_path)).collect()}
+    assert out == {i: None if t is None else html.escape(t).replace("&#x27;", "&#39;") for i, t in pages}
