@@ -15,24 +15,24 @@ N = 12
 
 
 def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first channels of each recording, as an atlas of N regions."""
+    """The first channels of each recording: 250 samples don't determine an autoregression of all 64."""
     return recordings(spark, sf_dir).withColumn("values", F.slice("values", 1, N))
 
 
 def phase_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp.phase_edges(_few(spark, sf_dir), 8.0, 13.0, SFREQ)
+    return sp.phase_edges(recordings(spark, sf_dir), 8.0, 13.0, SFREQ)
 
 
 def envelope_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp.envelope_edges(_few(spark, sf_dir), 8.0, 13.0, SFREQ)
+    return sp.envelope_edges(recordings(spark, sf_dir), 8.0, 13.0, SFREQ)
 
 
 def coherence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp.coherence_edges(_few(spark, sf_dir), 8.0, 13.0, SFREQ, 64)
+    return sp.coherence_edges(recordings(spark, sf_dir), 8.0, 13.0, SFREQ, 64)
 
 
 def partial_corr_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp.partial_edges(_few(spark, sf_dir))
+    return sp.partial_edges(recordings(spark, sf_dir))
 
 
 def directed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def directed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def morlet_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp.power(_few(spark, sf_dir), [8.0, 10.0, 13.0, 20.0], SFREQ, 10)
+    return sp.power(recordings(spark, sf_dir), [8.0, 10.0, 13.0, 20.0], SFREQ, 10)
 
 
 def band_power(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +50,11 @@ def band_power(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fir_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = kn.fir(1.0, 40.0, SFREQ, 101)
-    return sp.transform(_few(spark, sf_dir), lambda x: kn.apply_fir(h, x))
+    return sp.transform(recordings(spark, sf_dir), lambda x: kn.apply_fir(h, x))
 
 
 def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp.transform(_few(spark, sf_dir), lambda x: kn.resample(x, SFREQ, 100.0))
+    return sp.transform(recordings(spark, sf_dir), lambda x: kn.resample(x, SFREQ, 100.0))
 
 
 def line_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def rank_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ica_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp.components(_few(spark, sf_dir), 5)
+    return sp.components(recordings(spark, sf_dir), 5)
 
 
 QUERIES = {f.__name__: f for f in (phase_edges, envelope_edges, coherence_edges, partial_corr_edges, directed_edges, morlet_power, band_power, fir_filtered, resampled, line_noise, rank_quality, ica_sources)}
