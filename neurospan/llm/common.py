@@ -32,14 +32,30 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+#: Bytes of a table that a join sends to every task; a larger one is joined by shuffle.
+SENT_BYTES = 32 << 20
+
+
+def sent_if_small(df: DataFrame, row_bytes: int, n: int | None = None) -> DataFrame:
+    """df, a stored table, marked for broadcast where its rows of row_bytes in memory are SENT_BYTES or less together."""
+    n = df.count() if n is None else n
+    return F.broadcast(df) if n * row_bytes <= SENT_BYTES else df
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A folder of this application under spark.checkpoint.dir; a temporary one where that is unset."""
+    """A folder of this application under spark.checkpoint.dir.
+
+    Where that is unset it lies in the warehouse, and only a local master, which has one machine,
+    uses a temporary folder.
+    """
     context = spark.sparkContext
     app = context.applicationId
     if app not in _FOLDERS:
         base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
+        if not base and context.master.split("[")[0] == "local":
             base = f"file://{tempfile.mkdtemp(prefix='neurospan-')}"
+        elif not base:
+            base = spark.conf.get("spark.sql.warehouse.dir")
         _FOLDERS[app] = folder = f"{base.rstrip('/')}/neurospan-{app}"
         atexit.register(_remove, spark, folder)
     return _FOLDERS[app]

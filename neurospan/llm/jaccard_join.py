@@ -1,37 +1,38 @@
 """N-gram Jaccard join in the metric space of shingle sets.
 
-The Jaccard distance is a metric. Pivot documents create Voronoi cells; what is near no pivot is the
-far region, which has no centre. A document belongs to the region of its nearest pivot and is
-replicated to those regions whose members it could still reach by the triangle inequality. Every
-region is then joined exactly: sets that link share a token among their first ones in any order
-common to all sets, and the order puts tokens that the corpus holds often last.
+The Jaccard distance is a metric, and links are short distances. Regions start as the sets that
+share one of their first tokens (two sets that link share one, in any order common to all sets).
+Level by level every region elects pivots among its own sets, so pivots are in proportion to the
+data. Sets within REACH of a pivot form its Voronoi cell, sets that a member of the cell could still
+reach by the triangle inequality are replicated to the cell, and what is in no cell goes on as the
+far part. Cells and far parts are regions of the next level, down to regions whose sets are all
+linked or have all been pivots.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neurospan.llm.common import lean, stored, table, text_or_empty
+from neurospan.llm.common import lean, sent_if_small, stored, table, text_or_empty
 from neurospan.llm.components import components
-from neurospan.llm.kneser_ney import Hashed, with_ids
-from neurospan.llm.shingles import mixed, runs, set_hash, shingle_sets
+from neurospan.llm.shingles import runs, set_hash, shingle_sets
 
 #: Percent of the union that two linked sets share at least, and the distance that allows.
 PERCENT = 80
 REACH = 1 - PERCENT / 100
-CELL = 0.5  # radius of a cell
-N_PIVOTS = 64
-MAX_PIVOT_SIZE = 20_000
-FILTER_BITS = 25
-DENSE = 10_000
-ROUNDS = 6
+#: Percent that a set shares at least with the pivot of a cell, some member of which it could link with.
+WINDOW = 100 - 2 * (100 - PERCENT)
+#: A region elects one pivot at the first level and this many times as many at each further one.
+GROWTH = 4
+#: Bits of the filter for each key that it holds, the most bits it has, and the bits that a key sets.
+KEY_BITS, MAX_BITS, HASHES = 16, 1 << 28, 4
 SLOTS = 1 << 22
 PARTS = 64
 
@@ -59,7 +60,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts[:] = more
         held.clear()
 
-    names = ["doc_id", "n", "c", "part", "counts"]
+    names = ["doc_id", "h", "n", "c", "part", "counts"]
     for batch in batches:
         n, c = [], []
         for _, sets in _sets_of(batch):
@@ -72,12 +73,12 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fold()
                 n_held = 0
         rows = len(n)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
     if held:
         fold()
     if counts.any():
         parts = counts.reshape(PARTS, -1)
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, pa.int64())] * 3, pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, pa.int64())] * 4, pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=names)
 
 
 def _add_counts(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -103,7 +104,8 @@ def parity_sketch(tokens: np.ndarray) -> np.ndarray:
     """One bit for each slot of a hash: whether an odd number of tokens fell there.
 
     Two sketches of one size differ in at most as many bits as their sets differ in tokens, so the
-    bits bound the size of the symmetric difference from below. There are two slots a token or more.
+    bits bound the size of the symmetric difference from below. There are two slots a token or more;
+    the halves of a sketch, combined by exclusive or, are the sketch of half the size.
     """
     bits = 256
     while bits < 2 * len(tokens):
@@ -112,310 +114,269 @@ def parity_sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(slots, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        c, tokens, sketch = [], [], []
-        for _, sets in _sets_of(batch):
-            c += [set_hash(s) for s in sets]
-            tokens += [s.view(np.int64) for s in sets]
-            sketch += [parity_sketch(s) for s in sets]
-        long = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(tokens, long), pa.array(sketch, long)], names=["c", "tokens", "sketch"])
-
-
-TOKENS = "c long, tokens array<long>, sketch array<long>"
-
-
-@dataclass
-class Pivots:
-    """Sets of the pivots, which have cells, for each token the pivots that hold it; and the tokens' levels."""
-
-    ids: list[int]
-    sizes: np.ndarray
-    cells: np.ndarray
-    tokens: np.ndarray
-    starts: np.ndarray
-    owners: np.ndarray
-    levels: np.ndarray
-
-    @classmethod
-    def of(cls, sets: dict[int, np.ndarray], levels: np.ndarray) -> Pivots:
-        ids = sorted(sets)
-        cells: list[int] = []
-        for i, c in enumerate(ids):  # cells whose centres lie apart
-            if all(distance(len(np.intersect1d(sets[c], sets[ids[j]])), len(sets[c]), len(sets[ids[j]])) >= CELL for j in cells):
-                cells.append(i)
-        held = [sets[c] for c in ids]
-        flat = np.concatenate([*held, np.empty(0, np.uint64)])
-        owners = np.repeat(np.arange(len(ids)), [len(s) for s in held])
-        order = np.lexsort((owners, flat))
-        tokens, starts = np.unique(flat[order], return_index=True)
-        return cls(ids, np.array([len(s) for s in held], np.int64), np.array(cells, np.int64), tokens, np.append(starts, len(flat)).astype(np.int64), owners[order], levels)
-
-
-def distance(shared, a, b):
-    return 1 - shared / (a + b - shared)
-
-
-_INDEX: dict[int, Hashed] = {}
-
-
-def _near(sets: list[np.ndarray], pivots: Pivots, key: int) -> tuple[np.ndarray, ...]:
-    """(set, pivot, distance, link) for every set and pivot that share a token."""
-    if key not in _INDEX:
-        _INDEX.clear()
-        _INDEX[key] = Hashed(pivots.tokens.view(np.int64), np.arange(len(pivots.tokens)).astype(np.float32))
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets).view(np.int64) if len(sets) else np.empty(0, np.int64)
-    at, found = _INDEX[key].find(flat)
-    hits, at = np.flatnonzero(found), at[found].astype(np.int64)
-    of = np.repeat(np.arange(len(sets)), sizes)[hits]
-    count = pivots.starts[at + 1] - pivots.starts[at]
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    owner = pivots.owners[np.repeat(pivots.starts[at], count) + step]
-    pair, shared = np.unique(np.repeat(of, count) * len(pivots.ids) + owner, return_counts=True)
-    i, p = np.divmod(pair, max(len(pivots.ids), 1))
-    union = sizes[i] + pivots.sizes[p] - shared
-    return i, p, 1 - shared / union, 100 * shared >= PERCENT * union
-
-
-def regions(cells: np.ndarray, away: np.ndarray) -> tuple[int, list[int]]:
-    """Home region and those a set is replicated to, from its distances to cells' centres.
-
-    0 is the far region. With a link's reach t and a cell's radius R: a partner at home with centre
-    q has d(x, q) <= R + t and d(x, q) <= d(x, nearest) + 2t; a partner in the far region means
-    d(x, nearest) > R - t.
-    """
-    if not len(cells):
-        return 0, []
-    k = int(np.argmin(away))
-    least = away[k]
-    home = int(cells[k]) + 1 if least <= CELL else 0
-    eps = 1e-9
-    others = [int(q) + 1 for q, d in zip(cells, away, strict=True) if int(q) + 1 != home and d <= CELL + REACH + eps and d <= least + 2 * REACH + eps]
-    if home and least > CELL - REACH - eps:
-        others.append(0)
-    return home, others
-
-
-def _postings(shared, seen):
-    """(key, c, n, at, home, links): a set's first tokens by region; links has a bit for each pivot in reach.
-
-    Without seen only keys and sets, for counting; with it the rows whose keys may have met two sets.
-    """
+def _first(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The tokens of a set that can hold its first shared one, rare ones first."""
+    level = levels[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)]
+    return tokens[np.argsort(level, kind="stable")[: prefix_size(len(tokens))]].view(np.int64)
+
+
+def _keys(shared):
+    """(key, c, n) for each first token of each text's set of n."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = shared.value
-        filter_ = seen.value if seen is not None else None
-        is_cell = np.zeros(max(len(pivots.ids), 1), bool)
-        is_cell[pivots.cells] = True
         for batch in batches:
             for _, sets in _sets_of(batch):
-                out: list[list] = [[], [], [], [], [], []]
-                who, which, away, linked = _near(sets, pivots, id(shared))
-                bounds = np.searchsorted(who, np.arange(len(sets) + 1))
-                for i, s in enumerate(sets):
-                    n = len(s)
-                    if not n:
-                        continue
-                    m = prefix_size(n)
-                    level = pivots.levels[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
-                    free = s[np.argsort(level, kind="stable")[:m]]
-                    a, z = bounds[i], bounds[i + 1]
-                    home, others, links = 0, [], 0
-                    if z > a:
-                        p = which[a:z]
-                        home, others = regions(p[is_cell[p]], away[a:z][is_cell[p]])
-                        links = sum(1 << int(q) for q in p[linked[a:z]])
-                    c = set_hash(s)
-                    for region in (home, *others):
-                        key = (mixed(free ^ np.uint64(region * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) if region else free).view(np.int64)
-                        at = np.arange(m, dtype=np.int32)
-                        if filter_ is not None:
-                            slot = key & ((1 << FILTER_BITS) - 1)
-                            keep = (filter_[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
-                            key, at = key[keep], at[keep]
-                        out[0].append(key)
-                        out[1].append(np.full(len(key), c))
-                        out[2].append(np.full(len(key), n, np.int32))
-                        out[3].append(at)
-                        out[4].append(np.full(len(key), region == home))
-                        out[5].append(np.full(len(key), links, np.uint64).view(np.int64))
-                if out[0]:
-                    columns = [pa.array(np.concatenate(x)) for x in out]
-                    names = ["key", "c", "n", "at", "home", "links"]
-                    if filter_ is None:
-                        columns, names = columns[:2], names[:2]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                firsts = [_first(s, shared.value) for s in sets]
+                keys = np.concatenate([*firsts, np.empty(0, np.int64)])
+                count = [len(x) for x in firsts]
+                c, n = np.repeat(np.array([set_hash(s) for s in sets], np.int64), count), np.repeat(np.array([len(s) for s in sets], np.int32), count)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c), pa.array(n)], names=["key", "c", "n"])
     return run
 
 
-def _bits(keys: DataFrame):
-    """A one-hash filter of 2^FILTER_BITS bits over the keys: its size doesn't depend on them."""
-    slot = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("long"))
-    words = keys.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[words["w"].to_numpy()] = words["b"].to_numpy()
-    return keys.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
-
+SETS = "c long, n int, keys array<struct<key: long, at: int>>, tokens array<long>, sketch array<long>"
 
-def choose_pivots(docs: DataFrame, named: DataFrame, n_pivots: int, levels: np.ndarray) -> Pivots:
-    """The sets with the least hashes: a fixed number, drawn evenly from all different sets."""
-    chosen = [r["v"] for r in named.filter(f"n between 1 and {MAX_PIVOT_SIZE}").orderBy("c").limit(n_pivots).collect()]
-    found = docs.filter(F.col("doc_id").isin(chosen)).mapInArrow(_tokens, TOKENS).limit(4 * n_pivots).collect() if chosen else []
-    sets = {r["c"]: np.array(r["tokens"], np.int64).view(np.uint64) for r in found if 0 < len(r["tokens"]) <= MAX_PIVOT_SIZE}
-    return Pivots.of(dict(sorted(sets.items())[:64]), levels)
 
-
-def _links(shared):
-    """(a, b) for every set and pivot within reach."""
+def _met_sets(shared, seen):
+    """The sets some first token of which may have met another set, with those tokens; a task tells each set once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = shared.value
+        levels, filter_ = shared.value, seen.value
+        mask = np.uint64(64 * len(filter_) - 1)
+        told: set[int] = set()
         for batch in batches:
             for _, sets in _sets_of(batch):
-                who, which, _, linked = _near(sets, pivots, id(shared))
-                a = [set_hash(sets[i]) for i in who[linked].tolist()]
-                b = [pivots.ids[p] for p in which[linked].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                out: list[list] = [[], [], [], [], []]
+                counts, keys, ats = [], [], []
+                for s in sets:
+                    c = set_hash(s)
+                    if not len(s) or c in told:
+                        continue
+                    told.add(c)
+                    key = _first(s, levels)
+                    at = np.arange(len(key))
+                    for i in range(HASHES):
+                        slot = (key[at].view(np.uint64) >> np.uint64(8 * i)) & mask
+                        at = at[(filter_[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1]
+                    if not len(at):
+                        continue
+                    out[0].append(c)
+                    out[1].append(len(s))
+                    counts.append(len(at))
+                    keys.append(key[at])
+                    ats.append(at.astype(np.int32))
+                    out[3].append(s.view(np.int64))
+                    out[4].append(parity_sketch(s))
+                if counts:
+                    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ats))], names=["key", "at"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pairs)
+                    long = pa.list_(pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), lists, pa.array(out[3], long), pa.array(out[4], long)], names=["c", "n", "keys", "tokens", "sketch"])
     return run
 
 
-def pivot_links(rows: DataFrame, pivots: Pivots) -> DataFrame:
-    """a, b: sets and the pivots within their reach, from the bits that the postings carry."""
-    if not pivots.ids:
-        return rows.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0)
-    some = rows.filter("links <> 0").select("c", "links").distinct().withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(len(pivots.ids) - 1))))
-    bits = some.filter(F.expr("shiftright(links, p) & 1 = 1"))
-    return bits.select(F.col("c").alias("a"), F.element_at(F.array(*map(F.lit, pivots.ids)), F.col("p") + 1).alias("b"))
-
+def _bits(keys: DataFrame):
+    """A Bloom filter over the keys, which are hashes: KEY_BITS bits for each up to MAX_BITS.
 
-def labelled(rows: DataFrame, star: DataFrame) -> DataFrame:
-    """rows with the component of what is linked so far, null for sets without links."""
-    return rows.join(components(star).withColumnRenamed("v", "c"), "c", "left")
+    A filter at its limit lets more keys pass; the join with the keys drops those.
+    """
+    n = keys.count()
+    size = min(max(1 << math.ceil(math.log2(max(KEY_BITS * n, 1))), 1 << 16), MAX_BITS)
+    slots = keys.select(F.explode(F.array(*[F.shiftrightunsigned("key", 8 * i).bitwiseAND(F.lit(size - 1).cast("long")) for i in range(HASHES)])).alias("slot"))
+    words = slots.select(F.shiftright("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(size >> 6, np.int64)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
 
-def split_dense(docs: DataFrame, rows: DataFrame, named: DataFrame, star: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """rows labelled by component, and the links to pivots, after the dense parts of regions were given pivots of their own.
+def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, d, link for the pairs (a, b) of sets that share percent of their union or more.
 
-    A token's list costs its length times the members outside its largest component. While lists
-    cost more than DENSE, the members nearest to the centre of such lists (the token stands first in
-    them, so they have few tokens of their own) become pivots, and all members of these lists are
-    compared with them: a block of queries against the rows they can link with. Each round links
-    what lies within reach of its pivots; what is left after the rounds is compared pair by pair.
+    Parity sketches, a few words a set, rule out nearly all other pairs; the sets of the rest are
+    intersected.
     """
-    used: list[int] = []
-    for _ in range(rounds):
-        tagged = stored(labelled(rows, star), "join-tagged")
-        blocks = tagged.groupBy("key", "label").agg(F.count("*").alias("k"))
-        known = F.when(F.col("label").isNotNull(), F.col("k"))
-        lists = blocks.groupBy("key").agg(F.sum("k").alias("n"), F.max(known).alias("most"), F.max_by("label", known).alias("top"))
-        cost = F.col("n") * (F.col("n") - F.coalesce("most", F.lit(1)))
-        dense = stored(lists.select("key", "top", cost.alias("cost")).filter(F.col("cost") > DENSE), "join-dense")
-        inside = tagged.join(dense, "key")
-        free = inside.filter(~F.col("label").eqNullSafe(F.col("top")) | F.col("label").isNull()).filter(~F.col("c").isin(used or [0]))
-        nearest = free.groupBy("key").agg(F.min_by("c", F.struct("at", "c")).alias("c"), F.first("cost").alias("cost"))
-        chosen = [r["c"] for r in nearest.groupBy("c").agg(F.sum("cost").alias("cost")).orderBy(F.desc("cost"), "c").limit(64).collect()]
-        if not chosen:
-            return tagged, star
-        used += chosen
-        ids = [r["v"] for r in named.filter(F.col("c").isin(chosen)).select("v").collect()]
-        found = docs.filter(F.col("doc_id").isin(ids)).mapInArrow(_tokens, TOKENS).filter(F.col("c").isin(chosen)).limit(4 * len(ids)).collect()
-        pivots = Pivots.of({r["c"]: np.array(r["tokens"], np.int64).view(np.uint64) for r in found}, np.zeros(1, np.uint16))
-        members = stored(named.join(inside.select("c").distinct(), "c").select(F.col("v").alias("doc_id")), "join-members")
-        more = with_ids(docs, members, members.count()).mapInArrow(_links(docs.sparkSession.sparkContext.broadcast(pivots)), "a long, b long")
-        grown = stored(star.unionByName(more.filter("a <> b")).distinct(), "join-star")
-        idle, star = grown.count() == star.distinct().count(), grown
-        if idle:  # what these lists still hold is far from their centres
-            return tagged, star
-    return stored(labelled(rows, star), "join-tagged"), star
-
-
-def candidate_pairs(rows: DataFrame) -> DataFrame:
-    """a, b (a < b): pairs of sets that share a first token in a region and could link.
-
-    A token's sets are blocks by their component so far, and only different blocks meet, so the
-    members of a dense group, linked through its pivots, never meet each other. The bounds: sizes
-    within PERCENT of each other, and enough tokens left before and after the shared one. The first
-    shared token of a pair has none before it, so it passes the tighter ones.
+    def side(name: str, *extra: str) -> DataFrame:
+        return sets.select(F.col("c").alias(name), F.col("n").alias(f"n{name}"), *[F.col(x).alias(f"{x}_{name}") for x in extra])
+
+    def folded(x: Column, size: Column) -> Column:
+        half = F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(x) > size, half).otherwise(x)
+
+    sketched = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
+    size = F.least(F.size("sketch_a"), F.size("sketch_b"))  # one is at most twice the other, as the sets' sizes are
+    differ = F.aggregate(F.zip_with(folded(F.col("sketch_a"), size), folded(F.col("sketch_b"), size), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    most = (100 - percent) * (F.col("na") + F.col("nb"))  # (100 + percent) times the greatest difference
+    close = stored(sketched.filter((100 + percent) * differ <= most).select("a", "b"), "join-close")
+    shared = close.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
+    shared = shared.select("a", "b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("both"), (F.col("na") + F.col("nb")).alias("sum"))
+    union = F.col("sum") - F.col("both")
+    inside = shared.filter(100 * F.col("both") >= percent * union)
+    return inside.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= PERCENT * union).alias("link"))
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (c, label), merged where links (a, b) join two of them; sets without links are not in it."""
+    of = lambda c, l: labels.select(F.col("c").alias(c), F.col("label").alias(l))
+    ends = links.join(of("a", "la"), "a", "left").join(of("b", "lb"), "b", "left")
+    edges = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
+    merged = components(edges).select(F.col("v").alias("label"), F.col("label").alias("to"))
+    moved = labels.join(merged, "label", "left").select("c", F.coalesce("to", "label").alias("label"))
+    fresh = merged.select(F.col("label").alias("c"), F.col("to").alias("label")).join(labels, "c", "left_anti")
+    return stored(moved.unionByName(fresh), "join-labels")
+
+
+def opened(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of regions that may still hold a link between two labels, with label, top, free and first.
+
+    top is the region's most frequent label and free the number of sets outside it: pivots come from
+    those, so a group that is linked already is never compared with itself. first is the set that
+    comes first by at or away.
     """
-    blocks = rows.select("key", "label").distinct()
-    l, r = blocks.withColumnRenamed("label", "m"), blocks.withColumnRenamed("label", "w")
-    meet = l.join(r, "key").filter((F.col("m") < F.col("w")) | F.col("m").isNull())
-    x = rows.select("key", F.col("label").alias("m"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ix"), F.col("home").alias("hx"))
-    y = rows.select("key", F.col("label").alias("w"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("iy"), F.col("home").alias("hy"))
-    most = F.least("ix", "iy") + 1 + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) - 1
-    whole, need = F.lit(100 + PERCENT), PERCENT * (F.col("nx") + F.col("ny"))
-    bound = (
-        (F.col("hx") | F.col("hy"))
-        & ((F.col("cx") < F.col("cy")) | F.col("x.w").isNotNull())
-        & (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny"))
-        & (whole * most >= need)
-        & (whole * (F.col("nx") - F.col("ix")) >= need)  # all tokens before the first shared one are unshared
-        & (whole * (F.col("ny") - F.col("iy")) >= need)
-    )
-    left = x.join(meet.withColumnRenamed("key", "_k"), (x["key"] == F.col("_k")) & x["m"].eqNullSafe(meet["m"])).select("key", "cx", "nx", "ix", "hx", "w").alias("x")
-    met = left.join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & F.col("x.w").eqNullSafe(F.col("y.w")) & bound)
-    return met.select(F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b")).filter("a <> b").distinct()
-
-
-def verified(docs: DataFrame, pairs: DataFrame, named: DataFrame) -> DataFrame:
-    """The pairs whose sets link; only sets of candidates are read again.
-
-    Parity sketches, a few words a set, rule out nearly all pairs that don't link; the sets of the
-    others are intersected.
+    tagged = rows.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    order = F.struct(F.coalesce(F.col("at").cast("double"), "away"), "c")
+    blocks = tagged.groupBy("region", "label").agg(F.count("*").alias("k"), F.max("home").alias("home"), F.min(order).alias("first"))
+    of = blocks.groupBy("region").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("label", "k").alias("top"), F.max("home").alias("some_home"), F.min("first").alias("first"))
+    of = of.filter("n > most and some_home").select("region", "top", (F.col("n") - F.col("most")).alias("free"), F.col("first.c").alias("first"))
+    return tagged.join(of, "region")
+
+
+def elected(rows: DataFrame, level: int) -> DataFrame:
+    """The pivots of each region: its first set, and at level k about GROWTH ** k of its free sets, all where there are fewer.
+
+    A set whose first tokens other sets share stands in the middle of them: changes give a text
+    tokens of its own, and those come before. So the first set of a region, in whose order the
+    region's token comes earliest, is the centre of many; in a cell it is the nearest to the centre.
+    The others are drawn by a lot that is the same in every region, so that the pivots of overlapping
+    regions are few.
     """
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    ids = stored(named.join(wanted, "c").select(F.col("v").alias("doc_id")).distinct(), "join-wanted")
-    sets = stored(with_ids(docs, ids, ids.count()).mapInArrow(_tokens, TOKENS), "join-sets")
-    side = lambda c, *extra: sets.select(F.col("c").alias(c), F.size("tokens").alias(f"n{c}"), *[F.col(x).alias(f"{x}_{c}") for x in extra])
-    sketched = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
-    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    most = (100 - PERCENT) * (F.col("na") + F.col("nb"))  # (100 + PERCENT) times the greatest difference of linked sets
-    near = (F.size("sketch_a") != F.size("sketch_b")) | ((100 + PERCENT) * differ <= most)
-    close = stored(sketched.filter(near).select("a", "b"), "join-close")
-    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    link = 100 * both >= PERCENT * (F.col("na") + F.col("nb") - both)
-    return close.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").filter(link).select("a", "b").distinct()
+    lot = F.pmod(F.xxhash64("c", F.lit(level)), F.lit(1 << 20))
+    drawn = (F.col("label") != F.col("top")) & (lot * F.col("free") < F.lit((GROWTH**level << 20) if level else 0))
+    return rows.filter((F.col("c") == F.col("first")) | drawn)
+
 
+def compared(rows: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """region, p, y: the pivots and the sets of their regions that could share percent of their union.
 
-def jaccard_components(docs: DataFrame, n_pivots: int = N_PIVOTS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+    For links (PERCENT) only sets of different labels count. Sizes bound what is shared, and so do
+    the tokens after the one that made the region and, as the first that a pair shares may be taken,
+    those before it. In a cell, whose sets know their distance to its centre, those distances differ
+    by REACH at most, and one of the two is a member. For the windows of cells (WINDOW) any set
+    counts, and the shared token need not be the first one.
+    """
+    p = pivots.select("region", F.col("c").alias("p"), F.col("n").alias("np"), F.col("at").alias("ip"), F.col("home").alias("hp"), F.col("away").alias("dp"), F.col("label").alias("lp"))
+    y = rows.select("region", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("at").alias("iy"), F.col("home").alias("hy"), F.col("away").alias("dy"), F.col("label").alias("ly"))
+    whole, need = F.lit(100 + percent), percent * (F.col("np") + F.col("ny"))
+    after_p, after_y = F.col("np") - F.coalesce("ip", F.lit(0)), F.col("ny") - F.coalesce("iy", F.lit(0))
+    before = F.coalesce(F.least("ip", "iy"), F.lit(0))
+    bound = (100 * F.least("np", "ny") >= percent * F.greatest("np", "ny")) & (whole * (before + F.least(after_p, after_y)) >= need)
+    if percent == PERCENT:
+        in_ring = (F.col("hp") | F.col("hy")) & (F.abs(F.col("dp") - F.col("dy")) <= REACH + 1e-9)
+        bound = bound & (F.col("lp") != F.col("ly")) & (whole * after_p >= need) & (whole * after_y >= need) & (F.col("dp").isNull() | in_ring)
+    return p.alias("p").join(y.alias("y"), (F.col("p.region") == F.col("y.region")) & bound).select("p.region", "p", "y", F.least("p", "y").alias("a"), F.greatest("p", "y").alias("b"))
+
+
+def next_level(rows: DataFrame, pivots: DataFrame, labels: DataFrame, links: DataFrame | None, sets: DataFrame, level: int) -> DataFrame:
+    """The regions below these: cells with their windows, far parts, and cells without the pivots that were compared.
+
+    Pivots are done with in their region, as they were compared with all that they could link with.
+    Where a region still holds two labels, the pivots that found a link get cells: a set within REACH
+    of some is a member (home) of the cell of the nearest and leaves the far part, and a set within
+    2 * REACH of a pivot is in its cell, so whatever links with a member is there. The cells that one
+    pivot has in several regions are one region.
+    """
+    names = ["region", "c", "n", "at", "home", "away"]
+    left = rows.select(names).join(pivots.select("region", "c"), ["region", "c"], "left_anti")
+    if links is None:
+        return left
+    left = stored(opened(left, labels), "join-left")
+    linked = links.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    met = stored(compared(left, pivots.filter("away is null").join(linked, "c", "left_semi"), WINDOW), "join-window")
+    near = stored(distances(met.select("a", "b").distinct(), sets, WINDOW), "join-near")
+    inside = stored(met.join(near, ["a", "b"]).select("region", "p", F.col("y").alias("c"), "d", "link"), "join-inside")
+    nearest = inside.filter("link").groupBy("region", "c").agg(F.min_by("p", F.struct("d", "p")).alias("nearest"))
+    far = left.select(names).join(nearest, ["region", "c"], "left_anti")
+    held = inside.join(nearest, ["region", "c"], "left").groupBy("p", "c").agg(F.max(F.coalesce(F.col("p") == F.col("nearest"), F.lit(False))).alias("home"), F.min("d").alias("away"))
+    cells = held.join(left.select("c", "n").distinct(), "c").select(F.xxhash64("p", F.lit(level), F.lit("cell")).alias("region"), "c", "n", F.lit(None).cast("int").alias("at"), "home", "away")
+    return far.unionByName(cells)
+
+
+def class_labels(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """c, label: the sets that link with another one, by component; docs (text) are those with an id."""
+    spark = docs.sparkSession
+    levels = spark.sparkContext.broadcast(token_levels(rows))
+    text = docs.select("text")
+    counted = text.mapInArrow(_keys(levels), "key long, c long, n int").groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min("n").alias("least"))
+    met = stored(counted.filter("a < b").select("key", "least"), "join-keys")
+    sets = stored(text.mapInArrow(_met_sets(levels, _bits(met)), SETS).dropDuplicates(["c"]), "join-sets")
+    first = sets.select("c", "n", F.explode("keys").alias("_k")).select(F.col("_k.key").alias("region"), "c", "n", F.col("_k.at").alias("at"))
+    # a pair's first shared token leaves room for the rest of what even the smallest partner must share
+    room = (100 + PERCENT) * (F.col("n") - F.col("at")) >= PERCENT * (F.col("n") + F.col("least"))
+    first = first.join(met.withColumnRenamed("key", "region"), "region").filter(room)
+    regions = first.select("region", "c", "n", "at", F.lit(True).alias("home"), F.lit(None).cast("double").alias("away"))
+    labels = spark.createDataFrame([], "c long, label long")
+    level = 0
+    while True:
+        rows = stored(opened(regions, labels), "join-rows")
+        if rows.isEmpty():
+            return labels
+        pivots = elected(rows, level)
+        pairs = stored(compared(rows, pivots, PERCENT).select("a", "b").distinct(), "join-pairs")
+        links = stored(distances(pairs, sets, PERCENT), "join-links")
+        found = not links.isEmpty()
+        if found:
+            labels = relabelled(labels, links)
+        regions = next_level(rows, pivots, labels, links if found else None, sets, level)
+        level += 1
+
+
+def judged_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n, c) of every row, h a hash of its text, and (c, label, v) of every set that has an id, v its least."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("h"), text_or_empty().cast("binary").alias("text"))
+    rows = stored(docs.mapInArrow(_classes, "doc_id long, h long, n long, c long, part int, counts binary"), "join-classes")
+    labels = class_labels(docs.filter("doc_id is not null"), rows)
+    sets = rows.filter("part is null").select("doc_id", "h", "n", "c")
+    named = sets.filter("n > 0 and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("v"))
+    return sets, stored(named.join(labels, "c", "left").select("c", F.coalesce("label", "c").alias("label"), "v"), "join-named")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id.
 
     Documents link when their sets of five-word shingles (A-Z lower-cased, whole text) share 80
     percent of their union or more; component_id is the smallest doc_id reachable. Equal sets are
-    one class and meet the others once, however many copies there are. A null or empty text, or one
-    without words, has an empty set and is its own component. Rows that repeat a doc_id are one
-    document of the graph; a null doc_id links with nothing unless its set has another id, and its
-    component is that of the set. Other columns are ignored. Shingles and sets are known by 64 bits.
+    one class and meet the others once, however many copies there are. Only links that join two
+    components are looked for, so links are not counted. A null or empty text, or one without
+    words, has an empty set, which links with nothing. Rows that repeat a doc_id are one document of
+    the graph: all its texts link for it, and all its rows have its component. A null doc_id is no
+    document: it joins nothing, and its component is that of its set, or null where no document has
+    the set. Other columns are ignored. Shingles and sets are known by 64 bits.
     """
-    text = text_or_empty()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"))
-    rows = stored(docs.mapInArrow(_classes, "doc_id long, n long, c long, part int, counts binary"), "join-classes")
-    sets = rows.filter("part is null").select("doc_id", "n", "c")
-    named = stored(sets.filter("n > 0").groupBy("c").agg(F.max("n").alias("n"), F.min("doc_id").alias("v")).filter("v is not null"), "join-named")
-    shared = docs.sparkSession.sparkContext.broadcast(choose_pivots(docs, named, min(n_pivots, 64), token_levels(rows)))
-    text = docs.select("text")
-    counted = text.mapInArrow(_postings(shared, None), "key long, c long").groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"))
-    met = stored(counted.filter("a < b").select("key"), "join-keys")
-    rows = text.mapInArrow(_postings(shared, _bits(met)), "key long, c long, n int, at int, home boolean, links long")
-    rows = stored(rows.distinct().join(met, "key"), "join-postings")
-    star = stored(pivot_links(rows, shared.value).filter("a <> b"), "join-star")
-    rows, star = split_dense(docs, rows.drop("links"), named, star)
-    pairs = stored(candidate_pairs(rows), "join-pairs")
-    links = verified(docs, pairs, named).unionByName(star).filter("a <> b")
-    name = lambda c: named.select(F.col("c").alias(c), F.col("v").alias(f"v{c}"))
-    edges = links.join(name("a"), "a").join(name("b"), "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
-    # a document id that stands for two sets, or a set with several ids, is an edge too
-    labels = components(edges)
-    out = sets.join(named.select("c", "v"), "c", "left").join(labels, "v", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("label", "v")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, "doc_id").alias("component_id"))
+    sets, named = judged_sets(docs)
+    whole = named.groupBy("label").agg(F.min("v").alias("a"))
+    edges = named.join(whole, "label").select("a", F.col("v").alias("b"))
+    # a document id that stands for several sets joins them
+    repeated = sets.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most")
+    own = sets.filter("n > 0").join(repeated.select("doc_id"), "doc_id").join(named, "c").select(F.col("doc_id").alias("a"), F.col("v").alias("b"))
+    labels = components(edges.unionByName(own))
+    by_set = named.drop("label").join(labels, "v", "left").select("c", F.coalesce("label", "v").alias("by_set"))
+    out = sets.join(by_set, "c", "left").withColumn("by_set", F.when(F.col("n") > 0, F.col("by_set")))
+    by_id = out.filter("doc_id is not null and by_set is not null").groupBy("doc_id").agg(F.min("by_set").alias("by_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("by_id", "doc_id")).otherwise(F.col("by_set"))
+    return out.join(by_id, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id."""
-    judged = jaccard_components(docs)
-    gone = stored(judged.filter("doc_id <> component_id").select("doc_id").distinct(), "join-gone")
-    return with_ids(docs, gone, gone.count(), "left_anti")
+    """docs with one document of each component of linked sets: the row with the smallest doc_id.
+
+    A row is judged by its own text, whatever other rows repeat its doc_id; of rows with one doc_id
+    and different linked texts the one with the least set hash stays, and rows equal in doc_id and
+    text stay or go together. Empty texts stay. A null doc_id goes where its set has another id.
+    """
+    sets, named = judged_sets(docs)
+    stays = named.groupBy("label").agg(F.min(F.struct("v", "c")).alias("stays"))
+    rows = sets.filter("n > 0").join(named.select("c", "label"), "c").join(stays, "label")
+    goes = ~F.coalesce((F.col("doc_id") == F.col("stays.v")) & (F.col("c") == F.col("stays.c")), F.lit(False))
+    gone = stored(rows.filter(goes).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "join-gone")
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(text_or_empty()) == gone["_h"])
+    return docs.join(sent_if_small(gone, 40), same, "left_anti")
 
 
 def op2_jaccard_join(spark, sf_dir):

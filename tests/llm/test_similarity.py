@@ -22,10 +22,11 @@ def plain_set(text):
 
 
 def plain_components(rows):
-    sets = {i: plain_set(t) for i, t in rows}
-    label = {i: i for i in sets}
+    """(n_shingles, component) of every row; rows that repeat an id are one document."""
+    sets = [plain_set(t) for _, t in rows]
+    label = {i: i for i, _ in rows}
+    pairs = [(rows[a][0], rows[b][0]) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     changed = True
-    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     while changed:
         changed = False
         for a, b in pairs:
@@ -33,7 +34,11 @@ def plain_components(rows):
             if label[a] != m or label[b] != m:
                 label[a] = label[b] = m
                 changed = True
-    return {i: (len(sets[i]), label[i]) for i in sets}
+    return [(i, len(s), label[i]) for (i, _), s in zip(rows, sets)]
+
+
+def joined(docs):
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect())
 
 
 def corpus(seed, n=150):
@@ -56,10 +61,65 @@ def corpus(seed, n=150):
 def test_components_equal_brute_force(documents):
     for seed in (1, 2):
         rows = corpus(seed)
-        want = plain_components(rows)
-        for n_pivots in (64, 3, 0):
-            got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(documents(rows), n_pivots).collect()}
-            assert got == want
+        assert joined(documents(rows)) == sorted(plain_components(rows))
+
+
+def test_repeated_ids_are_one_document(documents):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    docs = documents([(3, b), (5, a), (5, b), (9, a)])
+    assert {r[2] for r in joined(docs)} == {3}
+    assert by_id(jaccard_join.drop_near_copies(docs)) == [(3, b), (5, a)]  # text a is no copy of b
+    rng = random.Random(4)
+    rows = [(rng.randrange(60), t) for _, t in corpus(3, 110)]
+    assert joined(documents(rows)) == sorted(plain_components(rows))
+
+
+def by_id(docs):
+    return sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+
+
+def test_a_large_group_around_the_edge_is_not_paired(documents, monkeypatch):
+    """Copies of one text with 0 to 14 of 400 words changed: some pairs link and some don't."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(2000):
+        words = list(base)
+        for _ in range(rng.randrange(15)):
+            words[rng.randrange(400)] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    made, kept = [], jaccard_join.stored
+
+    def counting(df, name):
+        out = kept(df, name)
+        if name in ("join-pairs", "join-window"):
+            made.append(out.select("a", "b").distinct().count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counting)
+    got = joined(documents(rows))
+    sets = [plain_set(t) for _, t in rows]
+    star = min(range(2000), key=lambda i: len(sets[i] - sets[0]) if i else 1000)
+    near = [i for i in range(2000) if 100 * len(sets[i] & sets[star]) >= 80 * len(sets[i] | sets[star])]
+    assert {got[i][2] for i in near} == {got[star][2]}  # whatever links with one text is of one component
+    assert sum(made) < 2000 * 100  # all pairs are 1,999,000
+
+
+def test_every_set_that_shares_a_first_token_meets_a_pivot(documents, monkeypatch):
+    seen, kept = {}, jaccard_join.stored
+
+    def keeping(df, name):
+        out = kept(df, name)
+        seen.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", keeping)
+    joined(documents(corpus(5)))
+    pivots = jaccard_join.elected(seen["join-rows"][0], 0)
+    first = seen["join-rows"][0]
+    in_region = first.join(pivots.select("region").distinct(), "region", "left_semi").select("c").distinct().count()
+    assert in_region >= 0.9 * first.select("c").distinct().count()
+    assert all(r["d"] <= 0.4 + 1e-9 for r in seen["join-near"][0].collect())
 
 
 def test_join_on_awkward_and_empty_tables(awkward, empty):
@@ -70,23 +130,6 @@ def test_join_on_awkward_and_empty_tables(awkward, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
-def test_regions_hold_every_pair_within_reach():
-    rng = np.random.default_rng(5)
-    sets = [np.unique(rng.integers(0, 60, 30)) for _ in range(80)]
-    sets += [np.unique(np.append(np.delete(s, rng.integers(0, len(s), 2)), rng.integers(60, 90, 2))) for s in sets[:60]]
-    d = lambda a, b: 1 - len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    cells = np.arange(6)
-    where = []
-    for s in sets:
-        home, others = jaccard_join.regions(cells, np.array([d(s, sets[c]) for c in cells]))
-        where.append((home, {home, *others}))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if d(a, sets[j]) <= 0.2:
-                shared = where[i][1] & where[j][1]
-                assert where[i][0] in shared or where[j][0] in shared
-
-
 def test_parity_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
     for n in (1, 5, 100, 700):
@@ -94,6 +137,10 @@ def test_parity_sketches_bound_the_difference():
         b = np.unique(np.append(a[: n // 2], rng.integers(0, 1 << 62, n - n // 2).astype(np.uint64)))
         x, y = jaccard_join.parity_sketch(a), jaccard_join.parity_sketch(b)
         if len(x) == len(y):
+            folded = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            if len(x) > 4:
+                slots = ((a >> np.uint64(24)) & np.uint64(32 * len(x) - 1)).astype(int)
+                assert (folded == np.packbits((np.bincount(slots, minlength=32 * len(x)) & 1).astype(np.uint8)).view(np.int64)).all()
             assert sum(((int(p) ^ int(q)) & (2**64 - 1)).bit_count() for p, q in zip(x, y)) <= len(np.setxor1d(a, b))
 
 
