@@ -37,7 +37,10 @@ SENT_BYTES = 32 << 20
 
 
 def sent_if_small(df: DataFrame, row_bytes: int, n: int | None = None) -> DataFrame:
-    """df, a stored table, marked for broadcast where its rows of row_bytes in memory are SENT_BYTES or less together."""
+    """df marked for broadcast where its rows of row_bytes in memory, n or fewer, are SENT_BYTES or less together.
+
+    Without n the rows are counted, so df should be a stored table.
+    """
     n = df.count() if n is None else n
     return F.broadcast(df) if n * row_bytes <= SENT_BYTES else df
 

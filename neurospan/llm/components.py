@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurospan.llm.common import stored
+from neurospan.llm.common import sent_if_small, stored
+
+#: Bytes of a vertex with its labels in a table that is sent to every task.
+VERTEX = 32
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,20 +16,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round gives a vertex the least label among its neighbours and itself, then the label of
     its label; both keep labels inside the component, and the rounds end when none changes. A
-    vertex with many edges meets partial minima, and only the number of changes reaches the driver.
+    vertex with many edges meets partial minima, and only counts reach the driver.
     """
-    both = edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = stored(both, "cc-edges")
+    edges = edges.filter("a <> b").select("a", "b")
+    both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "cc-labels")
-    while True:
-        near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "v", "left").select("v", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+    n = labels.count()
+    while n:
+        met = both.join(sent_if_small(labels.select(F.col("v").alias("b"), "label"), VERTEX, n), "b").select(F.col("a").alias("v"), F.lit(None).cast("long").alias("old"), "label")
+        own = labels.select("v", F.col("label").alias("old"), "label")
+        hooked = stored(own.unionByName(met).groupBy("v").agg(F.max("old").alias("old"), F.min("label").alias("label")), "cc-hooked")
         # what a vertex has learnt also holds for the vertex it was labelled with
         told = hooked.groupBy(F.col("old").alias("v")).agg(F.min("label").alias("told"))
-        hooked = stored(hooked.join(told, "v", "left").select("v", "old", F.least("label", F.coalesce("told", "label")).alias("label")), "cc-hooked")
+        hooked = hooked.join(sent_if_small(told, VERTEX, n), "v", "left").select("v", "old", F.least("label", F.coalesce("told", "label")).alias("label"))
+        hooked = stored(hooked, "cc-told")
         jump = hooked.select(F.col("v").alias("label"), F.col("label").alias("far"))
-        moved = hooked.join(jump, "label", "left").select("v", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
+        moved = hooked.join(sent_if_small(jump, VERTEX, n), "label", "left").select("v", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
         moved = stored(moved, "cc-labels")
         labels = moved.select("v", "label")
-        if not moved.filter("old <> label").limit(1).count():
-            return labels
+        if moved.filter("old <> label").isEmpty():
+            break
+    return labels

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from neurospan.llm.common import lean, sent_if_small, stored, table, text_or_empty
@@ -30,7 +30,9 @@ REACH = 1 - PERCENT / 100
 #: Percent that a set shares at least with the pivot of a cell, some member of which it could link with.
 WINDOW = 100 - 2 * (100 - PERCENT)
 #: A region elects one pivot at the first level and this many times as many at each further one.
-GROWTH = 4
+GROWTH = 16
+#: Bytes of a row of regions or pairs in a table that is sent to every task.
+ROW = 64
 #: Bits of the filter for each key that it holds, the most bits it has, and the bits that a key sets.
 KEY_BITS, MAX_BITS, HASHES = 16, 1 << 28, 4
 SLOTS = 1 << 22
@@ -133,7 +135,7 @@ def _keys(shared):
     return run
 
 
-SETS = "c long, n int, keys array<struct<key: long, at: int>>, tokens array<long>, sketch array<long>"
+SETS = "c long, n int, keys array<struct<key: long, at: int>>, sketch array<long>"
 
 
 def _met_sets(shared, seen):
@@ -144,7 +146,7 @@ def _met_sets(shared, seen):
         told: set[int] = set()
         for batch in batches:
             for _, sets in _sets_of(batch):
-                out: list[list] = [[], [], [], [], []]
+                cs, ns, sketches = [], [], []
                 counts, keys, ats = [], [], []
                 for s in sets:
                     c = set_hash(s)
@@ -158,21 +160,33 @@ def _met_sets(shared, seen):
                         at = at[(filter_[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1]
                     if not len(at):
                         continue
-                    out[0].append(c)
-                    out[1].append(len(s))
+                    cs.append(c)
+                    ns.append(len(s))
                     counts.append(len(at))
                     keys.append(key[at])
                     ats.append(at.astype(np.int32))
-                    out[3].append(s.view(np.int64))
-                    out[4].append(parity_sketch(s))
+                    sketches.append(parity_sketch(s))
                 if counts:
                     pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ats))], names=["key", "at"])
                     lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pairs)
-                    long = pa.list_(pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), lists, pa.array(out[3], long), pa.array(out[4], long)], names=["c", "n", "keys", "tokens", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(ns, pa.int32()), lists, pa.array(sketches, pa.list_(pa.int64()))], names=["c", "n", "keys", "sketch"])
     return run
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """c, tokens: a task tells each set once."""
+    told: set[int] = set()
+    for batch in batches:
+        for _, sets in _sets_of(batch):
+            new = []
+            for s in sets:
+                c = set_hash(s)
+                if c not in told:
+                    told.add(c)
+                    new.append((c, s.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in new], pa.int64()), pa.array([t for _, t in new], pa.list_(pa.int64()))], names=["c", "tokens"])
+
+
 def _bits(keys: DataFrame):
     """A Bloom filter over the keys, which are hashes: KEY_BITS bits for each up to MAX_BITS.
 
@@ -187,50 +201,93 @@ def _bits(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
 
-def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, d, link for the pairs (a, b) of sets that share percent of their union or more.
-
-    Parity sketches, a few words a set, rule out nearly all other pairs; the sets of the rest are
-    intersected.
-    """
-    def side(name: str, *extra: str) -> DataFrame:
-        return sets.select(F.col("c").alias(name), F.col("n").alias(f"n{name}"), *[F.col(x).alias(f"{x}_{name}") for x in extra])
-
-    def folded(x: Column, size: Column) -> Column:
-        half = F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda a, b: a.bitwiseXOR(b))
-        return F.when(F.size(x) > size, half).otherwise(x)
-
-    sketched = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
-    size = F.least(F.size("sketch_a"), F.size("sketch_b"))  # one is at most twice the other, as the sets' sizes are
-    differ = F.aggregate(F.zip_with(folded(F.col("sketch_a"), size), folded(F.col("sketch_b"), size), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    most = (100 - percent) * (F.col("na") + F.col("nb"))  # (100 + percent) times the greatest difference
-    close = stored(sketched.filter((100 + percent) * differ <= most).select("a", "b"), "join-close")
-    shared = close.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
-    shared = shared.select("a", "b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("both"), (F.col("na") + F.col("nb")).alias("sum"))
-    union = F.col("sum") - F.col("both")
-    inside = shared.filter(100 * F.col("both") >= percent * union)
-    return inside.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= PERCENT * union).alias("link"))
-
-
-def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (c, label), merged where links (a, b) join two of them; sets without links are not in it."""
-    of = lambda c, l: labels.select(F.col("c").alias(c), F.col("label").alias(l))
-    ends = links.join(of("a", "la"), "a", "left").join(of("b", "lb"), "b", "left")
-    edges = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
-    merged = components(edges).select(F.col("v").alias("label"), F.col("label").alias("to"))
-    moved = labels.join(merged, "label", "left").select("c", F.coalesce("to", "label").alias("label"))
-    fresh = merged.select(F.col("label").alias("c"), F.col("to").alias("label")).join(labels, "c", "left_anti")
-    return stored(moved.unionByName(fresh), "join-labels")
-
-
-def opened(rows: DataFrame, labels: DataFrame) -> DataFrame:
+class Sets:
+    """Sketches of the sets that may have a partner, and tokens of those that were close to one, read when they are wanted."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, sketches: DataFrame) -> None:
+        self.docs, self.classes, self.sketches = docs, classes, sketches
+        self.tokens: DataFrame | None = None
+
+    def fetch(self, close: DataFrame, n: int) -> None:
+        """Reads the tokens of the sets in close (a, b), n pairs, that aren't there yet: of one document each."""
+        wanted = close.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        if self.tokens is not None:
+            wanted = wanted.join(self.tokens.select("c"), "c", "left_anti")
+        wanted = stored(wanted, "join-wanted")
+        m = wanted.count()
+        if not m:
+            return
+        reps = self.classes.join(sent_if_small(wanted, ROW, m), "c").groupBy("c").agg(F.min(F.struct("doc_id", "h")).alias("r"))
+        reps = stored(reps.select("r.*"), "join-readers")
+        read = self.docs.join(sent_if_small(reps, ROW, m), ["doc_id", "h"], "left_semi").select("text").mapInArrow(_tokens, "c long, tokens array<long>")
+        read = stored(read, "join-tokens")
+        if read.count() > m:  # rows that repeat id and text, read by several tasks
+            read = stored(read.dropDuplicates(["c"]), "join-tokens")
+        self.tokens = read if self.tokens is None else self.tokens.unionByName(read)
+
+    def distances(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """a, b, d, link for the stored pairs (a, b) of sets that share percent of their union or more.
+
+        Parity sketches, a few words a set, rule out nearly all other pairs; the sets of the rest are
+        intersected. Each side of a pair is met on its own, so only pairs with what they need move.
+        """
+        def folded(x: Column, size: Column) -> Column:
+            half = F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda a, b: a.bitwiseXOR(b))
+            return F.when(F.size(x) > size, half).otherwise(x)
+
+        def sides(table: DataFrame, of: DataFrame, n: int, column: str) -> DataFrame:
+            one = lambda x: table.select(F.col("c").alias(x), F.col(column).alias(f"{column}_{x}")).join(sent_if_small(of, ROW, n), x)
+            return one("a").join(one("b"), ["a", "b"])
+
+        n = pairs.count()
+        sketched = sides(self.sketches.withColumn("sized", F.struct("n", "sketch")), pairs, n, "sized")
+        x, y = F.col("sized_a.sketch"), F.col("sized_b.sketch")
+        size = F.least(F.size(x), F.size(y))  # one is at most twice the other, as the sets' sizes are
+        differ = F.aggregate(F.zip_with(folded(x, size), folded(y, size), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+        most = (100 - percent) * (F.col("sized_a.n") + F.col("sized_b.n"))  # (100 + percent) times the greatest difference
+        close = stored(sketched.filter((100 + percent) * differ <= most).select("a", "b"), "join-close")
+        n = close.count()
+        if n:
+            self.fetch(close, n)
+        if not n or self.tokens is None:
+            return close.select("a", "b", F.lit(0.0).alias("d"), F.lit(False).alias("link")).limit(0)
+        both = sides(self.tokens, close, n, "tokens")
+        both = both.select("a", "b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("both"), (F.size("tokens_a") + F.size("tokens_b")).alias("sum"))
+        union = F.col("sum") - F.col("both")
+        inside = both.filter(100 * F.col("both") >= percent * union)
+        return inside.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= PERCENT * union).alias("link"))
+
+
+class Labels:
+    """c, label: the component so far of each set that has a link; other sets are their own."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.table, self.n = spark.createDataFrame([], "c long, label long"), 0
+
+    def of(self, c: str, label: str) -> DataFrame:
+        return sent_if_small(self.table.select(F.col("c").alias(c), F.col("label").alias(label)), ROW, self.n)
+
+    def merge(self, links: DataFrame) -> None:
+        """Labels that links (a, b) join become one, the least."""
+        ends = links.join(self.of("a", "la"), "a", "left").join(self.of("b", "lb"), "b", "left")
+        edges = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        found = components(edges)
+        n = found.count()
+        merged = sent_if_small(found.select(F.col("v").alias("label"), F.col("label").alias("to")), ROW, n)
+        moved = self.table.join(merged, "label", "left").select("c", F.coalesce("to", "label").alias("label"))
+        fresh = found.select(F.col("v").alias("c"), "label").join(self.of("c", "_old"), "c", "left_anti")
+        self.table = stored(moved.unionByName(fresh), "join-labels")
+        self.n = self.table.count()
+
+
+def opened(rows: DataFrame, labels: Labels) -> DataFrame:
     """The rows of regions that may still hold a link between two labels, with label, top, free and first.
 
     top is the region's most frequent label and free the number of sets outside it: pivots come from
     those, so a group that is linked already is never compared with itself. first is the set that
     comes first by at or away.
     """
-    tagged = rows.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    tagged = rows.join(labels.of("c", "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     order = F.struct(F.coalesce(F.col("at").cast("double"), "away"), "c")
     blocks = tagged.groupBy("region", "label").agg(F.count("*").alias("k"), F.max("home").alias("home"), F.min(order).alias("first"))
     of = blocks.groupBy("region").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("label", "k").alias("top"), F.max("home").alias("some_home"), F.min("first").alias("first"))
@@ -252,8 +309,8 @@ def elected(rows: DataFrame, level: int) -> DataFrame:
     return rows.filter((F.col("c") == F.col("first")) | drawn)
 
 
-def compared(rows: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """region, p, y: the pivots and the sets of their regions that could share percent of their union.
+def compared(rows: DataFrame, pivots: DataFrame, n: int, percent: int) -> DataFrame:
+    """region, p, y, a, b, n: the pivots and the sets (n rows) of their regions that could share percent of their union.
 
     For links (PERCENT) only sets of different labels count. Sizes bound what is shared, and so do
     the tokens after the one that made the region and, as the first that a pair shares may be taken,
@@ -270,11 +327,12 @@ def compared(rows: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     if percent == PERCENT:
         in_ring = (F.col("hp") | F.col("hy")) & (F.abs(F.col("dp") - F.col("dy")) <= REACH + 1e-9)
         bound = bound & (F.col("lp") != F.col("ly")) & (whole * after_p >= need) & (whole * after_y >= need) & (F.col("dp").isNull() | in_ring)
-    return p.alias("p").join(y.alias("y"), (F.col("p.region") == F.col("y.region")) & bound).select("p.region", "p", "y", F.least("p", "y").alias("a"), F.greatest("p", "y").alias("b"))
+    met = y.alias("y").join(sent_if_small(p, ROW, n).alias("p"), (F.col("p.region") == F.col("y.region")) & bound)
+    return met.select("p.region", "p", "y", F.least("p", "y").alias("a"), F.greatest("p", "y").alias("b"), F.col("ny").alias("n"))
 
 
-def next_level(rows: DataFrame, pivots: DataFrame, labels: DataFrame, links: DataFrame | None, sets: DataFrame, level: int) -> DataFrame:
-    """The regions below these: cells with their windows, far parts, and cells without the pivots that were compared.
+def next_level(rows: DataFrame, n: int, pivots: DataFrame, labels: Labels, links: DataFrame | None, sets: Sets, level: int) -> DataFrame:
+    """The regions below these n rows: cells with their windows, far parts, and cells without the pivots that were compared.
 
     Pivots are done with in their region, as they were compared with all that they could link with.
     Where a region still holds two labels, the pivots that found a link get cells: a set within REACH
@@ -283,47 +341,56 @@ def next_level(rows: DataFrame, pivots: DataFrame, labels: DataFrame, links: Dat
     pivot has in several regions are one region.
     """
     names = ["region", "c", "n", "at", "home", "away"]
-    left = rows.select(names).join(pivots.select("region", "c"), ["region", "c"], "left_anti")
+    left = rows.select(names).join(sent_if_small(pivots.select("region", "c"), ROW, n), ["region", "c"], "left_anti")
     if links is None:
         return left
     left = stored(opened(left, labels), "join-left")
-    linked = links.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    met = stored(compared(left, pivots.filter("away is null").join(linked, "c", "left_semi"), WINDOW), "join-window")
-    near = stored(distances(met.select("a", "b").distinct(), sets, WINDOW), "join-near")
-    inside = stored(met.join(near, ["a", "b"]).select("region", "p", F.col("y").alias("c"), "d", "link"), "join-inside")
-    nearest = inside.filter("link").groupBy("region", "c").agg(F.min_by("p", F.struct("d", "p")).alias("nearest"))
+    n = left.count()
+    if not n:
+        return left.select(names)
+    linked = links.select(F.explode(F.array("a", "b")).alias("c"))
+    cored = pivots.filter("away is null").join(sent_if_small(linked, ROW, 2 * links.count()), "c", "left_semi")
+    met = stored(compared(left, cored, n, WINDOW), "join-window")
+    near = stored(sets.distances(stored(met.select("a", "b").distinct(), "join-pairs"), WINDOW), "join-near")
+    k = near.count()
+    if not k:
+        return left.select(names)
+    inside = stored(met.join(sent_if_small(near, ROW, k), ["a", "b"]).select("region", "p", F.col("y").alias("c"), "n", "d", "link"), "join-inside")
+    k = inside.count()
+    nearest = sent_if_small(inside.filter("link").groupBy("region", "c").agg(F.min_by("p", F.struct("d", "p")).alias("nearest")), ROW, k)
     far = left.select(names).join(nearest, ["region", "c"], "left_anti")
-    held = inside.join(nearest, ["region", "c"], "left").groupBy("p", "c").agg(F.max(F.coalesce(F.col("p") == F.col("nearest"), F.lit(False))).alias("home"), F.min("d").alias("away"))
-    cells = held.join(left.select("c", "n").distinct(), "c").select(F.xxhash64("p", F.lit(level), F.lit("cell")).alias("region"), "c", "n", F.lit(None).cast("int").alias("at"), "home", "away")
+    held = inside.join(nearest, ["region", "c"], "left").groupBy("p", "c", "n").agg(F.max(F.coalesce(F.col("p") == F.col("nearest"), F.lit(False))).alias("home"), F.min("d").alias("away"))
+    cells = held.select(F.xxhash64("p", F.lit(level), F.lit("cell")).alias("region"), "c", "n", F.lit(None).cast("int").alias("at"), "home", "away")
     return far.unionByName(cells)
 
 
-def class_labels(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """c, label: the sets that link with another one, by component; docs (text) are those with an id."""
+def class_labels(docs: DataFrame, classes: DataFrame, counts: DataFrame) -> Labels:
+    """The sets that link with another one, by component; docs (doc_id, h, text) and classes (doc_id, h, c) are those with an id."""
     spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(token_levels(rows))
+    levels = spark.sparkContext.broadcast(token_levels(counts))
     text = docs.select("text")
     counted = text.mapInArrow(_keys(levels), "key long, c long, n int").groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min("n").alias("least"))
     met = stored(counted.filter("a < b").select("key", "least"), "join-keys")
-    sets = stored(text.mapInArrow(_met_sets(levels, _bits(met)), SETS).dropDuplicates(["c"]), "join-sets")
-    first = sets.select("c", "n", F.explode("keys").alias("_k")).select(F.col("_k.key").alias("region"), "c", "n", F.col("_k.at").alias("at"))
+    sketched = stored(text.mapInArrow(_met_sets(levels, _bits(met)), SETS).dropDuplicates(["c"]), "join-sets")
+    sets, labels = Sets(docs, classes, sketched.select("c", "n", "sketch")), Labels(spark)
+    first = sketched.select("c", "n", F.explode("keys").alias("_k")).select(F.col("_k.key").alias("region"), "c", "n", F.col("_k.at").alias("at"))
     # a pair's first shared token leaves room for the rest of what even the smallest partner must share
     room = (100 + PERCENT) * (F.col("n") - F.col("at")) >= PERCENT * (F.col("n") + F.col("least"))
     first = first.join(met.withColumnRenamed("key", "region"), "region").filter(room)
     regions = first.select("region", "c", "n", "at", F.lit(True).alias("home"), F.lit(None).cast("double").alias("away"))
-    labels = spark.createDataFrame([], "c long, label long")
     level = 0
     while True:
         rows = stored(opened(regions, labels), "join-rows")
-        if rows.isEmpty():
+        n = rows.count()
+        if not n:
             return labels
         pivots = elected(rows, level)
-        pairs = stored(compared(rows, pivots, PERCENT).select("a", "b").distinct(), "join-pairs")
-        links = stored(distances(pairs, sets, PERCENT), "join-links")
+        pairs = stored(compared(rows, pivots, n, PERCENT).select("a", "b").distinct(), "join-pairs")
+        links = stored(sets.distances(pairs, PERCENT), "join-links")
         found = not links.isEmpty()
         if found:
-            labels = relabelled(labels, links)
-        regions = next_level(rows, pivots, labels, links if found else None, sets, level)
+            labels.merge(links)
+        regions = next_level(rows, n, pivots, labels, links if found else None, sets, level)
         level += 1
 
 
@@ -331,10 +398,11 @@ def judged_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h, n, c) of every row, h a hash of its text, and (c, label, v) of every set that has an id, v its least."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("h"), text_or_empty().cast("binary").alias("text"))
     rows = stored(docs.mapInArrow(_classes, "doc_id long, h long, n long, c long, part int, counts binary"), "join-classes")
-    labels = class_labels(docs.filter("doc_id is not null"), rows)
     sets = rows.filter("part is null").select("doc_id", "h", "n", "c")
-    named = sets.filter("n > 0 and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("v"))
-    return sets, stored(named.join(labels, "c", "left").select("c", F.coalesce("label", "c").alias("label"), "v"), "join-named")
+    known = sets.filter("n > 0 and doc_id is not null")
+    labels = class_labels(docs.filter("doc_id is not null"), known, rows)
+    named = known.groupBy("c").agg(F.min("doc_id").alias("v"))
+    return sets, stored(named.join(labels.of("c", "label"), "c", "left").select("c", F.coalesce("label", "c").alias("label"), "v"), "join-named")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -350,13 +418,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     the set. Other columns are ignored. Shingles and sets are known by 64 bits.
     """
     sets, named = judged_sets(docs)
-    whole = named.groupBy("label").agg(F.min("v").alias("a"))
-    edges = named.join(whole, "label").select("a", F.col("v").alias("b"))
-    # a document id that stands for several sets joins them
-    repeated = sets.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most")
-    own = sets.filter("n > 0").join(repeated.select("doc_id"), "doc_id").join(named, "c").select(F.col("doc_id").alias("a"), F.col("v").alias("b"))
-    labels = components(edges.unionByName(own))
-    by_set = named.drop("label").join(labels, "v", "left").select("c", F.coalesce("label", "v").alias("by_set"))
+    least = stored(named.join(named.groupBy("label").agg(F.min("v").alias("a")), "label").select("c", "a"), "join-least")
+    # a document id that stands for several sets joins their components
+    repeated = sets.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("c").alias("_x"), F.max("c").alias("_y")).filter("_x < _y").select("doc_id")
+    own = stored(sets.filter("n > 0").join(repeated, "doc_id").select("doc_id", "c").distinct().join(least, "c").select("doc_id", F.col("a").alias("b")).distinct(), "join-repeated")
+    by_set = least.select("c", F.col("a").alias("by_set"))
+    if not own.isEmpty():
+        edges = own.join(own.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").select("a", "b")
+        labels = components(edges).withColumnRenamed("v", "a")
+        by_set = least.join(labels, "a", "left").select("c", F.coalesce("label", "a").alias("by_set"))
     out = sets.join(by_set, "c", "left").withColumn("by_set", F.when(F.col("n") > 0, F.col("by_set")))
     by_id = out.filter("doc_id is not null and by_set is not null").groupBy("doc_id").agg(F.min("by_set").alias("by_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("by_id", "doc_id")).otherwise(F.col("by_set"))
