@@ -1,4 +1,10 @@
-"""Mixing sources to target weights by Pareto order sampling."""
+"""Mixing sources to target weights by Pareto order sampling.
+
+What a source's target lacks after whole copies of everything is drawn document by document, with
+inclusion in proportion to size: a document of s words is included with min(1, c * s), c such that
+the expected words are those lacking. Certain documents get one more whole copy; the rest are ranked
+by random odds over inclusion odds and taken in that order up to the words lacking.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from neurospan.llm.common import n_words, stored, table, text_or_empty
+from neurospan.llm.common import n_words, sent_if_small, stored, table, text_or_empty
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -15,7 +21,7 @@ BUCKETS = 4096
 
 def uniform(key: Column) -> Column:
     """A number in (0, 1) that depends on the key alone: 52 bits of its MD5."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long")
+    bits = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long")
     return (bits.cast("double") + 0.5) / F.lit(float(2**52))
 
 
@@ -42,83 +48,120 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_c
     return per.select("source", "source_size", F.least(cap, F.col("_level") * F.col("_w")).alias("target"))
 
 
-#: Sources whose plan is sent to every task; more are joined by shuffle.
-MAX_SENT_SOURCES = 50_000
-
+def with_inclusion(plan: DataFrame, rows: DataFrame) -> DataFrame:
+    """plan with _c, where a document's inclusion is min(1, _c * size), and _lack without the certain documents' words.
 
-def _rank(plan_f: Column) -> Column:
-    u = uniform(F.col("doc_id"))
-    return F.when(plan_f > 0, (u / (1 - u)) / (F.nullif(plan_f, F.lit(0.0)) / (1 - plan_f)))
-
-
-def _bucket(q: Column, buckets: int) -> Column:
-    return F.floor(q / (1 + q) * buckets).cast("int")
+    Solved on counts by source and size: with the sizes above v certain, c is what is lacking over
+    the squares of the rest, and the greatest v with c * v up to 1 is right, as c grows with each size
+    that becomes certain. The windows see a row for each size that a source holds, never documents.
+    """
+    per = rows.groupBy("source", "size").agg(F.count("*").cast("double").alias("_n")).filter("size > 0")
+    per = per.withColumnRenamed("source", "_s").join(sent_if_small(plan.select("_source", "_lack"), 100), F.col("_s").eqNullSafe(F.col("_source"))).drop("_s")
+    size = F.col("size").cast("double")
+    up = W.partitionBy("_source").orderBy("size")
+    down = W.partitionBy("_source").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)
+    above = F.coalesce(F.sum(F.col("_n") * size).over(down), F.lit(0.0))
+    per = per.withColumn("_above", above).withColumn("_level", (F.col("_lack") - F.col("_above")) / F.sum(F.col("_n") * size * size).over(up))
+    found = per.filter(F.col("_level") * size <= 1).groupBy("_source").agg(F.max_by(F.struct("_level", "_above"), "size").alias("_x"))
+    found = found.select(F.col("_source").alias("_s"), F.greatest("_x._level", F.lit(0.0)).alias("_c"), F.col("_x._above").alias("_above"))
+    joined = plan.join(found, plan["_source"].eqNullSafe(found["_s"]), "left").drop("_s")
+    return joined.withColumn("_lack", F.col("_lack") - F.coalesce("_above", F.lit(0.0))).drop("_above")
+
+
+def _ranked(rows: DataFrame, plan: DataFrame, buckets: int) -> DataFrame:
+    """rows with their source's plan, _pi, the rank _q of those not certain, and the rank's digits _b1, _b2, _b3.
+
+    _b1 and _b2 are the first digits of _q / (1 + _q) to the base of buckets, _b3 is one of _tie,
+    which tells rows apart that share everything else.
+    """
+    joined = rows.join(sent_if_small(plan, 200), rows["source"].eqNullSafe(plan["_source"])).drop("_source")
+    joined = joined.withColumn("_pi", F.least(F.lit(1.0), F.coalesce("_c", F.lit(0.0)) * F.col("size")))
+    odds = (F.col("_u") / (1 - F.col("_u"))) / (F.nullif("_pi", F.lit(0.0)) / F.nullif(1 - F.col("_pi"), F.lit(0.0)))
+    joined = joined.withColumn("_q", odds)
+    x = F.col("_q") / (1 + F.col("_q")) * buckets
+    joined = joined.withColumn("_b1", F.floor(x).cast("int"))
+    return joined.withColumn("_b2", F.floor((x - F.col("_b1")) * buckets).cast("int")).withColumn("_b3", F.floor(F.col("_tie") * buckets).cast("int"))
 
 
 def mix_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, buckets: int = BUCKETS) -> DataFrame:
-    """One row per source: source_size, target, whole copies, fraction, what is lacking, and the cut.
+    """One row per source: source_size, target, whole copies, inclusion, what is lacking, and the cut.
 
-    rows has doc_id, source, size. The cut is the bucket of the rank where the words drawn reach
-    what is lacking, found on sums by source and bucket.
+    rows has doc_id, source, size, _u and _tie. The cut is where the words drawn reach what is
+    lacking: digit by digit of the rank, on sums by source and digit, each over the rows that share
+    the digits before. So the last digit's rows, which are ordered one by one, are few however large
+    a source is and however often a document is repeated.
     """
     plan = source_targets(rows, weights, max_copies)
     ratio = F.col("target") / F.nullif(F.col("source_size"), F.lit(0))
-    plan = plan.select(
-        F.col("source").alias("_source"), "source_size", "target",
-        F.floor(F.coalesce(ratio, F.lit(0.0))).cast("long").alias("_whole"),
-        F.coalesce(ratio - F.floor(ratio), F.lit(0.0)).alias("_f"),
-    ).withColumn("_lack", F.col("target") - F.col("_whole") * F.col("source_size"))
-    plan = stored(plan, "mix-plan")
-    drawn = rows.join(sent(plan), rows["source"].eqNullSafe(plan["_source"])).withColumn("_bucket", _bucket(_rank(F.col("_f")), buckets))
-    sums = drawn.filter("_bucket is not null").groupBy("_source", "_lack", "_bucket").agg(F.sum("size").alias("_sum"))
-    run = W.partitionBy("_source").orderBy("_bucket")
-    cut = (
-        sums.withColumn("_before", F.sum("_sum").over(run) - F.col("_sum"))
-        .filter((F.col("_before") < F.col("_lack")) & (F.col("_lack") <= F.col("_before") + F.col("_sum")))
-        .select(F.col("_source").alias("_s"), F.col("_bucket").alias("_cut"), "_before")
-    )
-    return stored(plan.join(cut, plan["_source"].eqNullSafe(cut["_s"]), "left").drop("_s"), "mix-cut")
-
-
-def sent(plan: DataFrame) -> DataFrame:
-    return F.broadcast(plan) if plan.count() <= MAX_SENT_SOURCES else plan
+    plan = plan.select(F.col("source").alias("_source"), "source_size", "target", F.floor(F.coalesce(ratio, F.lit(0.0))).cast("long").alias("_whole"))
+    plan = stored(plan.withColumn("_lack", F.col("target") - F.col("_whole") * F.col("source_size")), "mix-plan")
+    plan = stored(with_inclusion(plan, rows), "mix-inclusion").withColumn("_before", F.lit(0.0))
+    digits: list[str] = []
+    for digit in ("_b1", "_b2", "_b3"):
+        drawn = _ranked(rows, plan, buckets).filter("_q is not null")
+        for d in digits:
+            drawn = drawn.filter(F.col(d) == F.col(f"_cut{d}"))
+        sums = drawn.groupBy("source", "_lack", "_before", digit).agg(F.sum("size").cast("double").alias("_sum"))
+        run = W.partitionBy("source").orderBy(digit)
+        sums = sums.withColumn("_start", F.col("_before") + F.sum("_sum").over(run) - F.col("_sum"))
+        cut = sums.filter((F.col("_start") < F.col("_lack")) & (F.col("_lack") <= F.col("_start") + F.col("_sum")))
+        cut = cut.groupBy("source").agg(F.min(digit).alias(f"_cut{digit}"), F.min("_start").alias("_start"))
+        kept = [c for c in plan.columns if c != "_before"]
+        plan = plan.join(cut.withColumnRenamed("source", "_s"), plan["_source"].eqNullSafe(F.col("_s")), "left")
+        plan = stored(plan.select(*kept, f"_cut{digit}", F.coalesce("_start", "_before").alias("_before")), "mix-cut")
+        digits.append(digit)
+    return plan
 
 
 def pareto_mix(rows: DataFrame, plan: DataFrame, max_copies: int = MAX_COPIES, buckets: int = BUCKETS) -> DataFrame:
-    """rows (doc_id, source, size, ...) with source_size, target, copies and taken added.
+    """rows (doc_id, source, size, _u, _tie, ...) with source_size, target, copies and taken added.
 
-    A source's ratio of target to size gives every document its whole copies; the fraction f left
-    over is each document's inclusion probability, so it differs from source to source. Documents
-    are ranked by u/(1-u) over f/(1-f) and the first ones are taken until their words come nearest
-    to what the target still lacks: a sample of fixed size. Only the bucket that holds the cut is
-    ordered row by row, so no task sees a source.
+    A source's ratio of target to size gives every document its whole copies. What the target still
+    lacks is drawn with inclusion in proportion to size; certain documents are taken, the others are
+    ranked by u/(1-u) over their own inclusion odds and the first ones are taken until their words
+    come nearest to what is lacking: a sample of fixed size. Only rows with all three digits of the
+    cut are ordered one by one, so no task sees a source.
 
-    Null sizes count as 0; a source without words gets target 0; a null source is one source.
-    Copies of a row and rows that repeat a doc_id have the same rank and follow each other. Columns
-    of rows with the names that are added are replaced.
+    Null sizes count as 0; a document without words is never drawn; a source without words gets
+    target 0; a null source is one source. Ties in rank go by doc_id. Columns of rows with the names
+    that are added are replaced, and _u and _tie are dropped.
     """
-    rows = rows.drop("source_size", "target", "copies", "taken")
-    joined = rows.join(sent(plan), rows["source"].eqNullSafe(plan["_source"])).drop("_source").withColumn("_q", _rank(F.col("_f"))).withColumn("_bucket", _bucket(F.col("_q"), buckets))
-    at_cut = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
-    inside = W.partitionBy("source", "_bucket").orderBy("_q", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.drop("source_size", "target", "copies", "taken").withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
+    own = [c for c in rows.columns if c not in ("_u", "_tie")]
+    joined = _ranked(rows, plan, buckets)
+    cut = [F.coalesce(F.col(f"_cut{d}"), F.lit(-1)) for d in ("_b1", "_b2", "_b3")]
+    at = F.struct("_b1", "_b2", "_b3")
+    joined = joined.withColumn("_at_cut", F.col("_q").isNotNull() & (at == F.struct(*cut)))
+    inside = W.partitionBy("source").orderBy("_q", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    edge = joined.filter(at_cut).withColumn("_take", before + F.col("size") / 2 < F.col("_lack"))
-    # a source without a cut lacks nothing (f = 0) or, by rounding, all that it has
-    rest = joined.filter(~at_cut).withColumn("_take", F.when(F.col("_cut").isNotNull(), F.col("_bucket") < F.col("_cut")).otherwise(F.col("_lack") > 0))
+    edge = joined.filter("_at_cut").withColumn("_take", before + F.col("size") / 2 < F.col("_lack"))
+    # a source without a cut lacks nothing or, by rounding, all that can be drawn
+    drawn = F.col("_q").isNotNull() & F.when(F.col("_cut_b1").isNotNull(), at < F.struct(*cut)).otherwise(F.col("_lack") > 0)
+    rest = joined.filter("not _at_cut").withColumn("_take", (F.col("_pi") >= 1) | drawn)
     both = edge.unionByName(rest)
-    copies = F.least(F.col("_whole") + F.coalesce(F.col("_take") & F.col("_q").isNotNull(), F.lit(False)).cast("long"), F.lit(max_copies))
-    kept = [F.col(c) for c in both.columns if not c.startswith("_")]
-    return both.select(*kept, copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    copies = F.least(F.col("_whole") + F.col("_take").cast("long"), F.lit(max_copies))
+    return both.select(*own, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def _lots(docs: DataFrame, seed: int = 0) -> list[Column]:
+    """doc_id, source, size, the random number of a document (by id and text) and one of its row."""
+    text = text_or_empty()
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text), *([F.lit(str(seed))] if seed else []))
+    row = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return [F.col("doc_id"), F.col("source").cast("string").alias("source"), n_words(text).alias("size"), uniform(key).alias("_u"), row.alias("_tie")]
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("size"))
+def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
+    return docs.select(*_lots(docs, seed))
 
 
 def mixed_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """The documents that the mix takes, each as often as it does; no text is shuffled."""
+    """The documents that the mix takes, each as often as it does; no text is shuffled.
+
+    docs should be a table: rows equal in id and text are told apart by their place in it.
+    """
     plan = mix_plan(stored(sized(docs), "mix-sizes"), weights)
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("size"), F.struct("*").alias("row"))
+    rows = docs.select(*_lots(docs), F.struct("*").alias("row"))
     taken = pareto_mix(rows, plan).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return taken.select("row.*")
 
@@ -131,7 +174,7 @@ def op5_pareto_mix(spark, sf_dir):
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, text, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -142,17 +185,25 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, least(source_size * 3.0::DOUBLE, w * (SELECT max(v) FROM v WHERE v * w <= source_size * 3.0::DOUBLE)) AS target FROM v
 ), r AS (
-  SELECT *, CAST(floor(coalesce(target / nullif(source_size, 0), 0)) AS BIGINT) AS whole,
-         coalesce(target / nullif(source_size, 0) - floor(target / nullif(source_size, 0)), 0) AS f FROM t
+  SELECT *, CAST(floor(coalesce(target / nullif(source_size, 0), 0)) AS BIGINT) AS whole FROM t
+), l AS (
+  SELECT *, target - whole * source_size AS lack FROM r
+), z AS (
+  SELECT d.source, d.size, CAST(count(*) AS DOUBLE) AS n, any_value(lack) AS lack FROM d JOIN l ON d.source IS NOT DISTINCT FROM l.source WHERE size > 0 GROUP BY d.source, d.size
+), y AS (
+  SELECT *, coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
+         sum(n * size * size) OVER (PARTITION BY source ORDER BY size) AS squares FROM z
+), x AS (
+  SELECT source, greatest(arg_max((lack - above) / squares, size), 0) AS c, arg_max(above, size) AS above FROM y WHERE (lack - above) / squares * size <= 1 GROUP BY source
 ), q AS (
-  SELECT d.*, source_size, target, whole, f, target - whole * source_size AS lack,
-         (CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+  SELECT d.doc_id, d.size, d.source, l.source_size, l.target, l.whole, l.lack - coalesce(x.above, 0) AS lack, least(1.0::DOUBLE, coalesce(x.c, 0) * d.size) AS pi,
+         (CAST(('0x' || substr(md5(concat_ws(':', coalesce(CAST(d.doc_id AS VARCHAR), ''), md5(coalesce(d.text, '')))), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM d JOIN l ON d.source IS NOT DISTINCT FROM l.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source
 ), o AS (
-  SELECT *, (u / (1 - u)) / (nullif(f, 0) / (1 - f)) AS q FROM q
-), c AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM o
+  SELECT *, CASE WHEN pi > 0 AND pi < 1 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS q FROM q
+), k AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM o
 )
 SELECT doc_id, size, source_size, target,
-       CAST((whole + CASE WHEN f > 0 AND b + size / 2 < lack THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM c
+       CAST((whole + CASE WHEN pi >= 1 OR (q IS NOT NULL AND b + size / 2 < lack) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM k
 """

@@ -67,6 +67,39 @@ def test_mix_comes_near_its_targets(documents):
     assert sorted((r["doc_id"], r["taken"]) for r in out) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
+def test_inclusion_is_in_proportion_to_size_with_certainties_apart(documents):
+    sizes = [1 + i % 4 * 6 for i in range(60)] + [400]
+    docs = documents([(i, "w " * n, "en", "a") for i, n in enumerate(sizes)] + [(100 + i, "w " * 100, "en", "b") for i in range(12)])
+    taken, plan = {}, None
+    seeds = 30
+    for seed in range(1, seeds + 1):
+        df = mixing.stored(mixing.sized(docs, seed), "test-sizes")
+        plan = mixing.mix_plan(df)
+        for r in mixing.pareto_mix(df, plan).filter("source = 'a'").collect():
+            taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["copies"]
+    a = next(r for r in plan.collect() if r["_source"] == "a")
+    lack, c = a["target"] - a["_whole"] * a["source_size"], a["_c"]
+    want = [a["_whole"] + min(1, c * n) for n in sizes]
+    assert abs(sum(min(1, c * n) * n for n in sizes) - lack) < 1e-6 and want[-1] == a["_whole"] + 1
+    assert taken[60] == seeds * want[-1]  # a certainty, each time
+    by_size = {n: [i for i, m in enumerate(sizes) if m == n] for n in set(sizes)}
+    for n, ids in by_size.items():
+        mean = sum(taken[i] for i in ids) / len(ids) / seeds
+        assert abs(mean - want[ids[0]]) < 0.08, (n, mean, want[ids[0]])
+    share = [sum(taken[i] for i in by_size[n]) for n in (1, 7, 13, 19)]
+    assert share == sorted(share) and 5 * share[0] < share[-1]  # plain random order would not tell sizes apart
+
+
+def test_rows_that_repeat_an_id_are_split_at_the_cut(documents):
+    other = [(9, "x " * 3000, "en", "b")]
+    texts = [(7, f"w{i} " * 10, "en", "a") for i in range(400)]
+    for rows in (texts, [(8, "same " * 10, "en", "a")] * 400, texts[:100] + [(8, "same " * 10, "en", "a")] * 300):
+        df = mixing.stored(mixing.sized(documents(rows + other)), "test-sizes")
+        out = [r for r in mixing.pareto_mix(df, mixing.mix_plan(df, buckets=8), buckets=8).collect() if r["source"] == "a"]
+        assert len(out) == 400 and len({r["copies"] for r in out}) == 2
+        assert abs(sum(r["taken"] for r in out) - out[0]["target"]) <= 5
+
+
 def test_mix_on_awkward_and_empty_tables(awkward, empty):
     df = mixing.sized(awkward)
     out = mixing.pareto_mix(df, mixing.mix_plan(df)).collect()
