@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurospan.llm.common import SPACE, WORD, stored, table, text_or_empty
+from neurospan.llm.common import SPACE, WORD, sent_if_small, stored, table, text_or_empty
 
 SYMBOLS = r"[#*$%&|<>]+"
 A_WORD = r"[^\x20\x09-\x0D]"
-#: Rules as SQL over the measures: (name, what makes a document suspect, what rejects it anywhere).
+#: Rules as SQL over the measures: (name, what makes a document suspect, the measured ratio, where suspicion starts, where it is full).
 RULES = (
-    ("symbols", "10 * n_symbols > n_words", "10 * n_symbols > 3 * n_words"),
-    ("repeats", "10 * n_repeat_words > 3 * n_words", "10 * n_repeat_words > 4 * n_words"),
-    ("dup_lines", "10 * n_dup_lines > 3 * n_lines", "10 * n_dup_lines > 5 * n_lines"),
-    ("word_length", "n_words > 0 AND (word_chars > 12 * n_words OR word_chars < 2 * n_words)", "n_words > 0 AND word_chars > 20 * n_words"),
-    ("short", "n_words < 50", "n_words = 0"),
+    ("symbols", "10 * n_symbols > n_words", "CAST(n_symbols AS DOUBLE) / greatest(n_words, 1)", 0.1, 0.3),
+    ("repeats", "10 * n_repeat_words > 3 * n_words", "CAST(n_repeat_words AS DOUBLE) / greatest(n_words, 1)", 0.3, 0.4),
+    ("dup_lines", "10 * n_dup_lines > 3 * n_lines", "CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1)", 0.3, 0.5),
+    ("long_words", "word_chars > 12 * n_words", "CAST(word_chars AS DOUBLE) / greatest(n_words, 1)", 12, 20),
+    ("short_words", "n_words > 0 AND word_chars < 2 * n_words", "2.0 - CAST(word_chars AS DOUBLE) / greatest(n_words, 1)", 0, 1),
+    ("short", "n_words < 50", "50.0 - n_words", 0, 50),
+)
+FAILED = " OR ".join(f"({suspect})" for _, suspect, *_ in RULES)
+#: A document's score: a half for each rule it is suspect by, up to one where the suspicion is full.
+SCORE = " + ".join(
+    f"CASE WHEN {suspect} THEN CAST(0.5 AS DOUBLE) + CAST(0.5 AS DOUBLE) * least(CAST(1 AS DOUBLE), ({x} - CAST({start} AS DOUBLE)) / CAST({full - start:.6g} AS DOUBLE)) ELSE CAST(0 AS DOUBLE) END"
+    for _, suspect, x, start, full in RULES
 )
-SUSPECT = " + ".join(f"CASE WHEN {soft} THEN 1 ELSE 0 END" for _, soft, _ in RULES)
-GROSS = " OR ".join(f"({hard})" for *_, hard in RULES)
-#: A host is bad where the shrunk share of its documents that fail is above this.
-MAX_RATE = 0.5
 
 
 def with_repeats(df: DataFrame) -> DataFrame:
@@ -79,21 +82,23 @@ def host_rates(judged: DataFrame) -> DataFrame:
     return per.select("host", ((F.col("k") + m * strength) / (F.col("n") + strength)).alias("rate"))
 
 
-def host_rules(docs: DataFrame, host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """Every document's measures with failed (suspect by any rule), host_rate, host_ok and kept.
+def host_rules(docs: DataFrame, host: str = "source") -> DataFrame:
+    """Every document's measures with failed (suspect by any rule), score, host_rate, host_ok and kept.
 
-    A document is rejected where it fails a base rule, fails a rule grossly, or is suspect by one
-    rule on a bad host or by two on any. Clean documents of bad hosts stay. A null host is one host; an empty text
-    fails; a table without rows gives none. Ties in a rate go to the host.
+    A host's verdict is the share of its documents that fail, shrunk towards all hosts; what that
+    leaves to doubt, one less the rate, is the score up to which its documents are kept. So where
+    half of a host fails every suspect document goes, and the better a host is the surer a suspicion
+    must be; two suspicions, or one in full, are too much on any. Clean documents of bad hosts stay.
+    host_ok says whether a host keeps documents with one slight suspicion. A null host is one host; an
+    empty text fails; a table without rows gives none.
     """
     rows = stored(measures(docs, host), "quality-measures")
-    rows = rows.withColumn("n_failed", F.expr(SUSPECT)).withColumn("failed", F.col("n_failed") > 0)
-    rates = host_rates(rows).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"))
-    rows = rows.join(rates, rows["host"].eqNullSafe(rates["_host"])).drop("_host")
+    rows = rows.withColumn("failed", F.expr(FAILED)).withColumn("score", F.expr(SCORE))
+    rates = stored(host_rates(rows).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate")), "quality-rates")
+    rows = rows.join(sent_if_small(rates, 200), rows["host"].eqNullSafe(rates["_host"])).drop("_host")
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    host_ok = F.col("host_rate") <= max_rate
-    kept = ~base_failed & ~F.expr(GROSS) & (~F.col("failed") | (host_ok & (F.col("n_failed") < 2)))
-    return rows.withColumn("base_failed", base_failed).withColumn("host_ok", host_ok).withColumn("kept", kept)
+    kept = ~base_failed & (~F.col("failed") | (F.col("score") <= 1 - F.col("host_rate")))
+    return rows.withColumn("base_failed", base_failed).withColumn("host_ok", F.col("host_rate") < 0.5).withColumn("kept", kept)
 
 
 def op10_host_rules(spark, sf_dir):
@@ -111,13 +116,13 @@ p AS (SELECT r, count(DISTINCT i + o) AS n_repeat_words FROM c, (SELECT unnest([
 m AS (SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN p USING (r)),
-f AS (SELECT *, {SUSPECT} AS n_failed FROM m),
-per AS (SELECT host, count(*) AS n, count(*) FILTER (n_failed > 0) AS k FROM f GROUP BY host),
+f AS (SELECT *, {FAILED} AS failed, {SCORE} AS score FROM m),
+per AS (SELECT host, count(*) AS n, count(*) FILTER (failed) AS k FROM f GROUP BY host),
 tot AS (SELECT CAST(sum(n) AS DOUBLE) AS nn, CAST(sum(k) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS m, avg(n) AS mean_n FROM per),
 var AS (SELECT m, mean_n, (SELECT sum(n * (k / n - tot.m) * (k / n - tot.m)) FROM per) / nn - m * (1 - m) / mean_n AS b FROM tot),
 pri AS (SELECT m, CASE WHEN b > 1e-12 THEN greatest(m * (1 - m) / b - 1, 1.0) ELSE mean_n END AS w FROM var),
 rate AS (SELECT host, (k + m * w) / (n + w) AS rate FROM per, pri),
-j AS (SELECT f.*, rate, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, rate <= {MAX_RATE} AS host_ok FROM f JOIN rate ON f.host IS NOT DISTINCT FROM rate.host)
+j AS (SELECT f.*, rate, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, rate < 0.5 AS host_ok FROM f JOIN rate ON f.host IS NOT DISTINCT FROM rate.host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT ({GROSS}) AND (n_failed = 0 OR (host_ok AND n_failed < 2)) AS kept, host_ok, round(rate, 9) AS host_rate FROM j
+       NOT base_failed AND (NOT failed OR score <= 1 - rate) AS kept, host_ok, round(rate, 9) AS host_rate FROM j
 """
