@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from neurospan.llm.common import stored, table, text_or_empty
@@ -23,30 +24,30 @@ MORE = (
     ("prefixed", r"(?<![A-Za-z0-9])(?:gh[pousr]_|xox[abpr]-|sk_live_|glpat-)[A-Za-z0-9-]{16,}", 0, 0),
 )
 KINDS = tuple(k for k, *_ in BASE + MORE)
+#: Strings one of which any match of a kind holds: a text without them is not searched.
+HINTS = {"access": ("AKIA",), "key": ("-----BEGIN",), "jwt": ("eyJ",), "prefixed": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "glpat-")}
 #: A value that more owners than this, or more repositories of several owners, share is an example.
 MAX_OWNERS = 2
 MAX_REPOSITORIES = 8
 
 
-def spans(text: Column, kind: str, pattern: str, least: int, group: int) -> Column:
-    """Leftmost non-overlapping matches as structs, ends exclusive, in code points.
+MATCH = "array<struct<kind:string,i:int,step:long,length:long,value:string>>"
 
-    The pieces between matches give the positions: a match starts where the pieces and matches
-    before it end. A match whose measured group is too short is dropped and not tried again.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<kind:string,start:long,end:long,value:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        one = F.array(F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), x["v"].alias("value")))
-        return F.struct(end.cast("long").alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+def matches(text: Column, kind: str, pattern: str, group: int) -> Column:
+    """Leftmost non-overlapping matches in order: their number, value, length, and the code points from the end of the match before to their own.
 
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("m"), value.alias("v"))
-    return F.when(F.size(found) > 0, F.aggregate(zipped, empty, step, lambda acc: acc["out"])).otherwise(empty["out"])
+    One struct a match, made by one pass each over the matches and the pieces between them.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    zipped = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("g"), found.alias("m"), value.alias("v"))
+    items = F.transform(zipped, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), (F.length(x["g"]) + F.length(x["m"])).cast("long").alias("step"), F.length(x["m"]).cast("long").alias("length"), x["v"].alias("value")))
+    held = F.lit(False)
+    for hint in HINTS.get(kind, ()):
+        held = held | F.contains(text, F.lit(hint))
+    worth = F.size(found) > 0
+    return F.when(held & worth if kind in HINTS else worth, items).otherwise(F.array().cast(MATCH))
 
 
 def joined(items: Column) -> Column:
@@ -66,15 +67,21 @@ def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     header nor the wrapping of lines tells keys apart. Base spans are always reported, the further shapes only
     where they look live. A null or empty text has no spans; a null owner is one owner; rows that
     repeat a document count once as repository. Hot values meet partial aggregates by (value,
-    owner) and (value, repository) first, so no task collects a value's holders.
+    owner) and (value, repository) first, so no task collects a value's holders. A very long text with
+    very many matches costs time in proportion to them: positions are running sums over its matches.
+    Spans that start together are told in the order of the kinds.
     """
     text = text_or_empty()
-    found = F.concat(*[spans(F.col("_text"), *x) for x in BASE + MORE])
+    found = F.concat(*[matches(F.col("_text"), kind, pattern, group) for kind, pattern, _, group in BASE + MORE])
     rows = docs.select(F.col("doc_id"), F.col(repository).alias("_repo"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"), text.alias("_text"))
     # the row's number ties a document's candidates together again even where doc_id repeats
     rows = stored(rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "_repo", "_owner", found.alias("found")), "secret-spans")
-    hits = rows.filter(F.size("found") > 0).select("_row", "_repo", "_owner", F.explode("found").alias("x"))
-    hits = hits.select("_row", "_repo", "_owner", "x", F.sha2(F.regexp_replace("x.value", r"\s|\\[nr]", ""), 256).alias("_hash"))
+    hits = rows.filter(F.size("found") > 0).select("_row", "_repo", "_owner", F.inline("found"))
+    end = F.sum("step").over(W.partitionBy("_row", "kind").orderBy("i"))
+    least = F.element_at(F.create_map(*[F.lit(y) for kind, _, n, _ in BASE + MORE for y in (kind, n)]), F.col("kind"))
+    hits = hits.withColumn("end", end).withColumn("start", F.col("end") - F.col("length")).filter(F.length("value") >= least)
+    hits = hits.select("_row", "_repo", "_owner", F.struct("kind", "start", "end").alias("x"), F.sha2(F.regexp_replace("value", r"\s|\\[nr]", ""), 256).alias("_hash"))
+    hits = stored(hits, "secret-hits")
     owners = hits.groupBy("_hash", "_owner").agg(F.lit(1)).groupBy("_hash").agg(F.count("*").alias("n_owners"))
     repos = hits.groupBy("_hash", "_repo").agg(F.lit(1)).groupBy("_hash").agg(F.count("*").alias("n_repos"))
     held = owners.join(repos, "_hash")
