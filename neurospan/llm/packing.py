@@ -70,43 +70,44 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_words: int = SHARD_WORDS, cluster_col: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, copy, piece, first_word, n_words, bin_id, slot.
+    """One row per piece: doc_id, row, piece, first_word, n_words, bin_id, slot.
 
     A document longer than the capacity is cut into full pieces and a rest. Pieces are dealt by a
-    hash of document and piece to shards of about shard_words words (a short document counts for
-    LEAST_LOAD), so the number of shards, not their size, grows with the corpus and no source or cluster decides where a piece goes; each
-    shard is packed best-fit in decreasing size. No bin holds two pieces of one duplicate cluster
-    (equal texts, or cluster_col) or more than per_source pieces of one source.
-
-    Rows that repeat a document are copies of one cluster. A document without words (null text too)
-    gives one row with a null bin. A null source is a source. Ties in size go by doc_id and piece.
+    hash of row and piece to shards of about shard_words words (a short document counts for
+    LEAST_LOAD), so the number of shards, not their size, grows with the corpus and no source, id or
+    cluster decides where a piece goes; each shard is packed best-fit in decreasing size. No bin holds
+    two pieces of one duplicate cluster (equal texts, or cluster_col) or more than per_source pieces of
+    one source.
+
+    row numbers the rows of docs; rows that repeat a document are copies of one cluster. A document
+    without words (null text too) gives one row with a null bin. A null source is a source. Ties in
+    size go by doc_id, piece and row.
     """
     text = text_or_empty()
     cluster = F.col(cluster_col).cast("string") if cluster_col else text
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(cluster).alias("cluster"))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("source").cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(cluster).alias("cluster"))
     rows = stored(rows, "pack-sizes")
     total = rows.agg(F.sum(F.greatest("size", F.lit(LEAST_LOAD)))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_words))
     last = F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)).cast("int")
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).select(
-        "doc_id", "source", "cluster", "piece",
+        "doc_id", "row", "source", "cluster", "piece",
         (F.col("piece") * F.lit(capacity)).cast("long").alias("first_word"),
         F.least(F.lit(capacity), F.col("size") - F.col("piece") * F.lit(capacity)).cast("long").alias("n_words"),
     )
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", "cluster"), "piece", F.lit(7)), F.lit(shards)).cast("int"))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece", F.lit(7)), F.lit(shards)).cast("int"))
 
     def shard(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n_words", "doc_id", "piece", "cluster"], ascending=[False, True, True, True], kind="stable")
-        frame["copy"] = frame.groupby(["doc_id", "piece"], dropna=False).cumcount().astype("int32")
+        frame = frame.sort_values(["n_words", "doc_id", "piece", "row"], ascending=[False, True, True, True], kind="stable")
         real = (frame["n_words"] > 0).to_numpy()
         where = best_fit(frame.loc[real, "n_words"].tolist(), pd.factorize(frame.loc[real, "source"], use_na_sentinel=False)[0].tolist(), frame.loc[real, "cluster"].tolist(), capacity, per_source)
         bins = np.full(len(frame), -1, "int64")
         bins[real] = (int(key[0]) << 40) + np.array(where, "int64")
         frame["bin_id"] = pd.Series(bins, index=frame.index).astype("Int64").where(real)
         frame["slot"] = frame.groupby(bins).cumcount().astype("Int32").where(real)
-        return frame[["doc_id", "copy", "piece", "first_word", "n_words", "bin_id", "slot"]]
+        return frame[["doc_id", "row", "piece", "first_word", "n_words", "bin_id", "slot"]]
 
-    return pieces.groupBy("shard").applyInPandas(shard, "doc_id long, copy int, piece int, first_word long, n_words long, bin_id long, slot int")
+    return pieces.groupBy("shard").applyInPandas(shard, "doc_id long, row long, piece int, first_word long, n_words long, bin_id long, slot int")
 
 
 def op6_best_fit(spark, sf_dir):
