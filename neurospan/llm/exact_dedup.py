@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurospan.llm.common import stored, table, text_or_empty
+from neurospan.llm.common import sent_if_small, stored, table, text_or_empty
 
 PREFIX_CHARS = 256
-#: Verdicts, groups and surviving prefixes that are sent to every task; more are joined by shuffle.
-MAX_SENT_ROWS = 2_000_000
+#: Bytes of a surviving prefix, and of a group or verdict with its hash, in a table that is sent to every task.
+PREFIX_ROW, HASH_ROW = 40, 160
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
@@ -28,7 +28,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .join(lengths, "n_bytes", "left_semi").select("n_bytes", "prefix_hash")
     )
     prefixes = stored(prefixes, "copies-prefixes")
-    wanted = F.broadcast(prefixes) if prefixes.count() <= MAX_SENT_ROWS else prefixes
+    wanted = sent_if_small(prefixes, PREFIX_ROW)
     survivors = docs.select(F.octet_length(text).alias("n_bytes"), prefix, F.col(id_col).alias("_id"), F.sha2(text, 256).alias("full_hash"))
     return (
         survivors.join(wanted, ["n_bytes", "prefix_hash"], "left_semi")
@@ -54,7 +54,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sha2(text, 256).alias("full_hash"),
     )
     groups = stored(exact_groups(docs, id_col, text_col, prefix_chars), "copies-groups")
-    side = F.broadcast(groups) if groups.count() <= MAX_SENT_ROWS else groups
+    side = sent_if_small(groups, HASH_ROW)
     joined = rows.join(side, ["n_bytes", "prefix_hash", "full_hash"], "left")
     keep = F.coalesce(F.col("keep_id"), F.col("doc_id"))
     return joined.select(
@@ -80,7 +80,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     sha = F.sha2(text_or_empty(), 256)
 
     def meets(rows: DataFrame, how: str, left: DataFrame) -> DataFrame:
-        side = F.broadcast(rows) if rows.count() <= MAX_SENT_ROWS else rows
+        side = sent_if_small(rows, HASH_ROW)
         return left.join(side, left["doc_id"].eqNullSafe(F.col("_verdict_id")) & (sha == F.col("_verdict_sha")), how)
 
     rest = meets(gone, "left_anti", docs)
