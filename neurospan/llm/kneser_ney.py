@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from neurospan.llm.common import lean, small_batches, stored, table, text_or_empty
+from neurospan.llm.common import lean, sent_if_small, small_batches, stored, table, text_or_empty
 
 ORDER = 5
 BITS = 21  # per symbol: every code point is its own, 0 pads the start of a text
@@ -27,12 +27,12 @@ LOW = 3
 KEY = ["hi", "lo"]
 Pairs = tuple[np.ndarray, np.ndarray]
 CHUNK = 1 << 19
-#: n-grams and contexts of a model that is sent to every task; a larger one is joined by shuffle.
-MAX_SENT_ROWS = 4_000_000
-#: Trusted ids that are sent to every task; more are joined by shuffle.
-MAX_SENT_IDS = 5_000_000
-#: Languages whose thresholds are sent to every task; more are joined by shuffle.
-MAX_SENT_LANGS = 10_000
+#: Logarithms are whole numbers of 1/SCALE, so sums of them don't depend on the order or the path.
+SCALE = 1 << 24
+#: Bytes of a model (MODEL_ROW for each n-gram and context) that is sent to every task; a larger one is joined by shuffle.
+MAX_SENT_BYTES, MODEL_ROW = 48 << 20, 12
+#: Bytes of a trusted id, and of a language's threshold, in a table that is sent to every task.
+ID_ROW, LANG_ROW = 32, 100
 QUANTILE = 0.99
 LEAST_CALIBRATION = 20
 
@@ -113,14 +113,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """probs and gammas (hi, lo, value): natural logarithms, hi tagged by order."""
+    """probs and gammas (hi, lo, value): natural logarithms times SCALE, hi tagged by order."""
 
     probs: DataFrame
     gammas: DataFrame
-    unseen: float
+    unseen: int
     n_rows: int
 
 
+def fixed(p: Column) -> Column:
+    """The logarithm of p as a whole number of 1/SCALE, at least -127."""
+    return F.round(F.greatest(F.log(p), F.lit(-127.0)) * SCALE).cast("int")
+
+
 def _bits(n: int) -> int:
     return (1 << BITS * max(n, 0)) - 1
 
@@ -178,8 +183,8 @@ def train(docs: DataFrame) -> Model | None:
             rows = rows.join(lower.select(*_named((F.col("hi"), F.col("lo")), "_lhi", "_llo"), F.col("p").alias("_p")), ["_lhi", "_llo"])
             below = F.col("_p")
         lower = stored(rows.select(*KEY, (F.greatest(n - cut, F.lit(0.0)) / F.col("total") + F.col("gamma") * below).alias("p")), f"kn-probs-{k}")
-        probs.append(lower.select(tagged(F.col("hi"), k).alias("hi"), "lo", F.log("p").alias("value")))
-        gammas.append(sums.select(tagged(F.col("_chi"), k).alias("hi"), F.col("_clo").alias("lo"), F.log(F.greatest("gamma", F.lit(1e-12))).alias("value")))
+        probs.append(lower.select(tagged(F.col("hi"), k).alias("hi"), "lo", fixed(F.col("p")).alias("value")))
+        gammas.append(sums.select(tagged(F.col("_chi"), k).alias("hi"), F.col("_clo").alias("lo"), fixed(F.greatest("gamma", F.lit(1e-12))).alias("value")))
 
     def union(parts: list[DataFrame]) -> DataFrame:
         whole = parts[0]
@@ -189,7 +194,7 @@ def train(docs: DataFrame) -> Model | None:
 
     gammas = stored(union(gammas), "kn-gammas")
     probs = union(probs)
-    return Model(probs, gammas, -math.log(n_symbols + 1), probs.count() + gammas.count())
+    return Model(probs, gammas, round(-math.log(n_symbols + 1) * SCALE), probs.count() + gammas.count())
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -203,12 +208,12 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 class Hashed:
-    """An open-addressing table from int64 keys to float32 values, built and probed by numpy."""
+    """An open-addressing table from int64 keys to int32 values, built and probed by numpy."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.bits = max(4, int(len(keys) * 1.5).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.values = np.zeros(1 << self.bits, np.float32)
+        self.values = np.zeros(1 << self.bits, np.int32)
         left, at = np.arange(len(keys)), self._slot(keys)
         while len(left):
             free = self.keys[at] == -1
@@ -250,9 +255,9 @@ def hashed(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(1)).view(np.int64)
 
 
-def log_probs(hi: np.ndarray, lo: np.ndarray, probs: Hashed, gammas: Hashed, unseen: float) -> np.ndarray:
+def log_probs(hi: np.ndarray, lo: np.ndarray, probs: Hashed, gammas: Hashed, unseen: int) -> np.ndarray:
     """Of each n-gram's last symbol: its own order's value, else the context's weight and one order less."""
-    out = np.zeros(len(hi), np.float64)
+    out = np.zeros(len(hi), np.int64)
     left = np.arange(len(hi))
     for k in range(ORDER, 0, -1):
         hi, lo = hi & np.int64(_bits(k - LOW)), lo & np.int64(_bits(min(k, LOW)))
@@ -272,7 +277,7 @@ def _score_sent(docs: DataFrame, model: Model) -> DataFrame:
     small_batches(spark)
 
     def read(df: DataFrame) -> Pairs:
-        t = df.select(*KEY, F.col("value").cast("float").alias("value")).toArrow()
+        t = df.select(*KEY, "value").toArrow()
         return hashed(t["hi"].to_numpy(), t["lo"].to_numpy()), t["value"].to_numpy()
 
     shared = spark.sparkContext.broadcast((read(model.probs), read(model.gammas), model.unseen))
@@ -284,17 +289,22 @@ def _score_sent(docs: DataFrame, model: Model) -> DataFrame:
         tables = Hashed(*p), Hashed(*g), unseen  # built by each task, so idle workers don't hold them
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            result = np.full(len(texts), np.nan)
+            sums, n = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for run in chunks([t or "" for t in texts]):
                 keys, lengths = pack([texts[i] or "" for i in run])
                 ends = np.cumsum(lengths)
-                total = np.concatenate([[0.0], np.cumsum(log_probs(*keys, *tables))])
-                sums = total[ends] - total[ends - lengths]
-                result[run] = np.exp(-sums / np.where(lengths > 0, lengths, np.nan))
-            value = pa.array(result, pa.float64(), mask=np.isnan(result))
-            yield pa.RecordBatch.from_arrays([*batch.columns, value], names=[*names, "perplexity"])
+                total = np.concatenate([np.zeros(1, np.int64), np.cumsum(log_probs(*keys, *tables))])
+                sums[run], n[run] = total[ends] - total[ends - lengths], lengths
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums), pa.array(n)], names=[*names, "_sum", "_n"])
+
+    long = T.LongType()
+    scored = docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("_sum", long), T.StructField("_n", long)]))
+    return scored.select(*names, perplexity(F.col("_sum"), F.col("_n")).alias("perplexity"))
+
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("perplexity", T.DoubleType())]))
+def perplexity(total: Column, n: Column) -> Column:
+    """Null for a text without characters."""
+    return F.exp(-total.cast("double") / F.nullif(n, F.lit(0)) / SCALE)
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +318,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _score_sharded(docs: DataFrame, model: Model) -> DataFrame:
     """The same perplexities by joining every document's n-gram counts with the model, order by order."""
     numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "kn-rows")
-    left = numbered.select("_row", "text").mapInArrow(_distinct, "_row long, hi long, lo long, n long").withColumn("sum", F.lit(0.0))
+    left = numbered.select("_row", "text").mapInArrow(_distinct, "_row long, hi long, lo long, n long").withColumn("sum", F.lit(0).cast("long"))
     parts, at = [], ["_hi", "_lo"]
     for k in range(ORDER, 0, -1):
         hi, lo = _suffix(k)
@@ -318,26 +328,27 @@ def _score_sharded(docs: DataFrame, model: Model) -> DataFrame:
         above, rest = _context(hi, lo)
         left = met.filter("_p is null").drop("_p").select("*", *_named((tagged(above, k), rest), *at))
         left = left.join(model.gammas.select(*_named((F.col("hi"), F.col("lo")), *at), F.col("value").alias("_g")), at, "left")
-        left = left.select("_row", *KEY, "n", (F.col("sum") + F.coalesce("_g", F.lit(0.0))).alias("sum"))
+        left = left.select("_row", *KEY, "n", (F.col("sum") + F.coalesce("_g", F.lit(0))).alias("sum"))
     parts.append(left.select("_row", "n", (F.col("sum") + model.unseen).alias("sum")))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    ppl = whole.groupBy("_row").agg(F.exp(-F.sum(F.col("sum") * F.col("n")) / F.sum("n")).alias("perplexity"))
+    ppl = whole.groupBy("_row").agg(perplexity(F.sum(F.col("sum") * F.col("n")), F.sum("n")).alias("perplexity"))
     return numbered.join(ppl, "_row", "left").drop("_row")
 
 
-def score(docs: DataFrame, model: Model, max_sent_rows: int = MAX_SENT_ROWS) -> DataFrame:
+def score(docs: DataFrame, model: Model, max_sent_bytes: int = MAX_SENT_BYTES) -> DataFrame:
     """docs (with text) and perplexity, null for texts without characters.
 
-    A model below max_sent_rows goes to every task as a hash table, so no text is shuffled; a larger
-    one stays sharded and is joined with the documents' n-gram counts.
+    A model up to max_sent_bytes goes to every task as a hash table, so no text is shuffled; a larger
+    one stays sharded and is joined with the documents' n-gram counts. Both give the same numbers to
+    the bit.
     """
-    return _score_sent(docs, model) if model.n_rows <= max_sent_rows else _score_sharded(docs, model)
+    return _score_sent(docs, model) if model.n_rows * MODEL_ROW <= max_sent_bytes else _score_sharded(docs, model)
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, n: int, how: str = "left_semi") -> DataFrame:
-    return docs.join(F.broadcast(ids) if n <= MAX_SENT_IDS else ids, "doc_id", how)
+    return docs.join(sent_if_small(ids, ID_ROW, n), "doc_id", how)
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -365,7 +376,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     by = stored(by.filter(f"lang is not null and n >= {LEAST_CALIBRATION}").select("lang", "cut"), "kn-thresholds")
     every = at.agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))).first()[0]
     scored = score(docs, model)
-    scored = scored.join(F.broadcast(by) if by.count() <= MAX_SENT_LANGS else by, "lang", "left")
+    scored = scored.join(sent_if_small(by, LANG_ROW), "lang", "left")
     kept = F.coalesce(F.col("perplexity") <= F.coalesce("threshold", F.lit(math.inf)), F.lit(False))
     threshold = F.coalesce("cut", F.lit(every).cast("double"))
     return scored.withColumn("threshold", threshold).withColumn("kept", kept).select(*docs.columns, "perplexity", "threshold", "kept")
