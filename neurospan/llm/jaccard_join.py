@@ -11,7 +11,6 @@ linked or have all been pivots.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from neurospan.llm.common import lean, sent_if_small, stored, table, text_or_empty
 from neurospan.llm.components import components
+from neurospan.llm.filters import held, key_filter
 from neurospan.llm.shingles import runs, set_hash, shingle_sets
 
 #: Percent of the union that two linked sets share at least, and the distance that allows.
@@ -33,8 +33,6 @@ WINDOW = 100 - 2 * (100 - PERCENT)
 GROWTH = 16
 #: Bytes of a row of regions or pairs in a table that is sent to every task.
 ROW = 64
-#: Bits of the filter for each key that it holds, the most bits it has, and the bits that a key sets.
-KEY_BITS, MAX_BITS, HASHES = 16, 1 << 28, 4
 SLOTS = 1 << 22
 PARTS = 64
 
@@ -53,14 +51,14 @@ def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and a task's token counts in SLOTS slots (up to 255) as rows of their own."""
-    counts, held, n_held = np.zeros(SLOTS, np.uint8), [], 0
+    counts, waiting, n_waiting = np.zeros(SLOTS, np.uint8), [], 0
 
     def fold() -> None:
-        more = np.bincount(np.concatenate(held), minlength=SLOTS)
+        more = np.bincount(np.concatenate(waiting), minlength=SLOTS)
         more += counts
         np.minimum(more, 255, out=more)
         counts[:] = more
-        held.clear()
+        waiting.clear()
 
     names = ["doc_id", "h", "n", "c", "part", "counts"]
     for batch in batches:
@@ -69,14 +67,14 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n += [len(s) for s in sets]
             c += [set_hash(s) for s in sets]
             for s in sets:
-                held.append((s & np.uint64(SLOTS - 1)).astype(np.int64))
-                n_held += len(s)
-            if n_held > SLOTS // 4:
+                waiting.append((s & np.uint64(SLOTS - 1)).astype(np.int64))
+                n_waiting += len(s)
+            if n_waiting > SLOTS // 4:
                 fold()
-                n_held = 0
+                n_waiting = 0
         rows = len(n)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
-    if held:
+    if waiting:
         fold()
     if counts.any():
         parts = counts.reshape(PARTS, -1)
@@ -142,7 +140,6 @@ def _met_sets(shared, seen):
     """The sets some first token of which may have met another set, with those tokens; a task tells each set once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, filter_ = shared.value, seen.value
-        mask = np.uint64(64 * len(filter_) - 1)
         told: set[int] = set()
         for batch in batches:
             for _, sets in _sets_of(batch):
@@ -154,10 +151,7 @@ def _met_sets(shared, seen):
                         continue
                     told.add(c)
                     key = _first(s, levels)
-                    at = np.arange(len(key))
-                    for i in range(HASHES):
-                        slot = (key[at].view(np.uint64) >> np.uint64(8 * i)) & mask
-                        at = at[(filter_[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1]
+                    at = held(filter_, key)
                     if not len(at):
                         continue
                     cs.append(c)
@@ -187,20 +181,6 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in new], pa.int64()), pa.array([t for _, t in new], pa.list_(pa.int64()))], names=["c", "tokens"])
 
 
-def _bits(keys: DataFrame):
-    """A Bloom filter over the keys, which are hashes: KEY_BITS bits for each up to MAX_BITS.
-
-    A filter at its limit lets more keys pass; the join with the keys drops those.
-    """
-    n = keys.count()
-    size = min(max(1 << math.ceil(math.log2(max(KEY_BITS * n, 1))), 1 << 16), MAX_BITS)
-    slots = keys.select(F.explode(F.array(*[F.shiftrightunsigned("key", 8 * i).bitwiseAND(F.lit(size - 1).cast("long")) for i in range(HASHES)])).alias("slot"))
-    words = slots.select(F.shiftright("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(size >> 6, np.int64)
-    bits[words["w"].to_numpy()] = words["b"].to_numpy()
-    return keys.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
-
-
 class Sets:
     """Sketches of the sets that may have a partner, and tokens of those that were close to one, read when they are wanted."""
 
@@ -359,8 +339,8 @@ def next_level(rows: DataFrame, n: int, pivots: DataFrame, labels: Labels, links
     k = inside.count()
     nearest = sent_if_small(inside.filter("link").groupBy("region", "c").agg(F.min_by("p", F.struct("d", "p")).alias("nearest")), ROW, k)
     far = left.select(names).join(nearest, ["region", "c"], "left_anti")
-    held = inside.join(nearest, ["region", "c"], "left").groupBy("p", "c", "n").agg(F.max(F.coalesce(F.col("p") == F.col("nearest"), F.lit(False))).alias("home"), F.min("d").alias("away"))
-    cells = held.select(F.xxhash64("p", F.lit(level), F.lit("cell")).alias("region"), "c", "n", F.lit(None).cast("int").alias("at"), "home", "away")
+    cells = inside.join(nearest, ["region", "c"], "left").groupBy("p", "c", "n").agg(F.max(F.coalesce(F.col("p") == F.col("nearest"), F.lit(False))).alias("home"), F.min("d").alias("away"))
+    cells = cells.select(F.xxhash64("p", F.lit(level), F.lit("cell")).alias("region"), "c", "n", F.lit(None).cast("int").alias("at"), "home", "away")
     return far.unionByName(cells)
 
 
@@ -371,7 +351,7 @@ def class_labels(docs: DataFrame, classes: DataFrame, counts: DataFrame) -> Labe
     text = docs.select("text")
     counted = text.mapInArrow(_keys(levels), "key long, c long, n int").groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min("n").alias("least"))
     met = stored(counted.filter("a < b").select("key", "least"), "join-keys")
-    sketched = stored(text.mapInArrow(_met_sets(levels, _bits(met)), SETS).dropDuplicates(["c"]), "join-sets")
+    sketched = stored(text.mapInArrow(_met_sets(levels, key_filter(met.select("key"))), SETS).dropDuplicates(["c"]), "join-sets")
     sets, labels = Sets(docs, classes, sketched.select("c", "n", "sketch")), Labels(spark)
     first = sketched.select("c", "n", F.explode("keys").alias("_k")).select(F.col("_k.key").alias("region"), "c", "n", F.col("_k.at").alias("at"))
     # a pair's first shared token leaves room for the rest of what even the smallest partner must share

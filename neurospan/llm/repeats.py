@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurospan.llm.common import lean, small_batches, stored, table, text_or_empty
+from neurospan.llm.common import SENT_BYTES, lean, small_batches, stored, table, text_or_empty
+from neurospan.llm.filters import held, key_filter
 from neurospan.llm.suffix_sort import neighbour_prefixes
 
 LENGTH = 200
@@ -24,9 +25,10 @@ GRAM = 100
 SIDE = LENGTH - GRAM  # bytes that a string can have on either side of an anchor
 PIECE = 1 << 20
 HALO = 2 * LENGTH
-FILTER_BITS = 25
 #: Distinct surroundings of one anchor that are ordered in one task; strings of larger groups are counted across tasks.
 MAX_GROUP = 20_000
+#: Parts in which the places of one anchor and surrounding meet it, and bytes of such a pair in a table that is sent to every task.
+SALTS, PAIR = 16, 40
 
 _RANDOM = np.random.default_rng(20240229)
 BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -161,14 +163,13 @@ def _places(seen: np.ndarray, uneven: np.ndarray):
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             for start, texts in _runs(batch):
                 text, at, gram, around, left, right = anchors(texts)
-                slot = gram & ((1 << FILTER_BITS) - 1)
-                word, bit = slot >> 6, (slot & 63).astype(np.uint64)
-                keep = (repeats[word] >> bit) & np.uint64(1) == 1
-                text, at, gram, around, left, right, word, bit = (x[keep] for x in (text, at, gram, around, left, right, word, bit))
-                wanted = ((differ[word] >> bit) & np.uint64(1) == 1).tolist()
+                keep = held(repeats, gram)
+                text, at, gram, around, left, right = (x[keep] for x in (text, at, gram, around, left, right))
+                wanted = np.zeros(len(gram), bool)
+                wanted[held(differ, gram)] = True
                 context = [
                     texts[t][p - a : p] + texts[t][p + GRAM : p + GRAM + z] if w else None
-                    for t, p, a, z, w in zip(text.tolist(), at.tolist(), left.tolist(), right.tolist(), wanted, strict=True)
+                    for t, p, a, z, w in zip(text.tolist(), at.tolist(), left.tolist(), right.tolist(), wanted.tolist(), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(k1[start + text]), pa.array(k2[start + text]), pa.array(at.astype(np.int32)), pa.array(gram), pa.array(around), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16)), pa.array(context, pa.binary())],
@@ -256,13 +257,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _bits(grams: DataFrame):
-    """A one-hash filter of 2^FILTER_BITS bits over the grams: its size doesn't depend on them."""
-    slot = F.col("gram").bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("long"))
-    words = grams.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[words["w"].to_numpy()] = words["b"].to_numpy()
-    return grams.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+def met_again(places: DataFrame, again: DataFrame) -> DataFrame:
+    """The places whose gram and surroundings are in again; where that is sent to no task, in SALTS parts of each pair."""
+    n = again.count()
+    if n * PAIR <= SENT_BYTES:
+        return places.join(F.broadcast(again), ["gram", "around"], "left_semi")
+    salt = F.pmod(F.xxhash64("k1", "k2", "at"), F.lit(SALTS)).cast("int")
+    dealt = again.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return places.withColumn("_salt", salt).join(dealt, ["gram", "around", "_salt"], "left_semi").drop("_salt")
 
 
 def spread_extent(rows: DataFrame) -> DataFrame:
@@ -287,13 +289,13 @@ def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     A gram met twice with equal surroundings throughout is settled: all strings around it repeat.
     The other grams' distinct surroundings, a row each however often they occur, are ordered by
     deep-shallow sorting, a gram to a task, or counted string by string where a gram has more than
-    max_group of them; both give the same spans. A filter of fixed size keeps most other anchors out of the second pass;
-    the join with the repeated grams is what decides, whatever it lets through.
+    max_group of them; both give the same spans. A filter keeps most other anchors out of the second pass; the
+    join with the repeated grams is what decides, whatever it lets through.
     """
     rows = docs.select("text")
     counted = rows.mapInArrow(_grams, "gram long, around long").groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b"))
     repeated = stored(counted.filter("n > 1").select("gram", (F.col("a") < F.col("b")).alias("differ")), "repeat-grams")
-    seen, uneven = _bits(repeated), _bits(repeated.filter("differ"))
+    seen, uneven = key_filter(repeated.select("gram")), key_filter(repeated.filter("differ").select("gram"))
     places = docs.select("k1", "k2", "text").mapInArrow(_places(seen, uneven), PLACES)
     places = stored(places.join(repeated, "gram"), "repeat-places")
     whole = F.col("l") + F.col("r") >= SIDE
@@ -304,8 +306,7 @@ def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
         F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one"), F.first("l").alias("l"), F.first("context").alias("context")
     ).select("gram", "around", "n", "one.k1", "one.k2", "one.at", "l", "context")
     groups = stored(groups, "repeat-groups")
-    again = groups.filter("n > 1").select("gram", "around")
-    copies = differ.filter(whole).join(again, ["gram", "around"], "left_semi").select(*full)
+    copies = met_again(differ.filter(whole), groups.filter("n > 1").select("gram", "around")).select(*full)
     large = stored(groups.groupBy("gram").count().filter(F.col("count") > max_group).select("gram"), "repeat-large")
     sorted_ = groups.join(large, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "around").select("gram", "n", "k1", "k2", "at", "l", "context")
     deep = sorted_.mapInArrow(_deep, "k1 long, k2 long, lo int, hi int")

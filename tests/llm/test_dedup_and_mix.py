@@ -164,9 +164,16 @@ def test_shards_of_very_short_documents_stay_small(documents):
     assert (out.bin_id.dropna().astype("int64") // (1 << 40)).value_counts().max() <= 1000 and len(out) == 2000
 
 
+def test_rows_that_repeat_an_id_spread_over_the_shards(documents):
+    out = packing.pack(documents([(1, "same words here", "en", "s0")] * 4000), shard_words=20_000).toPandas()
+    per = (out.bin_id // 2**40).value_counts()
+    assert len(out) == 4000 and len(per) == 10 and per.max() < 2 * per.min()
+    assert not out.duplicated(["bin_id"]).any() and out["row"].nunique() == 4000
+
+
 def test_packing_on_awkward_and_empty_tables(awkward, empty):
     out = packing.pack(awkward).toPandas()
-    assert out[out.doc_id == 5].n_words.sum() == 120_000 and sorted(out[out.doc_id == 5]["copy"].unique()) == [0, 1]
+    assert out[out.doc_id == 5].n_words.sum() == 120_000 and out[out.doc_id == 5]["row"].nunique() == 2
     assert out.n_words.sum() == sum(len((r["text"] or "").split()) for r in awkward.select("text").collect())
     assert packing.pack(empty).count() == 0
 

@@ -276,9 +276,9 @@ def test_perplexity_equals_the_definition_and_both_joins_agree(spark, documents)
     probe = ["the cat", "zzz", "the dog sat on a mat", "café", "q" * 30]
     docs = documents([*enumerate(probe), (50, None), (51, "")])
     sent = {r["doc_id"]: r["perplexity"] for r in kneser_ney.score(docs, model).collect()}
-    sharded = {r["doc_id"]: r["perplexity"] for r in kneser_ney.score(docs, model, max_sent_rows=0).collect()}
+    sharded = {r["doc_id"]: r["perplexity"] for r in kneser_ney.score(docs, model, max_sent_bytes=0).collect()}
     for i, t in enumerate(probe):
-        assert abs(sent[i] / want(t) - 1) < 1e-4 and abs(sharded[i] / want(t) - 1) < 1e-6
+        assert abs(sent[i] / want(t) - 1) < 1e-6 and sent[i] == sharded[i]
     assert sent[50] is None and sharded[51] is None
 
 
@@ -299,7 +299,7 @@ def test_every_code_point_is_a_symbol_of_its_own(spark, documents):
     want = plain_kneser_ney([t.replace("\0", "\U0010ffff") for t in texts])
     probe = ["日本の東京", "京東の本日", "\U0001f601\U0001f600", "a\0b", "ველო", "엄복동"]
     docs = documents(list(enumerate(probe)))
-    for limit, error in ((kneser_ney.MAX_SENT_ROWS, 1e-4), (0, 1e-6)):
+    for limit, error in ((kneser_ney.MAX_SENT_BYTES, 1e-6), (0, 1e-6)):
         got = {r["doc_id"]: r["perplexity"] for r in kneser_ney.score(docs, model, limit).collect()}
         assert all(abs(got[i] / want(t.replace("\0", "\U0010ffff")) - 1) < error for i, t in enumerate(probe))
 

@@ -113,6 +113,12 @@ def test_secret_spans_equal_the_patterns(documents, awkward, empty):
     assert secrets.scan_secrets(awkward).count() == 10 and secrets.scan_secrets(empty).count() == 0
 
 
+def test_a_text_with_very_many_secrets(documents):
+    parts = [f"{i:024x}" for i in range(100_000)]
+    row = secrets.scan_secrets(documents([(1, " ".join(parts))])).select(secrets.joined(secrets.F.col("base")).alias("s")).first()
+    assert row["s"] == ",".join(f"hex:{i * 25}:{i * 25 + 24}" for i in range(100_000))
+
+
 def test_secrets_shared_by_owners_are_examples(documents):
     rows = [(i, "ghp_" + "a1B2" * 6, "en", f"s{i}") for i in range(4)] + [(10 + i, "ghp_" + "Zz99" * 6, "en", "s1") for i in range(2)]
     out = {r["doc_id"]: r for r in secrets.scan_secrets(documents(rows)).collect()}
@@ -173,12 +179,18 @@ def test_quality_measures_equal_brute_force(documents, awkward, empty):
     assert quality_rules.host_rules(awkward).count() == 10 and quality_rules.host_rules(empty).count() == 0
 
 
-def test_bad_hosts_lose_suspects_and_keep_clean_documents(documents):
-    clean, suspect = " ".join(f"word{i}" for i in range(90)), " ".join(f"w# {i}" for i in range(70))
-    rows = [(i, suspect if i % 10 else clean, "en", "bad") for i in range(100)] + [(1000 + i, clean if i % 10 else suspect, "en", "good") for i in range(100)]
-    out = {r["doc_id"]: r for r in quality_rules.host_rules(documents(rows)).collect()}
+def test_host_verdicts_decide_about_slight_suspicions(documents):
+    clean = " ".join(f"word{i}" for i in range(90))
+    slight = " ".join(f"word{i}" + "#" * (i % 7 == 0) for i in range(90))
+    full = " ".join(f"w# {i}" for i in range(70))
+    bad = [(i, slight if i % 10 else clean, "en", "bad") for i in range(100)]
+    good = [(1000 + i, clean if i % 10 > 1 else slight if i % 10 else full, "en", "good") for i in range(100)]
+    rates = {r["host"]: r["host_rate"] for r in quality_rules.host_rules(documents(bad + good)).collect()}
+    out = {r["doc_id"]: r for r in quality_rules.host_rules(documents(bad + good)).collect()}
+    assert rates["bad"] > 0.6 > 0.3 > rates["good"]
     assert not out[1]["host_ok"] and out[1001]["host_ok"]
-    assert out[0]["kept"] and not out[1]["kept"] and out[1001]["kept"]
+    assert out[1]["score"] == out[1001]["score"] and not out[1]["kept"] and out[1001]["kept"]  # one text, two verdicts
+    assert out[0]["kept"] and not out[1000]["kept"] and out[1002]["kept"]
 
 
 def test_url_hosts_paths_and_fixed_rules(spark):
