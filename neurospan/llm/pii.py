@@ -1,8 +1,9 @@
 """Personal data: base patterns, and weakly supervised span candidates judged over the corpus.
 
 Regex, gazetteer and context labelers vote on every candidate span. Expectation-maximisation turns
-the counts of vote patterns into labeler reliabilities and soft labels, and a logistic span
-classifier trained on those decides which candidates join the base spans.
+the counts of vote patterns into the labelers' reliabilities for each kind and soft labels, and a
+logistic span classifier, trained on those over the shape of the value and the words around it,
+decides which candidates join the base spans.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import FeatureHasher
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neurospan.llm.common import stored, table, text_or_empty
+from neurospan.llm.common import sent_if_small, stored, table, text_or_empty
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("local_phone", "ssn", "iban", "name", "handle")
@@ -39,12 +43,15 @@ CANDIDATES = (
     ("name", re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?|\b[Nn]ame: [A-Z][a-z]+(?: [A-Z][a-z]+)?")),
     ("handle", re.compile(r"@[A-Za-z0-9_]{3,}")),
 )
-FIRST_NAMES = frozenset("james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen anna maria jean pierre marie hans peter ursula jose carmen juan ana luis pedro paul laura julia emma noah lucas".split())
 IBAN_COUNTRIES = frozenset("AD AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM".split())
 TOLL_FREE = frozenset("800 833 844 855 866 877 888 900".split())
 CUES = re.compile(r"(?i)\b(?:call|phone|tel|fax|mobile|contact|email|e-mail|mail|reach|ssn|social|iban|account|bank|card|visa|ip|host|address|name|dear|follow|user|signed)\b")
 AGAINST = re.compile(r"(?i)\b(?:version|isbn|order|page|figure|table|section|invoice|build|release|example|sample|test)\b")
 CONTEXT = 40
+#: Documents in whose name candidates a word stands before the gazetteer holds it.
+NAME_DOCS = 3
+#: Numbers that the classifier's features are hashed to, and the most characters of a feature.
+FEATURES, FEATURE_CHARS = 4096, 24
 
 
 def luhn(digits: str) -> bool:
@@ -103,38 +110,59 @@ def _regex_vote(kind: str, value: str) -> int:
 
 
 def _gazetteer_vote(kind: str, value: str) -> int:
-    if kind == "name":
-        return 1 if any(w.lower() in FIRST_NAMES for w in re.findall(r"[A-Za-z]+", value)) else 0
+    """By fixed tables; names are looked up later, in what the corpus holds."""
     if kind == "iban":
         return 1 if value[:2] in IBAN_COUNTRIES else -1
     if kind in ("local_phone", "phone"):
         return -1 if NOT_DIGIT.sub("", value)[-10:-7] in TOLL_FREE else 0
-    if kind == "email":
-        return 1 if any(w in FIRST_NAMES for w in re.split(r"[^a-z]+", value.lower())) else 0
     return 0
 
 
+def name_words(kind: str, value: str) -> list[str]:
+    """Words that a gazetteer of names could hold: of a name without its title, and of an address before the @."""
+    if kind == "name":
+        return [w.lower() for w in re.findall(r"[A-Za-z]+", value)[1:]]
+    if kind == "email":
+        return [w for w in re.findall(r"[a-z]+", value.split("@")[0].lower()) if len(w) > 2]
+    return []
+
+
+def shape(value: str) -> str:
+    """Runs of digits, capitals and small letters with their lengths; other characters as they are."""
+    kinds = "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in value[:4 * FEATURE_CHARS])
+    runs = re.sub(r"([0Aa])\1*", lambda m: f"{m[1]}{len(m[0])}", kinds)
+    return runs[:FEATURE_CHARS]
+
+
+WORD_BEFORE = re.compile(r"(\w+)\W*$")
+WORD_AFTER = re.compile(r"\w+")
+
+
+def around(text: str, start: int, end: int) -> tuple[str, str]:
+    """The words before and after a span, in small letters, within CONTEXT characters."""
+    before, after = WORD_BEFORE.search(text[max(0, start - CONTEXT) : start]), WORD_AFTER.search(text[end : end + CONTEXT])
+    return before[1].lower()[:FEATURE_CHARS] if before else "", after[0].lower()[:FEATURE_CHARS] if after else ""
+
+
 def _context_vote(text: str, start: int) -> int:
     before = text[max(0, start - CONTEXT) : start]
     return -1 if AGAINST.search(before) else 1 if CUES.search(before) else 0
 
 
-def code_of(kind: int, votes: tuple[int, int, int], length: int, first: bool) -> int:
-    """kind, three votes, a length class and whether a line starts there, packed: under 2,000 codes."""
+def code_of(kind: int, votes: tuple[int, int, int]) -> int:
+    """kind and three votes, packed: 27 codes a kind."""
     code = kind
     for v in votes:
         code = code * 3 + v + 1
-    return (code * 4 + min(3, length // 8)) * 2 + first
+    return code
 
 
-def unpack(code: int) -> tuple[int, list[int], int, int]:
-    code, first = divmod(code, 2)
-    code, length = divmod(code, 4)
+def unpack(code: int) -> tuple[int, list[int]]:
     votes = []
     for _ in range(3):
         code, v = divmod(code, 3)
         votes.append(v - 1)
-    return code, votes[::-1], length, first
+    return code, votes[::-1]
 
 
 def apart(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
@@ -153,8 +181,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """(start, kind's index, end, code) of base spans and of candidates that touch none of them."""
     def one(start: int, k: int, end: int) -> tuple[int, int, int, int]:
         value = text[start:end]
-        votes = (_regex_vote(KINDS[k], value), _gazetteer_vote(KINDS[k], value), _context_vote(text, start))
-        return start, k, end, code_of(k, votes, end - start, start == 0 or text[start - 1] == "\n")
+        return start, k, end, code_of(k, (_regex_vote(KINDS[k], value), _gazetteer_vote(KINDS[k], value), _context_vote(text, start)))
 
     out = [one(s, k, e) for s, k, e in base]
     starts, ends = apart([(s, e) for s, _, e in base])
@@ -172,8 +199,14 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return sorted(out)
 
 
-ITEM = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("code", pa.int32())])
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, items array<struct<kind:string,start:long,end:long,code:int>>"
+ITEM = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("code", pa.int32()), ("shape", pa.string()), ("before", pa.string()), ("after", pa.string()), ("names", pa.list_(pa.string()))])
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, items array<struct<kind:string,start:long,end:long,code:int,shape:string,before:string,after:string,names:array<string>>>"
+
+
+def _item(text: str, start: int, k: int, end: int, code: int) -> dict:
+    before, after = around(text, start, end)
+    value = text[start:end]
+    return {"kind": KINDS[k], "start": start, "end": end, "code": code, "shape": shape(value), "before": before, "after": after, "names": name_words(KINDS[k], value)}
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,18 +218,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, k, _ in base:
                 counts[k][row] += 1
             shas.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest())
-            items.append([{"kind": KINDS[k], "start": s, "end": e, "code": c} for s, k, e, c in candidates(text, base)])
+            items.append([_item(text, *x) for x in candidates(text, base)])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas), pa.array(items, pa.list_(ITEM))],
             names=["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "items"],
         )
 
 
-def fit_em(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
+def fit_em(counts: dict[int, int], rounds: int = 50, pooled: float = 10.0) -> dict[int, float]:
     """Posterior that a span of a code is personal data, from the codes' counts alone.
 
-    Two classes, three labelers with a vote distribution for each class, a prior for each kind.
-    Starts from the majority vote, so the positive class is the one labelers agree on.
+    Two classes; each kind has its own prior and, for every labeler and class, its own distribution
+    of votes, drawn towards that of all kinds with the weight of pooled spans. Starts from the
+    majority vote, so the positive class is the one labelers agree on.
     """
     codes = sorted(counts)
     n = np.array([counts[c] for c in codes], float)
@@ -208,34 +242,45 @@ def fit_em(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
         like = np.zeros((len(codes), 2))
         for y, weight in enumerate((n * (1 - post), n * post)):
             for j in range(3):
-                p = np.bincount(votes[:, j], weight, 3) + 1.0
-                like[:, y] += np.log(p / p.sum())[votes[:, j]]
+                every = np.bincount(votes[:, j], weight, 3) + 1.0
+                own = np.bincount(kind * 3 + votes[:, j], weight, 3 * len(KINDS)).reshape(-1, 3) + pooled * every / every.sum()
+                like[:, y] += np.log(own / own.sum(1, keepdims=True))[kind, votes[:, j]]
             prior = (np.bincount(kind, weight, len(KINDS)) + 1) / (np.bincount(kind, n, len(KINDS)) + 2)
             like[:, y] += np.log(prior[kind])
         post = 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -50, 50)))
     return dict(zip(codes, post.tolist(), strict=True))
 
 
-def fit_classifier(counts: dict[int, int], posterior: dict[int, float], ridge: float = 1.0, rounds: int = 25) -> dict[int, float]:
-    """Probability for each code from a ridge logistic model on kind, votes, length and line start."""
-    codes = sorted(counts)
-    rows = []
-    for c in codes:
-        k, votes, length, first = unpack(c)
-        x = np.zeros(len(KINDS) + 9 + 4 + 1)
-        x[k] = 1
-        for j, v in enumerate(votes):
-            x[len(KINDS) + 3 * j + v + 1] = 1
-        x[len(KINDS) + 9 + length], x[-1] = 1, first
-        rows.append(x)
-    x, n, y = np.array(rows), np.array([counts[c] for c in codes], float), np.array([posterior[c] for c in codes])
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):  # Newton's method
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (n * (p - y)) + ridge * w
-        w -= np.linalg.solve((x.T * (n * p * (1 - p) + 1e-9)) @ x + ridge * np.eye(len(w)), grad)
-    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return dict(zip(codes, p.tolist(), strict=True))
+def with_names(spans: DataFrame) -> DataFrame:
+    """spans (_row, kind, code, names, ...) with the code's gazetteer vote raised where a name is known.
+
+    The gazetteer is learnt: words that stand in name candidates of NAME_DOCS documents or more.
+    """
+    words = spans.filter("kind = 'name'").select("_row", F.explode("names").alias("name")).distinct()
+    known = stored(words.groupBy("name").count().filter(F.col("count") >= NAME_DOCS).select("name"), "pii-names")
+    hits = spans.select("_row", "start", "kind", F.explode("names").alias("name")).join(sent_if_small(known, 100), "name")
+    hits = hits.select("_row", "start", "kind").distinct().withColumn("_named", F.lit(True))
+    none = F.floor(F.col("code") / 3) % 3 == 1  # the gazetteer has not voted
+    raised = spans.join(hits, ["_row", "start", "kind"], "left")
+    return raised.withColumn("code", F.when(F.col("_named") & none, F.col("code") + 3).otherwise(F.col("code"))).drop("_named", "names")
+
+
+def classified(spans: DataFrame, posterior: dict[int, float]) -> DataFrame:
+    """spans with p, the span classifier's probability.
+
+    Logistic regression over hashed features: the kind, the shape of the value and the words before
+    and after it, each together with the kind. The labelers' votes are no features: what they say
+    enters as soft labels, a span being an example of both classes by its posterior.
+    """
+    soft = spans.sparkSession.createDataFrame([(c, p) for c, p in posterior.items()], "code int, soft double")
+    spans = spans.join(F.broadcast(soft), "code")
+    with_kind = lambda name: F.concat_ws("|", F.lit(name), "kind", name).alias(f"_{name}")
+    rows = spans.select("*", with_kind("shape"), with_kind("before"), with_kind("after"), F.concat_ws("|", F.lit("kind"), "kind").alias("_kind"))
+    hashed = stored(FeatureHasher(inputCols=["_kind", "_shape", "_before", "_after"], outputCol="_features", numFeatures=FEATURES).transform(rows), "pii-features")
+    sides = hashed.select("_features", F.explode(F.array(F.struct(F.lit(1.0).alias("y"), F.col("soft").alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - F.col("soft")).alias("w")))).alias("x"))
+    train = sides.select("_features", "x.y", F.greatest("x.w", F.lit(1e-6)).alias("w"))
+    model = LogisticRegression(featuresCol="_features", labelCol="y", weightCol="w", regParam=1e-3, maxIter=30, probabilityCol="_probability").fit(train)
+    return model.transform(hashed).withColumn("p", vector_to_array("_probability")[1])
 
 
 def joined(items: Column) -> Column:
@@ -245,20 +290,28 @@ def joined(items: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row per document: doc_id, counts and digest of base spans, items (all spans with scores' codes).
+    """One row per document: doc_id, counts and digest of base spans, items (kind, start, end of all spans).
 
     The corpus is read once; what the labelers say is counted by code over all documents, and there
-    are fewer codes than 2,000 whatever the corpus holds, so the counts fit the driver. Base spans
-    stay whatever the classifier says. Null or empty texts have no spans; rows that repeat are
-    judged alike; without candidates nothing is trained; extra columns are ignored.
+    are 243 codes whatever the corpus holds, so the counts fit the driver. Names and the classifier
+    are learnt from the table of spans. Base spans stay whatever the classifier says. Null or empty
+    texts have no spans; a very long text is read whole, in time that grows with its spans. Rows that
+    repeat are judged alike; spans that start together are told in the order of the kinds, and of
+    candidates that touch the kind listed first stays. Without candidates nothing is trained; extra
+    columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = stored(rows.mapInArrow(_scan, SCHEMA), "pii-spans")
-    counts = {r["code"]: r["n"] for r in rows.select(F.explode("items.code").alias("code")).groupBy("code").agg(F.count("*").alias("n")).collect()}
-    score = fit_classifier(counts, fit_em(counts)) if counts else {}
-    good = [c for c, p in score.items() if p >= threshold] or [-1]
-    keep = F.filter("items", lambda x: x["kind"].isin(*BASE) | x["code"].isin(*good))
-    return rows.withColumn("items", keep)
+    rows = stored(rows.mapInArrow(_scan, SCHEMA).withColumn("_row", F.monotonically_increasing_id()), "pii-spans")
+    spans = stored(with_names(rows.select("_row", F.inline("items"))), "pii-candidates")
+    counts = {r["code"]: r["n"] for r in spans.groupBy("code").agg(F.count("*").alias("n")).collect()}
+    if counts:
+        judged = classified(spans, fit_em(counts))
+        kept = judged.filter(F.col("kind").isin(*BASE) | (F.col("p") >= threshold))
+    else:
+        kept = spans
+    kept = kept.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("items"))
+    none = F.array().cast("array<struct<kind:string,start:long,end:long>>")
+    return rows.drop("items").join(kept, "_row", "left").withColumn("items", F.coalesce("items", none)).drop("_row")
 
 
 def op1_weak_supervision(spark, sf_dir):
