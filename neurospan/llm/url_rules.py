@@ -6,7 +6,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neurospan.llm.common import stored, table
+from neurospan.llm.common import sent_if_small, stored, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Verdict, host, start of the path.
@@ -49,44 +49,66 @@ def tokens(host: Column, path: Column) -> Column:
 
 
 def mine_rules(baskets: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """rule_id, antecedent, confidence of the rules 'these tokens, so the label is bad'.
+    """rule_id, antecedent, confidence, support of the rules 'these tokens, so the label is bad'.
 
-    FP-growth runs over (tokens, bad) rows. Its output is bounded by the support, not by the rows.
-    Of two rules with the same confidence where one's tokens hold the other's, both stay.
+    FP-growth runs over (tokens, bad) rows. A token that is too rare among bad urls is in no rule, so
+    it is left out first, and tokens that always occur together (the parts of one host) are mined as
+    one and told as all of them: what is left of a basket is bounded by the support, not by a cap, and
+    such groups make no combinations. Of rules where one's tokens hold another's that is as sure, only
+    the shorter one stays.
     """
-    items = F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens"))
-    rows = stored(baskets.select(items.alias("items")).filter(F.size("items") > 0), "url-baskets")
-    support = min(1.0, max(min_support, MIN_ROWS / max(rows.count(), 1)))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(rows)
+    rows = stored(baskets.select("tokens", "bad").withColumn("_row", F.monotonically_increasing_id()), "url-baskets")
+    n = rows.count()
+    support = min(1.0, max(min_support, MIN_ROWS / max(n, 1)))
+    posted = rows.select("_row", "bad", F.explode(F.array_distinct("tokens")).alias("token"))
+    held = posted.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), F.bit_xor(F.xxhash64("_row")).alias("rows"))
+    frequent = held.filter(F.col("n_bad") >= support * n)
+    together = stored(frequent.groupBy("n", "rows").agg(F.min("token").alias("token"), F.sort_array(F.collect_list("token")).alias("all")).select("token", "all"), "url-tokens")
+    kept = posted.join(sent_if_small(together.select("token"), 100), "token").groupBy("_row").agg(F.collect_list("token").alias("kept"))
+    items = rows.select("_row", "bad").join(kept, "_row", "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<string>")))
+    items = items.select(F.when(F.col("bad"), F.array_append("kept", F.lit(BAD))).otherwise(F.col("kept")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(stored(items, "url-items"))
     rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
-    return rules.select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support", F.xxhash64(F.sort_array("antecedent")).alias("rule_id"))
+    whole = rules.select(F.xxhash64(F.sort_array("antecedent")).alias("rule_id"), "confidence", "support", F.explode("antecedent").alias("token")).join(together, "token")
+    whole = whole.groupBy("rule_id", "confidence", "support").agg(F.sort_array(F.flatten(F.collect_list("all"))).alias("antecedent"))
+    whole = stored(whole, "url-mined")
+    shorter = met_rules(whole.select(F.col("rule_id").alias("_long"), F.col("antecedent").alias("tokens"), F.col("confidence").alias("_sure")), whole, "_long", "tokens", "_sure")
+    beaten = shorter.filter((F.col("_long") != F.col("rule_id")) & (F.col("confidence") >= F.col("_sure"))).select(F.col("_long").alias("rule_id")).distinct()
+    return whole.join(beaten, "rule_id", "left_anti")
 
 
-def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """url, confidence of the surest rule that fits it, from (url, tokens).
+def met_rules(rows: DataFrame, rules: DataFrame, *keep: str) -> DataFrame:
+    """The columns kept of rows (with tokens), rule_id and confidence for every stored rule whose tokens a row holds.
 
-    Inverted index: a rule is posted under its rarest token only, so a url meets a rule where it
-    holds that token, and the other tokens are checked then.
+    Inverted index: a rule is posted under its rarest token only, so a row meets a rule where it
+    holds that token, and the other tokens are checked then. The index is bounded by the support and
+    sent to every task where it is small, so no token gathers rows.
     """
-    posted = urls.select(F.explode("tokens").alias("token"))
     wanted = rules.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("token"))
-    counts = posted.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    n_rules = rules.count()
+    counts = rows.select(F.explode("tokens").alias("token")).join(sent_if_small(wanted.select("token").distinct(), 100, 20 * n_rules), "token", "left_semi").groupBy("token").count()
     index = (
         wanted.join(counts, "token")
         .groupBy("rule_id", "antecedent", "confidence")
         .agg(F.min_by("token", F.struct("count", "token")).alias("token"))
     )
-    met = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
-    fits = F.size(F.array_except("antecedent", "tokens")) == 0
-    return met.filter(fits).groupBy("url").agg(F.max("confidence").alias("confidence"))
+    met = rows.select(*keep, F.col("tokens").alias("_held"), F.explode("tokens").alias("token")).join(sent_if_small(index, 400, n_rules), "token")
+    return met.filter(F.size(F.array_except("antecedent", "_held")) == 0).select(*keep, "rule_id", "confidence")
+
+
+def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """url, confidence of the surest rule that fits it, from (url, tokens)."""
+    return met_rules(urls, rules, "url").groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, confidence.
 
     The longest fixed rule decides; else a page is blocked where a mined rule fits and allowed where
-    none does. Labels join pages by id (bad: low quality or toxic). A page id with several labels is
-    bad if one is. Without labels, or with good ones only, there are no mined rules. Null urls have empty host and path and no tokens.
+    none does; of several that fit the surest gives the confidence, and ties there change nothing.
+    Labels join pages by id (bad: low quality or toxic; null is neither). A page id with several labels
+    is bad if one is; null ids have no label. Without labels, or with good ones only, there are no
+    mined rules. Null urls have empty host and path and no tokens; very long urls are read whole.
     Verdicts are made per distinct url, so repeated rows cost one; extra columns are ignored.
     """
     host, path = host_and_path(F.col("url"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings
@@ -70,7 +71,7 @@ def plain_candidates(text, base):
 @given(st.lists(st.sampled_from(["415-555-1234 ", "(415) 555-1234", " 123-45-6789", "a@bcd.org", " @bcd ", "Dr. Anna Smith ", "10.0.0.1", "+1 415 555 1234", "DE89 3704 0044 0532 0130 00", "4539 1488 0343 6467", "x", "\n"]), max_size=14).map("".join))
 def test_candidates_touch_no_span_taken_before(text):
     base = pii.base_spans(text)
-    assert [(s, k, e) for s, k, e, _ in pii.candidates(text, base)] == plain_candidates(text, base)
+    assert [(s, k, e) for s, k, e, *_ in pii.candidates(text, base)] == plain_candidates(text, base)
 
 
 def test_candidates_of_a_text_with_very_many_spans():
@@ -79,14 +80,40 @@ def test_candidates_of_a_text_with_very_many_spans():
 
 
 def test_em_tells_reliable_labelers_from_noise():
-    good, bad = pii.code_of(4, (1, 1, 1), 12, False), pii.code_of(4, (-1, 0, -1), 12, False)
-    odd = pii.code_of(4, (1, 0, 1), 12, False)
-    counts = {good: 500, bad: 800, odd: 40}
-    post = pii.fit_em(counts)
-    assert post[good] > 0.9 and post[bad] < 0.1
-    score = pii.fit_classifier(counts, post)
-    assert score[good] > 0.9 and score[odd] > 0.5 and score[bad] < 0.1
-    assert pii.unpack(good) == (4, [1, 1, 1], 1, 0)
+    good, bad, odd = pii.code_of(4, (1, 1, 1)), pii.code_of(4, (-1, 0, -1)), pii.code_of(4, (1, 0, 1))
+    post = pii.fit_em({good: 500, bad: 800, odd: 40})
+    assert post[good] > 0.9 and post[bad] < 0.1 and post[odd] > 0.5
+    assert pii.unpack(good) == (4, [1, 1, 1])
+
+
+def test_reliabilities_differ_by_kind():
+    """For one kind the regex labeler agrees to everything, for the other the context labeler is noise."""
+    one = {(1, 1, 1): 200, (1, -1, -1): 200, (1, 0, -1): 20}
+    other = {(1, 1, 1): 200, (1, 1, -1): 150, (-1, -1, 1): 150, (-1, -1, -1): 200, (1, 0, -1): 20}
+    post = pii.fit_em({pii.code_of(kind, votes): n for kind, of in ((4, one), (5, other)) for votes, n in of.items()})
+    assert post[pii.code_of(4, (1, 0, -1))] < 0.3 and post[pii.code_of(5, (1, 0, -1))] > 0.7
+
+
+def test_the_span_classifier_finds_what_no_labeler_decides(documents):
+    """Numbers without any cue: the words around them were seen with cued ones of one kind or the other."""
+    rng = random.Random(8)
+    number = lambda first=0: f"{first or rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"
+    rows = [(i, f"contact the employee badge {number()} holder") for i in range(150)]
+    rows += [(1000 + i, f"invoice for the spare part {number(i % 3 and 900)} shipped") for i in range(150)]
+    held = [(2000 + i, f"we saw badge {number()} holder again") for i in range(20)] + [(3000 + i, f"we saw part {number()} shipped again") for i in range(20)]
+    votes = {pii.unpack(c)[1][1:][1] for _, t in held for *_, c in pii.candidates(t, [])}
+    assert votes == {0}  # neither gazetteer nor context says anything; the regex says the same of all
+    out = {r["doc_id"]: len(r["items"]) for r in pii.find_pii(documents(rows + held)).collect()}
+    assert sum(out[2000 + i] for i in range(20)) >= 18
+    assert sum(out[3000 + i] for i in range(20)) <= 2
+
+
+def test_the_gazetteer_of_names_is_learnt(spark, documents):
+    rows = [(i, f"Dr. Zenobia{'abc'[i % 3]} Quill spoke") for i in range(9)] + [(50, "mail zenobiaa@b.org"), (51, "mail other@b.org")]
+    scanned = pii.stored(documents(rows).selectExpr("doc_id", "text").mapInArrow(pii._scan, pii.SCHEMA).withColumn("_row", pii.F.monotonically_increasing_id()), "test-spans")
+    named = pii.with_names(scanned.select("doc_id", "_row", pii.F.inline("items")))
+    votes = {r["doc_id"]: pii.unpack(r["code"])[1][1] for r in named.collect()}
+    assert votes[50] == 1 and votes[51] == 0 and votes[0] == 1
 
 
 SECRET = (
@@ -213,3 +240,68 @@ def test_mined_rules_match_a_plain_search(spark):
     labels = spark.createDataFrame([(i, 0 if i % 3 == 0 and i % 2 else 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
     out = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, labels, 0.02, 0.9).collect()}
     assert all((out[i] == "block") == (i % 3 == 0 and i % 2 == 1) for i in range(300))
+
+
+def plain_rule(host, path):
+    best = None
+    for verdict, h, p in url_rules.RULES:
+        if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h + p) > len(best[0])):
+            best = (h + p, verdict)
+    return best
+
+
+def plain_tokens(host, path):
+    lower = path.lower()
+    return {"h:" + x for x in re.split(r"[.-]", host) if x} | {"p:" + x for x in re.split(r"[^0-9a-zé]+", lower) if x}
+
+
+def test_urls_equal_brute_force(spark):
+    """Random urls with repeats and nulls: host, path, rule and verdict, and the mined rules by trying all combinations."""
+    rng = random.Random(21)
+    hosts = ["com", "example.com", "www.EXAMPLE.com", "a.net", "net", "example.net", "x.org", "org", *["shop-pills.info"] * 5, "news.info", "notcom", ""]
+    paths = ["", "/", "/en/", "/en/7", "/EN/7", "/en/71/x", "/de/", "/de/8", "/de/81", "/es/2", "/es", *["/buy/now", "/buy/later"] * 3, "/read/é", "/en"]
+    tails = ["", "?q=/en/7", "#/de/8", "?a#b", "#"]
+    urls = [rng.choice(["http", "x", ""]) + rng.choice(["://", "://", "://", ":/"]) + rng.choice(hosts) + rng.choice(paths) + rng.choice(tails) for _ in range(500)] + [None, "", "://", "a://" + "b" * 50_000 + "/en/7"]
+    urls += urls[:40]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = [(i, None if i % 29 == 0 else int(not ("pills" in (u or "") and "buy" in (u or "")) and rng.random() > 0.1), None if i % 31 == 0 else 0) for i, u in enumerate(urls) if i % 2]
+    labels += [(1, 0, 0), (1, 1, 0), (None, 0, 1)]
+    out = {r["page_id"]: r for r in url_rules.judge_urls(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), 0.02, 0.7).collect()}
+
+    def parts(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        return "".join(c.lower() if c.isascii() else c for c in host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+    bad = {}
+    for i, quality, toxic in labels:
+        if i is not None:
+            bad[i] = bad.get(i, False) or quality == 0 or toxic == 1
+    baskets = [(plain_tokens(*parts(urls[i])), b) for i, b in bad.items()]
+    least = max(0.02, 5 / len(baskets)) * len(baskets)
+    tokens = sorted({t for b, _ in baskets for t in b})
+    same = {t: frozenset(u for u in tokens if all((t in b) == (u in b) for b, _ in baskets)) for t in tokens}
+    rules, level = [], [frozenset()]
+    while level:
+        grown = set()
+        for rule in level:
+            for t in tokens:
+                wider = rule | same[t]
+                if wider != rule and wider not in grown:
+                    fits = [b for x, b in baskets if wider <= x]
+                    if sum(fits) >= least:
+                        grown.add(wider)
+                        if sum(fits) >= 0.7 * len(fits):
+                            rules.append(wider)
+        level = list(grown)
+    assert rules
+    for i, u in enumerate(urls):
+        host, path = parts(u)
+        fixed = plain_rule(host, path)
+        held = plain_tokens(host, path)
+        want = fixed[1] if fixed else "block" if any(r <= held for r in rules) else "allow"
+        assert (out[i]["host"], out[i]["path"], out[i]["rule"], out[i]["verdict"]) == (host, path, fixed and fixed[0], want), u
+    basket = spark.createDataFrame([(sorted(t), b) for t, b in baskets], "tokens array<string>, bad boolean")
+    mined = url_rules.mine_rules(basket, 0.02, 0.7).collect()
+    assert {frozenset(r["antecedent"]) for r in mined} <= set(rules)
+    assert not any(set(a["antecedent"]) < set(b["antecedent"]) and a["confidence"] >= b["confidence"] for a in mined for b in mined)
