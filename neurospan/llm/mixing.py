@@ -113,14 +113,29 @@ def mix_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies:
     return plan
 
 
-def pareto_mix(rows: DataFrame, plan: DataFrame, max_copies: int = MAX_COPIES, buckets: int = BUCKETS) -> DataFrame:
+def _cut_of(plan: DataFrame) -> tuple[Column, Column]:
+    """A row's three digits and those of its source's cut."""
+    digits = ("_b1", "_b2", "_b3")
+    return F.struct(*digits), F.struct(*[F.coalesce(F.col(f"_cut{d}"), F.lit(-1)) for d in digits])
+
+
+def edge_takes(rows: DataFrame, plan: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Which of the rows with all three digits of their source's cut are taken: these few are ordered one by one."""
+    at, cut = _cut_of(plan)
+    inside = W.partitionBy("source").orderBy("_q", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    edge = _ranked(rows, plan, buckets).filter(F.col("_q").isNotNull() & (at == cut)).withColumn("_edge", before + F.col("size") / 2 < F.col("_lack"))
+    return stored(edge.select(F.col("source").alias("_s"), F.col("doc_id").alias("_i"), F.col("_u").alias("_v"), F.col("_tie").alias("_t"), "_edge"), "mix-edge")
+
+
+def pareto_mix(rows: DataFrame, plan: DataFrame, edge: DataFrame, max_copies: int = MAX_COPIES, buckets: int = BUCKETS) -> DataFrame:
     """rows (doc_id, source, size, _u, _tie, ...) with source_size, target, copies and taken added.
 
     A source's ratio of target to size gives every document its whole copies. What the target still
     lacks is drawn with inclusion in proportion to size; certain documents are taken, the others are
     ranked by u/(1-u) over their own inclusion odds and the first ones are taken until their words
-    come nearest to what is lacking: a sample of fixed size. Only rows with all three digits of the
-    cut are ordered one by one, so no task sees a source.
+    come nearest to what is lacking: a sample of fixed size. Rows before the cut are taken as they
+    pass, those at the cut are looked up in edge, so no task sees a source.
 
     Null sizes count as 0; a document without words is never drawn; a source without words gets
     target 0; a null source is one source. Ties in rank go by doc_id. Columns of rows with the names
@@ -128,19 +143,14 @@ def pareto_mix(rows: DataFrame, plan: DataFrame, max_copies: int = MAX_COPIES, b
     """
     rows = rows.drop("source_size", "target", "copies", "taken").withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
     own = [c for c in rows.columns if c not in ("_u", "_tie")]
-    joined = _ranked(rows, plan, buckets)
-    cut = [F.coalesce(F.col(f"_cut{d}"), F.lit(-1)) for d in ("_b1", "_b2", "_b3")]
-    at = F.struct("_b1", "_b2", "_b3")
-    joined = joined.withColumn("_at_cut", F.col("_q").isNotNull() & (at == F.struct(*cut)))
-    inside = W.partitionBy("source").orderBy("_q", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    before = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    edge = joined.filter("_at_cut").withColumn("_take", before + F.col("size") / 2 < F.col("_lack"))
+    at, cut = _cut_of(plan)
+    same = F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_u") == F.col("_v")) & (F.col("_tie") == F.col("_t"))
+    joined = _ranked(rows, plan, buckets).join(sent_if_small(edge, 100), same, "left")
     # a source without a cut lacks nothing or, by rounding, all that can be drawn
-    drawn = F.col("_q").isNotNull() & F.when(F.col("_cut_b1").isNotNull(), at < F.struct(*cut)).otherwise(F.col("_lack") > 0)
-    rest = joined.filter("not _at_cut").withColumn("_take", (F.col("_pi") >= 1) | drawn)
-    both = edge.unionByName(rest)
-    copies = F.least(F.col("_whole") + F.col("_take").cast("long"), F.lit(max_copies))
-    return both.select(*own, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    drawn = F.col("_q").isNotNull() & F.when(F.col("_cut_b1").isNotNull(), at < cut).otherwise(F.col("_lack") > 0)
+    take = F.coalesce("_edge", (F.col("_pi") >= 1) | drawn)
+    copies = F.least(F.col("_whole") + take.cast("long"), F.lit(max_copies))
+    return joined.select(*own, "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def _lots(docs: DataFrame, seed: int = 0) -> list[Column]:
@@ -160,16 +170,20 @@ def mixed_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataF
 
     docs should be a table: rows equal in id and text are told apart by their place in it.
     """
-    plan = mix_plan(stored(sized(docs), "mix-sizes"), weights)
+    sizes = stored(sized(docs), "mix-sizes")
+    plan = mix_plan(sizes, weights)
     rows = docs.select(*_lots(docs), F.struct("*").alias("row"))
-    taken = pareto_mix(rows, plan).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    # the row's number keeps the filter above the ranks, so they are made once
+    mixed = pareto_mix(rows, plan, edge_takes(sizes, plan)).select("row", "copies", F.monotonically_increasing_id().alias("_n"))
+    taken = mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return taken.select("row.*")
 
 
 def op5_pareto_mix(spark, sf_dir):
     """doc_id, size, source_size, target, taken for every document; the size is its words."""
     rows = stored(sized(table(spark, sf_dir, "documents")), "mix-sizes")
-    return pareto_mix(rows, mix_plan(rows)).select("doc_id", "size", "source_size", "target", "taken")
+    plan = mix_plan(rows)
+    return pareto_mix(rows, plan, edge_takes(rows, plan)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""

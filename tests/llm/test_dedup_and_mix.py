@@ -55,15 +55,20 @@ def test_targets_follow_weights_and_caps(spark):
     assert abs(sum(got.values()) - sum(sizes.values())) < 1e-6
 
 
+def mixed(df, buckets=mixing.BUCKETS):
+    plan = mixing.mix_plan(df, buckets=buckets)
+    return mixing.pareto_mix(df, plan, mixing.edge_takes(df, plan, buckets), buckets=buckets)
+
+
 def test_mix_comes_near_its_targets(documents):
     rows = [(i, "w " * (1 + i * 7 % 40), "en", "abc"[0 if i % 3 else i // 3 % 3]) for i in range(1500)]
-    df = mixing.sized(documents(rows))
-    out = mixing.pareto_mix(df, mixing.mix_plan(df)).collect()
+    df = mixing.stored(mixing.sized(documents(rows)), "test-sizes")
+    out = mixed(df).collect()
     for s in "abc":
         mine = [r for r in out if r["source"] == s]
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 20.5
         assert all(0 <= r["copies"] <= 3 for r in mine)
-    again = mixing.pareto_mix(df, mixing.mix_plan(df)).collect()
+    again = mixed(df).collect()
     assert sorted((r["doc_id"], r["taken"]) for r in out) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
@@ -75,7 +80,7 @@ def test_inclusion_is_in_proportion_to_size_with_certainties_apart(documents):
     for seed in range(1, seeds + 1):
         df = mixing.stored(mixing.sized(docs, seed), "test-sizes")
         plan = mixing.mix_plan(df)
-        for r in mixing.pareto_mix(df, plan).filter("source = 'a'").collect():
+        for r in mixing.pareto_mix(df, plan, mixing.edge_takes(df, plan)).filter("source = 'a'").collect():
             taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["copies"]
     a = next(r for r in plan.collect() if r["_source"] == "a")
     lack, c = a["target"] - a["_whole"] * a["source_size"], a["_c"]
@@ -95,18 +100,18 @@ def test_rows_that_repeat_an_id_are_split_at_the_cut(documents):
     texts = [(7, f"w{i} " * 10, "en", "a") for i in range(400)]
     for rows in (texts, [(8, "same " * 10, "en", "a")] * 400, texts[:100] + [(8, "same " * 10, "en", "a")] * 300):
         df = mixing.stored(mixing.sized(documents(rows + other)), "test-sizes")
-        out = [r for r in mixing.pareto_mix(df, mixing.mix_plan(df, buckets=8), buckets=8).collect() if r["source"] == "a"]
+        out = [r for r in mixed(df, 8).collect() if r["source"] == "a"]
         assert len(out) == 400 and len({r["copies"] for r in out}) == 2
         assert abs(sum(r["taken"] for r in out) - out[0]["target"]) <= 5
 
 
 def test_mix_on_awkward_and_empty_tables(awkward, empty):
     df = mixing.sized(awkward)
-    out = mixing.pareto_mix(df, mixing.mix_plan(df)).collect()
+    out = mixed(df).collect()
     assert len(out) == 10 and all(r["taken"] <= 3 * r["size"] for r in out)
     assert mixing.mixed_copies(awkward).columns == awkward.columns
     e = mixing.sized(empty)
-    assert mixing.pareto_mix(e, mixing.mix_plan(e)).count() == 0
+    assert mixed(e).count() == 0
 
 
 def plain_best_fit(sizes, sources, clusters, capacity, quota):
@@ -192,8 +197,8 @@ def test_pipeline_stages_keep_columns_and_run_on_awkward_rows(spark, awkward, em
 
 def test_fixed_size_sample_takes_whole_copies_first(documents):
     rows = [(i, "a b c", "en", "x") for i in range(90)] + [(100 + i, "a b c", "en", "y") for i in range(10)]
-    df = mixing.sized(documents(rows))
-    out = mixing.pareto_mix(df, mixing.mix_plan(df)).collect()
+    df = mixing.stored(mixing.sized(documents(rows)), "test-sizes")
+    out = mixed(df).collect()
     copies = {s: sorted(r["copies"] for r in out if r["source"] == s) for s in "xy"}
     assert copies["y"] == [3] * 10  # two thirds are wanted, three copies are the most
     assert sum(copies["x"]) == 70 and set(copies["x"]) == {0, 1}
