@@ -26,13 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
         met = both.join(sent_if_small(labels.select(F.col("v").alias("b"), "label"), VERTEX, n), "b").select(F.col("a").alias("v"), F.lit(None).cast("long").alias("old"), "label")
         own = labels.select("v", F.col("label").alias("old"), "label")
         hooked = stored(own.unionByName(met).groupBy("v").agg(F.max("old").alias("old"), F.min("label").alias("label")), "cc-hooked")
-        # what a vertex has learnt also holds for the vertex it was labelled with
+        # what a vertex has learnt also holds for the vertex it was labelled with, and a label's label for all that have it
         told = hooked.groupBy(F.col("old").alias("v")).agg(F.min("label").alias("told"))
-        hooked = hooked.join(sent_if_small(told, VERTEX, n), "v", "left").select("v", "old", F.least("label", F.coalesce("told", "label")).alias("label"))
-        hooked = stored(hooked, "cc-told")
         jump = hooked.select(F.col("v").alias("label"), F.col("label").alias("far"))
-        moved = hooked.join(sent_if_small(jump, VERTEX, n), "label", "left").select("v", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
-        moved = stored(moved, "cc-labels")
+        moved = hooked.join(sent_if_small(told, VERTEX, n), "v", "left").join(sent_if_small(jump, VERTEX, n), "label", "left")
+        moved = stored(moved.select("v", "old", F.least("label", F.coalesce("told", "label"), F.coalesce("far", "label")).alias("label")), "cc-labels")
         labels = moved.select("v", "label")
         if moved.filter("old <> label").isEmpty():
             break

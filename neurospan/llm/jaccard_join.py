@@ -5,8 +5,9 @@ share one of their first tokens (two sets that link share one, in any order comm
 Level by level every region elects pivots among its own sets, so pivots are in proportion to the
 data. Sets within REACH of a pivot form its Voronoi cell, sets that a member of the cell could still
 reach by the triangle inequality are replicated to the cell, and what is in no cell goes on as the
-far part. Cells and far parts are regions of the next level, down to regions whose sets are all
-linked or have all been pivots.
+far part. Cells and far parts are regions of the next level, down to leaves of LEAF sets, which are
+joined exactly in one task each. Sets that are linked already, such as all members of a cell, are
+never compared at any level.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ REACH = 1 - PERCENT / 100
 WINDOW = 100 - 2 * (100 - PERCENT)
 #: A region elects one pivot at the first level and this many times as many at each further one.
 GROWTH = 16
+#: Sets of a region that one task joins, and how many of them meet the others at a time.
+LEAF, BLOCK = 2048, 256
 #: Bytes of a row of regions or pairs in a table that is sent to every task.
 ROW = 64
 SLOTS = 1 << 22
@@ -205,33 +208,33 @@ class Sets:
             read = stored(read.dropDuplicates(["c"]), "join-tokens")
         self.tokens = read if self.tokens is None else self.tokens.unionByName(read)
 
-    def distances(self, pairs: DataFrame, percent: int) -> DataFrame:
-        """a, b, d, link for the stored pairs (a, b) of sets that share percent of their union or more.
+    def sides(self, table: DataFrame, of: DataFrame, n: int, column: str) -> DataFrame:
+        """The n pairs (a, b) with the column of both; each side is met on its own, so only pairs with what they need move."""
+        one = lambda x: table.select(F.col("c").alias(x), F.col(column).alias(f"{column}_{x}")).join(sent_if_small(of, ROW, n), x)
+        return one("a").join(one("b"), ["a", "b"])
 
-        Parity sketches, a few words a set, rule out nearly all other pairs; the sets of the rest are
-        intersected. Each side of a pair is met on its own, so only pairs with what they need move.
-        """
+    def close(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """The stored pairs (a, b) that may share percent of their union: parity sketches, a few words a set, rule out nearly all others."""
         def folded(x: Column, size: Column) -> Column:
             half = F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda a, b: a.bitwiseXOR(b))
             return F.when(F.size(x) > size, half).otherwise(x)
 
-        def sides(table: DataFrame, of: DataFrame, n: int, column: str) -> DataFrame:
-            one = lambda x: table.select(F.col("c").alias(x), F.col(column).alias(f"{column}_{x}")).join(sent_if_small(of, ROW, n), x)
-            return one("a").join(one("b"), ["a", "b"])
-
         n = pairs.count()
-        sketched = sides(self.sketches.withColumn("sized", F.struct("n", "sketch")), pairs, n, "sized")
+        sketched = self.sides(self.sketches.withColumn("sized", F.struct("n", "sketch")), pairs, n, "sized")
         x, y = F.col("sized_a.sketch"), F.col("sized_b.sketch")
         size = F.least(F.size(x), F.size(y))  # one is at most twice the other, as the sets' sizes are
         differ = F.aggregate(F.zip_with(folded(x, size), folded(y, size), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
         most = (100 - percent) * (F.col("sized_a.n") + F.col("sized_b.n"))  # (100 + percent) times the greatest difference
-        close = stored(sketched.filter((100 + percent) * differ <= most).select("a", "b"), "join-close")
+        return stored(sketched.filter((100 + percent) * differ <= most).select("a", "b"), "join-close")
+
+    def distances(self, close: DataFrame, percent: int) -> DataFrame:
+        """a, b, d, link for the stored pairs (a, b) of sets that share percent of their union or more, by intersecting them."""
         n = close.count()
         if n:
             self.fetch(close, n)
         if not n or self.tokens is None:
             return close.select("a", "b", F.lit(0.0).alias("d"), F.lit(False).alias("link")).limit(0)
-        both = sides(self.tokens, close, n, "tokens")
+        both = self.sides(self.tokens, close, n, "tokens")
         both = both.select("a", "b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("both"), (F.size("tokens_a") + F.size("tokens_b")).alias("sum"))
         union = F.col("sum") - F.col("both")
         inside = both.filter(100 * F.col("both") >= percent * union)
@@ -261,9 +264,9 @@ class Labels:
 
 
 def opened(rows: DataFrame, labels: Labels) -> DataFrame:
-    """The rows of regions that may still hold a link between two labels, with label, top, free and first.
+    """The rows of regions that may still hold a link between two labels, with label, held, top, free and first.
 
-    top is the region's most frequent label and free the number of sets outside it: pivots come from
+    held is the number of sets of the region, top is the region's most frequent label and free the number of sets outside it: pivots come from
     those, so a group that is linked already is never compared with itself. first is the set that
     comes first by at or away.
     """
@@ -271,7 +274,7 @@ def opened(rows: DataFrame, labels: Labels) -> DataFrame:
     order = F.struct(F.coalesce(F.col("at").cast("double"), "away"), "c")
     blocks = tagged.groupBy("region", "label").agg(F.count("*").alias("k"), F.max("home").alias("home"), F.min(order).alias("first"))
     of = blocks.groupBy("region").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("label", "k").alias("top"), F.max("home").alias("some_home"), F.min("first").alias("first"))
-    of = of.filter("n > most and some_home").select("region", "top", (F.col("n") - F.col("most")).alias("free"), F.col("first.c").alias("first"))
+    of = of.filter("n > most and some_home").select("region", F.col("n").alias("held"), "top", (F.col("n") - F.col("most")).alias("free"), F.col("first.c").alias("first"))
     return tagged.join(of, "region")
 
 
@@ -311,27 +314,22 @@ def compared(rows: DataFrame, pivots: DataFrame, n: int, percent: int) -> DataFr
     return met.select("p.region", "p", "y", F.least("p", "y").alias("a"), F.greatest("p", "y").alias("b"), F.col("ny").alias("n"))
 
 
-def next_level(rows: DataFrame, n: int, pivots: DataFrame, labels: Labels, links: DataFrame | None, sets: Sets, level: int) -> DataFrame:
-    """The regions below these n rows: cells with their windows, far parts, and cells without the pivots that were compared.
+def cells(left: DataFrame, n: int, pivots: DataFrame, links: DataFrame | None, sets: Sets, level: int) -> DataFrame:
+    """The regions below those of left (n rows), whose pivots are gone: cells with their windows, and far parts.
 
-    Pivots are done with in their region, as they were compared with all that they could link with.
-    Where a region still holds two labels, the pivots that found a link get cells: a set within REACH
-    of some is a member (home) of the cell of the nearest and leaves the far part, and a set within
-    2 * REACH of a pivot is in its cell, so whatever links with a member is there. The cells that one
-    pivot has in several regions are one region.
+    The pivots that found a link get cells: a set within REACH of some is a member (home) of the cell
+    of the nearest and leaves the far part, and a set within 2 * REACH of a pivot is in its cell, so
+    whatever links with a member is there. The cells that one pivot has in several regions are one
+    region. Cells among left stay as they are, without their pivots.
     """
     names = ["region", "c", "n", "at", "home", "away"]
-    left = rows.select(names).join(sent_if_small(pivots.select("region", "c"), ROW, n), ["region", "c"], "left_anti")
     if links is None:
-        return left
-    left = stored(opened(left, labels), "join-left")
-    n = left.count()
-    if not n:
         return left.select(names)
     linked = links.select(F.explode(F.array("a", "b")).alias("c"))
     cored = pivots.filter("away is null").join(sent_if_small(linked, ROW, 2 * links.count()), "c", "left_semi")
     met = stored(compared(left, cored, n, WINDOW), "join-window")
-    near = stored(sets.distances(stored(met.select("a", "b").distinct(), "join-pairs"), WINDOW), "join-near")
+    pairs = stored(met.select("a", "b").distinct(), "join-pairs")
+    near = stored(sets.distances(sets.close(pairs, WINDOW), WINDOW), "join-near")
     k = near.count()
     if not k:
         return left.select(names)
@@ -339,13 +337,48 @@ def next_level(rows: DataFrame, n: int, pivots: DataFrame, labels: Labels, links
     k = inside.count()
     nearest = sent_if_small(inside.filter("link").groupBy("region", "c").agg(F.min_by("p", F.struct("d", "p")).alias("nearest")), ROW, k)
     far = left.select(names).join(nearest, ["region", "c"], "left_anti")
-    cells = inside.join(nearest, ["region", "c"], "left").groupBy("p", "c", "n").agg(F.max(F.coalesce(F.col("p") == F.col("nearest"), F.lit(False))).alias("home"), F.min("d").alias("away"))
-    cells = cells.select(F.xxhash64("p", F.lit(level), F.lit("cell")).alias("region"), "c", "n", F.lit(None).cast("int").alias("at"), "home", "away")
-    return far.unionByName(cells)
+    found = inside.join(nearest, ["region", "c"], "left").groupBy("p", "c", "n").agg(F.max(F.coalesce(F.col("p") == F.col("nearest"), F.lit(False))).alias("home"), F.min("d").alias("away"))
+    found = found.select(F.xxhash64("p", F.lit(level), F.lit("cell")).alias("region"), "c", "n", F.lit(None).cast("int").alias("at"), "home", "away")
+    return far.unionByName(found)
+
+
+def _leaf(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of one leaf with different labels that may link, by the bounds of compared and by their sketches."""
+    c, n, label = (frame[x].to_numpy(np.int64) for x in ("c", "n", "label"))
+    at, away, home = frame["at"].fillna(0).to_numpy(np.int64), frame["away"].to_numpy(float), frame["home"].to_numpy(bool)
+    after = n - at
+    sketches = [np.asarray(x, np.int64).view(np.uint64) for x in frame["sketch"]]  # bits of signed numbers would be those of their size
+    out = []
+    for start in range(0, len(c), BLOCK):
+        i, j = np.nonzero(label[start : start + BLOCK, None] != label[None, start + 1 :])
+        i, j = i + start, j + start + 1
+        i, j = i[i < j], j[i < j]
+        need = PERCENT * (n[i] + n[j])
+        keep = (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & ((100 + PERCENT) * (np.minimum(at[i], at[j]) + np.minimum(after[i], after[j])) >= need)
+        keep &= ((100 + PERCENT) * after[i] >= need) & ((100 + PERCENT) * after[j] >= need)
+        keep &= np.isnan(away[i]) | ((home[i] | home[j]) & (np.abs(away[i] - away[j]) <= REACH + 1e-9))
+        for p, q in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+            x, y = sketches[p], sketches[q]
+            size = min(len(x), len(y))
+            x, y = (z[:size] ^ z[size:] if len(z) > size else z for z in (x, y))
+            if (100 + PERCENT) * int(np.bitwise_count(x ^ y).sum()) <= (100 - PERCENT) * (n[p] + n[q]):
+                out.append((min(c[p], c[q]), max(c[p], c[q])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def leaf_pairs(leaves: DataFrame, n: int, sets: Sets) -> DataFrame:
+    """The pairs (a, b) that may link of regions with LEAF sets or fewer, n rows together; a region is one task's."""
+    rows = sets.sketches.select("c", "sketch").join(sent_if_small(leaves, 2 * ROW, n), "c")
+    return stored(rows.groupBy("region").applyInPandas(_leaf, "a long, b long").distinct(), "join-leaves")
 
 
 def class_labels(docs: DataFrame, classes: DataFrame, counts: DataFrame) -> Labels:
-    """The sets that link with another one, by component; docs (doc_id, h, text) and classes (doc_id, h, c) are those with an id."""
+    """The sets that link with another one, by component; docs (doc_id, h, text) and classes (doc_id, h, c) are those with an id.
+
+    A level compares the pivots of every region with its sets. Pivots are done with then, as they were
+    compared with all that they could link with. Of the regions that still hold two labels the small
+    ones are leaves, and the others are cut into cells and far parts.
+    """
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(token_levels(counts))
     text = docs.select("text")
@@ -358,6 +391,14 @@ def class_labels(docs: DataFrame, classes: DataFrame, counts: DataFrame) -> Labe
     room = (100 + PERCENT) * (F.col("n") - F.col("at")) >= PERCENT * (F.col("n") + F.col("least"))
     first = first.join(met.withColumnRenamed("key", "region"), "region").filter(room)
     regions = first.select("region", "c", "n", "at", F.lit(True).alias("home"), F.lit(None).cast("double").alias("away"))
+
+    def linked(pairs: DataFrame, bounded: bool = False) -> DataFrame | None:
+        links = stored(sets.distances(pairs if bounded else sets.close(pairs, PERCENT), PERCENT), "join-links").filter("link").select("a", "b")
+        if links.isEmpty():
+            return None
+        labels.merge(links)
+        return links
+
     level = 0
     while True:
         rows = stored(opened(regions, labels), "join-rows")
@@ -365,12 +406,17 @@ def class_labels(docs: DataFrame, classes: DataFrame, counts: DataFrame) -> Labe
         if not n:
             return labels
         pivots = elected(rows, level)
-        pairs = stored(compared(rows, pivots, n, PERCENT).select("a", "b").distinct(), "join-pairs")
-        links = stored(sets.distances(pairs, PERCENT), "join-links")
-        found = not links.isEmpty()
-        if found:
-            labels.merge(links)
-        regions = next_level(rows, n, pivots, labels, links if found else None, sets, level)
+        links = linked(stored(compared(rows, pivots, n, PERCENT).select("a", "b").distinct(), "join-pairs"))
+        left = rows.drop("label", "held", "top", "free", "first").join(sent_if_small(pivots.select("region", "c"), ROW, n), ["region", "c"], "left_anti")
+        left = stored(opened(left, labels), "join-left")
+        small, large = left.filter(F.col("held") <= LEAF), left.filter(F.col("held") > LEAF)
+        n = small.count()
+        if n:
+            linked(leaf_pairs(small, n, sets), True)
+        n = large.count()
+        if not n:
+            return labels
+        regions = cells(large, n, pivots, links, sets, level)
         level += 1
 
 

@@ -58,8 +58,9 @@ def corpus(seed, n=150):
     return rows + [(9001, None), (9002, ""), (9003, " \n")]
 
 
-def test_components_equal_brute_force(documents):
-    for seed in (1, 2):
+def test_components_equal_brute_force(documents, monkeypatch):
+    for seed, leaf in ((1, jaccard_join.LEAF), (2, 6), (3, 0)):  # small leaves leave more to cells and far parts
+        monkeypatch.setattr(jaccard_join, "LEAF", leaf)
         rows = corpus(seed)
         assert joined(documents(rows)) == sorted(plain_components(rows))
 
@@ -92,7 +93,7 @@ def test_a_large_group_around_the_edge_is_not_paired(documents, monkeypatch):
 
     def counting(df, name):
         out = kept(df, name)
-        if name in ("join-pairs", "join-window"):
+        if name in ("join-pairs", "join-window", "join-leaves"):
             made.append(out.select("a", "b").distinct().count())
         return out
 
@@ -114,6 +115,7 @@ def test_every_set_that_shares_a_first_token_meets_a_pivot(documents, monkeypatc
         return out
 
     monkeypatch.setattr(jaccard_join, "stored", keeping)
+    monkeypatch.setattr(jaccard_join, "LEAF", 4)
     joined(documents(corpus(5)))
     pivots = jaccard_join.elected(seen["join-rows"][0], 0)
     first = seen["join-rows"][0]
