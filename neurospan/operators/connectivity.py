@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from neurospan.operators.windows import time_windows
+
+#: More windows than a recording has, to number those of all recordings.
+WINDOWS = 1 << 24
+
 
 def pair_moments(samples: DataFrame, key: str, values: str = "values") -> DataFrame:
     """key, i, j (i <= j), n, means and co-moment of two channels, from one row per sample.
@@ -67,7 +72,7 @@ def trial_stats(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 def network_means(edges: DataFrame, networks: DataFrame, keys: list[str]) -> DataFrame:
     """Mean weight within and between networks; networks (roi, network) is an atlas of a few hundred rows."""
-    side = lambda x: F.broadcast(networks.select(F.col("roi").alias(f"roi_{x}"), F.col("network").alias(f"_n{x}")))
+    side = lambda x: networks.select(F.col("roi").alias(f"roi_{x}"), F.col("network").alias(f"_n{x}"))
     joined = edges.join(side("i"), "roi_i").join(side("j"), "roi_j")
     return joined.groupBy(*keys, F.least("_ni", "_nj").alias("network_a"), F.greatest("_ni", "_nj").alias("network_b")).agg(F.avg("weight").alias("mean"))
 
@@ -109,6 +114,13 @@ def correlation_summary(edges: DataFrame, key: str) -> DataFrame:
     return edges.groupBy(key).agg(F.avg(w).alias("mean"), F.count_if(F.abs(w) > 0.95).alias("n_high"), F.count_if(F.abs(w) < 0.1).alias("n_low"))
 
 
+def window_edges(samples: DataFrame, sfreq: float, size: float, step: float) -> DataFrame:
+    """rec_id, window, roi_i < roi_j, weight: correlations inside sliding windows, from one row per sample."""
+    rows = time_windows(samples, "rec_id", "sample_idx", sfreq, size, step)
+    edges = correlation_edges(rows.select((F.col("rec_id") * WINDOWS + F.col("window")).alias("_k"), "values"), "_k")
+    return edges.select(F.floor(F.col("_k") / WINDOWS).alias("rec_id"), (F.col("_k") % WINDOWS).alias("window"), "roi_i", "roi_j", "weight")
+
+
 def phase_edges(analytic: DataFrame, key: str) -> DataFrame:
     """PLV, PLI, wPLI and debiased wPLI from analytic samples (key, idx, roi, re, im): one self-join, all four.
 

@@ -144,29 +144,56 @@ def seeded(key: Column, seed: Column | str) -> Column:
     return F.md5(F.concat_ws(":", seed, key.cast("string")))
 
 
+def positions(df: DataFrame, keys: list[str], order: Column, tie: str) -> DataFrame:
+    """df with _i, the place from 1 of each row by a hexadecimal hash inside its keys.
+
+    Rows are counted by the first digits of the hash, which gives where each such bucket starts, and
+    numbered inside their bucket only, so no task orders all rows.
+    """
+    rows = df.withColumn("_o", order).withColumn("_b", F.substring("_o", 1, 4))
+    counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_k"))
+    before = counts.withColumn("_before", F.sum("_k").over(W.partitionBy(*keys).orderBy("_b")) - F.col("_k")).drop("_k")
+    placed = rows.join(before, [*keys, "_b"])
+    inside = F.row_number().over(W.partitionBy(*keys, "_b").orderBy("_o", tie))
+    return placed.withColumn("_i", F.col("_before") + inside).drop("_o", "_b", "_before")
+
+
 def permutation_test(df: DataFrame, subject: str, x: str, y: str, n: int) -> DataFrame:
     """observed, p, null_mean, null_std of the correlation of x with y: p is the share of shuffles at least as large.
 
-    Each shuffle re-pairs by position: subjects in their own order against subjects in hashed order.
+    Each shuffle re-pairs by position: subjects in one hashed order against subjects in another.
     """
-    perms = df.select(subject, x, y).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    own = F.row_number().over(W.partitionBy("perm").orderBy(subject))
-    other = F.row_number().over(W.partitionBy("perm").orderBy(seeded(F.col(subject), F.col("perm")), subject))
-    left = perms.select("perm", own.alias("_i"), F.col(x).alias("_x"))
-    right = perms.select("perm", other.alias("_i"), F.col(y).alias("_y"))
-    null = left.join(right, ["perm", "_i"]).groupBy("perm").agg(*_moments("_x", "_y")).select(_corr().alias("r"))
+    own = positions(df.select(subject, x), [], seeded(F.col(subject), "own"), subject).select("_i", F.col(x).alias("_x"))
+    perms = df.select(subject, y).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    other = positions(perms, ["perm"], seeded(F.col(subject), F.col("perm")), subject).select("perm", "_i", F.col(y).alias("_y"))
+    null = other.join(own, "_i").groupBy("perm").agg(*_moments("_x", "_y")).select(_corr().alias("r"))
     seen = df.agg(*_moments(x, y)).select(_corr().alias("observed"))
-    return null.join(F.broadcast(seen)).groupBy("observed").agg(
+    return null.join(F.broadcast(seen)).groupBy("observed").agg(  # one row
         F.avg((F.abs("r") >= F.abs("observed")).cast("double")).alias("p"), F.avg("r").alias("null_mean"), F.stddev_pop("r").alias("null_std"),
     )
 
 
 def split_subjects(subjects: DataFrame, subject: str, test: float, validation: float, seed: str = "42") -> DataFrame:
-    """subject, split: int(n * ratio) for test, then validation, the rest trains.
+    """subject, split: int(n * ratio) for test, then validation, the rest trains; subjects in hashed order."""
+    n = subjects.count()
+    a, b = int(n * test), int(n * validation)
+    i = F.col("_i")
+    placed = positions(subjects.select(subject), [], seeded(F.col(subject), seed), subject)
+    return placed.select(subject, F.when(i <= a, "test").when(i <= a + b, "validation").otherwise("train").alias("split"))
 
-    Sizes are exact, so subjects (one row each) are numbered in hashed order in one window.
+
+def macro_metrics(df: DataFrame, truth: str, prediction: str) -> DataFrame:
+    """accuracy and the means over classes of precision, recall and F1, 0 where undefined.
+
+    Classes are those of truth or prediction; counts of pairs of classes are all that is shuffled.
     """
-    n = F.count("*").over(W.partitionBy())
-    i = F.row_number().over(W.orderBy(seeded(F.col(subject), seed), subject))
-    a, b = F.floor(n * test), F.floor(n * validation)
-    return subjects.select(subject, F.when(i <= a, "test").when(i <= a + b, "validation").otherwise("train").alias("split"))
+    pairs = df.groupBy(F.col(truth).alias("t"), F.col(prediction).alias("p")).agg(F.count("*").alias("n"))
+    side = F.explode(F.array(F.struct(F.col("t").alias("label"), F.col("n").alias("true"), F.lit(0).cast("long").alias("said")), F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("true"), F.col("n").alias("said"))))
+    sums = pairs.select(side.alias("_x")).groupBy("_x.label").agg(F.sum("_x.true").alias("true"), F.sum("_x.said").alias("said"))
+    hits = pairs.filter("t = p").select(F.col("t").alias("label"), F.col("n").alias("hit"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, F.nullif(b, F.lit(0))), F.lit(0.0))
+    per = sums.join(hits, "label", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    return per.agg(
+        F.count("*").alias("n_classes"), ratio(F.sum("hit"), F.sum("true")).alias("accuracy"),
+        F.avg(ratio(F.col("hit"), F.col("said"))).alias("precision"), F.avg(ratio(F.col("hit"), F.col("true"))).alias("recall"), F.avg(ratio(2 * F.col("hit"), F.col("true") + F.col("said"))).alias("f1"),
+    )

@@ -62,7 +62,7 @@ def rereference(signal: DataFrame, channels: list[int] | None = None) -> DataFra
 def neighbours(montage: DataFrame, k: int) -> DataFrame:
     """channel, other, rank: the k nearest by distance, ties by channel. A montage has some hundred rows."""
     a = montage.select("channel", "x", "y", "z")
-    b = F.broadcast(montage.select(F.col("channel").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2")))
+    b = montage.select(F.col("channel").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"))
     d = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 + (F.col("z") - F.col("z2")) ** 2)
     near = a.join(b, F.col("channel") != F.col("other")).withColumn("distance", d)
     rank = F.row_number().over(W.partitionBy("channel").orderBy("distance", "other"))
@@ -71,7 +71,7 @@ def neighbours(montage: DataFrame, k: int) -> DataFrame:
 
 def clustered_bad(near: DataFrame, bad: DataFrame, k: int, share: float = 0.5, inclusive: bool = True) -> DataFrame:
     """rec_id, channel, n_bad of bad channels, clustered where the share of bad neighbours reaches share."""
-    hit = bad.join(F.broadcast(near), "channel").join(bad.select("rec_id", F.col("channel").alias("other"), F.lit(1).alias("_b")), ["rec_id", "other"], "left")
+    hit = bad.join(near, "channel").join(bad.select("rec_id", F.col("channel").alias("other"), F.lit(1).alias("_b")), ["rec_id", "other"], "left")
     out = hit.groupBy("rec_id", "channel").agg(F.count("_b").alias("n_bad"))
     ratio = F.col("n_bad") / k
     return out.withColumn("clustered", ratio >= share if inclusive else ratio > share)
@@ -87,3 +87,20 @@ def concatenate(runs: DataFrame, keys: list[str], order: list[str], duration: st
     """Adds offset: the time of all runs before, by key."""
     w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return runs.withColumn("offset", F.coalesce(F.sum(duration).over(w), F.lit(0.0)))
+
+
+def bad_union(detected: list[DataFrame], manual: DataFrame | None = None) -> DataFrame:
+    """rec_id and its bad channels, sorted: those of any detector (rec_id, channel, bad) and those given by hand (rec_id, channel)."""
+    found = [d.filter("bad").select("rec_id", "channel") for d in detected]
+    if manual is not None:
+        found.append(manual.select("rec_id", "channel"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("rec_id").agg(F.sort_array(F.collect_set("channel")).alias("bads"))
+
+
+def positioned(signal: DataFrame, montage: DataFrame) -> DataFrame:
+    """The channels that have a finite position (channel, x, y, z)."""
+    finite = [~F.isnan(c) & F.col(c).isNotNull() & (F.abs(c) != float("inf")) for c in ("x", "y", "z")]
+    return signal.join(montage.filter(finite[0] & finite[1] & finite[2]).select("channel"), "channel", "left_semi")

@@ -19,13 +19,13 @@ def apply_operator(signal: DataFrame, weights: DataFrame, keys: list[str]) -> Da
 def extract_regions(sources: DataFrame, keys: list[str], n_regions: int, n_sources: int) -> DataFrame:
     """Region i takes source row i mod n_sources."""
     regions = sources.sparkSession.range(n_regions).select(F.col("id").cast("int").alias("roi"), (F.col("id") % n_sources).cast("int").alias("row"))
-    return sources.join(F.broadcast(regions), "row").select(*keys, "roi", "value")
+    return sources.join(regions, "row").select(*keys, "roi", "value")
 
 
 def average_regions(sources: DataFrame, positions: DataFrame, atlas: DataFrame, keys: list[str], radius: float) -> DataFrame:
     """Region means over the sources within radius of its centre; atlas and positions are dimension tables."""
     d = sum(((F.col(f"p.{c}") - F.col(f"a.{c}")) ** 2 for c in "xyz"), F.lit(0.0))
-    near = positions.alias("p").join(F.broadcast(atlas.alias("a")), d <= radius * radius).select("p.row", "a.roi")
+    near = positions.alias("p").join(atlas.alias("a"), d <= radius * radius).select("p.row", "a.roi")
     return sources.join(near, "row").groupBy(*keys, "roi").agg(F.avg("value").alias("value"))
 
 

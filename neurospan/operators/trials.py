@@ -138,7 +138,39 @@ def match_conditions(events: DataFrame, conditions: DataFrame, name: str, code:
     conditions: condition, codes (array). The table is a task's configuration, a few rows.
     """
     codes = conditions.select("condition", F.explode("codes").alias("_code"))
-    by_name = events.join(F.broadcast(conditions.select("condition")), F.col(name) == F.col("condition"))
-    unnamed = events.join(F.broadcast(conditions.select(F.col("condition").alias(name))), name, "left_anti")
-    by_code = unnamed.join(F.broadcast(codes), F.col(code) == F.col("_code")).drop("_code")
+    by_name = events.join(conditions.select("condition"), F.col(name) == F.col("condition"))
+    unnamed = events.join(conditions.select(F.col("condition").alias(name)), name, "left_anti")
+    by_code = unnamed.join(codes, F.col(code) == F.col("_code")).drop("_code")
     return by_name.unionByName(by_code)
+
+
+def apply_bins(df: DataFrame, configs: list[dict]) -> DataFrame:
+    """df with bin_name, a row for each bin that a trial is in; a later configuration takes over names that an earlier one made.
+
+    Types: accuracy (stimulus), rt_quantiles (bins), positions (bins), field (field), stimulus_x_rt
+    (stimulus, bins); prefix names the numbered bins. Without configurations all trials are in all.
+    """
+    if not configs:
+        return df.withColumn("bin_name", F.lit("all"))
+    numbered = lambda rows, *prefix: rows.withColumn("bin_name", F.concat_ws("_", *prefix, F.concat(F.lit("q"), (F.col("bin") + 1).cast("string")))).drop("bin")
+    made = []
+    for i, c in enumerate(configs):
+        kind, k, prefix = c["type"], c.get("bins", 4), F.lit(c.get("prefix", c["type"]))
+        if kind == "accuracy":
+            rows = label_accuracy(df, c["stimulus"], "accuracy", "response_time").drop("response")
+        elif kind == "rt_quantiles":
+            rows = numbered(bin_quantiles(df.filter("response_time > 0"), "response_time", k), prefix)
+        elif kind == "positions":
+            rows = numbered(bin_positions(df, k, ["subject_id"], "trial_idx"), prefix)
+        elif kind == "field":
+            rows = label_field(df, c["field"])
+        elif kind == "stimulus_x_rt":
+            rows = numbered(bin_within(df, "response_time", k, c["stimulus"]), F.col(c["stimulus"]))
+        else:
+            raise ValueError(f"unknown type of bins: {kind}")
+        made.append(rows.select(*df.columns, "bin_name", F.lit(i).alias("_config")))
+    both = made[0]
+    for more in made[1:]:
+        both = both.unionByName(more)
+    last = both.groupBy("bin_name").agg(F.max("_config").alias("_config"))
+    return both.join(last, ["bin_name", "_config"]).drop("_config")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,3 +94,41 @@ def density(ptp: DataFrame, rec: str, threshold: DataFrame, bin_samples: int, n:
     hits = ptp.join(threshold, rec).withColumn("bin", start.cast("long")).groupBy(rec, "bin").agg(F.count_if(F.col("ptp") > F.col("threshold")).alias("n_above"))
     length = F.least(F.lit(bin_samples), F.col("_n") - F.col("bin") * bin_samples)
     return hits.join(n, rec).withColumn("density", F.col("n_above") / length).drop("_n")
+
+
+def time_windows(samples: DataFrame, rec: str, idx: str, sfreq: float, size: float, step: float) -> DataFrame:
+    """A row for each window of size seconds that a sample lies in, window added; windows start every step seconds.
+
+    Starts and ends are truncated to samples, so windows may differ by a sample; the last one may
+    reach beyond the end.
+    """
+    around = F.floor(F.col(idx) / (step * sfreq))
+    k = F.explode(F.sequence(F.greatest(around - math.ceil(size / step) - 1, F.lit(0)), around + 1))
+    out = samples.withColumn("window", k)
+    inside = (F.floor(F.col("window") * step * sfreq) <= F.col(idx)) & (F.col(idx) < F.floor((F.col("window") * step + size) * sfreq))
+    n = F.ceil(((F.col("_n") - 1) / sfreq - size + step) / step)
+    return out.filter(inside).join(lengths(samples, rec, idx), rec).filter(F.col("window") < n).drop("_n")
+
+
+def annotations(df: DataFrame, rec: str, channel: str, idx: str, value: str, sfreq: float, width: int, amplitude: float | None = None, gradient: float | None = None, flatline: float | None = None, least: float = 0.0) -> DataFrame:
+    """rec, description, onset, duration of every kind of artifact that has a limit: amplitude, gradient, flatline."""
+    found = []
+    if amplitude is not None:
+        found.append(("BAD_amplitude", islands(amplitude_mask(df, rec, channel, idx, value, width, amplitude), rec, idx, sfreq, least)))
+    if gradient is not None:
+        found.append(("BAD_gradient", islands(gradient_mask(df, rec, channel, idx, value, gradient), rec, idx, sfreq, least)))
+    if flatline is not None:
+        flat = flatline_windows(df, rec, channel, idx, value, width, flatline)
+        found.append(("BAD_flatline", flat.select(rec, (F.col("wstart") / sfreq).alias("onset"), F.lit(width / sfreq).alias("duration"))))
+    rows = [x.select(rec, F.lit(name).alias("description"), "onset", "duration") for name, x in found]
+    if not rows:
+        return df.select(rec, F.lit("").alias("description"), F.lit(0.0).alias("onset"), F.lit(0.0).alias("duration")).limit(0)
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def bad_intervals(marks: DataFrame) -> DataFrame:
+    """Annotations whose description holds bad in any case."""
+    return marks.filter(F.contains(F.lower("description"), F.lit("bad")))

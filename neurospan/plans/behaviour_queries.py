@@ -98,7 +98,7 @@ def trigger_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = spark.createDataFrame(list(TRIGGERS), "paradigm string, code long, name string")
     paradigm = F.translate(F.lower(F.when(F.col("trial_type") == "view", "Flanker_").otherwise("Resting-State")), "-_", "")
     df = trials(spark, sf_dir).select("event_id", "code", paradigm.alias("paradigm"))
-    return df.join(F.broadcast(dim), ["paradigm", "code"], "left").select("event_id", F.coalesce("name", F.concat(F.lit("trigger_"), F.col("code").cast("string"))).alias("name"))
+    return df.join(dim, ["paradigm", "code"], "left").select("event_id", F.coalesce("name", F.concat(F.lit("trigger_"), F.col("code").cast("string"))).alias("name"))
 
 
 def condition_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,7 +155,7 @@ YP = "yp AS (SELECT vec_id % 5 AS fold, CAST(label AS DOUBLE) AS y, 4.5 + 3 * CA
 FOLDS = f"{YP}, f AS (SELECT fold, count(*) AS n, avg((y - p) * (y - p)) AS mse, avg(abs(y - p)) AS mae, corr(y, p) AS pearson, var_pop(y) AS v FROM yp GROUP BY 1)"
 S = "s AS (SELECT o_orderkey, o_custkey AS subject, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS session, o_orderstatus AS status FROM orders)"
 FILES = """files AS (SELECT o_orderkey, CASE WHEN o_orderkey % 29 = 0 THEN '/data/notes.txt' ELSE '/data/sub-' || (o_custkey % 40) || CASE WHEN o_orderkey % 4 <> 0 THEN '_ses-' || (o_orderkey % 3) ELSE '' END || '_task-' ||
-  ['rest', 'saiit2afcblock1', 'surrsuppblockblock2', 'moviesrun12', 'oddballblock3'][o_orderkey % 5 + 1] || CASE WHEN o_orderkey % 6 <> 0 THEN '_run-0' || (o_orderkey % 5) ELSE '' END || '_eeg' || ['.fif', '.vhdr', '.set', ''][o_orderkey % 4 + 1] END AS path FROM orders WHERE o_orderkey <= 3000),
+  ['rest', 'saiit2afcblock1', 'surrsuppblockblock2', 'moviesrun12', 'oddballblock3'][o_orderkey % 5 + 1] || CASE WHEN o_orderkey % 6 <> 0 THEN '_run-0' || (o_orderkey % 5) ELSE '' END || '_eeg' || ['.fif', '.vhdr', '.set', ''][o_orderkey % 4 + 1] END AS path FROM orders),
   n AS (SELECT o_orderkey, string_split(path, '/')[-1] AS file, CASE WHEN contains(path, '.') THEN regexp_extract(string_split(path, '/')[-1], '^(.*)\\.[^.]*$', 1) ELSE string_split(path, '/')[-1] END AS name FROM files),
   b AS (SELECT o_orderkey, nullif(regexp_extract(name, 'sub-([a-zA-Z0-9]+)', 1), '') AS subject, nullif(regexp_extract(name, 'ses-([a-zA-Z0-9]+)', 1), '') AS session, nullif(regexp_extract(name, 'task-([a-zA-Z0-9]+)', 1), '') AS task,
     nullif(regexp_extract(name, 'run-([a-zA-Z0-9]+)', 1), '') AS run, string_split(name, '_')[-1] AS suffix, CASE WHEN contains(file, '.') THEN '.' || string_split(file, '.')[-1] ELSE '' END AS extension FROM n),
@@ -175,7 +175,7 @@ ORACLE = {
       SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS "precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(auc, 6) AS auc FROM c, a""",
     "model_ranking": """WITH s AS (SELECT event_type AS t, avg(value / 100) AS score FROM events GROUP BY 1), q AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, t) AS INT) AS k FROM s)
       SELECT a.t AS better, b.t AS worse, a.k AS rank_better, b.k AS rank_worse, round(a.score - b.score, 6) AS difference FROM q a JOIN q b ON a.k < b.k""",
-    "permutation_test": """WITH d AS (SELECT vec_id, CAST(embedding[4] AS DOUBLE) AS x, CAST(label AS DOUBLE) AS y FROM embeddings), p AS (SELECT unnest(range(100)) AS perm), l AS (SELECT perm, row_number() OVER (PARTITION BY perm ORDER BY vec_id) AS i, x FROM d, p),
+    "permutation_test": """WITH d AS (SELECT vec_id, CAST(embedding[4] AS DOUBLE) AS x, CAST(label AS DOUBLE) AS y FROM embeddings), p AS (SELECT unnest(range(100)) AS perm), l AS (SELECT perm, row_number() OVER (PARTITION BY perm ORDER BY md5('own:' || vec_id), vec_id) AS i, x FROM d, p),
       w AS (SELECT perm, row_number() OVER (PARTITION BY perm ORDER BY md5(perm || ':' || vec_id), vec_id) AS i, y FROM d, p), n AS (SELECT perm, corr(x, y) AS r FROM l JOIN w USING (perm, i) GROUP BY 1), o AS (SELECT corr(x, y) AS o FROM d)
       SELECT round(any_value(o), 6) AS observed, round(avg(CASE WHEN abs(r) >= abs(o) THEN 1.0::DOUBLE ELSE 0 END), 6) AS p, round(avg(r), 6) AS null_mean, round(stddev_pop(r), 6) AS null_std FROM n, o""",
     "subject_split": """WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('42:' || c_custkey), c_custkey) AS i, count(*) OVER () AS n FROM customer)

@@ -17,8 +17,8 @@ def r(*columns: str, digits: int = 6) -> list:
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signal = signal_long(spark, sf_dir).filter("channel < 8")
-    weights = spark.range(48).select((F.col("id") % 6).cast("int").alias("row"), F.floor(F.col("id") / 6).cast("int").alias("channel"), ((F.col("id") * 7 % 11).cast("double") / 10).alias("weight"))
+    signal = signal_long(spark, sf_dir)
+    weights = spark.range(384).select((F.col("id") % 6).cast("int").alias("row"), F.floor(F.col("id") / 6).cast("int").alias("channel"), ((F.col("id") * 7 % 11).cast("double") / 10).alias("weight"))
     return ss.apply_operator(signal, weights, ["rec_id", "sample_idx"])
 
 
@@ -81,7 +81,7 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (source_estimate, roi_extract, roi_sem, epoch_apportion, quality_rollup, metric_table, step_reference, step_filter_chain, event_scan, window_stats, user_sessions)}
 
-SRC = f"""{SIG}, m AS (SELECT i % 6 AS "row", i // 6 AS channel, CAST(i * 7 % 11 AS DOUBLE) / 10 AS weight FROM range(48) t(i)),
+SRC = f"""{SIG}, m AS (SELECT i % 6 AS "row", i // 6 AS channel, CAST(i * 7 % 11 AS DOUBLE) / 10 AS weight FROM range(384) t(i)),
   src AS (SELECT rec_id, sample_idx, "row", sum(weight * value) AS value FROM sig JOIN m USING (channel) GROUP BY ALL)"""
 
 ORACLE = {

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from neurospan.operators import epochs as ep
 from neurospan.operators import records as rc
+from neurospan.operators import signal_qc as qc
 from neurospan.plans.signal_queries import EPO, SIG, _epochs
 from neurospan.sources.tables import signal_long, table
 
@@ -59,7 +60,7 @@ def condition_erp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def variance_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     signal = signal_long(spark, sf_dir)
-    out = rc.compare_variance(signal.filter("channel < 20"), signal.filter("channel >= 5 and channel < 25 and sample_idx < 100"))
+    out = rc.compare_variance(signal, qc.rereference(signal))
     return out.select("channel", F.round(F.col("first") / 1e12, 6).alias("first"), F.round(F.col("second") / 1e12, 6).alias("second"))
 
 
@@ -73,13 +74,13 @@ ORACLE = {
     "state_age": """WITH e AS (SELECT event_id, ts, epoch(date_trunc('second', max(ts) OVER ()))::BIGINT - epoch(date_trunc('second', ts))::BIGINT AS s FROM events), d AS (SELECT *, s // 86400 AS d, s // 3600 % 24 AS h, s // 60 % 60 AS m FROM e)
       SELECT event_id, CASE WHEN d = 1 THEN 'yesterday' WHEN d > 0 AND d < 7 THEN d || ' days ago' WHEN d > 0 THEN strftime(ts, '%Y-%m-%d') WHEN h > 0 THEN h || ' hour' || CASE WHEN h > 1 THEN 's' ELSE '' END || ' ago'
         WHEN m > 0 THEN m || ' minute' || CASE WHEN m > 1 THEN 's' ELSE '' END || ' ago' ELSE 'just now' END AS age FROM d""",
-    "escaped_names": """SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html FROM pages""",
+    "escaped_names": """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html FROM pages""",
     "import_tally": """SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS success, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS failed, count(*) FILTER (o_orderstatus = 'O') AS skipped,
       round(100 * count(*) FILTER (o_orderstatus = 'F') / count(*) FILTER (o_orderstatus <> 'O'), 6) AS rate FROM orders""",
     "inclusion_list": """SELECT o_custkey, count(*) AS n_epochs, max(o_totalprice) < 450000 AS included FROM orders GROUP BY 1 HAVING count(*) >= 5 AND max(o_totalprice) < 450000 AND contains(CAST(o_custkey AS VARCHAR), '1')""",
     "block_trials": """WITH x AS (SELECT l_orderkey, l_quantity, l_partkey, row_number() OVER w - 1 AS i, sum(l_quantity) OVER w - l_quantity AS b FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey ROWS UNBOUNDED PRECEDING))
       SELECT l_orderkey, CAST(i AS INT) AS trial, l_quantity AS duration, CASE WHEN i < 2 THEN l_partkey END AS code, 1.0::DOUBLE + b AS onset FROM x""",
     "condition_erp": f"""WITH {EPO}, c AS (SELECT condition FROM ev GROUP BY 1 HAVING count(*) >= 4), w AS (SELECT condition, t, avg(value) AS v FROM erp WHERE condition IN (SELECT condition FROM c) GROUP BY ALL) SELECT condition, t, round(v, 6) AS value FROM w""",
-    "variance_compare": f"""WITH {SIG}, a AS (SELECT channel, var_pop(value) AS v FROM sig WHERE channel < 20 GROUP BY 1), b AS (SELECT channel, var_pop(value) AS v FROM sig WHERE channel >= 5 AND channel < 25 AND sample_idx < 100 GROUP BY 1)
+    "variance_compare": f"""WITH {SIG}, a AS (SELECT channel, var_pop(value) AS v FROM sig GROUP BY 1), c AS (SELECT channel, value - avg(value) OVER (PARTITION BY rec_id, sample_idx) AS value FROM sig), b AS (SELECT channel, var_pop(value) AS v FROM c GROUP BY 1)
       SELECT CAST(coalesce(a.channel, b.channel) AS INT) AS channel, round(a.v, 6) AS "first", round(b.v, 6) AS "second" FROM a FULL JOIN b ON a.channel = b.channel""",
 }

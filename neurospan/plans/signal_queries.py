@@ -14,6 +14,8 @@ from neurospan.sources.tables import recordings, signal_long
 
 SFREQ = 250.0
 BEFORE, AFTER, EVERY = 10, 29, 40
+#: Limits that single samples of some of all 64 channels pass.
+AMPLITUDE, GRADIENT, STEEP = 0.76, 0.55, 0.65
 REC = ("rec_id", "channel", "sample_idx", "value")
 
 
@@ -36,13 +38,13 @@ def hop_ptp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def amplitude_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = wi.amplitude_mask(signal_long(spark, sf_dir).filter("channel < 8"), *REC, 20, 0.66)
+    mask = wi.amplitude_mask(signal_long(spark, sf_dir), *REC, 20, AMPLITUDE)
     return wi.islands(mask, "rec_id", "sample_idx", SFREQ, 0.1).select("rec_id", *r("onset", "duration"))
 
 
 def gradient_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = wi.gradient_mask(signal_long(spark, sf_dir).filter("channel < 4"), *REC, 0.12)
-    return wi.islands(mask, "rec_id", "sample_idx", SFREQ, 0.012).select("rec_id", *r("onset", "duration"))
+    mask = wi.gradient_mask(signal_long(spark, sf_dir), *REC, GRADIENT)
+    return wi.islands(mask, "rec_id", "sample_idx", SFREQ, 0.008).select("rec_id", *r("onset", "duration"))
 
 
 def flatline_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def flatline_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def good_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     signal = signal_long(spark, sf_dir)
-    mask = wi.gradient_mask(signal.filter("channel < 4"), *REC, 0.12)
+    mask = wi.gradient_mask(signal, *REC, GRADIENT)
     bad = wi.islands(mask, "rec_id", "sample_idx", SFREQ, 0.0)
     return wi.good_samples(signal, bad, "rec_id", "sample_idx", SFREQ).groupBy("rec_id", "channel").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
@@ -81,7 +83,7 @@ def epoch_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epoch_bad_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = wi.gradient_mask(signal_long(spark, sf_dir).filter("channel < 1"), *REC, 0.42)
+    mask = wi.gradient_mask(signal_long(spark, sf_dir), *REC, STEEP)
     bad = wi.islands(mask, "rec_id", "sample_idx", 1.0, 0.0).select("rec_id", F.col("onset").alias("lo"), (F.col("onset") + F.col("duration")).alias("hi"))
     spans = _events(spark, sf_dir).select("rec_id", "epoch_id", (F.col("sample") - BEFORE).alias("start"), (F.col("sample") + AFTER + 1).alias("stop"))
     return ep.overlap_anti_join(spans, bad, 50).select("rec_id", "epoch_id", "start", "stop")
@@ -92,12 +94,11 @@ def epoch_ptp_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def baseline_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = ep.baseline(_epochs(spark, sf_dir), -BEFORE, -1)
-    return df.filter("t % 10 = 0").select("rec_id", "epoch_id", "channel", "t", *r("value"))
+    return ep.baseline(_epochs(spark, sf_dir), -BEFORE, -1).select("rec_id", "epoch_id", "channel", "t", *r("value"))
 
 
 def detrended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ep.detrend(_epochs(spark, sf_dir)).filter("t = 0").select("rec_id", "epoch_id", "channel", *r("value"))
+    return ep.detrend(_epochs(spark, sf_dir)).select("rec_id", "epoch_id", "channel", "t", *r("value"))
 
 
 def erp_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +137,7 @@ def high_var_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rereference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = qc.rereference(signal_long(spark, sf_dir), [0, 1, 2])
-    return df.filter("channel < 6").select("rec_id", "sample_idx", "channel", *r("value"))
+    return qc.rereference(signal_long(spark, sf_dir), [0, 1, 2]).select("rec_id", "sample_idx", "channel", *r("value"))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,8 +149,7 @@ def corr_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spearman_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = signal_long(spark, sf_dir).filter("channel < 12")
-    return cn.spearman_edges(df, "rec_id", "channel", "sample_idx", "value", 12).select("rec_id", "roi_i", "roi_j", *r("weight"))
+    return cn.spearman_edges(signal_long(spark, sf_dir), "rec_id", "channel", "sample_idx", "value", 64).select("rec_id", "roi_i", "roi_j", *r("weight"))
 
 
 def bad_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +174,7 @@ def network_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cn.graph_metrics(_edges(spark, sf_dir).filter("roi_j < 32"), "rec_id", 1.0).select("rec_id", *r("threshold", "mean_degree", "std_degree", "mean_strength", "clustering"))
+    return cn.graph_metrics(_edges(spark, sf_dir), "rec_id", 1.0).select("rec_id", *r("threshold", "mean_degree", "std_degree", "mean_strength", "clustering"))
 
 
 def top_edges_var(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,8 +228,8 @@ def _islands(mask: str, least: float, sfreq: float = SFREQ) -> str:
       isl AS (SELECT rec_id, min(sample_idx) / {sfreq}::DOUBLE AS onset, count(*) / {sfreq}::DOUBLE AS duration FROM run GROUP BY rec_id, g HAVING count(*) / {sfreq}::DOUBLE >= {least})"""
 
 
-def _gradient(channels: int, limit: float) -> str:
-    return f"SELECT DISTINCT rec_id, sample_idx FROM (SELECT *, abs(lead(value) OVER (PARTITION BY rec_id, channel ORDER BY sample_idx) - value) AS d FROM sig WHERE channel < {channels}) WHERE d > {limit}"
+def _gradient(limit: float) -> str:
+    return f"SELECT DISTINCT rec_id, sample_idx FROM (SELECT *, abs(lead(value) OVER (PARTITION BY rec_id, channel ORDER BY sample_idx) - value) AS d FROM sig) WHERE d > {limit}"
 
 
 EV = f"""ev AS (SELECT vec_id // 250 AS rec_id, (vec_id % 250) // {EVERY} AS epoch_id, vec_id % 250 AS sample, label % 3 AS condition FROM embeddings WHERE (vec_id % 250) % {EVERY} = {BEFORE} AND vec_id % 250 + {AFTER} < 250),
@@ -258,24 +257,24 @@ ORACLE = {
     "hop_variance": f"WITH {SIG}, {_hop(20, 10)}, v AS (SELECT rec_id, channel, var_pop(value) AS v FROM hop GROUP BY rec_id, channel, wstart) SELECT rec_id, channel, bool_or(v < 0.005) AS flat, round(min(v), 6) AS min_var FROM v GROUP BY 1, 2",
     "hop_ptp": f"""WITH {SIG}, {_hop(25, 12)}, p AS (SELECT rec_id, max(value) - min(value) AS p FROM hop GROUP BY rec_id, channel, wstart)
       SELECT rec_id, count(*) AS n, round(quantile_cont(p, 0.5), 6) AS median, round(quantile_cont(p, 0.9), 6) AS p90, round(quantile_cont(p, 0.95), 6) AS p95 FROM p GROUP BY 1""",
-    "amplitude_islands": f"""WITH {SIG}, {_hop(20, 10, 'channel < 8')}, bad AS (SELECT DISTINCT rec_id, wstart FROM (SELECT rec_id, wstart, channel FROM hop GROUP BY ALL HAVING max(value) - min(value) > 0.66)),
+    "amplitude_islands": f"""WITH {SIG}, {_hop(20, 10)}, bad AS (SELECT DISTINCT rec_id, wstart FROM (SELECT rec_id, wstart, channel FROM hop GROUP BY ALL HAVING max(value) - min(value) > {AMPLITUDE})),
       {_islands('SELECT DISTINCT rec_id, unnest(range(wstart, wstart + 20)) AS sample_idx FROM bad', 0.1)} SELECT rec_id, round(onset, 6) AS onset, round(duration, 6) AS duration FROM isl""",
-    "gradient_islands": f"WITH {SIG}, {_islands(_gradient(4, 0.12), 0.012)} SELECT rec_id, round(onset, 6) AS onset, round(duration, 6) AS duration FROM isl",
+    "gradient_islands": f"WITH {SIG}, {_islands(_gradient(GRADIENT), 0.008)} SELECT rec_id, round(onset, 6) AS onset, round(duration, 6) AS duration FROM isl",
     "flatline_windows": f"""WITH {SIG}, {_hop(25, 25)}, v AS (SELECT rec_id, wstart, channel, var_pop(value) AS v FROM hop GROUP BY ALL)
       SELECT rec_id, wstart, count(*) FILTER (v < 0.011) AS n_flat FROM v GROUP BY 1, 2 HAVING count(*) FILTER (v < 0.011) >= greatest(1, floor(count(*) * 0.1))""",
-    "good_samples": f"""WITH {SIG}, mask AS ({_gradient(4, 0.12)}) SELECT rec_id, channel, count(*) AS n, round(avg(value), 6) AS mean FROM sig s WHERE NOT EXISTS (SELECT 1 FROM mask m WHERE m.rec_id = s.rec_id AND m.sample_idx = s.sample_idx) GROUP BY 1, 2""",
+    "good_samples": f"""WITH {SIG}, mask AS ({_gradient(GRADIENT)}) SELECT rec_id, channel, count(*) AS n, round(avg(value), 6) AS mean FROM sig s WHERE NOT EXISTS (SELECT 1 FROM mask m WHERE m.rec_id = s.rec_id AND m.sample_idx = s.sample_idx) GROUP BY 1, 2""",
     "rms_tumble": f"WITH {SIG} SELECT rec_id, sample_idx // 50 AS \"window\", round(sqrt(avg(value * value)), 6) AS rms FROM sig GROUP BY 1, 2",
     "artifact_density": f"""WITH {SIG}, {_hop(20, 10)}, p AS (SELECT rec_id, wstart, max(value) - min(value) AS p FROM hop GROUP BY rec_id, channel, wstart), t AS (SELECT rec_id, quantile_cont(p, 0.95) AS t FROM p GROUP BY 1)
       SELECT rec_id, wstart // 100 AS bin, count(*) FILTER (p > t) AS n_above, round(count(*) FILTER (p > t) / least(100, n - wstart // 100 * 100), 6) AS density FROM p JOIN t USING (rec_id) JOIN len USING (rec_id) GROUP BY rec_id, wstart // 100, n""",
     "epoch_range_join": f"WITH {EPO} SELECT rec_id, epoch_id, condition, count(*) AS n, min(t) AS t0, round(sum(value), 6) AS total FROM epo GROUP BY 1, 2, 3",
-    "epoch_bad_antijoin": f"""WITH {EPO}, {_islands(_gradient(1, 0.42), 0.0, 1.0)} SELECT rec_id, epoch_id, sample - {BEFORE} AS start, sample + {AFTER + 1} AS stop FROM ev
+    "epoch_bad_antijoin": f"""WITH {EPO}, {_islands(_gradient(STEEP), 0.0, 1.0)} SELECT rec_id, epoch_id, sample - {BEFORE} AS start, sample + {AFTER + 1} AS stop FROM ev
       WHERE NOT EXISTS (SELECT 1 FROM isl WHERE isl.rec_id = ev.rec_id AND onset < sample + {AFTER + 1} AND onset + duration > sample - {BEFORE})""",
     "epoch_ptp_reject": f"""WITH {EPO}, p AS (SELECT rec_id, epoch_id, max(value) - min(value) AS p FROM epo GROUP BY rec_id, epoch_id, channel)
       SELECT rec_id, epoch_id, round(max(p), 6) AS max_ptp, round(min(p), 6) AS min_ptp, max(p) > 0.8 OR min(p) < 0.3 AS dropped FROM p GROUP BY 1, 2""",
     "baseline_correct": f"""WITH {EPO}, b AS (SELECT rec_id, epoch_id, channel, t, value - avg(value) FILTER (t BETWEEN -{BEFORE} AND -1) OVER (PARTITION BY rec_id, epoch_id, channel) AS value FROM epo)
-      SELECT rec_id, epoch_id, channel, t, round(value, 6) AS value FROM b WHERE t % 10 = 0""",
+      SELECT rec_id, epoch_id, channel, t, round(value, 6) AS value FROM b""",
     "detrended": f"""WITH {EPO}, l AS (SELECT rec_id, epoch_id, channel, regr_slope(value, t) AS a, regr_intercept(value, t) AS b FROM epo GROUP BY ALL)
-      SELECT rec_id, epoch_id, channel, round(value - b, 6) AS value FROM epo JOIN l USING (rec_id, epoch_id, channel) WHERE t = 0""",
+      SELECT rec_id, epoch_id, channel, t, round(value - a * t - b, 6) AS value FROM epo JOIN l USING (rec_id, epoch_id, channel)""",
     "erp_mean": f"WITH {EPO} SELECT condition, channel, t, round(value, 6) AS value FROM erp",
     "erp_peak": f"""WITH {EPO}, w AS (SELECT condition, t, avg(value) AS v FROM erp WHERE channel < 4 GROUP BY ALL), i AS (SELECT *, (v + lag(v) OVER (PARTITION BY condition ORDER BY t)) / 2 AS mid, t - lag(t) OVER (PARTITION BY condition ORDER BY t) AS dt FROM w WHERE t BETWEEN 2 AND 20)
       SELECT condition, arg_max(t, (v, -t)) AS latency, round(max(v), 6) AS amplitude, round(avg(v), 6) AS mean, round(sum(mid) * avg(dt), 6) AS auc FROM i GROUP BY 1""",
@@ -286,9 +285,9 @@ ORACLE = {
     "bad_deviation": f"WITH {_mad('deviation', 'cm AS (SELECT rec_id, sample_idx, quantile_cont(value, 0.5) AS c FROM sig GROUP BY ALL), src AS (SELECT rec_id, channel, avg((value - c) * (value - c)) AS deviation FROM sig JOIN cm USING (rec_id, sample_idx) GROUP BY ALL)', 2.0)}",
     "high_var_iqr": f"""WITH {SIG}, {VAR}, q AS (SELECT rec_id, quantile_cont(variance, 0.25) AS a, quantile_cont(variance, 0.5) AS m, quantile_cont(variance, 0.75) AS b FROM src GROUP BY 1),
       z AS (SELECT rec_id, channel, variance, CASE WHEN b - a >= 1e-10 THEN (variance - m) / (0.7413::DOUBLE * (b - a)) END AS z FROM src JOIN q USING (rec_id)) SELECT rec_id, channel, round(variance, 6) AS variance, round(z, 6) AS z, coalesce(z > 2.0, false) AS bad FROM z""",
-    "rereference": f"""WITH {SIG}, m AS (SELECT rec_id, sample_idx, avg(value) AS m FROM sig WHERE channel IN (0, 1, 2) GROUP BY ALL) SELECT rec_id, sample_idx, channel, round(value - m, 6) AS value FROM sig JOIN m USING (rec_id, sample_idx) WHERE channel < 6""",
+    "rereference": f"""WITH {SIG}, m AS (SELECT rec_id, sample_idx, avg(value) AS m FROM sig WHERE channel IN (0, 1, 2) GROUP BY ALL) SELECT rec_id, sample_idx, channel, round(value - m, 6) AS value FROM sig JOIN m USING (rec_id, sample_idx)""",
     "corr_edges": f"WITH {EDGE} SELECT rec_id, roi_i, roi_j, round(weight, 6) AS weight FROM edge",
-    "spearman_edges": f"""WITH {SIG}, rk AS (SELECT rec_id, channel, sample_idx, rank() OVER (PARTITION BY rec_id, channel ORDER BY value) + (count(*) OVER (PARTITION BY rec_id, channel, value) - 1) / 2 AS r FROM sig WHERE channel < 12)
+    "spearman_edges": f"""WITH {SIG}, rk AS (SELECT rec_id, channel, sample_idx, rank() OVER (PARTITION BY rec_id, channel ORDER BY value) + (count(*) OVER (PARTITION BY rec_id, channel, value) - 1) / 2 AS r FROM sig)
       SELECT a.rec_id, a.channel AS roi_i, b.channel AS roi_j, round(corr(a.r, b.r), 6) AS weight FROM rk a JOIN rk b ON a.rec_id = b.rec_id AND a.sample_idx = b.sample_idx AND a.channel < b.channel GROUP BY 1, 2, 3""",
     "bad_corr": f"""WITH {EDGE}, f AS (SELECT rec_id, roi_i AS channel, abs(coalesce(weight, 0)) AS w FROM full_ UNION ALL SELECT DISTINCT rec_id, roi_i, 1.0 FROM full_)
       SELECT rec_id, channel, round(quantile_cont(w, 0.5), 6) AS median_corr, quantile_cont(w, 0.5) < 0.05 AS bad FROM f GROUP BY 1, 2""",
@@ -296,7 +295,7 @@ ORACLE = {
     "corr_summary": f"WITH {EDGE} SELECT rec_id, round(avg(coalesce(weight, 0)), 6) AS mean, count(*) FILTER (abs(weight) > 0.95) AS n_high, count(*) FILTER (abs(coalesce(weight, 0)) < 0.1) AS n_low FROM edge GROUP BY 1",
     "trial_conn_stats": f"WITH {EDGE}, {STATS} SELECT roi_i, roi_j, round(mean, 6) AS mean, round(std, 6) AS std, round(variance, 6) AS variance FROM st",
     "network_means": f"""WITH {EDGE} SELECT rec_id, least('net' || roi_i % 8, 'net' || roi_j % 8) AS network_a, greatest('net' || roi_i % 8, 'net' || roi_j % 8) AS network_b, round(avg(weight), 6) AS mean FROM edge GROUP BY 1, 2, 3""",
-    "graph_degree": f"""WITH {EDGE}, f AS (SELECT * FROM full_ WHERE roi_i < 32 AND roi_j < 32), c AS (SELECT rec_id, coalesce(quantile_cont(weight, 0.5) FILTER (weight > 0), 0) AS th FROM f GROUP BY 1),
+    "graph_degree": f"""WITH {EDGE}, f AS (SELECT * FROM full_), c AS (SELECT rec_id, coalesce(quantile_cont(weight, 0.5) FILTER (weight > 0), 0) AS th FROM f GROUP BY 1),
       j AS (SELECT f.*, th, weight > th AS up FROM f JOIN c USING (rec_id)), n AS (SELECT rec_id, roi_i, th, count(*) FILTER (up) AS d, sum(weight) + 1 AS s FROM j GROUP BY ALL),
       l AS (SELECT rec_id, roi_i AS a, roi_j AS b FROM j WHERE up), tri AS (SELECT x.rec_id, x.a AS roi_i, count(*) AS t FROM l x JOIN l y ON x.rec_id = y.rec_id AND x.b = y.a AND x.a <> y.b JOIN l z ON z.rec_id = x.rec_id AND z.a = x.a AND z.b = y.b GROUP BY 1, 2)
       SELECT rec_id, round(th, 6) AS threshold, round(avg(d + (1 > th)::INT), 6) AS mean_degree, round(stddev_pop(d + (1 > th)::INT), 6) AS std_degree, round(avg(s), 6) AS mean_strength, round(avg(coalesce(coalesce(t, 0) / nullif(d * (d - 1), 0), 0)), 6) AS clustering

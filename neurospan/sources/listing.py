@@ -16,6 +16,18 @@ LEGACY_TASKS = (
 #: Raw formats, most wanted first.
 FORMATS = ("fif", "vhdr", "edf", "bdf", "set", "cnt", "cdt")
 
+#: Parts of a behavioural file's name and the paradigm it belongs to, the first that fits wins.
+PARADIGMS = (
+    ("SAIIT_2AFC", "SAIIT_2AFC"),
+    ("SurroundSupp", "SurrSupp_Block"),
+    ("SurrSupp", "SurrSupp_Block"),
+    ("vis_learn", "vis_learn"),
+    ("WISC_ProcSpeed", "WISC_ProcSpeed"),
+    ("Video", "Video"),
+)
+#: What names a block, in the order of search.
+BLOCKS = ("_Block1", "_Block2", "_Block3", "_Block4", "1", "2", "3", "4")
+
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, size and time of files below a folder; contents aren't read."""
@@ -103,3 +115,43 @@ def read_quality_json(spark: SparkSession, path: str) -> DataFrame:
     if "_corrupt_record" in df.columns:
         df = df.filter("_corrupt_record is null").drop("_corrupt_record")
     return df.withColumn("_json_path", F.col("_metadata.file_path"))
+
+
+def behaviour_files(files: DataFrame, subject: str = "subject") -> DataFrame:
+    """Adds paradigm and block of behavioural files by parts of their names; others fall out.
+
+    The subject's id is cut off the name first. block is null where nothing names one.
+    """
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    name = F.replace(stem, F.concat(F.col(subject), F.lit("_")), F.lit(""))
+    paradigm, block = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for part, of in reversed(PARADIGMS):
+        paradigm = F.when(F.contains(name, F.lit(part)), F.lit(of)).otherwise(paradigm)
+    for part in reversed(BLOCKS):
+        block = F.when(F.contains(name, F.lit(part)), F.lit(part.strip("_"))).otherwise(block)
+    return files.withColumn("paradigm", paradigm).withColumn("block", block).filter("paradigm is not null")
+
+
+def report_files(files: DataFrame) -> DataFrame:
+    """Quality reports (*_qc.html) with subject, task, run, pipeline and type from their paths."""
+    parts = F.split("path", "/")
+    file = F.element_at(parts, -1)
+    of = lambda key, last: F.try_element_at(F.filter(parts, lambda x: F.startswith(x, F.lit(key))), F.lit(-1 if last else 1))
+    entity = lambda key, last=True: F.substring(of(key, last), len(key) + 1, 1 << 20)
+    at = F.array_position(parts, "derivatives")
+    variant = F.get(parts, at + 1)
+    pipeline = F.when((at > 0) & variant.isNotNull() & ~F.startswith(variant, F.lit("sub-")), F.concat_ws("/", F.get(parts, at), variant))
+    kind = F.when(F.contains(file, F.lit("preprocessed_qc")), "Preprocessed").when(F.contains(file, F.lit("combined_qc")), "Combined").when(F.contains(file, F.lit("raw_qc")), "Raw Data").otherwise("Other")
+    return files.filter(F.endswith(file, F.lit("_qc.html"))).select(
+        "*", F.coalesce(entity("sub-", False), F.lit("Unknown")).alias("subject"), F.coalesce(entity("task-"), F.lit("Unknown")).alias("task"), F.coalesce(entity("run-"), F.lit("N/A")).alias("run"),
+        F.coalesce(pipeline, F.lit("Unknown")).alias("pipeline"), kind.alias("type"))
+
+
+#: Fixed value: the name of a quality record.
+QUALITY_NAME = r"^(.+)_ses-([0-9]+)_task-([^_]+)_run-([0-9]+)_qc_metrics\.json$"
+
+
+def quality_names(files: DataFrame) -> DataFrame:
+    """Adds subject, session, task and run of quality records by their names; others fall out."""
+    file = F.element_at(F.split("path", "/"), -1)
+    return files.filter(F.rlike(file, F.lit(QUALITY_NAME))).withColumns({name: F.regexp_extract(file, QUALITY_NAME, i + 1) for i, name in enumerate(("subject", "session", "task", "run"))})
