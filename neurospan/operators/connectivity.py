@@ -93,9 +93,11 @@ def graph_metrics(edges: DataFrame, key: str, diagonal: float = 0.0) -> DataFram
     self_link = F.when(F.lit(diagonal) > F.col("threshold"), 1).otherwise(0)
     node = joined.groupBy(key, "roi_i", "threshold").agg(F.count_if(above).alias("_d"), F.sum(F.coalesce("weight", F.lit(0.0))).alias("_s"))
     node = node.withColumn("degree", F.col("_d") + self_link).withColumn("strength", F.col("_s") + diagonal)
-    links = joined.filter(above).select(key, F.col("roi_i").alias("a"), F.col("roi_j").alias("b"))
-    two = links.join(links.select(key, F.col("a").alias("b"), F.col("b").alias("c")), [key, "b"]).filter("a <> c")
-    closed = two.join(links.select(key, "a", F.col("b").alias("c")), [key, "a", "c"]).groupBy(key, F.col("a").alias("roi_i")).agg(F.count("*").alias("_t"))
+    # each triangle is met once, from its least to its greatest node, and counts twice for every node
+    links = joined.filter(above).filter("roi_i < roi_j").select(key, F.col("roi_i").alias("a"), F.col("roi_j").alias("b"))
+    two = links.join(links.select(key, F.col("a").alias("b"), F.col("b").alias("c")), [key, "b"])
+    triangles = two.join(links.select(key, "a", F.col("b").alias("c")), [key, "a", "c"])
+    closed = triangles.select(key, F.explode(F.array("a", "b", "c")).alias("roi_i")).groupBy(key, "roi_i").agg((2 * F.count("*")).alias("_t"))
     node = node.join(closed, [key, "roi_i"], "left")
     pairs = F.col("_d") * (F.col("_d") - 1)
     node = node.withColumn("clustering", F.coalesce(F.try_divide(F.coalesce("_t", F.lit(0)), F.nullif(pairs, F.lit(0))), F.lit(0.0)))
