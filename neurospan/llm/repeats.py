@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from neurospan.llm.common import SENT_BYTES, lean, small_batches, stored, table, text_or_empty
 from neurospan.llm.filters import held, key_filter
-from neurospan.llm.suffix_sort import neighbour_prefixes
+from neurospan.llm.suffix_sort import order_and_prefixes
 
 LENGTH = 200
 GRAM = 100
@@ -27,6 +27,8 @@ PIECE = 1 << 20
 HALO = 2 * LENGTH
 #: Distinct surroundings of one anchor that are ordered in one task; strings of larger groups are counted across tasks.
 MAX_GROUP = 20_000
+#: Anchors of a gram from which on numpy finds their runs.
+FEW = 64
 #: Parts in which the places of one anchor and surrounding meet it, and bytes of such a pair in a table that is sent to every task.
 SALTS, PAIR = 16, 40
 
@@ -181,28 +183,56 @@ def _places(seen: np.ndarray, uneven: np.ndarray):
 def shared_extent(lefts: list[bytes], rights: list[bytes]) -> list[tuple[int, int] | None]:
     """For each anchor of a gram: bytes around it, from and to, inside strings that another shares.
 
-    The order of the right sides, and of the left sides read backwards, gives the longest prefix
-    each shares with a neighbour; a string with o bytes on the left needs o of one and SIDE - o of
-    the other. Where those could come from different neighbours the strings themselves decide.
+    A string with o bytes on the left needs o of one side and SIDE - o of the other. In the order of
+    the right sides those that share SIDE - o bytes are runs, cut where neighbours share less, and so
+    are those that share o bytes in the order of the left sides read backwards. Two anchors share the
+    string if they are in one run of both.
     """
     n = len(rights)
-    most_right, most_left = neighbour_prefixes(rights), neighbour_prefixes([x[::-1] for x in lefts])
-    out: list[tuple[int, int] | None] = [None] * n
+    right_order, right_shared = order_and_prefixes(rights)
+    left_order, left_shared = order_and_prefixes([x[::-1] for x in lefts])
+    most_right, most_left = [0] * n, [0] * n
+    for order, shared, most in ((right_order, right_shared, most_right), (left_order, left_shared, most_left)):
+        for k in range(1, n):
+            for i in (order[k - 1], order[k]):
+                most[i] = max(most[i], shared[k])
     spans = [(max(0, SIDE - r), min(SIDE, a)) for a, r in zip(most_left, most_right, strict=True)]
     if n == 2:
         (lo, hi), _ = spans
-        return [(-hi, LENGTH - lo)] * 2 if lo <= hi else out
-    first: dict[tuple[int, bytes], int] = {}
-    marks: list[list[int]] = [[] for _ in range(n)]
-    for i, (lo, hi) in enumerate(spans):
-        whole, mid = lefts[i] + rights[i], len(lefts[i])
-        for o in range(lo, hi + 1):
-            key = (o, whole[mid - o : mid - o + SIDE])
-            j = first.setdefault(key, i)
-            if j != i:
-                marks[i].append(o)
-                marks[j].append(o)
-    return [(-max(m), LENGTH - min(m)) if m else None for m in marks]
+        return [(-hi, LENGTH - lo)] * 2 if lo <= hi else [None] * n
+    least, most = [SIDE + 1] * n, [-1] * n
+    if n > FEW:
+        return _runs_of_many(np.array(right_order), np.array(right_shared), np.array(left_order), np.array(left_shared))
+    first, last = min(lo for lo, _ in spans), max(hi for _, hi in spans)
+    for o in range(first, last + 1):
+        run, runs = 0, [0] * n
+        for i, shared in zip(right_order, right_shared, strict=True):
+            run += shared < SIDE - o
+            runs[i] = run
+        run, seen = 0, {}
+        for i, shared in zip(left_order, left_shared, strict=True):
+            run += shared < o
+            seen.setdefault((run, runs[i]), []).append(i)
+        for together in seen.values():
+            if len(together) > 1:
+                for i in together:
+                    least[i], most[i] = min(least[i], o), o
+    return [(-b, LENGTH - a) if b >= 0 else None for a, b in zip(least, most, strict=True)]
+
+
+def _runs_of_many(right_order: np.ndarray, right_shared: np.ndarray, left_order: np.ndarray, left_shared: np.ndarray) -> list[tuple[int, int] | None]:
+    """shared_extent's runs for many anchors, by numpy."""
+    n = len(right_order)
+    least, most = np.full(n, SIDE + 1), np.full(n, -1)
+    right, left = np.empty(n, np.int64), np.empty(n, np.int64)
+    for o in range(SIDE + 1):
+        right[right_order] = np.cumsum(right_shared < SIDE - o)
+        left[left_order] = np.cumsum(left_shared < o)
+        _, which, count = np.unique(right * (n + 1) + left, return_inverse=True, return_counts=True)
+        hit = count[which] > 1
+        least[hit] = np.minimum(least[hit], o)
+        most[hit] = o
+    return [(-int(b), LENGTH - int(a)) if b >= 0 else None for a, b in zip(least, most, strict=True)]
 
 
 def _deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

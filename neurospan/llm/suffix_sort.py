@@ -92,11 +92,17 @@ def deep_shallow_order(strings: list[bytes], shallow: int = SHALLOW) -> list[int
     return out
 
 
+def order_and_prefixes(strings: list[bytes]) -> tuple[list[int], list[int]]:
+    """Indices in the order of the strings, and at each place the prefix shared with the string before (0 at the first)."""
+    order = deep_shallow_order(strings)
+    return order, [0, *(common_prefix(strings[a], strings[b]) for a, b in zip(order, order[1:]))][: len(order)]
+
+
 def neighbour_prefixes(strings: list[bytes]) -> list[int]:
     """For each string the longest prefix that it shares with any other."""
     best = [0] * len(strings)
-    order = deep_shallow_order(strings)
-    for a, b in zip(order, order[1:]):
-        n = common_prefix(strings[a], strings[b])
-        best[a], best[b] = max(best[a], n), max(best[b], n)
+    order, shared = order_and_prefixes(strings)
+    for k in range(1, len(order)):
+        for i in (order[k - 1], order[k]):
+            best[i] = max(best[i], shared[k])
     return best

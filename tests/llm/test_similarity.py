@@ -198,6 +198,30 @@ def test_repeats_equal_brute_force(documents):
     assert cut(documents(rows), max_group=2) == plain_cut(rows)  # the way of large groups
 
 
+def plain_extent(lefts, rights):
+    side, out = repeats.SIDE, []
+    whole = [(a, b) for a, b in zip(lefts, rights)]
+    holds = lambda x, o: o <= len(x[0]) and side - o <= len(x[1])
+    string = lambda x, o: (x[0][len(x[0]) - o :], x[1][: side - o])
+    for i, x in enumerate(whole):
+        met = [o for o in range(side + 1) if holds(x, o) and any(j != i and holds(y, o) and string(x, o) == string(y, o) for j, y in enumerate(whole))]
+        out.append((-max(met), repeats.LENGTH - min(met)) if met else None)
+    return out
+
+
+def test_runs_of_the_order_give_the_shared_strings():
+    rng = random.Random(9)
+    letters = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    for n in [2, 3, 5, 9] * 20 + [80] * 4:  # 80 is past FEW
+        bases = [letters(100), letters(100)]
+        lefts, rights = [], []
+        for _ in range(n):
+            a, b, p, q = rng.choice(bases), rng.choice(bases), rng.randint(0, 100), rng.randint(0, 100)
+            lefts.append((letters(100 - p) + a[100 - p :])[rng.choice([0, 0, rng.randint(0, 100)]) :])
+            rights.append((b[:q] + letters(100 - q))[: rng.choice([100, 100, rng.randint(0, 100)])])
+        assert repeats.shared_extent(lefts, rights) == plain_extent(lefts, rights)
+
+
 def test_repeats_in_pieces_equal_whole_texts(documents, monkeypatch):
     rng = random.Random(4)
     text = "".join(rng.choice("abcd") for _ in range(9000))
