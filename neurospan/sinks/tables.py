@@ -36,3 +36,35 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def write_partitioned(df: DataFrame, path: str, *keys: str) -> None:
     df.repartition(*keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
+
+
+def write_sidecar(columns: DataFrame, used: list[str], path: str) -> None:
+    """Descriptions (column, description) of the columns that an events file has, as JSON lines."""
+    columns.filter(F.col("column").isin(used)).coalesce(1).write.mode("overwrite").json(path)  # a row a column
+
+
+def write_records(df: DataFrame, path: str, *keys: str) -> None:
+    """One JSON record a row, below a folder for each value of keys; missing fields are left out."""
+    df.write.mode("overwrite").partitionBy(*keys).json(path) if keys else df.write.mode("overwrite").json(path)
+
+
+def manifest(old: DataFrame, done: DataFrame) -> DataFrame:
+    """subject_id, modules, updated: old's modules, then those done (subject_id, module, time) in time order, each once."""
+    fresh = done.groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("time", "module"))).alias("_new"), F.max("time").alias("_time"))
+    both = old.join(fresh, "subject_id", "full")
+    none = F.array().cast("array<string>")
+    modules = F.array_distinct(F.concat(F.coalesce("modules", none), F.coalesce(F.col("_new.module"), none)))
+    return both.select("subject_id", modules.alias("modules"), F.coalesce("_time", "updated").alias("updated"))
+
+
+def participants(files: DataFrame) -> DataFrame:
+    """participant_id of every subject of a listing, with the prefix sub-, once each."""
+    bare = F.regexp_replace("subject", "^sub-", "")
+    return files.select(F.concat(F.lit("sub-"), bare).alias("participant_id")).distinct()
+
+
+def write_inclusion(df: DataFrame, path: str, included: str = "included") -> None:
+    """The rows included as JSON records, and their subjects as text, one a line; a missing mark includes."""
+    kept = df.filter(F.coalesce(F.col(included), F.lit(True)))
+    kept.drop(included).write.mode("overwrite").json(f"{path}/records")
+    kept.select(F.col("subject").cast("string")).distinct().write.mode("overwrite").text(f"{path}/subjects")

@@ -109,14 +109,42 @@ def read_phenotype(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return df.withColumn(key, F.when(F.startswith(key, F.lit("sub-")), F.col(key)).otherwise(F.concat(F.lit("sub-"), key)))
 
 
-def read_quality_json(spark: SparkSession, path: str) -> DataFrame:
-    """Quality records below a folder with their path; malformed files are skipped."""
-    df = spark.read.option("recursiveFileLookup", "true").option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
+def read_records(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """JSON records in the files below a folder that fit pattern, with their path; malformed files are skipped."""
+    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
     if "_corrupt_record" in df.columns:
         df = df.filter("_corrupt_record is null").drop("_corrupt_record")
     return df.withColumn("_json_path", F.col("_metadata.file_path"))
 
 
+def read_quality_json(spark: SparkSession, path: str) -> DataFrame:
+    return read_records(spark, path)
+
+
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    """The state of every run below a folder."""
+    return read_records(spark, path, "processing_state.json")
+
+
+def read_csv_signal(spark: SparkSession, path: str) -> DataFrame:
+    """file, sample_idx, channel, value of signals with a column for each channel and a row for each sample.
+
+    Rows are numbered inside their file, in the order of its blocks.
+    """
+    df = spark.read.csv(path, header=True, inferSchema=True)
+    names = df.columns
+    rows = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    rows = rows.withColumn("sample_idx", F.row_number().over(W.partitionBy("file").orderBy("_block", "_row")) - 1)
+    channels = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"`{c}`").cast("double").alias("value")) for c in names]))
+    return rows.select("file", "sample_idx", channels.alias("_x")).select("file", "sample_idx", "_x.channel", "_x.value")
+
+
+def read_csv_events(spark: SparkSession, path: str) -> DataFrame:
+    """file (that of the signal beside it), sample, type of event files with the columns latency and type."""
+    df = spark.read.csv(path, header=True)
+    return df.select(F.regexp_replace("_metadata.file_path", "_event[.]csv$", "_data.csv").alias("file"), F.col("latency").cast("double").cast("long").alias("sample"), F.col("type").cast("long").alias("type"))
+
+
 def behaviour_files(files: DataFrame, subject: str = "subject") -> DataFrame:
     """Adds paradigm and block of behavioural files by parts of their names; others fall out.
 
