@@ -342,28 +342,49 @@ def cells(left: DataFrame, n: int, pivots: DataFrame, links: DataFrame | None, s
     return far.unionByName(found)
 
 
+def _differ(sketches: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches of p and q, pair by pair, differ; a sketch of twice the size is folded."""
+    sizes = np.array([len(x) for x in sketches])
+    place = np.zeros(len(sketches), np.int64)
+    whole, half = {}, {}
+    for size in np.unique(sizes).tolist():
+        of = np.flatnonzero(sizes == size)
+        place[of] = np.arange(len(of))
+        whole[size] = np.stack([sketches[i] for i in of])
+        half[size] = whole[size][:, : size // 2] ^ whole[size][:, size // 2 :]
+    out = np.zeros(len(p), np.int64)
+    kind = sizes[p] << 32 | sizes[q]
+    for k in np.unique(kind).tolist():
+        x, y = k >> 32, k & 0xFFFFFFFF
+        a, b = (half if x > y else whole)[x], (half if y > x else whole)[y]
+        at, step = np.flatnonzero(kind == k), max(1, (1 << 18) // min(x, y))
+        for i in range(0, len(at), step):
+            some = at[i : i + step]
+            out[some] = np.bitwise_count(a[place[p[some]]] ^ b[place[q[some]]]).sum(1)
+    return out
+
+
 def _leaf(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """The pairs of one leaf with different labels that may link, by the bounds of compared and by their sketches."""
     c, n, label = (frame[x].to_numpy(np.int64) for x in ("c", "n", "label"))
     at, away, home = frame["at"].fillna(0).to_numpy(np.int64), frame["away"].to_numpy(float), frame["home"].to_numpy(bool)
     after = n - at
     sketches = [np.asarray(x, np.int64).view(np.uint64) for x in frame["sketch"]]  # bits of signed numbers would be those of their size
-    out = []
+    found = []
     for start in range(0, len(c), BLOCK):
         i, j = np.nonzero(label[start : start + BLOCK, None] != label[None, start + 1 :])
         i, j = i + start, j + start + 1
-        i, j = i[i < j], j[i < j]
-        need = PERCENT * (n[i] + n[j])
-        keep = (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & ((100 + PERCENT) * (np.minimum(at[i], at[j]) + np.minimum(after[i], after[j])) >= need)
-        keep &= ((100 + PERCENT) * after[i] >= need) & ((100 + PERCENT) * after[j] >= need)
-        keep &= np.isnan(away[i]) | ((home[i] | home[j]) & (np.abs(away[i] - away[j]) <= REACH + 1e-9))
-        for p, q in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
-            x, y = sketches[p], sketches[q]
-            size = min(len(x), len(y))
-            x, y = (z[:size] ^ z[size:] if len(z) > size else z for z in (x, y))
-            if (100 + PERCENT) * int(np.bitwise_count(x ^ y).sum()) <= (100 - PERCENT) * (n[p] + n[q]):
-                out.append((min(c[p], c[q]), max(c[p], c[q])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        for bound in (
+            lambda i, j: i < j,
+            lambda i, j: 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]),
+            lambda i, j: (100 + PERCENT) * np.minimum(after[i], after[j]) >= PERCENT * (n[i] + n[j]),
+            lambda i, j: np.isnan(away[i]) | ((home[i] | home[j]) & (np.abs(away[i] - away[j]) <= REACH + 1e-9)),
+            lambda i, j: (100 + PERCENT) * _differ(sketches, i, j) <= (100 - PERCENT) * (n[i] + n[j]),
+        ):
+            keep = bound(i, j)
+            i, j = i[keep], j[keep]
+        found.append((np.minimum(c[i], c[j]), np.maximum(c[i], c[j])))
+    return pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
 
 
 def leaf_pairs(leaves: DataFrame, n: int, sets: Sets) -> DataFrame:
