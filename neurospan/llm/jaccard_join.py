@@ -34,6 +34,8 @@ WINDOW = 100 - 2 * (100 - PERCENT)
 GROWTH = 16
 #: Sets of a region that one task joins, and how many of them meet the others at a time.
 LEAF, BLOCK = 2048, 256
+#: Sets of a region that are joined without a task of their own.
+FEW = 16
 #: Bytes of a row of regions or pairs in a table that is sent to every task.
 ROW = 64
 SLOTS = 1 << 22
@@ -397,8 +399,8 @@ def class_labels(docs: DataFrame, classes: DataFrame, counts: DataFrame) -> Labe
     """The sets that link with another one, by component; docs (doc_id, h, text) and classes (doc_id, h, c) are those with an id.
 
     A level compares the pivots of every region with its sets. Pivots are done with then, as they were
-    compared with all that they could link with. Of the regions that still hold two labels the small
-    ones are leaves, and the others are cut into cells and far parts.
+    compared with all that they could link with. Of the regions that still hold two labels those of a
+    FEW sets are joined whole, the small ones are leaves, and the others are cut into cells and far parts.
     """
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(token_levels(counts))
@@ -430,10 +432,13 @@ def class_labels(docs: DataFrame, classes: DataFrame, counts: DataFrame) -> Labe
         links = linked(stored(compared(rows, pivots, n, PERCENT).select("a", "b").distinct(), "join-pairs"))
         left = rows.drop("label", "held", "top", "free", "first").join(sent_if_small(pivots.select("region", "c"), ROW, n), ["region", "c"], "left_anti")
         left = stored(opened(left, labels), "join-left")
-        small, large = left.filter(F.col("held") <= LEAF), left.filter(F.col("held") > LEAF)
-        n = small.count()
+        few, leaves, large = left.filter(F.col("held") <= FEW), left.filter(f"held > {FEW} and held <= {LEAF}"), left.filter(F.col("held") > max(FEW, LEAF))
+        n = few.count()
         if n:
-            linked(leaf_pairs(small, n, sets), True)
+            linked(stored(compared(few, few, n, PERCENT).select("a", "b").distinct(), "join-few"))
+        n = leaves.count()
+        if n:
+            linked(leaf_pairs(leaves, n, sets), True)
         n = large.count()
         if not n:
             return labels

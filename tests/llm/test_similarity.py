@@ -59,8 +59,9 @@ def corpus(seed, n=150):
 
 
 def test_components_equal_brute_force(documents, monkeypatch):
-    for seed, leaf in ((1, jaccard_join.LEAF), (2, 6), (3, 0)):  # small leaves leave more to cells and far parts
+    for seed, leaf, few in ((1, jaccard_join.LEAF, jaccard_join.FEW), (2, 6, 2), (3, 0, 0), (1, 2000, 0)):  # small leaves leave more to cells and far parts
         monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+        monkeypatch.setattr(jaccard_join, "FEW", few)
         rows = corpus(seed)
         assert joined(documents(rows)) == sorted(plain_components(rows))
 
@@ -93,7 +94,7 @@ def test_a_large_group_around_the_edge_is_not_paired(documents, monkeypatch):
 
     def counting(df, name):
         out = kept(df, name)
-        if name in ("join-pairs", "join-window", "join-leaves"):
+        if name in ("join-pairs", "join-window", "join-leaves", "join-few"):
             made.append(out.select("a", "b").distinct().count())
         return out
 
@@ -116,6 +117,7 @@ def test_every_set_that_shares_a_first_token_meets_a_pivot(documents, monkeypatc
 
     monkeypatch.setattr(jaccard_join, "stored", keeping)
     monkeypatch.setattr(jaccard_join, "LEAF", 4)
+    monkeypatch.setattr(jaccard_join, "FEW", 2)
     joined(documents(corpus(5)))
     pivots = jaccard_join.elected(seen["join-rows"][0], 0)
     first = seen["join-rows"][0]
