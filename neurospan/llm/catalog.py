@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from neurospan.llm import exact_dedup, jaccard_join, kneser_ney, mixing, packing, pii, quality_rules, repeats, secrets, url_rules
+from neurospan.llm import exact_dedup, jaccard_join, kneser_ney, mixing, packing, periodic_runs, pii, quality_rules, repeats, secrets, token_counts, turn_repair, url_rules
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_url_rules": url_rules.op8_url_rules,
         "op9_secret_ownership": secrets.op9_secret_ownership,
         "op10_host_rules": quality_rules.op10_host_rules,
+        "op11_token_counts": token_counts.op11_token_counts,
+        "op12_lyndon_runs": periodic_runs.op12_lyndon_runs,
+        "op13_turn_repair": turn_repair.op13_turn_repair,
     }
 
 
@@ -26,4 +29,5 @@ def oracle_sql():
         "op5_pareto_mix": mixing.SQL,
         "op9_secret_ownership": secrets.SQL,
         "op10_host_rules": quality_rules.SQL,
+        "op13_turn_repair": turn_repair.SQL,
     }

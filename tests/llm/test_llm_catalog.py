@@ -1,4 +1,4 @@
-"""The ten queries and the pipeline are registered; those with SQL agree with it on the smallest tables."""
+"""The thirteen queries and the pipeline are registered; those with SQL agree with it on the smallest tables."""
 
 import re
 from pathlib import Path
@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.queries()) == list(range(1, 14))
     assert {*catalog.queries(), "pipeline"} <= set(entry.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "mix", "pack"]
 
@@ -24,7 +24,7 @@ def test_names():
 def test_sql(spark, name):
     df = entry.queries()[name](spark, SF)
     duck = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     duck.execute(catalog.oracle_sql()[name])
     columns = [d[0] for d in duck.description]
