@@ -183,3 +183,9 @@ def quality_names(files: DataFrame) -> DataFrame:
     """Adds subject, session, task and run of quality records by their names; others fall out."""
     file = F.element_at(F.split("path", "/"), -1)
     return files.filter(F.rlike(file, F.lit(QUALITY_NAME))).withColumns({name: F.regexp_extract(file, QUALITY_NAME, i + 1) for i, name in enumerate(("subject", "session", "task", "run"))})
+
+
+def read_texts(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """path and content of the text files below a folder that fit pattern, each file whole, malformed or not."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
