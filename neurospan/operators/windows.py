@@ -66,6 +66,39 @@ def flatline_windows(df: DataFrame, rec: str, channel: str, idx: str, value: str
     return out.filter(F.col("n_flat") >= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_n")
 
 
+def convolved(df: DataFrame, rec: str, channel: str, idx: str, value: str, taps: list[float], chunk: int = 4096) -> DataFrame:
+    """rec, channel, idx, value of signals convolved with an odd number of taps, without delay, edges mirrored.
+
+    Samples are dealt to chunks of time, those within half the taps of a chunk's edge to the neighbour
+    too, so no task holds a recording and any chunk gives the same values. A sum of neighbouring rows is
+    all there is to do inside a chunk. Samples are numbered from 0 without gaps; a recording no longer than
+    half the taps, and samples within reach of a missing value, have null.
+    """
+    half = len(taps) // 2
+    at, last = F.col(idx), F.col("_n") - 1
+    mirrored = F.filter(F.array(at, F.when((at >= 1) & (at <= half), -at), F.when((at < last) & (at >= last - half), 2 * last - at)), lambda p: p.isNotNull())
+    places = df.select(rec, channel, idx, value).join(lengths(df, rec, idx), rec).filter(last >= half).select(rec, channel, value, "_n", F.explode(mirrored).alias("_at"))
+    first, final = F.greatest(F.floor((F.col("_at") - half) / chunk), F.lit(0)), F.least(F.floor((F.col("_at") + half) / chunk), F.floor(last / chunk))
+    dealt = places.select(rec, channel, value, "_n", "_at", F.explode(F.sequence(first, final)).alias("_chunk"))
+    within = W.partitionBy(rec, channel, "_chunk").orderBy("_at")
+    total = F.lit(0.0)
+    for k, tap in enumerate(taps):
+        total = total + F.lit(float(tap)) * F.lag(value, k - half).over(within)
+    done = dealt.select(rec, channel, "_n", "_at", "_chunk", total.alias(value))
+    own = (F.floor(F.col("_at") / chunk) == F.col("_chunk")) & (F.col("_at") >= 0) & (F.col("_at") < F.col("_n"))
+    return done.filter(own).select(rec, channel, F.col("_at").cast(dict(df.dtypes)[idx]).alias(idx), value)
+
+
+def muscle_mask(df: DataFrame, rec: str, channel: str, idx: str, value: str, taps: list[float], threshold: float, chunk: int = 4096) -> DataFrame:
+    """rec, idx of samples whose size in the taps' band, averaged over channels, has a z-score above the threshold.
+
+    Scores are those of a recording (population std); two passes, of which the second joins a row a recording.
+    """
+    power = convolved(df, rec, channel, idx, value, taps, chunk).groupBy(rec, idx).agg(F.avg(F.abs(F.col(value))).alias("_p"))
+    level = power.groupBy(rec).agg(F.avg("_p").alias("_m"), F.stddev_pop("_p").alias("_sd"))
+    return power.join(level, rec).filter(F.try_divide(F.col("_p") - F.col("_m"), F.col("_sd")) > threshold).select(rec, idx)
+
+
 def islands(mask: DataFrame, rec: str, idx: str, sfreq: float, least: float) -> DataFrame:
     """Runs of consecutive samples as (rec, onset, duration) in seconds, those of least seconds or more."""
     run = F.col(idx) - F.row_number().over(W.partitionBy(rec).orderBy(idx))
@@ -110,8 +143,11 @@ def time_windows(samples: DataFrame, rec: str, idx: str, sfreq: float, size: flo
     return out.filter(inside).join(lengths(samples, rec, idx), rec).filter(F.col("window") < n).drop("_n")
 
 
-def annotations(df: DataFrame, rec: str, channel: str, idx: str, value: str, sfreq: float, width: int, amplitude: float | None = None, gradient: float | None = None, flatline: float | None = None, least: float = 0.0) -> DataFrame:
-    """rec, description, onset, duration of every kind of artifact that has a limit: amplitude, gradient, flatline."""
+def annotations(df: DataFrame, rec: str, channel: str, idx: str, value: str, sfreq: float, width: int, amplitude: float | None = None, gradient: float | None = None, flatline: float | None = None, least: float = 0.0, muscle: float | None = None, taps: list[float] | None = None) -> DataFrame:
+    """rec, description, onset, duration of every kind of artifact that has a limit: amplitude, gradient, flatline, muscle.
+
+    muscle, a z-score, needs the taps of the band's filter.
+    """
     found = []
     if amplitude is not None:
         found.append(("BAD_amplitude", islands(amplitude_mask(df, rec, channel, idx, value, width, amplitude), rec, idx, sfreq, least)))
@@ -120,6 +156,8 @@ def annotations(df: DataFrame, rec: str, channel: str, idx: str, value: str, sfr
     if flatline is not None:
         flat = flatline_windows(df, rec, channel, idx, value, width, flatline)
         found.append(("BAD_flatline", flat.select(rec, (F.col("wstart") / sfreq).alias("onset"), F.lit(width / sfreq).alias("duration"))))
+    if muscle is not None:
+        found.append(("BAD_muscle", islands(muscle_mask(df, rec, channel, idx, value, taps, muscle), rec, idx, sfreq, least)))
     rows = [x.select(rec, F.lit(name).alias("description"), "onset", "duration") for name, x in found]
     if not rows:
         return df.select(rec, F.lit("").alias("description"), F.lit(0.0).alias("onset"), F.lit(0.0).alias("duration")).limit(0)

@@ -10,7 +10,7 @@ from neurospan.operators import models as mo
 from neurospan.operators import signal_qc as qc
 from neurospan.operators import trials as tr
 from neurospan.operators import windows as wi
-from neurospan.plans.signal_queries import AMPLITUDE, EDGE, GRADIENT, REC, SFREQ, SIG, VAR, _gradient, _hop, _mad
+from neurospan.plans.signal_queries import AMPLITUDE, CONV, EDGE, GRADIENT, MUSCLE, REC, SFREQ, SIG, VAR, Z_MUSCLE, _gradient, _hop, _mad
 from neurospan.plans.trial_queries import TRIALS
 from neurospan.sources import listing as li
 from neurospan.sources.tables import recordings, signal_long, table, trials
@@ -25,7 +25,7 @@ def window_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wi.annotations(signal_long(spark, sf_dir), *REC, SFREQ, 20, AMPLITUDE, GRADIENT, 0.0085)
+    return wi.annotations(signal_long(spark, sf_dir), *REC, SFREQ, 20, AMPLITUDE, GRADIENT, 0.0085, muscle=Z_MUSCLE, taps=MUSCLE)
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,8 +119,8 @@ def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (window_corr, annotated, good_annotated, bad_channels, montage_finite, bin_dispatch, bin_all, extra_fields, behaviour_listing, report_listing, quality_listing, macro_metrics)}
 
-MARKS = f"""{SIG}, {_hop(20, 10)}, wide AS (SELECT DISTINCT rec_id, wstart FROM (SELECT rec_id, wstart, channel FROM hop GROUP BY ALL HAVING max(value) - min(value) > {AMPLITUDE})),
-  m AS (SELECT DISTINCT rec_id, 'BAD_amplitude' AS description, unnest(range(wstart, wstart + 20)) AS sample_idx FROM wide UNION ALL SELECT rec_id, 'BAD_gradient', sample_idx FROM ({_gradient(GRADIENT)})),
+MARKS = f"""{SIG}, {CONV}, {_hop(20, 10)}, wide AS (SELECT DISTINCT rec_id, wstart FROM (SELECT rec_id, wstart, channel FROM hop GROUP BY ALL HAVING max(value) - min(value) > {AMPLITUDE})),
+  m AS (SELECT DISTINCT rec_id, 'BAD_amplitude' AS description, unnest(range(wstart, wstart + 20)) AS sample_idx FROM wide UNION ALL SELECT rec_id, 'BAD_gradient', sample_idx FROM ({_gradient(GRADIENT)}) UNION ALL SELECT rec_id, 'BAD_muscle', sample_idx FROM muscle),
   run AS (SELECT *, sample_idx - row_number() OVER (PARTITION BY rec_id, description ORDER BY sample_idx) AS g FROM m),
   flat AS (SELECT rec_id, wstart FROM (SELECT rec_id, wstart, channel, var_pop(value) AS v FROM hop WHERE wstart % 20 = 0 GROUP BY ALL) GROUP BY 1, 2 HAVING count(*) FILTER (v < 0.0085) >= greatest(1, floor(count(*) * 0.1))),
   marks AS (SELECT rec_id, description, min(sample_idx) / {SFREQ}::DOUBLE AS onset, count(*) / {SFREQ}::DOUBLE AS duration, min(sample_idx) AS a, count(*) AS k FROM run GROUP BY rec_id, description, g

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from neurospan.functions.kernels import fir
 from neurospan.functions.stats import distribution
 from neurospan.operators import connectivity as cn
 from neurospan.operators import epochs as ep
@@ -17,6 +18,8 @@ BEFORE, AFTER, EVERY = 10, 29, 40
 #: Limits that single samples of some of all 64 channels pass.
 AMPLITUDE, GRADIENT, STEEP = 0.76, 0.55, 0.65
 REC = ("rec_id", "channel", "sample_idx", "value")
+#: Taps of the muscle band's filter at this sampling rate, and the z-score that marks a sample.
+MUSCLE, Z_MUSCLE = fir(70.0, 110.0, SFREQ, 33).tolist(), 1.5
 
 
 def r(*columns: str, digits: int = 6) -> list:
@@ -47,6 +50,17 @@ def gradient_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wi.islands(mask, "rec_id", "sample_idx", SFREQ, 0.008).select("rec_id", *r("onset", "duration"))
 
 
+def muscle_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = wi.muscle_mask(signal_long(spark, sf_dir), *REC, MUSCLE, Z_MUSCLE)
+    return wi.islands(mask, "rec_id", "sample_idx", SFREQ, 0.004).select("rec_id", *r("onset", "duration"))
+
+
+def band_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root mean square and peak of every channel in the muscle band."""
+    y = wi.convolved(signal_long(spark, sf_dir), *REC, MUSCLE)
+    return y.groupBy("rec_id", "channel").agg(F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6).alias("rms"), F.round(F.max(F.abs("value")), 6).alias("peak"))
+
+
 def flatline_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wi.flatline_windows(signal_long(spark, sf_dir), *REC, 25, 0.011)
 
@@ -208,7 +222,7 @@ def run_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.concatenate(runs.withColumn("subject", F.lit(1)), ["subject"], ["rec_id"], "duration").select("rec_id", *r("duration", "offset"))
 
 
-NAMES = """tumble_flat hop_variance hop_ptp amplitude_islands gradient_islands flatline_windows good_samples rms_tumble artifact_density epoch_range_join
+NAMES = """tumble_flat hop_variance hop_ptp amplitude_islands gradient_islands muscle_islands band_level flatline_windows good_samples rms_tumble artifact_density epoch_range_join
 epoch_bad_antijoin epoch_ptp_reject baseline_correct detrended erp_mean erp_peak mean_amplitude difference_wave gfp_peak bad_var_mad bad_deviation high_var_iqr
 rereference corr_edges spearman_edges bad_corr bridged_pairs corr_summary trial_conn_stats network_means graph_degree top_edges_var edge_threshold distribution_stats
 knn_cluster channel_intersection run_concat"""
@@ -232,6 +246,11 @@ def _gradient(limit: float) -> str:
     return f"SELECT DISTINCT rec_id, sample_idx FROM (SELECT *, abs(lead(value) OVER (PARTITION BY rec_id, channel ORDER BY sample_idx) - value) AS d FROM sig) WHERE d > {limit}"
 
 
+CONV = f"""taps AS (SELECT unnest(range(0, {len(MUSCLE)})) - {len(MUSCLE) // 2} AS o, unnest({MUSCLE}) AS h), place AS (SELECT s.rec_id, channel, sample_idx, h, n, sample_idx - o AS q FROM sig s JOIN len USING (rec_id), taps),
+  conv AS (SELECT p.rec_id, p.channel, p.sample_idx, sum(h * x.value) AS value FROM place p JOIN sig x ON x.rec_id = p.rec_id AND x.channel = p.channel AND x.sample_idx = CASE WHEN q < 0 THEN -q WHEN q >= n THEN 2 * (n - 1) - q ELSE q END GROUP BY 1, 2, 3),
+  power AS (SELECT rec_id, sample_idx, avg(abs(value)) AS p FROM conv GROUP BY 1, 2), muscle AS (SELECT rec_id, sample_idx FROM (SELECT *, (p - avg(p) OVER w) / stddev_pop(p) OVER w AS z FROM power WINDOW w AS (PARTITION BY rec_id)) WHERE z > {Z_MUSCLE})"""
+
+
 EV = f"""ev AS (SELECT vec_id // 250 AS rec_id, (vec_id % 250) // {EVERY} AS epoch_id, vec_id % 250 AS sample, label % 3 AS condition FROM embeddings WHERE (vec_id % 250) % {EVERY} = {BEFORE} AND vec_id % 250 + {AFTER} < 250),
   epo AS (SELECT s.rec_id, epoch_id, ev.condition, channel, CAST(sample_idx - sample AS INT) AS t, value FROM sig s JOIN ev ON s.rec_id = ev.rec_id AND sample_idx BETWEEN sample - {BEFORE} AND sample + {AFTER}),
   erp AS (SELECT condition, channel, t, avg(value) AS value FROM epo GROUP BY ALL)"""
@@ -260,6 +279,8 @@ ORACLE = {
     "amplitude_islands": f"""WITH {SIG}, {_hop(20, 10)}, bad AS (SELECT DISTINCT rec_id, wstart FROM (SELECT rec_id, wstart, channel FROM hop GROUP BY ALL HAVING max(value) - min(value) > {AMPLITUDE})),
       {_islands('SELECT DISTINCT rec_id, unnest(range(wstart, wstart + 20)) AS sample_idx FROM bad', 0.1)} SELECT rec_id, round(onset, 6) AS onset, round(duration, 6) AS duration FROM isl""",
     "gradient_islands": f"WITH {SIG}, {_islands(_gradient(GRADIENT), 0.008)} SELECT rec_id, round(onset, 6) AS onset, round(duration, 6) AS duration FROM isl",
+    "muscle_islands": f"WITH {SIG}, {CONV}, {_islands('SELECT * FROM muscle', 0.004)} SELECT rec_id, round(onset, 6) AS onset, round(duration, 6) AS duration FROM isl",
+    "band_level": f"WITH {SIG}, {CONV} SELECT rec_id, CAST(channel AS INT) AS channel, round(sqrt(avg(value * value)), 6) AS rms, round(max(abs(value)), 6) AS peak FROM conv GROUP BY 1, 2",
     "flatline_windows": f"""WITH {SIG}, {_hop(25, 25)}, v AS (SELECT rec_id, wstart, channel, var_pop(value) AS v FROM hop GROUP BY ALL)
       SELECT rec_id, wstart, count(*) FILTER (v < 0.011) AS n_flat FROM v GROUP BY 1, 2 HAVING count(*) FILTER (v < 0.011) >= greatest(1, floor(count(*) * 0.1))""",
     "good_samples": f"""WITH {SIG}, mask AS ({_gradient(GRADIENT)}) SELECT rec_id, channel, count(*) AS n, round(avg(value), 6) AS mean FROM sig s WHERE NOT EXISTS (SELECT 1 FROM mask m WHERE m.rec_id = s.rec_id AND m.sample_idx = s.sample_idx) GROUP BY 1, 2""",
