@@ -6,7 +6,8 @@ Level by level every region elects pivots among its own sets, so pivots are in p
 data. Sets within REACH of a pivot form its Voronoi cell, sets that a member of the cell could still
 reach by the triangle inequality are replicated to the cell, and what is in no cell goes on as the
 far part. Cells and far parts are regions of the next level, down to leaves of LEAF sets, which are
-joined exactly in one task each. Sets that are linked already, such as all members of a cell, are
+joined exactly in one task each; below the first level a region that is larger, as nothing in it lies within reach
+of its pivots, is dealt to groups, and each pair of groups is a leaf. Sets that are linked already, such as all members of a cell, are
 never compared at any level.
 """
 
@@ -34,6 +35,8 @@ WINDOW = 100 - 2 * (100 - PERCENT)
 GROWTH = 16
 #: Sets of a region that one task joins, and how many of them meet the others at a time.
 LEAF, BLOCK = 2048, 256
+#: Groups of half a LEAF to which a larger region is dealt at most; two groups at a time are a leaf.
+GROUPS = 64
 #: Sets of a region that are joined without a task of their own.
 FEW = 16
 #: Bytes of a row of regions or pairs in a table that is sent to every task.
@@ -367,8 +370,12 @@ def _differ(sketches: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndar
 
 
 def _leaf(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of one leaf with different labels that may link, by the bounds of compared and by their sketches."""
-    c, n, label = (frame[x].to_numpy(np.int64) for x in ("c", "n", "label"))
+    """The pairs of one leaf with different labels that may link, by the bounds of compared and by their sketches.
+
+    Of a leaf of two groups only pairs across them count: each group is a leaf of its own too.
+    """
+    c, n, label, group = (frame[x].to_numpy(np.int64) for x in ("c", "n", "label", "group"))
+    two = len(group) > 0 and bool((group != group[0]).any())
     at, away, home = frame["at"].fillna(0).to_numpy(np.int64), frame["away"].to_numpy(float), frame["home"].to_numpy(bool)
     after = n - at
     sketches = [np.asarray(x, np.int64).view(np.uint64) for x in frame["sketch"]]  # bits of signed numbers would be those of their size
@@ -377,7 +384,7 @@ def _leaf(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         i, j = np.nonzero(label[start : start + BLOCK, None] != label[None, start + 1 :])
         i, j = i + start, j + start + 1
         for bound in (
-            lambda i, j: i < j,
+            lambda i, j: (i < j) & ((group[i] != group[j]) | (not two)),
             lambda i, j: 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]),
             lambda i, j: (100 + PERCENT) * np.minimum(after[i], after[j]) >= PERCENT * (n[i] + n[j]),
             lambda i, j: np.isnan(away[i]) | ((home[i] | home[j]) & (np.abs(away[i] - away[j]) <= REACH + 1e-9)),
@@ -389,10 +396,18 @@ def _leaf(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
 
 
-def leaf_pairs(leaves: DataFrame, n: int, sets: Sets) -> DataFrame:
-    """The pairs (a, b) that may link of regions with LEAF sets or fewer, n rows together; a region is one task's."""
-    rows = sets.sketches.select("c", "sketch").join(sent_if_small(leaves, 2 * ROW, n), "c")
-    return stored(rows.groupBy("region").applyInPandas(_leaf, "a long, b long").distinct(), "join-leaves")
+def leaf_pairs(leaves: DataFrame, sets: Sets) -> DataFrame:
+    """The pairs (a, b) that may link of stored regions; a region of LEAF sets or fewer is one task's.
+
+    A larger one is dealt to groups of half a LEAF by hash, and each pair of its groups is a task's: comparisons
+    stay in tasks, sketch against sketch, and only pairs that pass leave them.
+    """
+    groups = F.when(F.col("held") > LEAF, F.ceil(F.col("held") / max(LEAF // 2, 1))).otherwise(1).cast("int")
+    dealt = leaves.withColumn("group", F.pmod(F.xxhash64("c", F.lit("group")), groups).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), groups - 1)))
+    dealt = dealt.withColumn("tile", F.least("group", "other") * GROUPS * 2 + F.greatest("group", "other")).drop("other", "held", "top", "free", "first")
+    n = leaves.agg(F.sum(groups)).first()[0] or 0
+    rows = sets.sketches.select("c", "sketch").join(sent_if_small(dealt, 2 * ROW, n), "c")
+    return stored(rows.groupBy("region", "tile").applyInPandas(_leaf, "a long, b long").distinct(), "join-leaves")
 
 
 def class_labels(docs: DataFrame, classes: DataFrame, counts: DataFrame) -> Labels:
@@ -400,7 +415,9 @@ def class_labels(docs: DataFrame, classes: DataFrame, counts: DataFrame) -> Labe
 
     A level compares the pivots of every region with its sets. Pivots are done with then, as they were
     compared with all that they could link with. Of the regions that still hold two labels those of a
-    FEW sets are joined whole, the small ones are leaves, and the others are cut into cells and far parts.
+    FEW sets are joined whole, the small ones are leaves, and the others are cut into cells and far parts. After two levels
+    regions of up to GROUPS / 2 leaves are dealt to leaves as they are: where members lie just beyond reach of each other,
+    more pivots would only write down more pairs.
     """
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(token_levels(counts))
@@ -432,13 +449,13 @@ def class_labels(docs: DataFrame, classes: DataFrame, counts: DataFrame) -> Labe
         links = linked(stored(compared(rows, pivots, n, PERCENT).select("a", "b").distinct(), "join-pairs"))
         left = rows.drop("label", "held", "top", "free", "first").join(sent_if_small(pivots.select("region", "c"), ROW, n), ["region", "c"], "left_anti")
         left = stored(opened(left, labels), "join-left")
-        few, leaves, large = left.filter(F.col("held") <= FEW), left.filter(f"held > {FEW} and held <= {LEAF}"), left.filter(F.col("held") > max(FEW, LEAF))
+        dealt = max(LEAF, GROUPS * LEAF // 2) if level else LEAF
+        few, leaves, large = left.filter(F.col("held") <= FEW), left.filter(f"held > {FEW} and held <= {dealt}"), left.filter(F.col("held") > max(FEW, dealt))
         n = few.count()
         if n:
             linked(stored(compared(few, few, n, PERCENT).select("a", "b").distinct(), "join-few"))
-        n = leaves.count()
-        if n:
-            linked(leaf_pairs(leaves, n, sets), True)
+        if not leaves.isEmpty():
+            linked(leaf_pairs(leaves, sets), True)
         n = large.count()
         if not n:
             return labels

@@ -107,6 +107,40 @@ def test_a_large_group_around_the_edge_is_not_paired(documents, monkeypatch):
     assert sum(made) < 2000 * 100  # all pairs are 1,999,000
 
 
+def test_a_region_above_a_leaf_just_beyond_reach_is_not_paired(documents, monkeypatch):
+    """Pages of 5 of 10 fixed sentences in any order: nearly all share sentences, few link, and regions pass LEAF."""
+    rng = random.Random(13)
+    sentences = [" ".join(f"s{k}w{i}" for i in range(20)) for k in range(10)]
+    n = 1500
+    rows = [(i, " ".join(rng.sample(sentences, 5))) for i in range(n)]
+    made, kept = [], jaccard_join.stored
+
+    def counting(df, name):
+        out = kept(df, name)
+        if name in ("join-pairs", "join-window", "join-leaves", "join-few"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counting)
+    monkeypatch.setattr(jaccard_join, "LEAF", n // 6)
+    got = joined(documents(rows))
+    assert sum(made) < 100 * n  # all pairs are 750 a document
+    sets = [plain_set(t) for _, t in rows]
+    number = {s: i for i, s in enumerate(set().union(*sets))}
+    held = np.zeros((n, len(number)))
+    for i, s in enumerate(sets):
+        held[i, [number[x] for x in s]] = 1
+    both, size = held @ held.T, held.sum(1)
+    linked = 100 * both >= 80 * (size[:, None] + size - both)
+    label = np.arange(n)
+    while True:
+        least = np.array([label[linked[i]].min() for i in range(n)])
+        if (least == label).all():
+            break
+        label = least
+    assert got == [(i, len(sets[i]), int(label[i])) for i in range(n)]
+
+
 def test_every_set_that_shares_a_first_token_meets_a_pivot(documents, monkeypatch):
     seen, kept = {}, jaccard_join.stored
 
