@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from neurospan.scratch import work_dir
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -17,9 +17,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of an Arrow batch while a table is written: texts are long, so fewer than Spark's 10,000.
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
-_FOLDERS: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,34 +42,6 @@ def sent_if_small(df: DataFrame, row_bytes: int, n: int | None = None) -> DataFr
     return F.broadcast(df) if n * row_bytes <= SENT_BYTES else df
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A folder of this application under spark.checkpoint.dir.
-
-    Where that is unset it lies in the warehouse, and only a local master, which has one machine,
-    uses a temporary folder.
-    """
-    context = spark.sparkContext
-    app = context.applicationId
-    if app not in _FOLDERS:
-        base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not base and context.master.split("[")[0] == "local":
-            base = f"file://{tempfile.mkdtemp(prefix='neurospan-')}"
-        elif not base:
-            base = spark.conf.get("spark.sql.warehouse.dir")
-        _FOLDERS[app] = folder = f"{base.rstrip('/')}/neurospan-{app}"
-        atexit.register(_remove, spark, folder)
-    return _FOLDERS[app]
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    try:
-        context = spark.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session may have ended before the interpreter
-        pass
-
-
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batches to BATCH_ROWS, for results that are computed when the caller reads them."""
     if int(spark.conf.get(BATCH)) > BATCH_ROWS:

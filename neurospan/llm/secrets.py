@@ -116,19 +116,21 @@ def op9_secret_ownership(spark, sf_dir):
 
 def _pieces(kind: str, pattern: str, least: int, group: int) -> str:
     pattern = pattern.replace("(?<![0-9a-f])", "").replace("(?<![A-Za-z0-9])", "").replace("'", "''")
+    value = f"regexp_replace(v, '{KEY_HEAD}|{KEY_END}', '', 'g')" if kind == "key" else "v"
     return f"""
-  SELECT r, doc_id, source, '{kind}' AS kind, {KINDS.index(kind)} AS k, s, s + length(m) AS e, v FROM (
+  SELECT r, doc_id, source, '{kind}' AS kind, {KINDS.index(kind)} AS k, s, s + length(m) AS e, regexp_replace({value}, '[\\s\\x0B]|\\\\[nr]', '', 'g') AS v FROM (
     SELECT r, doc_id, source, m, v, CAST(sum(length(g)) OVER (PARTITION BY r ORDER BY i) + sum(length(m)) OVER (PARTITION BY r ORDER BY i) - length(m) AS BIGINT) AS s
     FROM (SELECT r, doc_id, source, unnest(list_zip(string_split_regex(t, '{pattern}')[1:len(regexp_extract_all(t, '{pattern}'))], regexp_extract_all(t, '{pattern}'), regexp_extract_all(t, '{pattern}', {group}), range(1, 1 + len(regexp_extract_all(t, '{pattern}')))), recursive := false) AS z FROM d), LATERAL (SELECT z[1] AS g, z[2] AS m, z[3] AS v, z[4] AS i))
   WHERE length(v) >= {least}"""
 
 
-#: The SQL's own shapes: its regular expressions have no lookahead, so of a key it sees the header only.
-SQL_SHAPES = tuple((k, KEY_HEAD, 0, 0) if k == "key" else (k, *x) for k, *x in BASE + MORE)
+#: A key for the SQL, whose regular expressions have no lookahead: what lies between its lines is cut out of the match.
+KEY_SQL = rf"{KEY_HEAD}(?:(?:[^-]|-{{1,4}}[^-])*{KEY_END}|(?:(?:[\s\x0B]|\\[nr])*[A-Za-z0-9+/=]{{16,}})*)"
+SQL_SHAPES = tuple((k, KEY_SQL, 0, 0) if k == "key" else (k, *x) for k, *x in BASE + MORE)
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
 x AS ({' UNION ALL '.join(_pieces(*p) for p in SQL_SHAPES)}),
-h AS (SELECT v, count(DISTINCT source) <= {MAX_OWNERS} AND count(DISTINCT doc_id) <= {MAX_REPOSITORIES} AS live FROM x GROUP BY v),
+h AS (SELECT v, count(DISTINCT source) <= {MAX_OWNERS} AND (count(DISTINCT source) = 1 OR count(DISTINCT doc_id) <= {MAX_REPOSITORIES}) AS live FROM x GROUP BY v),
 y AS (SELECT x.*, live FROM x JOIN h USING (v)),
 g AS (
   SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,

@@ -305,3 +305,27 @@ def test_urls_equal_brute_force(spark):
     mined = url_rules.mine_rules(basket, 0.02, 0.7).collect()
     assert {frozenset(r["antecedent"]) for r in mined} <= set(rules)
     assert not any(set(a["antecedent"]) < set(b["antecedent"]) and a["confidence"] >= b["confidence"] for a in mined for b in mined)
+
+
+def test_op9_agrees_with_its_sql_on_planted_rows(spark, tmp_path):
+    """One owner's many copies, values of several owners, and keys whose bodies tell them apart."""
+    import duckdb
+
+    key = lambda body: f"x -----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY----- y"
+    token = "ghp_" + "a1" * 12
+    rows = [(i, f"mine {token} é", "one") for i in range(20)]
+    rows += [(100 + i, f"{'glpat-' + 'b2' * 10} \U0001f600 password=hunter{i % 2}22", f"o{i % 2}") for i in range(12)] + [(200 + i, "sk_live_" + "c3" * 10, f"o{i % 5}") for i in range(6)]
+    rows += [(300 + i, key("MIIE" * 10 if i % 2 else "MI\nIE" * 10), f"o{i}") for i in range(4)] + [(320, key("ABCD-efgh--ijk" * 3), "o1"), (321, key(""), "o2"), (322, key("ABCD-efgh--ijk" * 3) + key("Q" * 20), "o1")]
+    rows += [(330, "-----BEGIN PRIVATE KEY-----\\n" + "A" * 64 + "\\n" + "B" * 30 + " rest", "o1"), (331, "-----BEGIN PRIVATE KEY----- none", "o9"), (332, "-----BEGIN EC PRIVATE KEY-----\n" + "C" * 20 + "------END EC PRIVATE KEY-----", "o3")]
+    rows += [(400, None, None), (401, "", "o1"), (402, "eyJ" + "x" * 9 + "." + "y" * 9 + "." + "z" * 9, None), (403, "AKIA" + "Z9" * 9 + " " + "0123456789abcdef" * 2, "o1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = secrets.op9_secret_ownership(spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    duck.execute(secrets.SQL)
+    columns = [d[0] for d in duck.description]
+    got = sorted(tuple(str(r[c]) for c in columns) for r in out.collect())
+    assert got == sorted(tuple(map(str, r)) for r in duck.fetchall())
+    spans = {r["doc_id"]: r["spans"] for r in out.collect()}
+    assert spans[0].startswith("prefixed:5:") and "prefixed" not in spans[100] + spans[200]
+    assert not spans[300] and spans[320].startswith("key:2:")
