@@ -212,6 +212,13 @@ def fir(lo: float | None, hi: float | None, sfreq: float, taps: int) -> np.ndarr
     return unit(low(hi)) if hi else delta - unit(low(lo)) if lo else delta
 
 
+def quadrature(lo: float, hi: float, sfreq: float, taps: int) -> tuple[np.ndarray, np.ndarray]:
+    """A band-pass filter and its partner a quarter of a period behind: together they give the band's analytic signal."""
+    low = fir(None, (hi - lo) / 2, sfreq, taps)
+    turn = np.exp(2j * np.pi * (lo + hi) / 2 / sfreq * (np.arange(len(low)) - len(low) // 2))
+    return 2 * low * turn.real, 2 * low * turn.imag
+
+
 def apply_fir(h: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Zero-phase convolution by FFT with edges reflected."""
     half = len(h) // 2

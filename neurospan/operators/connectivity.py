@@ -124,7 +124,7 @@ def window_edges(samples: DataFrame, sfreq: float, size: float, step: float) ->
 
 
 def phase_edges(analytic: DataFrame, key: str) -> DataFrame:
-    """PLV, PLI, wPLI and debiased wPLI from analytic samples (key, idx, roi, re, im): one self-join, all four.
+    """PLV, PLI, wPLI, debiased wPLI and the envelopes' correlation from analytic samples (key, idx, roi, re, im): one self-join for all.
 
     Right for atlases of tens of regions; from a few hundred on use kernels.phase_metrics, which
     keeps a recording's pairs in one task's matrices.
@@ -136,9 +136,11 @@ def phase_edges(analytic: DataFrame, key: str) -> DataFrame:
     im = F.col("ia") * F.col("rb") - F.col("ra") * F.col("ib")
     size = F.nullif(F.sqrt(re * re + im * im), F.lit(0.0))
     sq = F.sum(im * im)
+    envelope = lambda x: F.sqrt(F.col(f"r{x}") * F.col(f"r{x}") + F.col(f"i{x}") * F.col(f"i{x}"))
     return j.groupBy(key, "roi_i", "roi_j").agg(
         F.sqrt(F.pow(F.avg(re / size), F.lit(2)) + F.pow(F.avg(im / size), F.lit(2))).alias("plv"),
-        F.abs(F.avg(F.signum(im))).alias("pli"),
+        F.abs(F.avg(F.when(F.abs(im) > 1e-9 * size, F.signum(im)).otherwise(0.0))).alias("pli"),  # rounding has no sign
         F.coalesce(F.try_divide(F.abs(F.avg(im)), F.avg(F.abs(im))), F.lit(0.0)).alias("wpli"),
         F.when(F.pow(F.sum(F.abs(im)), F.lit(2)) - sq > 0, (F.pow(F.sum(im), F.lit(2)) - sq) / (F.pow(F.sum(F.abs(im)), F.lit(2)) - sq)).otherwise(0.0).alias("dwpli"),
+        F.corr(envelope("a"), envelope("b")).alias("aec"),
     )

@@ -67,26 +67,42 @@ def flatline_windows(df: DataFrame, rec: str, channel: str, idx: str, value: str
 
 
 def convolved(df: DataFrame, rec: str, channel: str, idx: str, value: str, taps: list[float], chunk: int = 4096) -> DataFrame:
-    """rec, channel, idx, value of signals convolved with an odd number of taps, without delay, edges mirrored.
+    """rec, channel, idx, value of signals convolved with taps, see convolved_with."""
+    return convolved_with(df, rec, channel, idx, value, {value: taps}, chunk)
+
+
+def analytic(df: DataFrame, rec: str, channel: str, idx: str, value: str, pair: tuple[list[float], list[float]], chunk: int = 4096) -> DataFrame:
+    """rec, channel, idx, re, im of signals under a pair of filters in quadrature, one pass for both."""
+    return convolved_with(df, rec, channel, idx, value, {"re": pair[0], "im": pair[1]}, chunk)
+
+
+def convolved_with(df: DataFrame, rec: str, channel: str, idx: str, value: str, filters: dict[str, list[float]], chunk: int = 4096) -> DataFrame:
+    """rec, channel, idx and a column for each filter: signals convolved with an odd number of taps, without delay, edges mirrored.
 
     Samples are dealt to chunks of time, those within half the taps of a chunk's edge to the neighbour
     too, so no task holds a recording and any chunk gives the same values. A sum of neighbouring rows is
     all there is to do inside a chunk. Samples are numbered from 0 without gaps; a recording no longer than
     half the taps, and samples within reach of a missing value, have null.
     """
-    half = len(taps) // 2
+    half = len(next(iter(filters.values()))) // 2
+    if any(len(t) != 2 * half + 1 for t in filters.values()):
+        raise ValueError("filters have one odd number of taps")
     at, last = F.col(idx), F.col("_n") - 1
     mirrored = F.filter(F.array(at, F.when((at >= 1) & (at <= half), -at), F.when((at < last) & (at >= last - half), 2 * last - at)), lambda p: p.isNotNull())
     places = df.select(rec, channel, idx, value).join(lengths(df, rec, idx), rec).filter(last >= half).select(rec, channel, value, "_n", F.explode(mirrored).alias("_at"))
     first, final = F.greatest(F.floor((F.col("_at") - half) / chunk), F.lit(0)), F.least(F.floor((F.col("_at") + half) / chunk), F.floor(last / chunk))
     dealt = places.select(rec, channel, value, "_n", "_at", F.explode(F.sequence(first, final)).alias("_chunk"))
     within = W.partitionBy(rec, channel, "_chunk").orderBy("_at")
-    total = F.lit(0.0)
-    for k, tap in enumerate(taps):
-        total = total + F.lit(float(tap)) * F.lag(value, k - half).over(within)
-    done = dealt.select(rec, channel, "_n", "_at", "_chunk", total.alias(value))
+    near = dealt.select(rec, channel, "_n", "_at", "_chunk", *[F.lag(value, k - half).over(within).alias(f"_x{k}") for k in range(2 * half + 1)])
+    sums = []
+    for name, taps in filters.items():
+        total = F.lit(0.0)
+        for k, tap in enumerate(taps):
+            total = total + F.lit(float(tap)) * F.col(f"_x{k}")
+        sums.append(total.alias(name))
+    done = near.select(rec, channel, "_n", "_at", "_chunk", *sums)
     own = (F.floor(F.col("_at") / chunk) == F.col("_chunk")) & (F.col("_at") >= 0) & (F.col("_at") < F.col("_n"))
-    return done.filter(own).select(rec, channel, F.col("_at").cast(dict(df.dtypes)[idx]).alias(idx), value)
+    return done.filter(own).select(rec, channel, F.col("_at").cast(dict(df.dtypes)[idx]).alias(idx), *filters)
 
 
 def muscle_mask(df: DataFrame, rec: str, channel: str, idx: str, value: str, taps: list[float], threshold: float, chunk: int = 4096) -> DataFrame:

@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from neurospan.functions.kernels import quadrature
 from neurospan.operators import clusters as cl
 from neurospan.operators import connectivity as cn
 from neurospan.operators import graphs as gr
 from neurospan.operators import learning as le
 from neurospan.operators import validation as va
-from neurospan.plans.signal_queries import SFREQ, SIG
+from neurospan.operators import windows as wi
+from neurospan.plans.signal_queries import REC, SFREQ, SIG
 from neurospan.scratch import new_folder
 from neurospan.sinks.recordings import write_brainvision
 from neurospan.sources import scan as sc
 from neurospan.sources import signals as sg
-from neurospan.sources.tables import recordings, table
+from neurospan.sources.tables import recordings, signal_long, table
 
 #: Correlation from which two channels are linked, and permutations and threshold of the cluster test.
 LINKED, PERMUTATIONS, BEYOND = 0.09, 200, 1.0
+#: Taps of the pair of filters between 8 and 30 Hz.
+QUADRATURE = tuple(x.tolist() for x in quadrature(8.0, 30.0, SFREQ, 65))
 FEATURES = ("l_quantity", "l_discount", "l_tax")
 
 
@@ -44,6 +48,13 @@ def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rec_id", "n_nodes", "n_joined", "connected", *r("mean_distance"), "longest")
 
 
+def phase_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phase measures and envelope correlations of all pairs of channels, filters and pairs in JVM expressions."""
+    z = wi.analytic(signal_long(spark, sf_dir), *REC, QUADRATURE)
+    edges = cn.phase_edges(z.select("rec_id", F.col("sample_idx").alias("idx"), F.col("channel").alias("roi"), "re", "im"), "rec_id")
+    return edges.select("rec_id", "roi_i", "roi_j", *r("plv", "pli", "wpli", "dwpli", "aec", digits=5))
+
+
 def cluster_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of 25 samples as subjects, the mean over channels as their value."""
     mean = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x) / F.size("embedding")
@@ -117,7 +128,7 @@ def column_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("file", "column", "n_distinct", F.concat_ws(",", "values").alias("values"))
 
 
-QUERIES = {f.__name__: f for f in (signals_read, graph_paths, cluster_test, rfe_selected, lda_scores, config_issues, config_verdicts, categorical_columns, column_values)}
+QUERIES = {f.__name__: f for f in (signals_read, graph_paths, cluster_test, rfe_selected, lda_scores, phase_native, config_issues, config_verdicts, categorical_columns, column_values)}
 
 
 def _of(key: str, *names: str) -> str:
@@ -144,6 +155,12 @@ ORACLE = {
       l AS (SELECT rec_id, i AS a, j AS b FROM e UNION ALL SELECT rec_id, j, i FROM e), w(rec_id, s, t, d) AS (SELECT rec_id, a, b, 1 FROM l UNION SELECT w.rec_id, w.s, l.b, w.d + 1 FROM w JOIN l ON l.rec_id = w.rec_id AND l.a = w.t WHERE w.d < 30),
       p AS (SELECT rec_id, s, t, min(d) AS d FROM w WHERE s <> t GROUP BY 1, 2, 3), q AS (SELECT rec_id, count(*) AS m, sum(d) AS total, max(d) AS longest FROM p GROUP BY 1), n AS (SELECT rec_id, count(DISTINCT channel) AS n FROM sig GROUP BY 1)
       SELECT rec_id, n AS n_nodes, coalesce(m, 0) AS n_joined, coalesce(m, 0) = n * (n - 1) AS connected, CASE WHEN coalesce(m, 0) = n * (n - 1) THEN round(total / (n * (n - 1)), 6) END AS mean_distance, CAST(longest AS BIGINT) AS longest FROM n LEFT JOIN q USING (rec_id)""",
+    "phase_native": f"""WITH {SIG}, taps AS (SELECT unnest(range(0, {len(QUADRATURE[0])})) - {len(QUADRATURE[0]) // 2} AS o, unnest({QUADRATURE[0]}) AS hr, unnest({QUADRATURE[1]}) AS hi),
+      place AS (SELECT s.rec_id, channel, sample_idx, hr, hi, n, sample_idx - o AS q FROM sig s JOIN len USING (rec_id), taps),
+      z AS (SELECT p.rec_id, p.channel, p.sample_idx, sum(hr * x.value) AS re, sum(hi * x.value) AS im FROM place p JOIN sig x ON x.rec_id = p.rec_id AND x.channel = p.channel AND x.sample_idx = CASE WHEN q < 0 THEN -q WHEN q >= n THEN 2 * (n - 1) - q ELSE q END GROUP BY 1, 2, 3),
+      c AS (SELECT a.rec_id, a.channel AS i, b.channel AS j, a.re * b.re + a.im * b.im AS re, a.im * b.re - a.re * b.im AS im, sqrt(a.re * a.re + a.im * a.im) AS ea, sqrt(b.re * b.re + b.im * b.im) AS eb FROM z a JOIN z b ON a.rec_id = b.rec_id AND a.sample_idx = b.sample_idx AND a.channel < b.channel)
+      SELECT rec_id, CAST(i AS INT) AS roi_i, CAST(j AS INT) AS roi_j, round(sqrt(pow(avg(re / sqrt(re * re + im * im)), 2) + pow(avg(im / sqrt(re * re + im * im)), 2)), 5) AS plv, round(abs(avg(CASE WHEN abs(im) > 1e-9 * sqrt(re * re + im * im) THEN sign(im) ELSE 0 END)), 5) AS pli, round(abs(avg(im)) / avg(abs(im)), 5) AS wpli,
+        round((pow(sum(im), 2) - sum(im * im)) / (pow(sum(abs(im)), 2) - sum(im * im)), 5) AS dwpli, round(corr(ea, eb), 5) AS aec FROM c GROUP BY 1, 2, 3""",
     "cluster_test": f"""WITH v AS (SELECT vec_id // 25 AS s, vec_id % 25 AS t, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding) AS v FROM embeddings),
       f AS (SELECT p, s, t, v, CASE WHEN p = 0 OR substr(md5('0:' || p || ':' || s), 1, 1) < '8' THEN 1 ELSE -1 END AS g FROM v, range({PERMUTATIONS + 1}) r(p)),
       m AS (SELECT p, t, count(*) AS n, sum(g * v) / count(*) AS mean, sum(v * v) AS q FROM f GROUP BY 1, 2), z AS (SELECT p, t, mean / (sqrt((q - n * mean * mean) / (n - 1)) / sqrt(n)) AS z FROM m),
