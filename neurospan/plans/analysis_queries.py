@@ -52,7 +52,8 @@ def phase_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phase measures and envelope correlations of all pairs of channels, filters and pairs in JVM expressions."""
     z = wi.analytic(signal_long(spark, sf_dir), *REC, QUADRATURE)
     edges = cn.phase_edges(z.select("rec_id", F.col("sample_idx").alias("idx"), F.col("channel").alias("roi"), "re", "im"), "rec_id")
-    return edges.select("rec_id", "roi_i", "roi_j", *r("plv", "pli", "wpli", "dwpli", "aec", digits=5))
+    whole = lambda c: F.coalesce(F.nullif(F.round(c, 5), F.lit(0.0)), F.lit(0.0)).alias(c)  # noqa: E731  no negative zero
+    return edges.select("rec_id", "roi_i", "roi_j", *map(whole, ("plv", "pli", "wpli", "dwpli", "aec")))
 
 
 def cluster_test(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +161,7 @@ ORACLE = {
       z AS (SELECT p.rec_id, p.channel, p.sample_idx, sum(hr * x.value) AS re, sum(hi * x.value) AS im FROM place p JOIN sig x ON x.rec_id = p.rec_id AND x.channel = p.channel AND x.sample_idx = CASE WHEN q < 0 THEN -q WHEN q >= n THEN 2 * (n - 1) - q ELSE q END GROUP BY 1, 2, 3),
       c AS (SELECT a.rec_id, a.channel AS i, b.channel AS j, a.re * b.re + a.im * b.im AS re, a.im * b.re - a.re * b.im AS im, sqrt(a.re * a.re + a.im * a.im) AS ea, sqrt(b.re * b.re + b.im * b.im) AS eb FROM z a JOIN z b ON a.rec_id = b.rec_id AND a.sample_idx = b.sample_idx AND a.channel < b.channel)
       SELECT rec_id, CAST(i AS INT) AS roi_i, CAST(j AS INT) AS roi_j, round(sqrt(pow(avg(re / sqrt(re * re + im * im)), 2) + pow(avg(im / sqrt(re * re + im * im)), 2)), 5) AS plv, round(abs(avg(CASE WHEN abs(im) > 1e-9 * sqrt(re * re + im * im) THEN sign(im) ELSE 0 END)), 5) AS pli, round(abs(avg(im)) / avg(abs(im)), 5) AS wpli,
-        round((pow(sum(im), 2) - sum(im * im)) / (pow(sum(abs(im)), 2) - sum(im * im)), 5) AS dwpli, round(corr(ea, eb), 5) AS aec FROM c GROUP BY 1, 2, 3""",
+        coalesce(nullif(round((pow(sum(im), 2) - sum(im * im)) / (pow(sum(abs(im)), 2) - sum(im * im)), 5), 0), 0) AS dwpli, coalesce(nullif(round(corr(ea, eb), 5), 0), 0) AS aec FROM c GROUP BY 1, 2, 3""",
     "cluster_test": f"""WITH v AS (SELECT vec_id // 25 AS s, vec_id % 25 AS t, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding) AS v FROM embeddings),
       f AS (SELECT p, s, t, v, CASE WHEN p = 0 OR substr(md5('0:' || p || ':' || s), 1, 1) < '8' THEN 1 ELSE -1 END AS g FROM v, range({PERMUTATIONS + 1}) r(p)),
       m AS (SELECT p, t, count(*) AS n, sum(g * v) / count(*) AS mean, sum(v * v) AS q FROM f GROUP BY 1, 2), z AS (SELECT p, t, mean / (sqrt((q - n * mean * mean) / (n - 1)) / sqrt(n)) AS z FROM m),

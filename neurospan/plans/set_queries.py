@@ -105,6 +105,26 @@ def report_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.report_files(table(spark, sf_dir, "orders").select("o_orderkey", path.alias("path"))).select("o_orderkey", "subject", "task", "run", "pipeline", "type")
 
 
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of a subject, the newest first."""
+    k = F.col("o_orderkey")
+    path = F.concat(F.lit("/d/sub-"), (F.col("o_custkey") % 50).cast("string"), F.lit("/"), F.lpad(k.cast("string"), 9, "0"), _pick(F.floor(k / 4), REPORTS))
+    files = table(spark, sf_dir, "orders").select("o_orderkey", path.alias("path"), F.col("o_orderdate").alias("modificationTime"))
+    return li.newest(li.report_files(files), ["subject"]).select("o_orderkey", "subject", F.col("place").cast("long").alias("place"))
+
+
+STARTS = ("RestingState", "SAIIT_2AFC_Block1", "SAIIT_Block2", "Video-DM", "Video", "VisLearn", "SurroundSupp_Block2", "SurrSupp", "WISC", "Other")
+PLACES = ("/EEG/raw/mat_format/", "/EEG/raw/csv_format/", "/EEG/raw/csv_format/", "/Behavioral/mat_format/")
+
+
+def paradigm_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings as delivered: the MAT files of a subject and paradigm, or its CSV files where there are none."""
+    k = F.col("o_orderkey")
+    place = _pick(F.floor(k / 3), PLACES)
+    path = F.concat(F.lit("/raw/"), _pick(k, ("NDAR", "NDAR", "X")), (F.col("o_custkey") % 700).cast("string"), place, _pick(F.floor(k / 2), STARTS), F.when(F.contains(place, F.lit("mat_")), ".mat").otherwise("_data.csv"))
+    return li.paradigm_files(table(spark, sf_dir, "orders").select(path.alias("path")).distinct())
+
+
 def quality_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     name = F.concat((F.col("o_custkey") % 50).cast("string"), F.lit("_ses-"), _pick(k, ("1", "02", "x")), F.lit("_task-rest_run-"), (k % 5).cast("string"), _pick(F.floor(k / 3), ("_qc_metrics.json", "_qc_metrics.json", "_metrics.json")))
@@ -117,7 +137,7 @@ def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mo.macro_metrics(o.select("o_orderpriority", said.alias("said")), "o_orderpriority", "said").select("n_classes", *r("accuracy", "precision", "recall", "f1"))
 
 
-QUERIES = {f.__name__: f for f in (window_corr, annotated, good_annotated, bad_channels, montage_finite, bin_dispatch, bin_all, extra_fields, behaviour_listing, report_listing, quality_listing, macro_metrics)}
+QUERIES = {f.__name__: f for f in (window_corr, annotated, good_annotated, bad_channels, montage_finite, bin_dispatch, bin_all, extra_fields, behaviour_listing, report_listing, report_order, paradigm_listing, quality_listing, macro_metrics)}
 
 MARKS = f"""{SIG}, {CONV}, {_hop(20, 10)}, wide AS (SELECT DISTINCT rec_id, wstart FROM (SELECT rec_id, wstart, channel FROM hop GROUP BY ALL HAVING max(value) - min(value) > {AMPLITUDE})),
   m AS (SELECT DISTINCT rec_id, 'BAD_amplitude' AS description, unnest(range(wstart, wstart + 20)) AS sample_idx FROM wide UNION ALL SELECT rec_id, 'BAD_gradient', sample_idx FROM ({_gradient(GRADIENT)}) UNION ALL SELECT rec_id, 'BAD_muscle', sample_idx FROM muscle),
@@ -162,6 +182,12 @@ ORACLE = {
     "report_listing": f"""WITH f AS (SELECT o_orderkey, o_custkey % 50 AS s, {_choice('o_orderkey', STAGES)} AS stage, {_choice('o_orderkey // 4', REPORTS)} AS file FROM orders)
       SELECT o_orderkey, CAST(s AS VARCHAR) AS subject, 'rest' AS task, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey % 3 AS VARCHAR) ELSE 'N/A' END AS run, CASE WHEN contains(stage, '/') THEN stage ELSE 'Unknown' END AS pipeline,
         CASE WHEN contains(file, 'preprocessed_qc') THEN 'Preprocessed' WHEN contains(file, 'combined_qc') THEN 'Combined' WHEN contains(file, 'raw_qc') THEN 'Raw Data' ELSE 'Other' END AS type FROM f WHERE file LIKE '%\\_qc.html' ESCAPE '\\'""",
+    "report_order": f"""SELECT o_orderkey, CAST(o_custkey % 50 AS VARCHAR) AS subject, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderdate DESC, lpad(CAST(o_orderkey AS VARCHAR), 9, '0')) AS place FROM orders WHERE {_choice('o_orderkey // 4', REPORTS)} LIKE '%\\_qc.html' ESCAPE '\\'""",
+    "paradigm_listing": f"""WITH f AS (SELECT DISTINCT {_choice('o_orderkey', ('NDAR', 'NDAR', 'X'))} || (o_custkey % 700) AS subject, {_choice('o_orderkey // 3', PLACES)} AS place, {_choice('o_orderkey // 2', STARTS)} AS name FROM orders),
+      m AS (SELECT subject, CASE WHEN contains(place, 'mat_') THEN 'mat' ELSE 'csv' END AS format, '/raw/' || subject || place || name || CASE WHEN contains(place, 'mat_') THEN '.mat' ELSE '_data.csv' END AS path, name, unnest([{', '.join(f"{{'p': '{p}', 's': list_filter([{', '.join(repr(x) for x in starts)}], lambda x: starts_with(name, x))[1]}}" for p, starts in li.RECORDED.items())}]) AS c FROM f WHERE subject LIKE 'NDAR%' AND place LIKE '/EEG%'),
+      v AS (SELECT subject, c.p AS paradigm, path, format, CASE WHEN name = c.s THEN c.s ELSE c.s || '_' || trim(replace(name || CASE WHEN format = 'csv' THEN '_data' ELSE '' END, c.s, ''), '_-') END AS variant FROM m WHERE c.s IS NOT NULL),
+      w AS (SELECT *, bool_or(format = 'mat') OVER (PARTITION BY subject, paradigm) AS has, row_number() OVER (PARTITION BY subject, paradigm, format, variant ORDER BY path) AS k FROM v)
+      SELECT subject, paradigm, path, format, variant FROM w WHERE (format = 'mat' OR NOT has) AND (format = 'mat' OR k = 1)""",
     "quality_listing": f"""WITH f AS (SELECT o_orderkey, CAST(o_custkey % 50 AS VARCHAR) AS subject, {_choice('o_orderkey', ('1', '02', 'x'))} AS session, 'rest' AS task, CAST(o_orderkey % 5 AS VARCHAR) AS run, {_choice('o_orderkey // 3', ('_qc_metrics.json', '_qc_metrics.json', '_metrics.json'))} AS tail FROM orders)
       SELECT o_orderkey, subject, session, task, run FROM f WHERE session <> 'x' AND tail = '_qc_metrics.json'""",
     "macro_metrics": """WITH o AS (SELECT o_orderpriority AS t, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority WHEN o_totalprice > 150000 THEN '1-URGENT' ELSE '6-NONE' END AS p FROM orders), l AS (SELECT t AS c FROM o UNION SELECT p FROM o),

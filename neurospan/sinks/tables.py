@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Columns that come first in an events file.
 EVENT_COLUMNS = ("onset", "duration", "trial_type", "response_time", "accuracy")
 
 
-def events_table(df: DataFrame) -> DataFrame:
-    """Standard columns first, then the others sorted; floats with six digits, missing as n/a."""
-    columns = [c for c in EVENT_COLUMNS if c in df.columns] + sorted(c for c in df.columns if c not in EVENT_COLUMNS)
+def _formatted(df: DataFrame, names: list[str]) -> list[Column]:
+    columns = [c for c in EVENT_COLUMNS if c in names] + sorted(c for c in names if c not in EVENT_COLUMNS)
     kinds = dict(df.dtypes)
     text = lambda c: F.format_string("%.6f", c) if kinds[c] in ("double", "float") else F.col(c).cast("string")
-    return df.select(*[F.coalesce(F.when(F.col(c).isNotNull(), text(c)), F.lit("n/a")).alias(c) for c in columns])
+    return [F.coalesce(F.when(F.col(c).isNotNull(), text(c)), F.lit("n/a")).alias(c) for c in columns]
+
+
+def events_table(df: DataFrame) -> DataFrame:
+    """Standard columns first, then the others sorted; floats with six digits, missing as n/a."""
+    return df.select(*_formatted(df, df.columns))
 
 
 def write_events(df: DataFrame, path: str) -> None:
@@ -68,3 +72,31 @@ def write_inclusion(df: DataFrame, path: str, included: str = "included") -> Non
     kept = df.filter(F.coalesce(F.col(included), F.lit(True)))
     kept.drop(included).write.mode("overwrite").json(f"{path}/records")
     kept.select(F.col("subject").cast("string")).distinct().write.mode("overwrite").text(f"{path}/subjects")
+
+
+def write_runs(trials: DataFrame, columns: DataFrame, path: str, run: str, order: tuple[str, ...] = ("onset",)) -> None:
+    """The behavioural files of all runs at once: events, their sidecar and the detailed trials, a folder for each run.
+
+    trials has a column run that names the folder; columns (column, description) describes what an events file may
+    hold, and the sidecar keeps what it does. Trials without a run aren't written; without any nothing is. A run's rows go to
+    one task, in order, so a run is one file.
+    """
+    named = trials.filter(F.col(run).isNotNull())
+    if named.isEmpty():
+        return
+    together = named.repartition(run).sortWithinPartitions(run, *order)
+    _with_run(together, run).write.mode("overwrite").partitionBy(run).csv(f"{path}/events", sep="\t", header=True)
+    write_sidecar(columns, [c for c in trials.columns if c != run], f"{path}/sidecar")
+    together.write.mode("overwrite").partitionBy(run).csv(f"{path}/trials", sep="\t", header=True, nullValue="n/a")
+
+
+def write_triggers(events: DataFrame, path: str, run: str, sfreq: float, sample: str = "sample", code: str = "code") -> None:
+    """Events files of runs that have triggers only: onset, duration 0, the type trigger and the code as value."""
+    rows = events.filter(F.col(run).isNotNull()).select(run, (F.col(sample) / sfreq).alias("onset"), F.lit(0).alias("duration"), F.lit("trigger").alias("trial_type"), F.col(code).cast("string").alias("value"))
+    if not rows.isEmpty():
+        _with_run(rows.repartition(run).sortWithinPartitions(run, "onset"), run).write.mode("overwrite").partitionBy(run).csv(f"{path}/events", sep="\t", header=True)
+
+
+def _with_run(df: DataFrame, run: str) -> DataFrame:
+    """Columns of an events file as text, and the run's as it is, so rows stay in the order they have in it."""
+    return df.select(*_formatted(df, [c for c in df.columns if c != run]), run)

@@ -189,3 +189,49 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.json") -> DataF
     """path and content of the text files below a folder that fit pattern, each file whole, malformed or not."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+
+
+def newest(reports: DataFrame, by: list[str], time: str = "modificationTime") -> DataFrame:
+    """Adds place: 1 for the newest report of each value of by; of equal times the path that comes first."""
+    return reports.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(F.desc_nulls_last(time), "path")))
+
+
+#: What names of recordings begin with, by paradigm, the most wanted first.
+RECORDED = {
+    "SurrSupp_Block": ("SurrSupp_Block", "SurroundSupp", "SurrSupp"),
+    "SAIIT_2AFC": ("SAIIT_2AFC", "SAIIT"),
+    "Video": ("Video",),
+    "RestingState": ("RestingState", "Resting"),
+    "vis_learn": ("vis_learn", "VisLearn", "vislearn"),
+    "WISC_ProcSpeed": ("WISC_ProcSpeed", "WISC"),
+}
+#: Below a subject's folder, where recordings of a format lie and how their names end.
+SOURCES = {"mat": (r"/EEG/raw/mat_format/([^/]*)\.mat$", ""), "csv": (r"/EEG/raw/csv_format/([^/]*)_data\.csv$", "_data")}
+
+
+def source_subjects(files: DataFrame) -> DataFrame:
+    """subject of every folder NDAR* that has recordings, each once."""
+    return files.select(F.nullif(F.regexp_extract("path", r"/(NDAR[^/]*)/EEG/raw/", 1), F.lit("")).alias("subject")).dropna().distinct()
+
+
+def paradigm_files(files: DataFrame, prefer: str = "mat") -> DataFrame:
+    """subject, paradigm, path, format, variant of recordings as they were delivered, one format for each subject and paradigm.
+
+    files: path. A name belongs to a paradigm where it begins with one of its beginnings; the first of those
+    that fits gives the variant: itself for the bare name, else itself and what follows. A subject has the preferred
+    format where there is any file of it, else the other one. Of CSV files of one variant the first by path counts.
+    """
+    name, kind, tail = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("")
+    for format_, (pattern, ending) in SOURCES.items():
+        hit = F.rlike("path", F.lit(pattern))
+        name, kind, tail = F.when(hit, F.regexp_extract("path", pattern, 1)).otherwise(name), F.when(hit, format_).otherwise(kind), F.when(hit, ending).otherwise(tail)
+    rows = files.select("path", F.regexp_extract("path", r"/(NDAR[^/]*)/EEG/raw/", 1).alias("subject"), name.alias("_name"), kind.alias("format"), tail.alias("_tail")).filter("format IS NOT NULL AND subject <> ''")
+    choice = [F.struct(F.lit(p).alias("paradigm"), F.get(F.filter(F.array(*map(F.lit, starts)), lambda s: F.startswith(F.col("_name"), s)), F.lit(0)).alias("start")) for p, starts in RECORDED.items()]
+    rows = rows.select("*", F.inline(F.filter(F.array(*choice), lambda x: x["start"].isNotNull())))
+    rest = F.btrim(F.replace(F.concat("_name", "_tail"), F.col("start"), F.lit("")), F.lit("_-"))
+    variant = F.when((F.col("_name") == F.col("start")) | (rest == ""), F.col("start")).otherwise(F.concat("start", F.lit("_"), rest))
+    rows = rows.withColumn("variant", variant)
+    has = F.bool_or(F.col("format") == prefer).over(W.partitionBy("subject", "paradigm"))
+    first = F.row_number().over(W.partitionBy("subject", "paradigm", "format", "variant").orderBy("path"))
+    kept = rows.withColumn("_has", has).withColumn("_first", first).filter((F.col("format") == prefer) | ~F.col("_has"))
+    return kept.filter("format <> 'csv' OR _first = 1").select("subject", "paradigm", "path", "format", "variant")

@@ -53,3 +53,34 @@ def test_csv_signals_with_their_events(spark, tmp_path):
     ev = li.read_csv_events(spark, f"file://{tmp_path}/*_event.csv")
     at = ev.join(long.filter("channel = 'E1'"), (ev["file"] == long["file"]) & (F.col("sample") == F.col("sample_idx")))
     assert sorted((r["type"], r["value"]) for r in at.collect()) == [(11, 2.0), (11, 2.0), (12, 1.0), (12, 1.0)]
+
+
+def test_all_runs_are_written_at_once(spark, tmp_path):
+    rows = [("sub-1_run-1", 2.0, 0.5, "go", 0.3, None), ("sub-1_run-1", 1.0, 0.5, "stop", None, "left"), ("sub-2_run-1", 0.25, 1.0, "go", 0.7, "right"), (None, 9.0, 9.0, "lost", None, None)]
+    trials = spark.createDataFrame(rows, "run string, onset double, duration double, trial_type string, response_time double, side string").repartition(3)
+    columns = spark.createDataFrame([("onset", "when"), ("side", "where"), ("other", "none")], "column string, description string")
+    sinks.write_runs(trials, columns, f"file://{tmp_path}/out", "run")
+    files = sorted(tmp_path.glob("out/events/run=*/*.csv"))
+    assert [f.parent.name for f in files] == ["run=sub-1_run-1", "run=sub-2_run-1"]
+    assert files[0].read_text().splitlines() == ["onset\tduration\ttrial_type\tresponse_time\tside", "1.000000\t0.500000\tstop\tn/a\tleft", "2.000000\t0.500000\tgo\t0.300000\tn/a"]
+    assert {r["column"] for r in spark.read.json(f"file://{tmp_path}/out/sidecar").collect()} == {"onset", "side"}
+    detail = next(tmp_path.glob("out/trials/run=sub-2_run-1/*.csv")).read_text().splitlines()
+    assert detail == ["onset\tduration\ttrial_type\tresponse_time\tside", "0.25\t1.0\tgo\t0.7\tright"]
+    sinks.write_runs(trials.filter("run is null"), columns, f"file://{tmp_path}/none", "run")
+    assert not (tmp_path / "none").exists()
+
+
+def test_triggers_alone_make_events(spark, tmp_path):
+    events = spark.createDataFrame([("r", 500, 11), ("r", 250, 12), (None, 1, 1)], "run string, sample long, code int")
+    sinks.write_triggers(events, f"file://{tmp_path}/out", "run", 500.0)
+    assert next(tmp_path.glob("out/events/run=r/*.csv")).read_text().splitlines() == ["onset\tduration\ttrial_type\tvalue", "0.500000\t0\ttrigger\t12", "1.000000\t0\ttrigger\t11"]
+
+
+def test_delivered_recordings_prefer_a_format(spark):
+    at = lambda s, kind, name: (f"/raw/{s}/EEG/raw/{kind}_format/{name}{'.mat' if kind == 'mat' else '_data.csv'}",)
+    files = [at("NDAR1", "mat", "Video-DM"), at("NDAR1", "csv", "Video-FF"), at("NDAR1", "csv", "RestingState"), at("NDAR2", "mat", "SAIIT_Block2"), at("NDAR2", "mat", "SAIIT_2AFC"), at("X1", "mat", "Video"), ("/raw/NDAR3/EEG/other/Video.mat",), at("NDAR4", "csv", "vislearn__"), at("NDAR4", "mat", "notes")]
+    df = spark.createDataFrame(files, "path string")
+    got = lambda prefer: sorted((r["subject"], r["paradigm"], r["format"], r["variant"]) for r in li.paradigm_files(df, prefer).collect())
+    assert got("mat") == [("NDAR1", "RestingState", "csv", "RestingState"), ("NDAR1", "Video", "mat", "Video_DM"), ("NDAR2", "SAIIT_2AFC", "mat", "SAIIT_2AFC"), ("NDAR2", "SAIIT_2AFC", "mat", "SAIIT_Block2"), ("NDAR4", "vis_learn", "csv", "vislearn_data")]
+    assert ("NDAR1", "Video", "csv", "Video_FF_data") in got("csv") and ("NDAR2", "SAIIT_2AFC", "mat", "SAIIT_Block2") in got("csv")
+    assert sorted(r["subject"] for r in li.source_subjects(df).collect()) == ["NDAR1", "NDAR2", "NDAR4"]
