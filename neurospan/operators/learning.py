@@ -118,6 +118,54 @@ def recursive_elimination(df: DataFrame, features: list[str], target: str, keep:
     return out.withColumnRenamed("_key", key) if key else out.drop("_key")
 
 
+def fold_errors(moments: pd.DataFrame, d: int, alphas: list[float]) -> pd.DataFrame:
+    """fold, alpha, n, mse, r2 of ridge regressions on the other folds, from the folds' moments alone.
+
+    Features are standardised on the training folds (population std). What a model leaves of a held-out fold is a
+    quadratic form of the fold's moments, so no row is predicted. A fold without the others has no model.
+    """
+    folds = sorted(moments["fold"].unique().tolist())
+    g = {f: np.zeros((d + 2, d + 2)) for f in folds}  # features, target, constant
+    for f, part in moments.groupby("fold"):
+        i, j, m = part["i"].to_numpy(), part["j"].to_numpy(), g[f]
+        m[i, j] = m[j, i] = part["sij"].to_numpy()
+        own = part[part["i"] == part["j"]]
+        m[own["i"], d + 1] = m[d + 1, own["i"]] = own["si"].to_numpy()
+        m[d + 1, d + 1] = own["n"].iloc[0]
+    whole, out = sum(g.values()), []
+    for f in folds:
+        train, n = whole - g[f], (whole - g[f])[d + 1, d + 1]
+        if n < 2:
+            continue
+        mean = train[: d + 1, d + 1] / n
+        cov = train[: d + 1, : d + 1] / n - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov)[:d], 0))
+        scale = np.where(sd > 1e-12, sd, np.inf)
+        test, m = g[f], g[f][d + 1, d + 1]
+        spread = test[d, d] - test[d, d + 1] ** 2 / m
+        for alpha in alphas:
+            w = np.linalg.solve(n * cov[:d, :d] / np.outer(scale, scale) + alpha * np.eye(d), n * cov[:d, d] / scale) / scale
+            left = np.concatenate([-w, [1.0, -(mean[d] - w @ mean[:d])]])
+            sse = max(float(left @ test @ left), 0.0)
+            out.append((f, float(alpha), int(m), sse / m, 1 - sse / spread if spread > 1e-12 else 0.0))
+    return pd.DataFrame(out, columns=["fold", "alpha", "n", "mse", "r2"])
+
+
+def ridge_grid(df: DataFrame, features: list[str], target: str, fold: str, alphas: list[float]) -> DataFrame:
+    """fold, alpha, n, mse, r2: a cross-validated grid of ridge regressions from one pass over the data.
+
+    The moments of the folds (whole numbers) are added up once; all fits and errors follow from them, in one
+    task that holds as many rows as there are folds times pairs of features. Rows with a missing value are left out.
+    """
+    rows = df.select(F.col(fold).cast("long").alias("fold"), F.array(*[F.col(c).cast("double") for c in (*features, target)]).alias("values"))
+    moments = pair_moments(rows.filter(F.col("fold").isNotNull() & ~F.exists("values", lambda v: v.isNull())), "fold")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return fold_errors(frame, len(features), alphas)
+
+    return moments.groupBy().applyInPandas(run, "fold long, alpha double, n long, mse double, r2 double")
+
+
 @dataclass
 class Discriminants:
     """Linear discriminants: for each class a row of coefficients and an intercept."""

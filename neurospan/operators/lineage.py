@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from neurospan.operators.paths import place
 from neurospan.scratch import written
 
-#: What a dependency on a stage needs to be found, and its folder below the outputs; {x} is x's value.
+#: What a dependency on a stage needs to be found, as it is named in the folder's path; the dependency's own value is its variant.
 STAGES = {
-    "preprocessing": (("subject", "session", "task", "run"), "preprocessing/{variant}/{subject}/ses-{session}/task-{task}/run-{run}"),
-    "epochs": (("subject", "session", "task", "preprocessing"), "epochs/{preprocessing}/{task}/{subject}/ses-{session}"),
-    "source": (("subject", "session", "task", "preprocessing"), "source/{preprocessing}/{task}/{variant}/{subject}/ses-{session}"),
-    "features": (("task", "preprocessing", "source"), "features/{preprocessing}/{task}/{source}/{variant}"),
+    "preprocessing": {"pipeline": "variant", "subject": "subject", "session": "session", "task": "task", "run": "run"},
+    "epochs": {"preprocessing": "preprocessing", "task": "task", "subject": "subject", "session": "session"},
+    "source": {"preprocessing": "preprocessing", "task": "task", "variant": "variant", "subject": "subject", "session": "session"},
+    "features": {"preprocessing": "preprocessing", "task": "task", "variant": "source", "feature": "variant"},
 }
+#: In what order values that lack are told.
+ORDER = ("subject", "session", "task", "run", "preprocessing", "source")
 #: Fixed value: a dependency that names the task and is no output.
 TASK = "task"
 
@@ -29,11 +32,10 @@ def resolve(configs: DataFrame, outputs: DataFrame) -> DataFrame:
     """
     rows = configs.select("*", F.explode("depends_on").alias("dependency", "variant"))
     path, needs = F.lit(None).cast("string"), F.array().cast("array<string>")
-    for stage, (wanted, folder) in STAGES.items():
-        at = {name: F.col("depends_on")[name] if name in STAGES else F.col(name) for name in (*wanted, "variant")}
-        lacking = F.filter(F.array(*[F.when(F.coalesce(at[w], F.lit("")) == "", F.lit(w)) for w in wanted]), lambda x: x.isNotNull())
-        pieces = [at[p] if i % 2 else F.lit(p) for i, p in enumerate(folder.replace("}", "{").split("{"))]
-        path = F.when(F.col("dependency") == stage, F.concat(*pieces)).otherwise(path)
+    for stage, named in STAGES.items():
+        at = {name: F.col("depends_on")[name] if name in STAGES else F.col(name) for name in named.values()}
+        lacking = F.filter(F.array(*[F.when(F.coalesce(at[w], F.lit("")) == "", F.lit(w)) for w in ORDER if w in at]), lambda x: x.isNotNull())
+        path = F.when(F.col("dependency") == stage, place(stage, **{k: at[name] for k, name in named.items()})).otherwise(path)
         needs = F.when(F.col("dependency") == stage, lacking).otherwise(needs)
     rows = rows.withColumn("needs", needs).withColumn("path", F.when(F.size("needs") == 0, path))
     there = outputs.select("path", F.lit(True).alias("_there")).distinct()

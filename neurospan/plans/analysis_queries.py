@@ -23,6 +23,7 @@ from neurospan.sources.tables import recordings, signal_long, table
 LINKED, PERMUTATIONS, BEYOND = 0.09, 200, 1.0
 #: Taps of the pair of filters between 8 and 30 Hz.
 QUADRATURE = tuple(x.tolist() for x in quadrature(8.0, 30.0, SFREQ, 65))
+ALPHAS = (0.1, 100.0, 10_000.0)
 FEATURES = ("l_quantity", "l_discount", "l_tax")
 
 
@@ -70,6 +71,12 @@ def rfe_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return le.recursive_elimination(df, list(FEATURES), "l_extendedprice", 1, "group").select("group", "feature", F.col("rank").cast("long").alias("rank"))
 
 
+def ridge_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of line items from quantity and tax in five folds, under three strengths of regularisation."""
+    df = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 5).alias("fold"), "l_quantity", "l_tax", (F.col("l_extendedprice") / 1000).alias("price"))
+    return le.ridge_grid(df, ["l_quantity", "l_tax"], "price", "fold", list(ALPHAS)).select("fold", "alpha", "n", *r("mse", "r2", digits=5))
+
+
 def lda_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items' flags by linear discriminants: how many of each flag get which, and the mean of the winning score."""
     df = table(spark, sf_dir, "lineitem").select(F.ascii("l_returnflag").cast("long").alias("label"), "l_quantity", "l_extendedprice")
@@ -129,7 +136,7 @@ def column_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("file", "column", "n_distinct", F.concat_ws(",", "values").alias("values"))
 
 
-QUERIES = {f.__name__: f for f in (signals_read, graph_paths, cluster_test, rfe_selected, lda_scores, phase_native, config_issues, config_verdicts, categorical_columns, column_values)}
+QUERIES = {f.__name__: f for f in (signals_read, graph_paths, cluster_test, rfe_selected, ridge_grid, lda_scores, phase_native, config_issues, config_verdicts, categorical_columns, column_values)}
 
 
 def _of(key: str, *names: str) -> str:
@@ -174,6 +181,11 @@ ORACLE = {
       first AS (SELECT *, CASE WHEN q1 <= q2 AND q1 <= q3 THEN 1 WHEN q2 <= q3 THEN 2 ELSE 3 END AS gone FROM three),
       two AS (SELECT "group", gone, CASE WHEN gone = 1 THEN CASE WHEN abs(o * y - c * z) <= abs(o * z - c * y) THEN 2 ELSE 3 END WHEN gone = 2 THEN CASE WHEN abs(o * x - b * z) <= abs(o * z - b * x) THEN 1 ELSE 3 END ELSE CASE WHEN abs(o * x - a * y) <= abs(o * y - a * x) THEN 1 ELSE 2 END END AS next FROM first)
       SELECT CAST("group" AS BIGINT) AS "group", f AS feature, CAST(CASE WHEN k = gone THEN 3 WHEN k = next THEN 2 ELSE 1 END AS BIGINT) AS "rank" FROM two, (VALUES (1, 'l_quantity'), (2, 'l_discount'), (3, 'l_tax')) t(k, f)""",
+    "ridge_grid": f"""WITH d AS (SELECT l_orderkey % 5 AS f, l_quantity AS a, l_tax AS b, l_extendedprice / 1000 AS y FROM lineitem), k AS (SELECT DISTINCT f FROM d),
+      m AS (SELECT k.f, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, corr(a, b) AS c, covar_pop(a, y) / stddev_pop(a) AS ya, covar_pop(b, y) / stddev_pop(b) AS yb FROM k JOIN d ON d.f <> k.f GROUP BY 1),
+      w AS (SELECT *, alpha, n * ((n + alpha) * ya - n * c * yb) / ((n + alpha) * (n + alpha) - n * c * n * c) / sa AS wa, n * ((n + alpha) * yb - n * c * ya) / ((n + alpha) * (n + alpha) - n * c * n * c) / sb AS wb FROM m, unnest({list(ALPHAS)}) u(alpha)),
+      e AS (SELECT w.f, CAST(alpha AS DOUBLE) AS alpha, y, y - my - wa * (a - ma) - wb * (b - mb) AS e FROM w JOIN d ON d.f = w.f)
+      SELECT f AS fold, alpha, count(*) AS n, round(avg(e * e), 5) AS mse, round(1 - sum(e * e) / (var_pop(y) * count(*)), 5) AS r2 FROM e GROUP BY 1, 2""",
     "lda_scores": """WITH s AS (SELECT ascii(l_returnflag) AS label, l_quantity AS x, l_extendedprice AS y FROM lineitem), m AS (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS xx, var_pop(y) * count(*) AS yy, covar_pop(x, y) * count(*) AS xy FROM s GROUP BY 1),
       w AS (SELECT sum(n) AS n, sum(xx) / (sum(n) - count(*)) AS a, sum(yy) / (sum(n) - count(*)) AS d, sum(xy) / (sum(n) - count(*)) AS b FROM m),
       c AS (SELECT m.label AS k, (d * mx - b * my) / (a * d - b * b) AS cx, (a * my - b * mx) / (a * d - b * b) AS cy, mx, my, ln(m.n / w.n) AS prior FROM m, w),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from neurospan.operators import lineage as ln
+from neurospan.operators import paths as pa
 from neurospan.sources.tables import table
 
 CHAINS = 200
@@ -53,12 +54,22 @@ def dependency_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'")
     lead = F.concat(F.lit("sub-"), text(F.col("o_custkey")), F.lit("/ses-01"))
     outputs = of.select(F.explode(F.array(
-        F.concat(F.lit("preprocessing/strict/"), lead, F.lit("/task-rest/run-"), text(k % 4)), F.concat(F.lit("epochs/standard/rest/"), lead), F.lit("features/standard/rest/dspm/standard"))).alias("path"))
+        F.concat(F.lit("preprocessing/strict/"), lead, F.lit("/task-rest/run-"), text(k % 4)), F.concat(F.lit("epochs/standard/rest/"), lead), F.lit("features/standard/rest/variant-dspm/standard"))).alias("path"))
     out = ln.resolve(configs, outputs)
     return out.select("o_orderkey", "dependency", "variant", "path", F.concat_ws(",", "needs").alias("needs"), "found", "problem")
 
 
-QUERIES = {f.__name__: f for f in (dependency_closure, version_lineage, version_ancestors, dependency_resolution)}
+def path_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs: where their outputs lie, and how their files are named."""
+    k = F.col("o_orderkey")
+    text = lambda c: c.cast("string")
+    of = {"subject": F.concat(F.when(k % 3 == 0, "sub-").otherwise(""), text(F.col("o_custkey"))), "session": text(k % 4), "task": F.lit("rest"), "run": F.when(k % 5 != 0, text(k % 5)), "pipeline": F.lit("standard"), "preprocessing": F.lit("standard"), "variant": F.when(k % 2 == 0, "variant-a").otherwise("b"), "feature": F.lit("conn"), "model": F.lit("ridge"), "stage": F.lit("epochs")}
+    places = [pa.place(name, **of).alias(name) for name in pa.FOLDERS]
+    name = pa.file_name(of["subject"], of["session"], of["task"], of["run"], F.when(k % 7 == 0, "clean").otherwise(""))
+    return table(spark, sf_dir, "orders").select("o_orderkey", *places, name.alias("file"))
+
+
+QUERIES = {f.__name__: f for f in (dependency_closure, version_lineage, version_ancestors, dependency_resolution, path_catalogue)}
 
 _K = "[{}][CAST(o_orderkey % {} AS BIGINT) + 1]"
 
@@ -82,9 +93,13 @@ ORACLE = {
       n AS (SELECT *, concat_ws(',', CASE WHEN dependency IN ('preprocessing', 'epochs', 'source') AND subject IS NULL THEN 'subject' END, CASE WHEN dependency IN ('preprocessing', 'epochs', 'source') AND session IS NULL THEN 'session' END,
           CASE WHEN dependency IN ('preprocessing', 'epochs', 'source', 'features') AND task = '' THEN 'task' END, CASE WHEN dependency = 'features' AND src IS NULL THEN 'source' END) AS needs FROM d),
       p AS (SELECT *, CASE WHEN needs <> '' THEN NULL WHEN dependency = 'preprocessing' THEN 'preprocessing/' || variant || '/' || subject || '/ses-' || session || '/task-' || task || '/run-' || run WHEN dependency = 'epochs' THEN 'epochs/' || pre || '/' || task || '/' || subject || '/ses-' || session
-          WHEN dependency = 'source' THEN 'source/' || pre || '/' || task || '/' || variant || '/' || subject || '/ses-' || session WHEN dependency = 'features' THEN 'features/' || pre || '/' || task || '/' || src || '/' || variant END AS path FROM n),
-      o AS (SELECT DISTINCT unnest(['preprocessing/strict/sub-' || o_custkey || '/ses-01/task-rest/run-' || (o_orderkey % 4), 'epochs/standard/rest/sub-' || o_custkey || '/ses-01', 'features/standard/rest/dspm/standard']) AS path FROM orders WHERE o_orderstatus <> 'F')
+          WHEN dependency = 'source' THEN 'source/' || pre || '/' || task || '/variant-' || variant || '/' || subject || '/ses-' || session WHEN dependency = 'features' THEN 'features/' || pre || '/' || task || '/variant-' || src || '/' || variant END AS path FROM n),
+      o AS (SELECT DISTINCT unnest(['preprocessing/strict/sub-' || o_custkey || '/ses-01/task-rest/run-' || (o_orderkey % 4), 'epochs/standard/rest/sub-' || o_custkey || '/ses-01', 'features/standard/rest/variant-dspm/standard']) AS path FROM orders WHERE o_orderstatus <> 'F')
       SELECT o_orderkey, dependency, variant, path, needs, dependency = 'task' OR o.path IS NOT NULL AS found,
         CASE WHEN dependency = 'task' THEN NULL WHEN dependency = 'odd' THEN 'unknown' WHEN dependency = stage AND variant = name THEN 'itself' WHEN needs <> '' THEN 'incomplete' WHEN o.path IS NULL THEN 'missing' END AS problem
       FROM p LEFT JOIN o USING (path)""",
+    "path_catalogue": """WITH r AS (SELECT o_orderkey, 'sub-' || o_custkey AS s, 'ses-' || (o_orderkey % 4) AS e, CASE WHEN o_orderkey % 5 <> 0 THEN 'run-' || (o_orderkey % 5) END AS r, CASE WHEN o_orderkey % 2 = 0 THEN 'variant-a' ELSE 'variant-b' END AS v FROM orders)
+      SELECT o_orderkey, 'preprocessing/standard/' || s || '/' || e || '/task-rest/' || r AS preprocessing, 'preprocessing/standard' AS preprocessing_root, 'epochs/standard/rest/' || s || '/' || e AS epochs, 'epochs/standard/rest' AS epochs_root, 'source/standard/rest/' || v || '/' || s || '/' || e AS source, 'source/standard/rest' AS source_root,
+        'features/standard/rest/' || v || '/conn' AS features, 'features/standard/rest' AS features_root, 'prediction/ridge' AS prediction, 'pipeline-standard' AS legacy_outputs, s || '/' || e || '/eeg' AS recordings, 'pipelines/standard' AS legacy_pipeline, 'configs/epochs' AS configs,
+        concat_ws('_', s, e, 'task-rest', r, CASE WHEN o_orderkey % 7 = 0 THEN 'desc-clean' END, 'eeg.fif') AS file FROM r""",
 }

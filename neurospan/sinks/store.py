@@ -145,6 +145,31 @@ class StateTable:
         if changed or any(k not in now for k in self.keys):
             raise ValueError(f"types of columns don't change, and keys are given: {changed}")
 
+    def add(self, df: DataFrame, at: int | None = None) -> int:
+        """df's rows, none of whose keys may be there, or twice in df: otherwise ValueError, and nothing is written."""
+        base = self.commit(at)
+        twice = df.groupBy(*self.keys).count().filter("count > 1")
+        old = self._rows(base)
+        known = twice.limit(1)
+        if old is not None:
+            side = old.select(*[F.col(k).alias(f"_old_{k}") for k in self.keys])
+            known = twice.select(*self.keys).unionByName(df.select(*self.keys).join(side, [F.col(k).eqNullSafe(F.col(f"_old_{k}")) for k in self.keys], "left_semi")).limit(1)
+        first = known.first()
+        if first:
+            raise ValueError(f"there already: {[first[k] for k in self.keys]}")
+        return self.upsert(df, at)
+
+    def purge(self, column: str, value: str, confirm: bool = False) -> int:
+        """Without the rows of a subject, a pipeline, or another value of a key; only with confirm, and only what is there."""
+        if not confirm:
+            raise ValueError("confirm that the rows go")
+        base = self.commit()
+        old = self._rows(base)
+        gone = old.filter(F.col(column) == value).select(*self.keys) if old is not None else None
+        if gone is None or gone.isEmpty():
+            raise ValueError(f"no rows with {column} = {value}")
+        return self.delete(gone, base["version"])
+
     def delete(self, gone: DataFrame, at: int | None = None) -> int:
         """Without the rows whose keys gone holds; a commit of its own, also where none is there."""
         base = self.commit(at)

@@ -126,6 +126,22 @@ def test_elimination_from_moments_is_that_from_data(spark):
     assert constant["feature"] == "f1" and constant["coefficient"] == 0
 
 
+def test_grid_errors_are_those_of_predictions(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 4)) * [1, 5, 0.1, 2] + [0, 3, 1, -2]
+    y = x @ [1.0, -0.5, 4.0, 0.0] + rng.normal(size=120)
+    fold = rng.integers(0, 3, 120)
+    df = spark.createDataFrame([(int(f), *map(float, r), float(v)) for f, r, v in zip(fold, x, y, strict=True)] + [(0, None, 1.0, 1.0, 1.0, 1.0), (None, 1.0, 1.0, 1.0, 1.0, 1.0)], "fold int, a double, b double, c double, d double, y double").repartition(3)
+    got = {(r["fold"], r["alpha"]): (r["n"], r["mse"], r["r2"]) for r in le.ridge_grid(df, ["a", "b", "c", "d"], "y", "fold", [0.1, 10.0]).collect()}
+    assert len(got) == 6
+    for (f, alpha), (n, mse, r2) in got.items():
+        xt, yt, xv, yv = x[fold != f], y[fold != f], x[fold == f], y[fold == f]
+        z = (xt - xt.mean(0)) / xt.std(0)
+        w = np.linalg.solve(z.T @ z + alpha * np.eye(4), z.T @ (yt - yt.mean()))
+        left = yv - yt.mean() - (xv - xt.mean(0)) / xt.std(0) @ w
+        assert n == len(yv) and abs(mse - (left**2).mean()) < 1e-8 and abs(r2 - (1 - (left**2).sum() / ((yv - yv.mean()) ** 2).sum())) < 1e-8
+
+
 def test_discriminants(spark):
     rng = np.random.default_rng(6)
     centres = np.array([[0, 0, 0], [2, 1, 0], [0, 3, 1]])

@@ -79,7 +79,7 @@ def test_resolution_says_what_is_wrong(spark):
         ("epochs", "same", {"epochs": "same"}, "sub-1", "01", "rest", "02"),
         ("epochs", "none", {}, "sub-1", "01", "rest", "02"),
     ]
-    outputs = spark.createDataFrame([("preprocessing/standard/sub-1/ses-01/task-rest/run-02",), ("features/standard/rest/dspm/conn",), ("features/standard/rest/dspm/conn",)], "path string")
+    outputs = spark.createDataFrame([("preprocessing/standard/sub-1/ses-01/task-rest/run-02",), ("features/standard/rest/variant-dspm/conn",), ("features/standard/rest/variant-dspm/conn",)], "path string")
     out = {(r["name"], r["dependency"]): (r["path"], r["found"], r["problem"], r["needs"]) for r in ln.resolve(spark.createDataFrame(rows, CONFIG), outputs).filter("stage <> 'features'").collect()}
     assert out == {
         ("v1", "task"): (None, True, None, []),
@@ -90,7 +90,7 @@ def test_resolution_says_what_is_wrong(spark):
         ("same", "epochs"): (None, False, "itself", ["preprocessing"]),
     }
     features = {r["dependency"]: (r["path"], r["problem"]) for r in ln.resolve(spark.createDataFrame(rows, CONFIG), outputs).filter("stage = 'features'").collect()}
-    assert features == {"features": ("features/standard/rest/dspm/conn", None), "preprocessing": (None, "incomplete"), "source": (None, "incomplete")}
+    assert features == {"features": ("features/standard/rest/variant-dspm/conn", None), "preprocessing": (None, "incomplete"), "source": (None, "incomplete")}
 
 
 class Cluster:

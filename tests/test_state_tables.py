@@ -104,6 +104,20 @@ def test_older_rows_and_repeated_batches_change_nothing(spark, store):
     assert rows(store.read()) == [("p", 1, 12), ("q", 1, 6)]
 
 
+def test_rows_are_added_once_and_purged_on_demand(spark, store):
+    store.add(frame(spark, [("p", 1, 10), ("p", None, 11), ("q", 1, 12)]))
+    for again in ([("r", 1, 1), ("p", None, 1)], [("r", 1, 1), ("r", 1, 2)]):
+        with pytest.raises(ValueError, match="there already"):
+            store.add(frame(spark, again))
+    store.add(frame(spark, [("r", 1, 1)]))
+    for wrong in (lambda: store.purge("a", "p"), lambda: store.purge("a", "z", confirm=True)):
+        with pytest.raises(ValueError):
+            wrong()
+    assert store.read().count() == 4
+    store.purge("a", "p", confirm=True)
+    assert rows(store.read()) == [("q", 1, 12), ("r", 1, 1)]
+
+
 def test_empty_tables(spark, store):
     store.replace(frame(spark, []))
     assert store.read().columns == ["a", "b", "x"] and store.read().count() == 0
