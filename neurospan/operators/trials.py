@@ -174,3 +174,8 @@ def apply_bins(df: DataFrame, configs: list[dict]) -> DataFrame:
         both = both.unionByName(more)
     last = both.groupBy("bin_name").agg(F.max("_config").alias("_config"))
     return both.join(last, ["bin_name", "_config"]).drop("_config")
+
+
+def translated(codes: F.Column, names: F.Column) -> F.Column:
+    """Codes (array of text) with those that are a name in the map names replaced by its code; order and repeats stay."""
+    return F.transform(codes, lambda c: F.coalesce(F.try_element_at(names, c), c))
