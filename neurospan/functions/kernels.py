@@ -182,15 +182,20 @@ def directed_metrics(a: np.ndarray, lo: float, hi: float, sfreq: float, n_freqs:
     return out
 
 
+def wavelet(f: float, sfreq: float, cycles: float = 7.0) -> np.ndarray:
+    """The complex Morlet wavelet of a frequency, of unit energy."""
+    sigma = cycles / (2 * np.pi * f)
+    t = np.arange(0, 5 * sigma, 1 / sfreq)
+    t = np.concatenate([-t[:0:-1], t])
+    w = np.exp(2j * np.pi * f * t) * np.exp(-(t**2) / (2 * sigma**2))
+    return w / (np.sqrt(0.5) * np.linalg.norm(w))
+
+
 def morlet_power(x: np.ndarray, freqs: np.ndarray, sfreq: float, cycles: float = 7.0) -> np.ndarray:
     """(channel, freq, time) power of complex Morlet wavelets of unit energy."""
     out = np.empty((len(x), len(freqs), x.shape[1]))
     for k, f in enumerate(freqs):
-        sigma = cycles / (2 * np.pi * f)
-        t = np.arange(0, 5 * sigma, 1 / sfreq)
-        t = np.concatenate([-t[:0:-1], t])
-        w = np.exp(2j * np.pi * f * t) * np.exp(-(t**2) / (2 * sigma**2))
-        w /= np.sqrt(0.5) * np.linalg.norm(w)
+        w = wavelet(f, sfreq, cycles)
         size = x.shape[1] + len(w) - 1
         full = np.fft.ifft(np.fft.fft(x, size, axis=1) * np.fft.fft(w, size), axis=1)
         start = (len(w) - 1) // 2

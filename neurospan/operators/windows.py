@@ -76,8 +76,10 @@ def analytic(df: DataFrame, rec: str, channel: str, idx: str, value: str, pair:
     return convolved_with(df, rec, channel, idx, value, {"re": pair[0], "im": pair[1]}, chunk)
 
 
-def convolved_with(df: DataFrame, rec: str, channel: str, idx: str, value: str, filters: dict[str, list[float]], chunk: int = 4096) -> DataFrame:
-    """rec, channel, idx and a column for each filter: signals convolved with an odd number of taps, without delay, edges mirrored.
+def convolved_with(df: DataFrame, rec: str, channel: str, idx: str, value: str, filters: dict[str, list[float]], chunk: int = 4096, mirrored: bool = True) -> DataFrame:
+    """rec, channel, idx and a column for each filter: signals convolved with an odd number of taps, without delay.
+
+    Edges are mirrored, or else nothing lies beyond them.
 
     Samples are dealt to chunks of time, those within half the taps of a chunk's edge to the neighbour
     too, so no task holds a recording and any chunk gives the same values. A sum of neighbouring rows is
@@ -88,12 +90,13 @@ def convolved_with(df: DataFrame, rec: str, channel: str, idx: str, value: str,
     if any(len(t) != 2 * half + 1 for t in filters.values()):
         raise ValueError("filters have one odd number of taps")
     at, last = F.col(idx), F.col("_n") - 1
-    mirrored = F.filter(F.array(at, F.when((at >= 1) & (at <= half), -at), F.when((at < last) & (at >= last - half), 2 * last - at)), lambda p: p.isNotNull())
-    places = df.select(rec, channel, idx, value).join(lengths(df, rec, idx), rec).filter(last >= half).select(rec, channel, value, "_n", F.explode(mirrored).alias("_at"))
+    images = [F.when((at >= 1) & (at <= half), -at), F.when((at < last) & (at >= last - half), 2 * last - at)] if mirrored else []
+    at_all = F.filter(F.array(at, *images), lambda p: p.isNotNull())
+    places = df.select(rec, channel, idx, value).join(lengths(df, rec, idx), rec).filter(last >= (half if mirrored else 0)).select(rec, channel, value, "_n", F.explode(at_all).alias("_at"))
     first, final = F.greatest(F.floor((F.col("_at") - half) / chunk), F.lit(0)), F.least(F.floor((F.col("_at") + half) / chunk), F.floor(last / chunk))
     dealt = places.select(rec, channel, value, "_n", "_at", F.explode(F.sequence(first, final)).alias("_chunk"))
     within = W.partitionBy(rec, channel, "_chunk").orderBy("_at")
-    near = dealt.select(rec, channel, "_n", "_at", "_chunk", *[F.lag(value, k - half).over(within).alias(f"_x{k}") for k in range(2 * half + 1)])
+    near = dealt.select(rec, channel, "_n", "_at", "_chunk", *[F.lag(value, k - half, None if mirrored else 0.0).over(within).alias(f"_x{k}") for k in range(2 * half + 1)])
     sums = []
     for name, taps in filters.items():
         total = F.lit(0.0)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("trial_queries", "behaviour_queries", "signal_queries", "model_queries", "spectral_queries", "more_queries", "record_queries", "set_queries", "lineage_queries", "state_queries", "analysis_queries", "round_trip_queries")
+MODULES = ("trial_queries", "behaviour_queries", "signal_queries", "model_queries", "spectral_queries", "more_queries", "record_queries", "set_queries", "lineage_queries", "state_queries", "analysis_queries", "round_trip_queries", "spectra_queries")
 
 
 def queries() -> dict[str, Query]:
