@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -17,6 +19,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of an Arrow batch while a table is written: texts are long, so fewer than Spark's 10,000.
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,8 +52,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def lean() -> None:
-    """In a Python worker: Arrow buffers go back to the system when they are freed."""
+    """In a Python worker: Arrow buffers go back to the system when they are freed, and what earlier tasks freed goes back now."""
     pa.set_memory_pool(pa.system_memory_pool())
+    trim()
+
+
+def trim() -> None:
+    """Gives freed pages back to the system, so that workers that wait hold little; nothing where the C library can't."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurospan.llm.common import lean, sent_if_small, stored, table, text_or_empty
+from neurospan.llm.common import lean, sent_if_small, stored, table, text_or_empty, trim
 from neurospan.llm.components import components
 from neurospan.llm.filters import held, key_filter
 from neurospan.llm.shingles import runs, set_hash, shingle_sets
@@ -51,7 +51,6 @@ def prefix_size(n: np.ndarray | int):
 
 
 def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
-    lean()
     texts = [x.as_py() or b"" for x in batch.column("text")]
     for start, run in runs(texts):
         yield start, shingle_sets(run)
@@ -59,6 +58,7 @@ def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and a task's token counts in SLOTS slots (up to 255) as rows of their own."""
+    lean()
     counts, waiting, n_waiting = np.zeros(SLOTS, np.uint8), [], 0
 
     def fold() -> None:
@@ -87,6 +87,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if counts.any():
         parts = counts.reshape(PARTS, -1)
         yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, pa.int64())] * 4, pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=names)
+    trim()
 
 
 def _add_counts(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -131,6 +132,7 @@ def _first(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
 def _keys(shared):
     """(key, c, n) for each first token of each text's set of n."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for _, sets in _sets_of(batch):
                 firsts = [_first(s, shared.value) for s in sets]
@@ -138,6 +140,7 @@ def _keys(shared):
                 count = [len(x) for x in firsts]
                 c, n = np.repeat(np.array([set_hash(s) for s in sets], np.int64), count), np.repeat(np.array([len(s) for s in sets], np.int32), count)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c), pa.array(n)], names=["key", "c", "n"])
+        trim()
     return run
 
 
@@ -147,6 +150,7 @@ SETS = "c long, n int, keys array<struct<key: long, at: int>>, sketch array<long
 def _met_sets(shared, seen):
     """The sets some first token of which may have met another set, with those tokens; a task tells each set once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         levels, filter_ = shared.value, seen.value
         told: set[int] = set()
         for batch in batches:
@@ -172,11 +176,13 @@ def _met_sets(shared, seen):
                     pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ats))], names=["key", "at"])
                     lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pairs)
                     yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(ns, pa.int32()), lists, pa.array(sketches, pa.list_(pa.int64()))], names=["c", "n", "keys", "sketch"])
+        trim()
     return run
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """c, tokens: a task tells each set once."""
+    lean()
     told: set[int] = set()
     for batch in batches:
         for _, sets in _sets_of(batch):

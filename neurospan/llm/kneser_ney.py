@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from neurospan.llm.common import lean, sent_if_small, small_batches, stored, table, text_or_empty
+from neurospan.llm.common import lean, sent_if_small, small_batches, stored, table, text_or_empty, trim
 
 ORDER = 5
 BITS = 21  # per symbol: every code point is its own, 0 pads the start of a text
@@ -296,6 +296,8 @@ def _score_sent(docs: DataFrame, model: Model) -> DataFrame:
                 total = np.concatenate([np.zeros(1, np.int64), np.cumsum(log_probs(*keys, *tables))])
                 sums[run], n[run] = total[ends] - total[ends - lengths], lengths
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums), pa.array(n)], names=[*names, "_sum", "_n"])
+        del tables, p, g
+        trim()
 
     long = T.LongType()
     scored = docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("_sum", long), T.StructField("_n", long)]))
