@@ -31,8 +31,9 @@ class StateTable:
     small file, named by its number, that says which folder each bucket has, the columns, and the last batch of
     every stream that wrote. Data are written first; the commit takes its name only where no commit has it (a
     link on a local disk, a rename on HDFS; a store whose renames replace files isn't fit for several writers),
-    so of two writers one gets Conflict, and a writer that dies before it leaves folders that no reader sees. A change rewrites only the buckets its keys fall in, as Spark jobs; the driver
-    reads one row for each touched bucket.
+    so of two writers one gets Conflict, and a writer that dies before it leaves folders that no reader sees. A
+    change rewrites only the buckets its keys fall in, as Spark jobs; the driver reads one row for each
+    touched bucket.
 
     New columns of written rows are added, null for earlier rows; a column keeps its type. path is a
     folder that all machines share.
@@ -193,7 +194,10 @@ class StateTable:
         raise AssertionError
 
     def vacuum(self, keep: int = 10) -> int:
-        """Removes commits before the last keep and folders that no commit left names; their number."""
+        """Removes commits before the last keep and folders that no commit left names; their number.
+
+        A writer that hasn't committed yet would lose its folder, so none should be at work.
+        """
         last = self.version()
         files, commits = self._place("_commits")
         numbers = [n for n in range(max(1, last - keep + 1), last + 1)]
