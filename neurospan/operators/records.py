@@ -87,3 +87,39 @@ def compare_variance(a: DataFrame, b: DataFrame) -> DataFrame:
     """channel with the variances of two pipelines; a channel that one lacks is null there."""
     var = lambda df, name: df.groupBy("channel").agg((F.var_pop("value") * 1e12).alias(name))
     return var(a, "first").join(var(b, "second"), "channel", "full")
+
+
+def inclusion_summary(df: DataFrame, flag: str, count: str, *by: str) -> DataFrame:
+    """total, included, percent, mean and sum of epochs, for each value of by; a missing count is 0, a missing mark excludes."""
+    n = F.coalesce(F.col(count), F.lit(0))
+    included = F.count_if(F.coalesce(F.col(flag), F.lit(False)))
+    return df.groupBy(*by).agg(F.count("*").alias("total"), included.alias("included"), (100 * included / F.count("*")).alias("percent"), F.avg(n).alias("mean_epochs"), F.sum(n).alias("sum_epochs"))
+
+
+def epoch_batches(epochs: DataFrame, sessions: DataFrame, checks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_epochs, n_conditions, checked of every session: epochs 0 where none could be read, checked where a quality record is there.
+
+    epochs: keys and condition, a row an epoch; sessions and checks: keys. Null keys meet null keys.
+    """
+    by = epochs.groupBy(*keys).agg(F.count("*").alias("n_epochs"), F.count_distinct("condition").alias("n_conditions"))
+    known = checks.select(*keys).distinct().withColumn("_checked", F.lit(True))
+    out = sessions.select(*keys).distinct()
+    for side in (by, known):
+        renamed = side.withColumnsRenamed({k: f"_{k}" for k in keys})
+        out = out.join(renamed, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return out.select(*keys, zero("n_epochs"), zero("n_conditions"), F.coalesce("_checked", F.lit(False)).alias("checked"))
+
+
+def match_behaviour(recorded: DataFrame, behaviour: DataFrame, triggers: DataFrame, starts: DataFrame) -> DataFrame:
+    """recorded with file and offset: the first behavioural file of its subject and paradigm whose block its variant names, and when it starts.
+
+    recorded: recording, subject, paradigm, variant; behaviour: subject, paradigm, block (null fits any variant, as does an empty one), path, the first by path
+    counts; triggers: recording, time, code; starts: paradigm, code. offset is the time of the first start trigger, 0
+    without one; file is null where none fits. Files meet recordings by subject and paradigm only, a few of each.
+    """
+    told = behaviour.select(F.col("subject").alias("_s"), F.col("paradigm").alias("_p"), F.coalesce("block", F.lit("")).alias("_b"), F.col("path").alias("file"))
+    fits = (F.col("subject") == F.col("_s")) & (F.col("paradigm") == F.col("_p")) & F.contains(F.lower("variant"), F.lower("_b"))
+    files = recorded.select("recording", "subject", "paradigm", "variant").join(told, fits).groupBy("recording").agg(F.min("file").alias("file"))
+    first = triggers.join(recorded.select("recording", "paradigm"), "recording").join(starts.distinct(), ["paradigm", "code"], "left_semi").groupBy("recording").agg(F.min("time").alias("offset"))
+    return recorded.join(files, "recording", "left").join(first, "recording", "left").withColumn("offset", F.coalesce("offset", F.lit(0.0)))

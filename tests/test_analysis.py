@@ -222,3 +222,14 @@ def test_event_names_come_from_the_first_naming_column(spark):
     assert sorted(map(tuple, sc.event_names(df).collect())) == [("a", 1), ("b", 1)]
     assert sorted(map(tuple, sc.event_names(df, "condition").collect())) == [("x", 2), ("y", 1)]
     assert sc.event_names(df, "other").count() == 0
+
+
+def test_behaviour_meets_its_recording(spark):
+    from neurospan.operators import records as rc
+
+    recorded = spark.createDataFrame([("r1", "s", "p", "task_Block1"), ("r2", "s", "p", "task_Block3"), ("r3", "s", "q", "any"), ("r4", "t", "p", "task_Block1")], "recording string, subject string, paradigm string, variant string")
+    behaviour = spark.createDataFrame([("s", "p", "block1", "/b"), ("s", "p", "BLOCK1", "/a"), ("s", "q", None, "/c"), ("s", "p", "Block2", "/d")], "subject string, paradigm string, block string, path string")
+    triggers = spark.createDataFrame([("r1", 4.0, 7), ("r1", 2.5, 7), ("r1", 1.0, 9), ("r2", 3.0, 8), ("x", 0.0, 7)], "recording string, time double, code int")
+    starts = spark.createDataFrame([("p", 7), ("p", 7), ("q", 8)], "paradigm string, code int")
+    out = {r["recording"]: (r["file"], r["offset"]) for r in rc.match_behaviour(recorded, behaviour, triggers, starts).collect()}
+    assert out == {"r1": ("/a", 2.5), "r2": (None, 0.0), "r3": ("/c", 0.0), "r4": (None, 0.0)}
