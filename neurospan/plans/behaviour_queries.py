@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from neurospan.functions.stats import exact_mean
 from neurospan.operators import behaviour as be
 from neurospan.operators import trials as op
 from neurospan.plans.trial_queries import CHAIN, TRIALS, filter_chain
@@ -126,12 +127,12 @@ def name_value_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _qc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as recordings: rates from their line items."""
+    """Suppliers as recordings: rates from their line items, to the digit, as many lie right at a limit."""
     item = table(spark, sf_dir, "lineitem")
     return item.groupBy(F.col("l_suppkey").alias("rec_id")).agg(
         (100 * F.avg((F.col("l_returnflag") == "R").cast("double"))).alias("bad"),
         F.avg((F.col("l_linestatus") == "O").cast("double")).alias("segments"),
-        F.max("l_quantity").alias("amplitude"), F.avg("l_discount").alias("flat"), F.avg("l_tax").alias("noise"),
+        F.max("l_quantity").alias("amplitude"), exact_mean("l_discount").alias("flat"), exact_mean("l_tax").alias("noise"),
         F.count("*").cast("double").alias("duration"),
     )
 

@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from neurospan.functions.stats import argmax_first, safe_corr, sanitise
+from neurospan.functions.stats import argmax_first, exact_mean, safe_corr, sanitise
 from neurospan.operators import behaviour as be
 from neurospan.operators import trials as op
+from neurospan.plans import behaviour_queries as bq
 
 
 def values(df, column):
@@ -70,3 +71,12 @@ def test_constant_channels_have_no_correlation_and_ties_take_the_first(spark):
     assert r["r"] is None and r["t"] == 0.2
     name = spark.createDataFrame([(" a:b  c/?.txt ",)], "s string").select(sanitise(F.col("s")).alias("s")).first()["s"]
     assert name == "a_b_c_.txt"
+
+
+def test_rates_right_at_a_limit_are_not_above_it(spark, tmp_path):
+    columns = "l_suppkey long, l_returnflag string, l_linestatus string, l_quantity double, l_discount double, l_tax double"
+    rows = [(1, "N", "F", 1.0, 0.05, 0.0)] * 3 + [(2, "N", "F", 1.0, 0.06, 0.0)] * 3 + [(3, "N", "F", 1.0, float("nan"), None)] * 3
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert {r["rec_id"]: r["score"] for r in bq.qc_score(spark, str(tmp_path)).collect()} == {1: 0.7, 2: 0.5, 3: 0.5}
+    means = spark.createDataFrame([(0.1, None, 1e12)] * 3, "a double, b double, c double").agg(*[exact_mean(c) for c in "abc"]).first()
+    assert tuple(means) == (0.1, None, 1e12)
