@@ -95,11 +95,13 @@ def usability_score(duration: Column, bad: Column, segments: Column, amplitude:
     return F.greatest(F.lit(0.0), 1 - total)
 
 
-def group_report(df: DataFrame, keys: list[str], usable: str, measures: list[str]) -> DataFrame:
+def group_report(df: DataFrame, keys: list[str], subject: str, usable: str, measures: list[str]) -> DataFrame:
+    """Counts, means and the sorted list of who is excluded, in one row for each group; excluded() has a row for each of them."""
     return df.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if(usable).alias("n_usable"), F.count_if(~F.col(usable)).alias("n_excluded"),
         (100 * F.try_divide(F.count_if(usable), F.count("*"))).alias("percent_usable"),
         *[F.avg(m).alias(f"mean_{m}") for m in measures],
+        F.sort_array(F.collect_list(F.when(~F.col(usable), F.col(subject)))).alias("excluded"),
     )
 
 

@@ -156,8 +156,8 @@ def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qc_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = be.group_report(_sites(spark, sf_dir), ["site"], "usable", ["bad", "segments"])
-    return out.select("site", "n", "n_usable", "n_excluded", *[F.round(c, 6).alias(c) for c in ("percent_usable", "mean_bad", "mean_segments")])
+    out = be.group_report(_sites(spark, sf_dir), ["site"], "rec_id", "usable", ["bad", "segments"])
+    return out.select("site", "n", "n_usable", "n_excluded", *[F.round(c, 6).alias(c) for c in ("percent_usable", "mean_bad", "mean_segments")], F.array_join(F.transform("excluded", lambda x: x.cast("string")), ",").alias("excluded"))
 
 
 def qc_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +231,7 @@ ORACLE = {
         class_b, CASE WHEN class_b = 'poor' THEN 'reject' WHEN class_b = 'acceptable' THEN 'review' WHEN class_b = 'good' AND NOT ica THEN 'review' ELSE 'accept' END AS action_b FROM w""",
     "qc_score": f"""WITH {QC} SELECT rec_id, round(greatest(0, 1 - ((duration / 10 < 60)::INT * 0.3 + (bad / 100 > 0.2)::INT * 0.25 + (segments > 0.5)::INT * 0.25 + (amplitude * 10.1 > 500)::INT * 0.2 + (flat * 2 > 0.1)::INT * 0.2 + (noise * 130 > 5)::INT * 0.1)::DOUBLE), 6) AS score FROM q""",
     "qc_aggregate": f"""WITH {QC} SELECT rec_id % 4 AS site, count(*) AS n, count(*) FILTER (segments < 0.5) AS n_usable, count(*) FILTER (NOT segments < 0.5) AS n_excluded, round(100 * count(*) FILTER (segments < 0.5) / count(*), 6) AS percent_usable,
-      round(avg(bad), 6) AS mean_bad, round(avg(segments), 6) AS mean_segments FROM q GROUP BY 1""",
+      round(avg(bad), 6) AS mean_bad, round(avg(segments), 6) AS mean_segments, coalesce(string_agg(CAST(rec_id AS VARCHAR), ',' ORDER BY rec_id) FILTER (NOT segments < 0.5), '') AS excluded FROM q GROUP BY 1""",
     "qc_excluded": f"WITH {QC} SELECT rec_id % 4 AS site, rec_id FROM q WHERE NOT segments < 0.5",
     "pipeline_compare": """SELECT o_orderpriority AS pipeline, count(*) AS n, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 4) AS success_rate, round(avg(o_totalprice) FILTER (o_orderstatus = 'F'), 4) AS mean_time,
       round(stddev_samp(o_totalprice) FILTER (o_orderstatus = 'F'), 4) AS std_time FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'F') > 0""",

@@ -80,3 +80,9 @@ def test_rates_right_at_a_limit_are_not_above_it(spark, tmp_path):
     assert {r["rec_id"]: r["score"] for r in bq.qc_score(spark, str(tmp_path)).collect()} == {1: 0.7, 2: 0.5, 3: 0.5}
     means = spark.createDataFrame([(0.1, None, 1e12)] * 3, "a double, b double, c double").agg(*[exact_mean(c) for c in "abc"]).first()
     assert tuple(means) == (0.1, None, 1e12)
+
+
+def test_group_report_names_who_is_excluded(spark):
+    df = spark.createDataFrame([("a", 10, False), ("a", 9, False), ("a", 1, True), ("b", 2, True)], "site string, rec long, ok boolean")
+    assert {r["site"]: r["excluded"] for r in be.group_report(df, ["site"], "rec", "ok", []).collect()} == {"a": [9, 10], "b": []}
+    assert "excluded" in bq.qc_aggregate(spark, "/root/testdata/sf0.001").columns
