@@ -19,6 +19,8 @@ STAGES = {
 ORDER = ("subject", "session", "task", "run", "preprocessing", "source")
 #: Fixed value: a dependency that names the task and is no output.
 TASK = "task"
+#: Up to so many versions go by pointer doubling alone.
+DOUBLED = 200_000
 
 
 def resolve(configs: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -80,26 +82,61 @@ def _jumps(versions: DataFrame, version: str, parent: str) -> DataFrame:
     return joined.select("version", F.when(F.col("_known"), F.col("parent")).alias("jump"))
 
 
+def _coin(version: str, turn: int) -> Column:
+    return F.xxhash64(F.col(version), F.lit(turn)) % 2 == 0
+
+
 def lineage(versions: DataFrame, version: str = "version", parent: str = "parent") -> DataFrame:
     """version, root, depth, cyclic of a table of versions with one parent each, or null.
 
-    Pointer doubling: every version knows its ancestor 2^k steps up, and two such steps make the next
-    one, so there are as many joins as the longest history has binary digits. A parent that is no version
-    ends a history. Versions whose history never ends, as it runs into a cycle, have cyclic true and
-    neither root nor depth. Versions are distinct and not null.
+    Versions are taken out while there are more than DOUBLED of them: in a turn those whose coin shows tails and whose
+    parent's shows heads, about a quarter. Their children are joined to their parents, which stay, and carry the distance on.
+    What is left goes by pointer doubling, and turn by turn, last first, those taken out are looked up at their parents. As
+    turns shrink by a quarter, all of them together shuffle and write a fixed number of rows for each version. Tables are
+    never broadcast, however small their files look, so that the driver gets none of them.
+    A parent that is no version ends a history. Versions whose history never ends, as it runs into a
+    cycle, have cyclic true and neither root nor depth. Versions are distinct and not null.
+    """
+    state = written(_jumps(versions, version, parent).withColumn("far", F.lit(1).cast("long")), "lineage")
+    turns, n = [], state.count()
+    while n > DOUBLED:
+        turn = len(turns)
+        known = F.col("jump").isNotNull()  # hashes pass over nulls
+        out = known & ~_coin("version", turn) & _coin("jump", turn)
+        gone = state.filter(out)
+        turns.append(gone)
+        stay = state.filter(~out)
+        beyond = known & ~_coin("jump", turn)
+        skipped = gone.select(F.col("version").alias("jump"), F.col("jump").alias("_jump"), F.col("far").alias("_far"))
+        moved = stay.filter(beyond).join(skipped.hint("merge"), "jump", "left").select("version", F.coalesce("_jump", "jump").alias("jump"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"))
+        state = written(stay.filter(~beyond).unionByName(moved), "lineage")
+        before, n = n, state.count()
+        if before - n < before // 20:  # few have a parent that stays: they are roots or run into themselves at once
+            break
+    found = _doubled(state, n)
+    for turn, gone in reversed(list(enumerate(turns))):
+        at = found.filter(_coin("version", turn)).select(F.col("version").alias("jump"), "root", "depth")
+        found = found.unionByName(written(gone.join(at.hint("merge"), "jump").select("version", "root", (F.col("far") + F.col("depth")).alias("depth")), "lineage"))
+    return found.select(F.col("version").alias(version), "root", "depth", F.col("root").isNull().alias("cyclic"))
+
+
+def _doubled(jumps: DataFrame, n: int) -> DataFrame:
+    """version, root, depth of n versions, from jumps of far steps each, or null.
+
+    Every version knows its ancestor 2^k jumps up, and two such steps make the next one, so there are
+    as many joins as the longest history has binary digits.
     """
-    state = _jumps(versions, version, parent).select("version", "jump", F.when(F.col("jump").isNull(), F.col("version")).alias("root"), F.when(F.col("jump").isNull(), 0).cast("long").alias("depth"))
-    state = written(state.withColumn("far", F.lit(1).cast("long")), "lineage")
-    left, n = state.filter("root is null").count(), state.count()
-    reach = 1
+    end = F.col("jump").isNull()
+    state = jumps.select("version", "jump", F.when(end, F.col("version")).alias("root"), F.when(end, 0).cast("long").alias("depth"), "far")
+    left, reach = state.filter("root is null").count(), 1
     while left and reach <= n:
         up = state.select(F.col("version").alias("jump"), F.col("jump").alias("_jump"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("far").alias("_far"))
         done = state.filter("root is not null")
-        moved = state.filter("root is null").join(up, "jump", "left").select(
+        moved = state.filter("root is null").join(up.hint("merge"), "jump", "left").select(
             "version", F.col("_jump").alias("jump"), F.col("_root").alias("root"), (F.col("far") + F.col("_depth")).alias("depth"), (F.col("far") + F.col("_far")).alias("far"))
         state = written(done.unionByName(moved), "lineage")
         left, reach = state.filter("root is null").count(), 2 * reach
-    return state.select(F.col("version").alias(version), "root", "depth", F.col("root").isNull().alias("cyclic"))
+    return state.select("version", "root", "depth")
 
 
 def ancestors(versions: DataFrame, version: str = "version", parent: str = "parent") -> DataFrame:

@@ -114,3 +114,24 @@ def test_no_local_folder_on_a_cluster():
             scratch.work_dir(Cluster(place))
     assert scratch.work_dir(Cluster("hdfs://n/warehouse")).startswith("hdfs://n/warehouse/neurospan-")
     assert scratch.work_dir(Cluster("/w", "s3a://b/c/")).startswith("s3a://b/c/neurospan-")
+
+
+def test_long_histories_write_a_fixed_number_of_rows_for_each_version(spark, monkeypatch):
+    monkeypatch.setattr(ln, "DOUBLED", 300)
+    rows = [(i, i - 1 if i else None) for i in range(4000)] + [(5000 + i, 5000 + (i + 1) % 500) for i in range(500)] + [(6000 + i, 5000 + i % 7) for i in range(50)]
+    rows += [(7000, 7000), (7001, 7000), (8000, 99999), (8001, 8000), (8002, 8000)]
+    sizes = []
+
+    def counted(df, name):
+        out = scratch.written(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(ln, "written", counted)
+    found = ln.lineage(spark.createDataFrame(rows, "version long, parent long")).collect()
+    out = {r["version"]: (r["root"], r["depth"], r["cyclic"]) for r in found}
+    assert len(found) == len(out) == len(rows)
+    assert all(out[i] == (0, i, False) for i in range(4000))
+    assert all(out[v] == (None, None, True) for v, _ in rows if 5000 <= v < 8000)
+    assert (out[8000], out[8001], out[8002]) == ((8000, 0, False), (8000, 1, False), (8000, 1, False))
+    assert sum(sizes) < 7 * len(rows)
