@@ -21,19 +21,19 @@ def shortest_paths(links: DataFrame, key: str, length: str | None = None) -> Dat
     links: key, roi_i, roi_j, and with length a column of lengths of 0 or more. Without lengths a round adds the
     pairs first reached by one more link; with them a round lowers what one more link makes shorter,
     until nothing changes. A round is one join of the last round's pairs with the links, for all
-    graphs together. Of repeated links the shortest counts; links of a node to itself, and with nulls, are none.
+    graphs together; tables written are small files of many rows, so none is broadcast by the size of its files. Of repeated links the shortest counts; links of a node to itself, and with nulls, are none.
     """
     link = _directed(links, key, length)
     paths = fresh = link.select("_key", F.col("a").alias("source"), F.col("b").alias("target"), F.col("size").alias("distance"))
     while fresh.limit(1).count():
-        onward = fresh.join(link.withColumnRenamed("a", "target"), ["_key", "target"]).filter("source <> b")
+        onward = fresh.join(link.withColumnRenamed("a", "target").hint("merge"), ["_key", "target"]).filter("source <> b")
         onward = onward.groupBy("_key", "source", F.col("b").alias("target")).agg(F.min(F.col("distance") + F.col("size")).alias("distance"))
         if length is None:
-            fresh = written(onward.join(paths, ["_key", "source", "target"], "left_anti"), "paths")
+            fresh = written(onward.join(paths.hint("merge"), ["_key", "source", "target"], "left_anti"), "paths")
             paths = paths.unionByName(fresh)
         else:
             before = paths.withColumnRenamed("distance", "_before")
-            fresh = written(onward.join(before, ["_key", "source", "target"], "left").filter("_before IS NULL OR distance < _before").drop("_before"), "paths")
+            fresh = written(onward.join(before.hint("merge"), ["_key", "source", "target"], "left").filter("_before IS NULL OR distance < _before").drop("_before"), "paths")
             paths = written(paths.unionByName(fresh).groupBy("_key", "source", "target").agg(F.min("distance").alias("distance")), "paths")
     return paths.withColumnRenamed("_key", key)
 

@@ -13,6 +13,7 @@ from neurospan.operators import clusters as cl
 from neurospan.operators import graphs as gr
 from neurospan.operators import learning as le
 from neurospan.operators import validation as va
+from neurospan.scratch import written
 from neurospan.sources import scan as sc
 
 
@@ -233,3 +234,17 @@ def test_behaviour_meets_its_recording(spark):
     starts = spark.createDataFrame([("p", 7), ("p", 7), ("q", 8)], "paradigm string, code int")
     out = {r["recording"]: (r["file"], r["offset"]) for r in rc.match_behaviour(recorded, behaviour, triggers, starts).collect()}
     assert out == {"r1": ("/a", 2.5), "r2": (None, 0.0), "r3": ("/c", 0.0), "r4": (None, 0.0)}
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_paths_send_no_table_to_the_driver(spark, monkeypatch, weighted):
+    plans = []
+
+    def planned(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(gr, "written", planned)
+    links = spark.createDataFrame([(1, 0, 1, 0.5), (1, 1, 2, 0.5), (1, 2, 3, 0.5)], "rec long, roi_i int, roi_j int, w double")
+    assert gr.shortest_paths(links, "rec", "w" if weighted else None).count() == 12
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
