@@ -19,6 +19,8 @@ STAGES = {
 ORDER = ("subject", "session", "task", "run", "preprocessing", "source")
 #: Fixed value: a dependency that names the task and is no output.
 TASK = "task"
+#: Levels of a closure between two looks for pairs reached before.
+AT_ONCE = 3
 #: Up to so many versions go by pointer doubling alone.
 DOUBLED = 200_000
 
@@ -53,20 +55,28 @@ def resolve(configs: DataFrame, outputs: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """source, target, steps of every pair that a path of one step or more joins; steps are the fewest.
 
-    Level by level: the pairs first reached by the last step are joined with the edges, and what no shorter path
-    reached is kept. There are as many levels as the longest shortest path has steps, with one join and one anti
-    join each, over rows written by the level before. Cycles end by themselves: a node of one is its own target.
-    Null ends are no edges; repeated edges count once.
+    Level by level: the pairs first reached by the last step are joined with the edges. After every AT_ONCE levels
+    what a shorter path reached is taken out, by one anti join with all pairs before; in between a level may hold
+    pairs reached before, each once, which the fewest steps then decide. Levels end with the longest shortest path,
+    at most AT_ONCE later, over rows written by the level before. Pairs that end at a node without edges aren't carried on.
+    Cycles end by themselves: a node of one is its own target. Null ends are no edges; repeated edges count once.
     """
     steps = edges.select(F.col(source).alias("source"), F.col(target).alias("target")).dropna().distinct()
     edge = written(steps, "edges")
-    fresh = all_pairs = written(edge.withColumn("steps", F.lit(1)), "reached")
+    on = edge.select(F.col("source").alias("target"), F.lit(True).alias("on")).distinct()
+    edge = written(edge.join(on, "target", "left").select("source", "target", F.coalesce("on", F.lit(False)).alias("on")), "edges")
+    last = all_pairs = written(edge.withColumn("steps", F.lit(1)), "reached")
     level = 1
-    while fresh.limit(1).count():
-        level += 1
-        onward = fresh.select("source", F.col("target").alias("_via")).join(edge.withColumnRenamed("source", "_via"), "_via").select("source", "target").distinct()
-        fresh = written(onward.join(all_pairs, ["source", "target"], "left_anti").withColumn("steps", F.lit(level)), "reached")
-        all_pairs = all_pairs.unionByName(fresh)
+    while last.filter("on").limit(1).count():
+        found = None
+        for _ in range(AT_ONCE):
+            level += 1
+            onward = last.filter("on").select("source", F.col("target").alias("_via")).join(edge.withColumnRenamed("source", "_via"), "_via")
+            last = written(onward.select("source", "target", "on").distinct().withColumn("steps", F.lit(level)), "reached")
+            found = last if found is None else found.unionByName(last)
+        fewest = found.groupBy("source", "target").agg(F.first("on").alias("on"), F.min("steps").alias("steps"))
+        fresh = written(fewest.join(all_pairs, ["source", "target"], "left_anti"), "reached")
+        all_pairs, last = all_pairs.unionByName(fresh), fresh.filter(F.col("steps") == level)
     return all_pairs.select(F.col("source").alias(source), F.col("target").alias(target), "steps")
 
 

@@ -135,3 +135,16 @@ def test_long_histories_write_a_fixed_number_of_rows_for_each_version(spark, mon
     assert all(out[v] == (None, None, True) for v, _ in rows if 5000 <= v < 8000)
     assert (out[8000], out[8001], out[8002]) == ((8000, 0, False), (8000, 1, False), (8000, 1, False))
     assert sum(sizes) < 7 * len(rows)
+
+
+def test_closure_looks_for_earlier_pairs_once_in_several_levels(spark, monkeypatch):
+    plans = []
+
+    def planned(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return scratch.written(df, name)
+
+    monkeypatch.setattr(ln, "written", planned)
+    edges = [(i, i + 1) for i in range(12)] + [(5, 4), (0, 3), (9, 9)]
+    assert pairs(ln.closure(spark.createDataFrame(edges, "source long, target long"))) == reachable(edges)
+    assert 1 <= sum("LeftAnti" in p for p in plans) <= 5
